@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import superminhash
+from . import linerules, ppm, superminhash, toxicity
 from .shared import table
 
 
@@ -12,6 +12,23 @@ def op1_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_superminhash": op1_superminhash}
+def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.languages(table(spark, sf_dir, "documents"))
+
+
+def op7_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_line_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linerules.line_rules(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_superminhash": op1_superminhash,
+    "op3_ppm": op3_ppm,
+    "op7_ftrl": op7_ftrl,
+    "op9_line_first": op9_line_first,
+}
 
 SQL: dict[str, str] = {}

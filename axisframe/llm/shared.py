@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 
 def base_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; one is set here only where it is unset and Spark is local."""
@@ -38,4 +40,5 @@ def removed(spark: SparkSession, *paths: str) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of a data folder, with the package on the executors."""
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")

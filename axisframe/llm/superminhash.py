@@ -13,8 +13,8 @@ Steps, none of which holds a group in one task:
 1. one pass over the text makes each document's set size, set digest (128 bits) and band keys;
 2. documents with equal sets are one class, by digest;
 3. for each band key the smallest class is the pivot; every other class is verified against it on full sets;
-4. components of those links; then, of classes that share a band key and are still in different components, all pairs
-   that are not yet verified are verified, since only these can join components; and the components are made again.
+4. components of those links; then components that share a band key are held against each other, block by block,
+   through inverted indexes of full sets, and the links found join them. Pairs within a component need no more work.
 
 With 28 bands of 4 rows a pair at the threshold misses every band with probability (1 - 0.8**4)**28 < 4e-7.
 
@@ -34,6 +34,8 @@ from . import shared, text
 from .components import components
 
 SIZE, BANDS, ROWS = 112, 28, 4
+#: Classes in a block of each side where components are held against each other.
+BLOCK, CHUNK = 2000, 500
 _U = np.uint64
 _FRACTION = _U(0xFFFFFFFF)
 
@@ -113,13 +115,16 @@ def _sketch(batches):
 def _linked(percent: int):
     def verify(batches):
         for batch in batches:
-            sides = [shingles(*text.buffers(batch.column(k))) for k in (2, 3)]
-            keep = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                a, b = (v[at[i] : at[i + 1]] for v, at in sides)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep[i] = both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["u", "v"])
+            sizes = sum(np.diff(text.buffers(batch.column(k))[1]) for k in (2, 3))
+            for lo, hi in text.slices(np.concatenate([[0], np.cumsum(sizes)])):
+                part = batch.slice(lo, hi - lo)
+                sides = [shingles(*text.buffers(part.column(k))) for k in (2, 3)]
+                keep = np.zeros(hi - lo, bool)
+                for i in range(hi - lo):
+                    a, b = (v[at[i] : at[i + 1]] for v, at in sides)
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    keep[i] = both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
+                yield pa.RecordBatch.from_arrays([part.column(k).filter(pa.array(keep)) for k in (0, 1)], names=["u", "v"])
 
     return verify
 
@@ -149,35 +154,78 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs, pairs_at = shared.written(first, "pairs")
     links, links_at = shared.written(_verified(pairs, texts, similarity), "verified")
     comps, comps_at = components(links)
-    # what can still join two components: classes that share a band key across them
-    placed = met.select("band", "rep", "n").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    split = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
-    open_rows, open_at = shared.written(placed.join(split, "band"), "open")
-    rest, rest_at = shared.written(_across(open_rows, near).join(pairs, ["u", "v"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        wanted = rest.select(F.col("u").alias("id")).union(rest.select(F.col("v").alias("id"))).distinct()
-        texts = source.where("id is not null").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-        more, more_at = shared.written(_verified(rest, texts, similarity), "verified")
-        if not more.isEmpty():
-            old = comps_at
-            comps, comps_at = components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more.select("u", "v")))
-            shared.removed(spark, *old)
-        shared.removed(spark, more_at)
-    shared.removed(spark, keyed_at, met_at, pairs_at, links_at, open_at, rest_at)
+    more, more_at = _across(source, reps.select("rep"), met, comps, similarity)
+    if more is not None:
+        old = comps_at
+        comps, comps_at = components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
+        shared.removed(spark, *old, more_at)
+    shared.removed(spark, keyed_at, met_at, pairs_at, links_at)
     named = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     out = sketch.withColumn("known", F.expr("n_shingles > 0 and id is not null"))
     out = out.join(named.withColumn("known", F.lit(True)), ["d1", "d2", "known"], "left")
     return out.select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component_id", "id").alias("component_id"), F.coalesce(F.coalesce("component_id", "id") == F.col("id"), F.lit(True)).alias("kept"))
 
 
-def _across(rows: DataFrame, near: str) -> DataFrame:
-    """Pairs (u < v) of classes that share a band key, lie in different components and may be similar by their sizes.
+def _across(source: DataFrame, reps: DataFrame, met: DataFrame, comps: DataFrame, percent: int):
+    """Links between components that share a band key, as a written table and its path, or None twice if none share one.
 
-    Members of one component never meet: the components of a key are paired first, and members join on those pairs.
+    Components that share keys form a cluster. All of a cluster's classes outside its largest component are held against
+    all of its classes. Both sides are cut into blocks of bounded size, each pair of blocks is a task's work, and only
+    links are emitted: no row is made for a pair.
     """
-    of_key = rows.select("band", "c").distinct()
-    pair = of_key.join(of_key.withColumnRenamed("c", "c2"), "band").where("c < c2")
-    left = pair.join(rows, ["band", "c"]).select("band", "c2", F.col("rep").alias("x"), F.col("n").alias("m"))
-    right = rows.withColumnsRenamed({"c": "c2", "rep": "y"})
-    met = left.join(right, ["band", "c2"]).where(near)
-    return met.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+    spark = source.sparkSession
+    in_comp = comps.withColumnRenamed("node", "rep")
+    placed = met.select("band", "rep").join(in_comp, "rep", "left").select("band", F.coalesce("component", "rep").alias("c"))
+    split = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", "lo")
+    touching, at = shared.written(placed.join(split, "band").where("c <> lo").select(F.col("lo").alias("u"), F.col("c").alias("v")).distinct(), "touching")
+    if touching.isEmpty():
+        shared.removed(spark, at)
+        return None, None
+    clusters, clusters_at = components(touching)
+    members = reps.join(in_comp, "rep", "left").select("rep", F.coalesce("component", "rep").alias("c")).join(clusters.select(F.col("node").alias("c"), F.col("component").alias("cluster")), "c")
+    members, members_at = shared.written(members, "members")
+    sizes = members.groupBy("cluster", "c").agg(F.count(F.lit(1)).alias("k"))
+    sizes = sizes.groupBy("cluster").agg(F.sum("k").alias("k"), F.max(F.struct("k", "c")).alias("top"))
+    sizes = sizes.select("cluster", F.col("top.c").alias("top"), F.ceil(F.col("k") / BLOCK).cast("int").alias("nb"), F.ceil((F.col("k") - F.col("top.k")) / CHUNK).cast("int").alias("nc"))
+    texts = source.where("id is not null").join(members.select(F.col("rep").alias("id")), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    rows = members.join(sizes, "cluster").join(texts.withColumnRenamed("id", "rep"), "rep")
+    every = rows.select("cluster", F.expr("cast(pmod(xxhash64(rep), nb) as int)").alias("block"), F.explode(F.expr("sequence(0, nc - 1)")).alias("chunk"), F.lit(False).alias("open"), "rep", "c", "text")
+    loose = rows.where("c <> top").select("cluster", F.explode(F.expr("sequence(0, nb - 1)")).alias("block"), F.expr("cast(pmod(xxhash64(rep, 1), nc) as int)").alias("chunk"), F.lit(True).alias("open"), "rep", "c", "text")
+    links = every.union(loose).groupBy("cluster", "block", "chunk").applyInArrow(_block_links(percent), "u long, v long")
+    out, out_at = shared.written(links, "verified")
+    shared.removed(spark, at, *clusters_at, members_at)
+    return out, out_at
+
+
+def _block_links(percent: int):
+    def sets(rows: pa.Table):
+        values, ends = [], [0]
+        for lo, hi in text.slices(text.buffers(rows["text"])[1]):
+            got, at = shingles(*text.buffers(rows["text"].slice(lo, hi - lo)))
+            values.append(got)
+            ends.extend(ends[-1] + at[1:])
+        return np.concatenate(values or [np.zeros(0, np.uint64)]), np.array(ends)
+
+    def find(group: pa.Table) -> pa.Table:
+        is_open = np.asarray(group["open"])
+        held, loose = group.filter(pa.array(~is_open)), group.filter(pa.array(is_open))
+        u, v = [], []
+        if held.num_rows and loose.num_rows:
+            values, at = sets(held)
+            size = np.diff(at)
+            owner = np.repeat(np.arange(len(size)), size)
+            order = np.argsort(values, kind="stable")
+            token, owner = values[order], owner[order]
+            comp, rep = np.asarray(held["c"]), np.asarray(held["rep"])
+            theirs, own = sets(loose)
+            for i, (r, c) in enumerate(zip(loose["rep"].to_pylist(), loose["c"].to_pylist(), strict=True)):
+                mine = theirs[own[i] : own[i + 1]]
+                lo, hi = np.searchsorted(token, mine), np.searchsorted(token, mine, side="right")
+                both = np.bincount(owner[text.ragged(lo, hi - lo)], minlength=len(size))
+                hit = np.flatnonzero((both > 0) & (100 * both >= percent * (size + len(mine) - both)) & (comp != c))
+                for k in hit[np.unique(comp[hit], return_index=True)[1]]:  # one link to each component is enough
+                    u.append(r)
+                    v.append(int(rep[k]))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return find
