@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linerules, ppm, superminhash, toxicity
+from . import linerules, mixing, packing, ppm, superminhash, toxicity
 from .shared import table
 
 
+#: Target weights of some sources; every other source has weight 1.
+MIX_WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 0.5}
+
+
 def op1_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -16,6 +20,16 @@ def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.languages(table(spark, sf_dir, "documents"))
 
 
+def op4_bounded_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op5_poisson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, default_weight=1.0)
+
+
 def op7_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -27,8 +41,21 @@ def op9_line_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_superminhash": op1_superminhash,
     "op3_ppm": op3_ppm,
+    "op4_bounded_space": op4_bounded_space,
+    "op5_poisson": op5_poisson,
     "op7_ftrl": op7_ftrl,
     "op9_line_first": op9_line_first,
 }
 
-SQL: dict[str, str] = {}
+OP5_SQL = """
+with sizes as (select source s, count(*) n, case source when 'src0' then 4.0::double when 'src1' then 2.0::double when 'src2' then 0.5::double else 1.0::double end w from documents group by source),
+sums as (select sum(w) w, sum(n)::double n from sizes),
+rates as (select s, sizes.w * sums.n / sums.w / sizes.n rate from sizes, sums),
+keyed as (select d.*, rate, greatest(1, ceil(rate / 8.0)::int) parts, '17|' || coalesce(doc_id::varchar, '?') || '|' || coalesce(md5(text), '?') k from documents d join rates on d.source is not distinct from s),
+drawn as (select keyed.* exclude (parts, rate), rate / parts m, ('0x' || substr(md5(k || '|' || i), 1, 13))::bigint / 4503599627370496.0::double u from keyed, unnest(range(1, parts + 1)) t(i)),
+steps as (select *, list_reduce(list_transform(range(0, 41), lambda j: {'k': j, 'p': exp(-m), 'f': exp(-m), 'n': 0}), lambda a, b: {'k': b.k, 'p': a.p * m / b.k, 'f': a.f + a.p * m / b.k, 'n': a.n + case when a.f <= u then 1 else 0 end}).n c from drawn),
+counted as (select doc_id, text, lang, source, n_chars, k, sum(c)::bigint c from steps group by all)
+select doc_id, text, lang, source, n_chars, i::int as copy, md5('shuffle|' || k || '|' || i) shuffle_key from counted, unnest(range(1, c + 1)) t(i)
+"""
+
+SQL: dict[str, str] = {"op5_poisson": OP5_SQL}
