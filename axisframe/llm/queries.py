@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import linerules, mixing, packing, ppm, superminhash, toxicity
+from . import linerules, mixing, packing, ppm, superminhash, topk, toxicity
 from .shared import table
 
 
@@ -34,6 +35,10 @@ def op7_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_block_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_line_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linerules.line_rules(table(spark, sf_dir, "documents"))
 
@@ -44,6 +49,7 @@ QUERIES = {
     "op4_bounded_space": op4_bounded_space,
     "op5_poisson": op5_poisson,
     "op7_ftrl": op7_ftrl,
+    "op8_block_pruning": op8_block_pruning,
     "op9_line_first": op9_line_first,
 }
 
@@ -58,4 +64,12 @@ counted as (select doc_id, text, lang, source, n_chars, k, sum(c)::bigint c from
 select doc_id, text, lang, source, n_chars, i::int as copy, md5('shuffle|' || k || '|' || i) shuffle_key from counted, unnest(range(1, c + 1)) t(i)
 """
 
-SQL: dict[str, str] = {"op5_poisson": OP5_SQL}
+OP8_SQL = """
+with good as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) v from embeddings where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+terms as (select vec_id, unnest(v) x, generate_subscripts(v, 1) t from good),
+scores as (select q.vec_id query_id, c.vec_id, sum(q.x * c.x)::bigint score from terms q join terms c on q.t = c.t and q.vec_id <> c.vec_id where q.vec_id % 100 = 0 group by all),
+ranked as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as "rank", vec_id, score from scores)
+select query_id, "rank", vec_id, score from ranked where "rank" <= 10
+"""
+
+SQL: dict[str, str] = {"op5_poisson": OP5_SQL, "op8_block_pruning": OP8_SQL}
