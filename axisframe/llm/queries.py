@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linerules, mixing, packing, ppm, superminhash, topk, toxicity
+from . import linerules, mixing, packing, ppm, superminhash, topk, toxicity, warc
 from .shared import table
 
 
@@ -17,6 +17,11 @@ def op1_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives, _ = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(archives)
+
+
 def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.languages(table(spark, sf_dir, "documents"))
 
@@ -45,6 +50,7 @@ def op9_line_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_superminhash": op1_superminhash,
+    "op2_warc": op2_warc,
     "op3_ppm": op3_ppm,
     "op4_bounded_space": op4_bounded_space,
     "op5_poisson": op5_poisson,
@@ -72,4 +78,14 @@ ranked as (select query_id, row_number() over (partition by query_id order by sc
 select query_id, "rank", vec_id, score from ranked where "rank" <= 10
 """
 
-SQL: dict[str, str] = {"op5_poisson": OP5_SQL, "op8_block_pruning": OP8_SQL}
+OP2_SQL = """
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) n, sha1(coalesce(html, '')) d from pages),
+q as (select *, case when n >= 1000 then max(page_id) over (partition by d) end m from p)
+select page_id, n::bigint payload_bytes, d payload_digest, case when m is not null and page_id is distinct from m then 'revisit' else 'response' end record_type, case when page_id is distinct from m then m end refers_to from q
+"""
+
+SQL: dict[str, str] = {
+    "op2_warc": OP2_SQL,
+    "op5_poisson": OP5_SQL,
+    "op8_block_pruning": OP8_SQL,
+}
