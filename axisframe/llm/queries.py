@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linerules, mixing, packing, ppm, superminhash, topk, toxicity, warc
+from . import linerules, mixing, packing, ppm, suffix, superminhash, topk, toxicity, warc
 from .shared import table
 
 
@@ -36,6 +36,10 @@ def op5_poisson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, default_weight=1.0)
 
 
+def op6_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op3_ppm": op3_ppm,
     "op4_bounded_space": op4_bounded_space,
     "op5_poisson": op5_poisson,
+    "op6_suffix_family": op6_suffix_family,
     "op7_ftrl": op7_ftrl,
     "op8_block_pruning": op8_block_pruning,
     "op9_line_first": op9_line_first,
