@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linerules, mixing, packing, ppm, suffix, superminhash, topk, toxicity, warc
+from . import chaining, linerules, mixing, packing, ppm, suffix, superminhash, topk, toxicity, warc
 from .shared import table
 
 
@@ -52,6 +52,10 @@ def op9_line_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linerules.line_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_superminhash": op1_superminhash,
     "op2_warc": op2_warc,
@@ -62,6 +66,7 @@ QUERIES = {
     "op7_ftrl": op7_ftrl,
     "op8_block_pruning": op8_block_pruning,
     "op9_line_first": op9_line_first,
+    "op10_chaining": op10_chaining,
 }
 
 OP5_SQL = """
