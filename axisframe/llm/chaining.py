@@ -278,7 +278,19 @@ def align(a: np.ndarray, b: np.ndarray, anchors: np.ndarray) -> list[tuple[int,
         i, j = x + n, y + n
     ahead = min(len(a) - i, len(b) - j)
     cols_a.append(np.arange(i, i + ahead)), cols_b.append(np.arange(j, j + ahead)), same.append(a[i : i + ahead] == b[j : j + ahead])
-    ca, cb, eq = np.concatenate(cols_a), np.concatenate(cols_b), np.concatenate(same)
+    out = _stretches(np.concatenate(cols_a), np.concatenate(cols_b), np.concatenate(same))
+    # seeds of a text that repeats itself have their first place as pivot; its own diagonal may then align better
+    x, y, _ = anchors[int(np.argmax(anchors[:, 2]))].tolist()
+    lo, n = -min(x, y), min(len(a) - x, len(b) - y)
+    if len(anchors) > 1 and n + min(x, y) >= LEAST:
+        for new in _stretches(np.arange(x + lo, x + n), np.arange(y + lo, y + n), a[x + lo : x + n] == b[y + lo : y + n]):
+            if not any(o[0] <= new[0] and new[1] <= o[1] for o in out):
+                out = [o for o in out if not (new[0] <= o[0] and o[1] <= new[1])] + [new]
+    return out
+
+
+def _stretches(ca: np.ndarray, cb: np.ndarray, eq: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
+    """The best-scoring stretches of aligned places that have LEAST words or more, none overlapping another."""
     out, todo = [], [(0, len(eq))]
     while todo:
         lo, hi = todo.pop()

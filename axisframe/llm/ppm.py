@@ -144,15 +144,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train({k: sorted(v) for k, v in samples.items()}, max_contexts)
 
 
-def _scorer(held, id_type):
+def _scorer(held, at: int):
+    """Adds lang_pred and score to each row; column ``at`` is the text, the next whether it has a letter."""
+
     def score(batches):
         model = held.value
-        for rows, data, offsets in text.documents(batches, 2):
+        for rows, data, offsets in text.documents(batches, at):
             n = rows.num_rows
-            letters = np.asarray(rows.column(3).fill_null(False))
+            letters = np.asarray(rows.column(at + 1).fill_null(False))
             if not model.langs:
-                best, share = np.zeros(n, np.int64), np.zeros(n)
-                letters = np.zeros(n, bool)
+                best, share, letters = np.zeros(n, np.int64), np.zeros(n), np.zeros(n, bool)
                 names = np.array(["und"], object)
             else:
                 bits = model.bits(data, offsets)
@@ -161,17 +162,23 @@ def _scorer(held, id_type):
                 gap = (bits - bits.min(1, keepdims=True)) * np.minimum(length, 64) / length
                 share = 1 / np.exp2(-gap).sum(1)
                 names = np.array(model.langs, object)
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.where(letters, names[best], "und"), pa.string()), pa.array(np.where(letters, share, 0.0))], names=["doc_id", "held_out", "lang_pred", "score"])
+            told = [pa.array(np.where(letters, names[best], "und"), pa.string()), pa.array(np.where(letters, share, 0.0))]
+            yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in range(at)), *told], names=[*rows.schema.names[:at], "lang_pred", "score"])
 
     return score
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", held_out=None) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of every row's whole text."""
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", held_out=None, keep: bool = False) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of every row's whole text; with ``keep`` every column of ``docs``, then those two."""
     held = docs.sparkSession.sparkContext.broadcast(model)
+    texts = [F.col(text_col).alias("__text"), F.col(text_col).rlike("\\p{L}").alias("__letters")]
+    if keep:
+        kept = docs.drop("lang_pred", "score")
+        fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema]
+        return kept.select("*", *texts).mapInArrow(_scorer(held, len(fields)), ", ".join([*fields, "lang_pred string", "score double"]))
     flag = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), flag.alias("held_out"), F.col(text_col).alias("text"), F.col(text_col).rlike("\\p{L}").alias("letters"))
-    return rows.mapInArrow(_scorer(held, None), "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), flag.alias("held_out"), *texts)
+    return rows.mapInArrow(_scorer(held, 2), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def languages(docs: DataFrame, **names) -> DataFrame:
