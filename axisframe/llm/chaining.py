@@ -302,13 +302,22 @@ def _stretches(ca: np.ndarray, cb: np.ndarray, eq: np.ndarray) -> list[tuple[int
         if sums[end] - low[end] < LEAST // 4:
             continue
         start = int(np.flatnonzero(sums[: end + 1] == low[end])[-1])
-        s, e = lo + start, lo + end
+        s, e = _wider(eq, lo, lo + start, lo + end, hi)
         if ca[e - 1] + 1 - ca[s] >= LEAST:
             out.append((int(ca[s]), int(ca[e - 1]) + 1, int(cb[s]), int(cb[e - 1]) + 1, int(eq[s:e].sum()), e - s))
         todo += [(lo, s), (e, hi)]
     return out
 
 
+def _wider(eq: np.ndarray, lo: int, s: int, e: int, hi: int) -> tuple[int, int]:
+    """A core of best score with what lies beside it, where changes happen to be denser, as long as the whole stays similar."""
+    value = np.where(eq, 1, -2)
+    left, right = np.cumsum(value[lo:s][::-1]), np.cumsum(value[e:hi])
+    s2 = s - (int(left.argmax()) + 1 if len(left) and left.max() > 0 else 0)
+    e2 = e + (int(right.argmax()) + 1 if len(right) and right.max() > 0 else 0)
+    return (s2, e2) if (WRONG + 1) * eq[s2:e2].sum() > WRONG * (e2 - s2) else (s, e)
+
+
 PASSAGE = "doc_id long, start long, end long, source_doc_id long, source_start long, source_end long, n_equal long, n_places long"
 
 

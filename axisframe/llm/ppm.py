@@ -62,6 +62,8 @@ class Model:
 
 def train(samples: dict[str, list[bytes]], max_contexts: int = 16000) -> Model:
     langs = sorted(samples)
+    if not langs:
+        return Model([], np.zeros(256, np.uint8), np.zeros(1, np.int32), np.zeros((1, 1, 0), np.float32))
     sums = np.zeros(256, np.int64)
     for parts in samples.values():
         for x in parts:
