@@ -773,7 +773,7 @@ class AxisTable(Verbs):
             var = var.withColumnsRenamed(held)
             self._var = Axis(var, [c for c in var.columns if not c.startswith(HIDDEN)], [(SLOT, False)], name)
         elif x is not None:
-            names = list(features) if features is not None else _default_names(self._obs.df, self._matrices[("x", None)].columns, layout)
+            names = list(features) if features is not None else _default_names(self._obs.df, x if layout == "wide" else self._matrices[("x", None)].columns, layout)
             var = spark.createDataFrame([(str(n), k) for k, n in enumerate(names)], f"var_name string, {SLOT} int")
             self._var = Axis(var, ["var_name"], [(SLOT, False)], "var_name")
             self._pairs = [(str(n), k) for k, n in enumerate(names)]
