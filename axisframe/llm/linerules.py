@@ -2,7 +2,8 @@
 
 Words are ``[^\\x20\\x09-\\x0D]+``, lines are split at \\n. A line with a word fails if any of these holds:
 
-* punctuation: its last character that is not white space is none of ``. ! ? " ' : ; )`` or ``” ’ … » 。``;
+* punctuation: none of its words ends in one of ``. ! ? " ' : ; )`` or ``” ’ … » 。`` (prose that is cut off within a
+  sentence still holds earlier ends);
 * symbols: twice its characters of ``[#*$%&|<>]`` are more than its words;
 * navigation: at least two of its words are ``|`` or ``>``, and they are a fifth of its words or more;
 * boilerplate: with A-Z lower-cased it holds a phrase of ``PHRASES``, or more than half of its ASCII letters, of ten or
@@ -92,8 +93,6 @@ def judge(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     n_lines = len(begin)
     count = _sums(line, n_lines)
     some = count > 0
-    first = np.searchsorted(line, np.arange(n_lines))
-    last_word = np.maximum(first + count - 1, 0)
     # the line's text without its \n decides whether it repeats an earlier one
     close = finish - ((finish > begin) & (data[np.maximum(finish - 1, 0)] == 10)) if n else finish
     same_as = text.Rolling(data).of(begin, close) if n else np.zeros(0, np.uint64)
@@ -103,13 +102,13 @@ def judge(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     again[order[1:]] = (same_as[order][1:] == same_as[order][:-1]) & (owner[order][1:] == owner[order][:-1])
     failed = np.zeros(n_lines, bool)
     if len(full):
-        tail = ends[last_word[full]]
-        good = _FINAL[data[tail - 1]]
+        final = _FINAL[data[ends - 1]]
         for mark in _FINAL_LONG:
-            fits = tail - starts[last_word[full]] >= len(mark)
+            fits = ends - starts >= len(mark)
             for k, byte in enumerate(mark):
-                fits &= data[np.maximum(tail - len(mark) + k, 0)] == byte
-            good |= fits
+                fits &= data[np.maximum(ends - len(mark) + k, 0)] == byte
+            final |= fits
+        good = _sums(line, n_lines, final)[full] > 0
         marks = symbols[finish[full]] - symbols[begin[full]]
         bar = (ends - starts == 1) & ((data[starts] == ord("|")) | (data[starts] == ord(">")))
         bars = _sums(line, n_lines, bar)[full]

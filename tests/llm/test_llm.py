@@ -349,7 +349,7 @@ def brute_rules(t):
         bars = sum(x in ("|", ">") for x in w)
         caps, letters = len(re.findall("[A-Z]", line)), len(re.findall("[A-Za-z]", line))
         low = re.sub("[A-Z]", lambda m: m[0].lower(), line)
-        bad = not w[-1].endswith(linerules.ENDS) or 2 * marks > len(w) or (bars >= 2 and 5 * bars >= len(w)) or (letters >= 10 and 2 * caps > letters) or any(p in low for p in linerules.PHRASES)
+        bad = not any(x.endswith(linerules.ENDS) for x in w) or 2 * marks > len(w) or (bars >= 2 and 5 * bars >= len(w)) or (letters >= 10 and 2 * caps > letters) or any(p in low for p in linerules.PHRASES)
         failed += bad * len(w)
     at = collections.Counter(zip(words, words[1:], words[2:]))
     mark = {j for k in range(len(words) - 2) if at[tuple(words[k : k + 3])] > 1 for j in (k, k + 1, k + 2)}
