@@ -118,7 +118,11 @@ def records(archive: bytes):
 
 def dictionary(rows: DataFrame, size: int = DICTIONARY) -> bytes | None:
     """Built from the records of a bounded sample of rows (id, url, payload, digest)."""
-    some = rows.where(F.octet_length("payload") <= SAMPLE_BYTES).orderBy(F.xxhash64("digest", "id"), "id").limit(SAMPLE).collect()
+    fits = rows.where(F.octet_length("payload") <= SAMPLE_BYTES)
+    # by a hash below a bound that lets about twice the sample through, so tasks never hand on more than that together
+    near = F.pmod(F.xxhash64("digest", "id"), F.lit(1 << 40))
+    bound = (1 << 40) * (2 * SAMPLE + 16) // max(1, fits.count())
+    some = fits.where(near < F.lit(min(bound, 1 << 40))).orderBy(near, "id").limit(SAMPLE).collect()
     samples = [record(r["id"], r["url"], r["payload"], r["digest"]) for r in some]
     if sum(map(len, samples)) < 10 * size or len(samples) < 8:
         size = max(1024, sum(map(len, samples)) // 20)
