@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from . import shared, text
 
-#: Bytes of text for each bucket of keys.
+#: Bytes of text in a batch, and for each bucket of keys.
+BATCH_BYTES = 2 << 20
 BUCKET_BYTES = 6 << 20
 _BATCH = "batch long, n_bytes long, ids binary, lengths binary, text binary"
 ANSWER = "batch long, kind int, bucket int, blob binary"
@@ -36,7 +37,7 @@ def expand(raw: bytes) -> bytes:
 
 def _staged(batches):
     base, n = TaskContext.get().partitionId() << 32, 0
-    for rows, data, offsets in text.documents(batches, 1):
+    for rows, data, offsets in text.documents(batches, 1, BATCH_BYTES):
         row = (base + n, len(data), np.asarray(rows.column(0)).astype("<i8").tobytes(), np.diff(offsets).astype("<i8").tobytes(), squeeze(data.tobytes(), 3))
         n += 1
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["batch", "n_bytes", "ids", "lengths", "text"])

@@ -8,7 +8,7 @@ bytes' entries, and the language with the shortest code wins.
 
 Bounds, all parameters: training takes at most ``docs_per_lang`` documents of each language, none above ``train_bytes``
 bytes; at most 127 byte values have symbols of their own (others share one); at most ``max_contexts`` contexts are kept,
-the most frequent, fewer if the table would pass 48 MB. The table is what is broadcast.
+the most frequent, fewer if the table would pass 24 MB. The table is what is broadcast.
 
 A text that is null or has no letter is ``und`` with score 0. ``score`` is the winner's share of the likelihoods, at the
 text's mean code length over at most 64 bytes. Null ids are kept (held_out is then false). With no labelled row every
@@ -73,7 +73,7 @@ def train(samples: dict[str, list[bytes]], max_contexts: int = 16000) -> Model:
     symbol = np.zeros(256, np.uint8)
     symbol[own] = np.arange(1, len(own) + 1)
     size = len(own) + 1
-    room = max(size, min(max_contexts, 48_000_000 // (4 * size * max(1, len(langs)))))
+    room = max(size, min(max_contexts, 24_000_000 // (4 * size * max(1, len(langs)))))
     pad = np.full(ORDER, symbol[_SPACE_BYTE], np.int64)
     counts: list[tuple[np.ndarray, np.ndarray]] = [[] for _ in range(ORDER + 1)]
     for k, lang in enumerate(langs):

@@ -41,4 +41,7 @@ def removed(spark: SparkSession, *paths: str) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a data folder, with the package on the executors."""
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    spark = ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # documents are long rows
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
