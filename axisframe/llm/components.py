@@ -12,19 +12,22 @@ from pyspark.sql import functions as F
 from . import shared
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Hang neighbours on the smallest node of each neighbourhood: the larger ones (large) or the others (small)."""
+def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, str]:
+    """Hang neighbours on the smallest node of each neighbourhood: the larger ones (large) or the others (small).
+
+    The neighbourhoods' smallest nodes are written first: a join with a table can be broadcast or split by its size.
+    """
     if large:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    low, at = shared.written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "low")
     met = both.join(low, "u")
     if large:
         out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+    return out.where("u <> v").distinct(), at
 
 
 def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -37,9 +40,12 @@ def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
     now, path = shared.written(edges.where("u <> v").select("u", "v").distinct(), "links")
     seen = None
     while True:
-        nxt, at = shared.written(_star(_star(now, True), False), "links")
+        large, low_large = _star(now, True)
+        mid, mid_at = shared.written(large, "links")
+        small, low_small = _star(mid, False)
+        nxt, at = shared.written(small, "links")
         said = nxt.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum((F.xxhash64("v", "u") % 1000003))).first()
-        shared.removed(spark, path)
+        shared.removed(spark, path, low_large, mid_at, low_small)
         now, path = nxt, at
         if said == seen:
             break

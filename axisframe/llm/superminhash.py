@@ -141,17 +141,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch, _ = shared.written(source.mapInArrow(_sketch, _SKETCHED), "sketch")
     full = sketch.where("n_shingles > 0 and id is not null")
-    classes = full.groupBy("d1", "d2").agg(F.min("id").alias("rep"))
+    # aggregates are written before they are joined: Spark then knows their sizes and can split a hot key of the other side
+    classes, classes_at = shared.written(full.groupBy("d1", "d2").agg(F.min("id").alias("rep")), "classes")
     # one row for each class: its band keys come from the row of its smallest id
     reps = full.join(classes, ["d1", "d2"]).where("id = rep").groupBy("rep").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     keyed, keyed_at = shared.written(reps.select("rep", "n", F.explode("bands").alias("band")), "bands")
-    shared_keys = keyed.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    pivots = keyed.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    shared_keys, shared_at = shared.written(pivots, "pivots")
     met, met_at = shared.written(keyed.join(shared_keys, "band"), "met")
     near = f"100 * least(n, m) >= {similarity} * greatest(n, m)"
     first = met.where("rep <> p.rep").select(F.col("p.rep").alias("u"), F.col("rep").alias("v"), "n", F.col("p.n").alias("m")).where(near).select("u", "v").distinct()
-    texts = source.where("id is not null").join(first.select(F.col("u").alias("id")).union(first.select(F.col("v").alias("id"))).distinct(), "id", "left_semi")
-    texts = texts.groupBy("id").agg(F.min("text").alias("text"))
     pairs, pairs_at = shared.written(first, "pairs")
+    ids = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
+    texts, texts_at = shared.written(_texts(source, ids), "texts")
     links, links_at = shared.written(_verified(pairs, texts, similarity), "verified")
     comps, comps_at = components(links)
     more, more_at = _across(source, reps.select("rep"), met, comps, similarity)
@@ -159,15 +161,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         old = comps_at
         comps, comps_at = components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
         shared.removed(spark, *old, more_at)
-    shared.removed(spark, keyed_at, met_at, pairs_at, links_at)
-    named = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
+    shared.removed(spark, keyed_at, shared_at, met_at, pairs_at, texts_at, links_at)
+    named, _ = shared.written(classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id")), "named")
+    shared.removed(spark, classes_at, *comps_at)
     out = sketch.withColumn("known", F.expr("n_shingles > 0 and id is not null"))
     out = out.join(named.withColumn("known", F.lit(True)), ["d1", "d2", "known"], "left")
     return out.select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component_id", "id").alias("component_id"), F.coalesce(F.coalesce("component_id", "id") == F.col("id"), F.lit(True)).alias("kept"))
 
 
+def _texts(source: DataFrame, ids: DataFrame) -> DataFrame:
+    """One text of each id; rows that repeat an id are one document here."""
+    return source.where("id is not null").join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+
+
 def _across(source: DataFrame, reps: DataFrame, met: DataFrame, comps: DataFrame, percent: int):
-    """Links between components that share a band key, as a written table and its path, or None twice if none share one.
+    """Links between components that share a band key, as a written table and its path, or None twice if there is none.
 
     Components that share keys form a cluster. All of a cluster's classes outside its largest component are held against
     all of its classes. Both sides are cut into blocks of bounded size, each pair of blocks is a task's work, and only
@@ -187,13 +195,17 @@ def _across(source: DataFrame, reps: DataFrame, met: DataFrame, comps: DataFrame
     sizes = members.groupBy("cluster", "c").agg(F.count(F.lit(1)).alias("k"))
     sizes = sizes.groupBy("cluster").agg(F.sum("k").alias("k"), F.max(F.struct("k", "c")).alias("top"))
     sizes = sizes.select("cluster", F.col("top.c").alias("top"), F.ceil(F.col("k") / BLOCK).cast("int").alias("nb"), F.ceil((F.col("k") - F.col("top.k")) / CHUNK).cast("int").alias("nc"))
-    texts = source.where("id is not null").join(members.select(F.col("rep").alias("id")), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    sizes, sizes_at = shared.written(sizes, "sizes")
+    texts = _texts(source, members.select(F.col("rep").alias("id")))
     rows = members.join(sizes, "cluster").join(texts.withColumnRenamed("id", "rep"), "rep")
     every = rows.select("cluster", F.expr("cast(pmod(xxhash64(rep), nb) as int)").alias("block"), F.explode(F.expr("sequence(0, nc - 1)")).alias("chunk"), F.lit(False).alias("open"), "rep", "c", "text")
     loose = rows.where("c <> top").select("cluster", F.explode(F.expr("sequence(0, nb - 1)")).alias("block"), F.expr("cast(pmod(xxhash64(rep, 1), nc) as int)").alias("chunk"), F.lit(True).alias("open"), "rep", "c", "text")
     links = every.union(loose).groupBy("cluster", "block", "chunk").applyInArrow(_block_links(percent), "u long, v long")
     out, out_at = shared.written(links, "verified")
-    shared.removed(spark, at, *clusters_at, members_at)
+    shared.removed(spark, at, *clusters_at, members_at, sizes_at)
+    if out.isEmpty():
+        shared.removed(spark, out_at)
+        return None, None
     return out, out_at
 
 
