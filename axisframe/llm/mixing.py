@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 #: Terms of the distribution function that are inverted directly; beyond a mean of SPLIT a draw is the sum of several.
 TERMS, SPLIT = 40, 8.0
 
@@ -49,7 +51,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, default_weight
     all_w, all_n = float(sums["w"] or 0.0), float(sums["n"] or 0)
     goal = all_n if total is None else float(total)
     rate = F.col("__w") * F.lit(goal) / F.lit(all_w) / F.col("__n") if all_w else F.lit(0.0)
-    rates = sizes.select("__source", rate.alias("__rate"))
+    # written, so that its size is known: Spark broadcasts it if it is small, and else splits a hot source
+    rates, _ = shared.written(sizes.select("__source", rate.alias("__rate")), "rates")
     out = docs.drop("copy", "shuffle_key").join(rates, src.eqNullSafe(F.col("__source")))
     # null and empty texts draw apart
     key = [F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("?")), F.coalesce(F.md5(text_col), F.lit("?"))]
