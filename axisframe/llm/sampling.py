@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_RANGE = 1 << 40
+#: Parts in which each label's rows are ranked first.
+PARTS = 64
 
 
 def bounded_rows(rows: DataFrame, id_col: str, label_col: str, per_label: int) -> DataFrame:
     """At most ``per_label`` rows of each label, those whose ids hash lowest.
 
-    Labels are counted first, so that only about four times as many rows as are wanted are ranked, at any size.
+    A label's rows are first ranked within PARTS parts, by hash, so the last ranking sees at most PARTS * per_label rows
+    of a label however many it has.
     """
-    counts = rows.groupBy(F.col(label_col).alias("__label")).agg(F.count(F.lit(1)).alias("__n"))
-    near = rows.withColumn("__h", F.pmod(F.xxhash64(id_col), F.lit(_RANGE))).join(counts, F.col(label_col) == F.col("__label"))
-    near = near.where(F.col("__h") * F.col("__n").cast("double") <= F.lit(float(_RANGE) * (4 * per_label + 16)))
-    order = Window.partitionBy(label_col).orderBy("__h", id_col)
-    return near.withColumn("__at", F.row_number().over(order)).where(F.col("__at") <= per_label).drop("__at", "__h", "__n", "__label")
+    out = rows.withColumn("__h", F.xxhash64(id_col)).withColumn("__part", F.pmod("__h", F.lit(PARTS)))
+    for keys in ([label_col, "__part"], [label_col]):
+        order = Window.partitionBy(*keys).orderBy("__h", id_col)
+        out = out.withColumn("__at", F.row_number().over(order)).where(F.col("__at") <= per_label).drop("__at")
+    return out.drop("__h", "__part")
 
 
 def fold(id_col: str, parts: int):
