@@ -21,6 +21,8 @@ class Expr:
 
     def __init__(self, kind: str, make: Callable | None = None, args: Iterable[Any] = (), name: str | None = None, value: Any = None, label: str | None = None, keys: tuple[str, ...] | None = None):
         self.kind, self.make, self.args, self.name, self.value, self.label, self.keys = kind, make, tuple(args), name, value, label, keys
+        #: For a running aggregate: the aggregate, how parts' totals fold, and how a part's value takes in those before it.
+        self.prefix: tuple[Callable, Callable, Callable] | None = None
 
     # -- structure --
     def walk(self) -> Iterable[Expr]:
@@ -131,7 +133,7 @@ class Expr:
     def cum_min(self) -> Expr: return cum_min(self)  # noqa: E704
     def cum_max(self) -> Expr: return cum_max(self)  # noqa: E704
     def cum_prod(self) -> Expr: return cum_prod(self)  # noqa: E704
-    def cum_count(self) -> Expr: return ordered(lambda ctx, c: F.count(c).over(ctx.running()), self)  # noqa: E704
+    def cum_count(self) -> Expr: return ordered(lambda ctx, c: F.count(c).over(ctx.running()), self, prefix=(F.count, F.sum, _plus))  # noqa: E704
     def shift(self, n: int) -> Expr: return lag(self, n)  # noqa: E704
     def diff(self) -> Expr: return self - lag(self)  # noqa: E704
 
@@ -255,9 +257,15 @@ def aggregate(make: Callable[..., Column], *args: Expr) -> Expr:
     return Expr("aggregate", make, args)
 
 
-def ordered(make: Callable[..., Column], *args: Expr) -> Expr:
+def ordered(make: Callable[..., Column], *args: Expr, prefix: tuple[Callable, Callable, Callable] | None = None) -> Expr:
     """``make(ctx, *columns)`` uses windows over the group in the table's order."""
-    return Expr("ordered", make, args)
+    out = Expr("ordered", make, args)
+    out.prefix = prefix
+    return out
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return a + F.coalesce(b, F.lit(0))
 
 
 def ranked(make: Callable[..., Column], *args: Expr) -> Expr:
@@ -390,7 +398,7 @@ def nth(e: Any, n: int, default: Any = None) -> Expr:
 
 
 def row_number() -> Expr:
-    return ordered(lambda ctx: F.row_number().over(ctx.in_order()))
+    return ordered(lambda ctx: F.row_number().over(ctx.in_order()), prefix=(lambda: F.count(F.lit(1)), F.sum, lambda a, b: _plus(a, b).cast("int")))
 
 
 def _shifted(e: Any, n: int, default: Any) -> Expr:
@@ -460,14 +468,15 @@ def ntile(e: Any, buckets: int) -> Expr:
     return scalar(lambda r, k: (F.floor((r - 1) * F.lit(buckets) / k) + 1).cast("long"), _ordinal(e), n())
 
 
-def _running(func) -> Callable[[Any], Expr]:
+def _running(func, combine) -> Callable[[Any], Expr]:
     def make(e: Any) -> Expr:
-        return ordered(lambda ctx, c: F.when(c.isNotNull(), func(c).over(ctx.running())), column_of(e))
+        return ordered(lambda ctx, c: F.when(c.isNotNull(), func(c).over(ctx.running())), column_of(e), prefix=(func, func, combine))
 
     return make
 
 
-cum_sum, cum_min, cum_max, cum_prod = (_running(f) for f in (F.sum, F.min, F.max, F.product))
+cum_sum, cum_min, cum_max = _running(F.sum, _plus), _running(F.min, F.least), _running(F.max, F.greatest)
+cum_prod = _running(F.product, lambda a, b: a * F.coalesce(b, F.lit(1.0)))
 
 
 def cummean(e: Any) -> Expr:

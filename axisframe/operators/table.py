@@ -43,8 +43,8 @@ def _listed(x: Any) -> list[Any]:
 class Axis:
     """One axis's frame, its public columns in order, the row order and the column that holds names."""
 
-    def __init__(self, df: DataFrame, public: Sequence[str], order: Sequence[tuple[str, bool]] = (), name: str | None = None):
-        self.df, self.public, self.order, self.name = df, list(public), list(order), name
+    def __init__(self, df: DataFrame, public: Sequence[str], order: Sequence[tuple[str, bool]] = (), name: str | None = None, parts: int = 1):
+        self.df, self.public, self.order, self.name, self.parts = df, list(public), list(order), name, parts
 
     def but(self, **new: Any) -> Axis:
         out = copy.copy(self)
@@ -67,7 +67,7 @@ class Axis:
         return S.resolve(selection, self.public, self.types())
 
     def context(self, keys: Sequence[str] = (), resolve: Callable[[str], Column] | None = None, df: DataFrame | None = None) -> Context:
-        return Context(self.df if df is None else df, resolve or self.column, keys, self.order)
+        return Context(self.df if df is None else df, resolve or self.column, keys, self.order, self.parts)
 
     def shown(self, ordered: bool = False) -> DataFrame:
         df = self.df.orderBy(*in_order(self.order)) if ordered and self.order else self.df
@@ -330,7 +330,8 @@ class Verbs:
     def _numbered(self, axis: str, at: str) -> Axis:
         a = self._major(axis)
         ctx = a.context(self._keys(axis))
-        return a.but(df=a.df.withColumn(at, F.row_number().over(ctx.in_order()) - 1))
+        place = ctx.column(E.row_number())
+        return a.but(df=ctx.df.withColumn(at, place - 1).drop(*ctx.made))
 
     def slice(self, *indices: Any, axis: Any = OBS):
         """Rows by position: ints, lists, slices or a boolean mask; order and repeats are kept, negatives count from the end."""
@@ -383,11 +384,10 @@ class Verbs:
             new = []
             for k in _listed(by):
                 e, down = (k.expr, not largest) if isinstance(k, E.Desc) else (E.column_of(k), largest)
-                new.append((ctx.temp(ctx.column(e), "k").__str__(), down))
-            names = ctx.made[-len(new):]
-            ctx.flush()
+                ctx.temp(ctx.column(e), "k")
+                new.append((ctx.made.pop(), down))
             lead = a.order[:1] if self._keys(axis_) else []
-            return a.but(df=ctx.df, order=[*lead, *((c, d) for c, (_, d) in zip(names, new, strict=True)), *a.order[len(lead):]])
+            return a.but(df=ctx.df.drop(*ctx.made), order=[*lead, *new, *a.order[len(lead):]])
 
         return self._ends(n, axis, lambda a: in_order(a.order), extra=keyed)
 
@@ -414,7 +414,7 @@ class Verbs:
         want = F.bround(F.col(size) * F.lit(float(prop))).cast("long") if prop is not None else F.lit(n) if n is not None else F.least(F.col(size), F.lit(1))
         if not replace and n is not None and not sizes.where(F.col(size) < n).isEmpty():
             raise SelectionError("a sample without replacement is larger than its rows")
-        spread = a.df.sparkSession.conf.get("spark.sql.session.timeZone") and F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c, _ in a.order)) if a.order else F.rand(seed)
+        spread = F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c, _ in a.order)) if a.order else F.rand(seed)
         place = Window.partitionBy(*groups).orderBy(spread, *in_order(a.order))
         df = a.df.withColumn(at, F.row_number().over(place))
         total = F.count(F.lit(1)).over(Window.partitionBy(*groups))
@@ -717,10 +717,13 @@ class GroupedAxisTable(Verbs):
 class AxisTable(Verbs):
     """See the module's docstring."""
 
-    def __init__(self, obs: DataFrame, *, order_by: str | Sequence[str] | None = None, x: Any = None, layers: Mapping[str, Any] | None = None, features: Sequence[str] | None = None, var: DataFrame | None = None, var_name: str | None = None, var_order_by: str | Sequence[str] | None = None, raw: Any = None, raw_features: Sequence[str] | None = None, obsm: Mapping[str, Any] | None = None, varm: Mapping[str, str] | None = None, obsp: Mapping[str, DataFrame] | None = None, varp: Mapping[str, DataFrame] | None = None, uns: Mapping[str, Any] | None = None, obs_name: str | None = None, layout: str = "dense_array", nan: str = "null", validate: str = "eager"):
+    def __init__(self, obs: DataFrame, *, order_by: str | Sequence[str] | None = None, x: Any = None, layers: Mapping[str, Any] | None = None, features: Sequence[str] | None = None, var: DataFrame | None = None, var_name: str | None = None, var_order_by: str | Sequence[str] | None = None, raw: Any = None, raw_features: Sequence[str] | None = None, obsm: Mapping[str, Any] | None = None, varm: Mapping[str, str] | None = None, obsp: Mapping[str, DataFrame] | None = None, varp: Mapping[str, DataFrame] | None = None, uns: Mapping[str, Any] | None = None, obs_name: str | None = None, layout: str = "dense_array", nan: str = "null", validate: str = "eager", order_parts: int = 1):
         """``x``, ``layers``, ``raw``, ``obsm`` name columns of ``obs`` (with layout wide, lists of columns); ``varm`` of ``var``.
 
         Features are named by ``features``, or by ``var``'s column ``var_name`` in the order of ``var_order_by``, or f0, f1, ...
+
+        With ``order_parts`` over 1, row numbers and running aggregates of the ungrouped table run in that many ranges of
+        the first order key (a number, date or timestamp), at the cost of a job that finds the ranges.
         """
         obs = tidy.nan_to_null(obs) if nan == "null" else obs
         self.validate, self._pairs = validate, None
@@ -758,7 +761,7 @@ class AxisTable(Verbs):
         if missing := [c for c in order if c not in public]:
             raise UnknownColumnError(f"unknown columns: {', '.join(missing)}")
         # order keys are copies, so that a changed column doesn't change the order
-        self._obs = Axis(obs, public, [(c, False) for c in order], obs_name)
+        self._obs = Axis(obs, public, [(c, False) for c in order], obs_name, order_parts)
         self._var = None
         spark = obs.sparkSession
         if var is not None:

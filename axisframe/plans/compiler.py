@@ -40,8 +40,9 @@ def in_order(order: Sequence[tuple[str, bool]]) -> list[Column]:
 class Context:
     """Compiles expressions over ``df``; read ``df`` again when all are compiled."""
 
-    def __init__(self, df: DataFrame, resolve: Callable[[str], Column], keys: Sequence[str] = (), order: Sequence[tuple[str, bool]] = ()):
-        self.df, self.resolve, self.keys, self.order = df, resolve, list(keys), list(order)
+    def __init__(self, df: DataFrame, resolve: Callable[[str], Column], keys: Sequence[str] = (), order: Sequence[tuple[str, bool]] = (), parts: int = 1):
+        self.df, self.resolve, self.keys, self.order, self.parts = df, resolve, list(keys), list(order), parts
+        self._part: str | None = None
         self.in_rows = bool(self.keys)
         self._pending: list[Column] = []
         self._place: str | None = None
@@ -113,6 +114,41 @@ class Context:
             parts += [F.col(f"`{name}`").isNull().alias(f"m{k}"), c.alias(f"v{k}")]
         return F.struct(*parts)
 
+    # -- running aggregates of a whole table, in parts --
+    def part(self) -> str | None:
+        """A column that cuts the table into ranges of its first order key, growing along the order; None if it can't.
+
+        The bounds are approximate quantiles, found by one job, and are constants of the plan: a lost task finds the same.
+        """
+        if self._part is None and self.order and self.parts > 1:
+            name, down = self.order[0]
+            kind = self.df.schema[name].dataType
+            if not isinstance(kind, (NumericType, DateType, TimestampType)):
+                return None
+            c = F.col(f"`{name}`")
+            found = self.df.agg(F.percentile_approx(c, [k / self.parts for k in range(1, self.parts)], 10_000)).first()[0]
+            bounds = sorted({b for b in found or [] if b is not None})
+            at = F.lit(0)
+            for k, b in enumerate(bounds, 1):
+                at = at + (c > F.lit(b)).cast("int")
+            at = F.when(c.isNull(), len(bounds) + 1).otherwise(F.lit(len(bounds)) - at if down else at)
+            self.temp(at, "part")
+            self._part = self.made[-1]
+        return self._part
+
+    def _in_parts(self, e: Expr, args: list[Column]) -> Column:
+        """A running value within each part, with what the parts before it come to: one value for each part, found by a job."""
+        call, fold, combine = e.prefix
+        part, total = self._part, hidden("total")
+        local = self.temp(call(*args).over(Window.partitionBy(part).orderBy(*in_order(self.order)).rowsBetween(Window.unboundedPreceding, 0)))
+        totals = self.df.groupBy(part).agg(call(*args).alias(total))
+        earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+        sums = totals.select(part, fold(F.col(total)).over(earlier).alias(total))
+        kind, found = sums.schema[total].dataType, {r[0]: r[1] for r in sums.collect()}
+        before = F.get(F.array(*(F.lit(found.get(k)).cast(kind) for k in range(max(found, default=0) + 1))), F.col(part))
+        value = combine(local, before)
+        return F.when(args[0].isNotNull(), value) if args and call is not F.count else value
+
     # -- compiling --
     def _plain(self, e: Expr) -> Column:
         c = self.column(e)
@@ -132,6 +168,9 @@ class Context:
         if e.kind == "aggregate":
             over = Window.partitionBy(*self._groups())
             return e.make((lambda call: call.over(over)) if self.keys else self._whole, self, *args)
+        if e.kind == "ordered" and e.prefix and not self.keys and self.part():
+            self.flush()
+            return self._in_parts(e, args)
         return e.make(self, *args)
 
     def _within(self, keys: list[str], make):

@@ -215,6 +215,17 @@ def test_pushdown_and_no_single_partition_aggregate(spark, tmp_path):
     assert "Window" not in plan.split("== Physical Plan ==")[-1]
 
 
+def test_running_aggregates_in_parts(spark):
+    df = spark.createDataFrame([(i, (i * 37) % 101 / 3.0 if i % 9 else None, i % 4 == 0) for i in range(200)], "i long, v double, b boolean")
+    new = {"r": ax.row_number(), "s": ax.cum_sum("v"), "lo": ax.cum_min("v"), "hi": ax.cum_max("v"), "p": ax.cum_prod(1 + col("v") / 1e4), "c": col("v").cum_count(), "m": ax.cummean("v"), "a": ax.cumall(~col("b")), "x": ax.max(ax.cum_sum("v"))}
+    one, many = (AxisTable(df, order_by="i", order_parts=k).mutate(obs=new) for k in (1, 7))
+    for a, b in zip(one.obs_frame(ordered=True).collect(), many.obs_frame(ordered=True).collect()):
+        assert [pytest.approx(x) if isinstance(x, float) else x for x in a] == list(b)
+    back = AxisTable(df, order_by="i", order_parts=5).arrange(obs=ax.desc("v")).mutate(obs={"r": ax.row_number()})
+    assert values(back.obs_frame(ordered=True), "r") == list(range(1, 201))
+    assert values(AxisTable(df, order_by="i", order_parts=5).slice(0, -1, 7).obs_frame(ordered=True), "i") == [0, 199, 7]
+
+
 def test_written_and_read_back(spark, cells, tmp_path):
     cells.mutate(obs={"s2": col("score") * 2}).write_parquet(f"{tmp_path}/m")
     back = AxisTable.from_parquet(spark, f"{tmp_path}/m/obs", order_by="obs_name", x="matrix__x", features=["g0", "g1", "g2", "g3"])
