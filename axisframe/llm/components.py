@@ -12,22 +12,34 @@ from pyspark.sql import functions as F
 from . import shared
 
 
-def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, str]:
+#: Links up to which a graph is small: then all links of one node fit a task, and tables for splitting them are not worth a job.
+SMALL = 1_000_000
+
+
+def _star(edges: DataFrame, large: bool, small_graph: bool) -> tuple[DataFrame, list[str]]:
     """Hang neighbours on the smallest node of each neighbourhood: the larger ones (large) or the others (small).
 
-    The neighbourhoods' smallest nodes are written first: a join with a table can be broadcast or split by its size.
+    Unless the graph is small, the neighbourhoods' smallest nodes are written first: a join with a table can be
+    broadcast, or split at a node with very many links. Returns the links and what they read.
     """
     if large:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low, at = shared.written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "low")
+    low, paths = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), []
+    if not small_graph:
+        low, at = shared.written(low, "low")
+        paths.append(at)
     met = both.join(low, "u")
     if large:
         out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct(), at
+    return out.where("u <> v").distinct(), paths
+
+
+def _digest(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum((F.xxhash64("v", "u") % 1000003))).first())
 
 
 def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -37,17 +49,21 @@ def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
     shared paths that the result reads.
     """
     spark = edges.sparkSession
-    now, path = shared.written(edges.where("u <> v").select("u", "v").distinct(), "links")
-    seen = None
-    while True:
-        large, low_large = _star(now, True)
-        mid, mid_at = shared.written(large, "links")
-        small, low_small = _star(mid, False)
-        nxt, at = shared.written(small, "links")
-        said = nxt.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum((F.xxhash64("v", "u") % 1000003))).first()
-        shared.removed(spark, path, low_large, mid_at, low_small)
+    first = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    now, path = shared.written(first, "links")
+    seen = _digest(now)
+    while seen[0]:
+        small_graph = seen[0] <= SMALL
+        step, paths = _star(now, True, small_graph)
+        if not small_graph:
+            step, at = shared.written(step, "links")
+            paths.append(at)
+        step, more = _star(step, False, small_graph)
+        nxt, at = shared.written(step.coalesce(8) if small_graph else step, "links")
+        said = _digest(nxt)
+        shared.removed(spark, path, *paths, *more)
         now, path = nxt, at
-        if said == seen:
+        if said == seen:  # stars that no step changes
             break
         seen = said
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
