@@ -94,6 +94,10 @@ class Verbs:
     def _keys(self, axis: str) -> list[str]:
         return list(self._groups[1]) if self._groups and self._groups[0] == axis else []
 
+    def _chosen(self, axis: Any) -> str:
+        """The axis that is named, or else the grouped one, or observations."""
+        return axis_name(axis) if axis is not None else self._groups[0] if self._groups else OBS
+
     def _only_group_axis(self, axis: str) -> None:
         if self._groups and self._groups[0] != axis:
             raise IncompatibleAxisError(f"the table is grouped on {self._groups[0]}")
@@ -305,12 +309,12 @@ class Verbs:
             out = out._with_axis(axis, out._major(axis))
         return out
 
-    def distinct(self, *, obs: Any = None, var: Any = None, x: Any = None, axis: Any = OBS, keep_all: bool = True):
+    def distinct(self, *, obs: Any = None, var: Any = None, x: Any = None, axis: Any = None, keep_all: bool = True):
         """The first row of each tuple of the selected columns (of all metadata, if none is selected)."""
         given = [(k, v) for k, v in ((OBS, obs), (VAR, var), ("x", x)) if v is not None]
         if len(given) > 1:
             raise IncompatibleAxisError("distinct takes one source at a time")
-        source, request = given[0] if given else (axis_name(axis), S.everything())
+        source, request = given[0] if given else (self._chosen(axis), S.everything())
         axis = OBS if source == "x" else source
         self._only_group_axis(axis)
         a = self._major(axis)
@@ -333,9 +337,9 @@ class Verbs:
         place = ctx.column(E.row_number())
         return a.but(df=ctx.df.withColumn(at, place - 1).drop(*ctx.made))
 
-    def slice(self, *indices: Any, axis: Any = OBS):
+    def slice(self, *indices: Any, axis: Any = None):
         """Rows by position: ints, lists, slices or a boolean mask; order and repeats are kept, negatives count from the end."""
-        axis = axis_name(axis)
+        axis = self._chosen(axis)
         self._only_group_axis(axis)
         at, want = hidden("p"), hidden("o")
         a = self._numbered(axis, at)
@@ -357,7 +361,7 @@ class Verbs:
     def _ends(self, n: int, axis: Any, order: Callable[[Axis], list[Column]], forward: bool = True, extra: Callable[[Axis], Axis] = lambda a: a):
         if n < 0:
             raise SelectionError("n is at least 0")
-        axis = axis_name(axis)
+        axis = self._chosen(axis)
         self._only_group_axis(axis)
         a = extra(self._major(axis))
         if not a.order:
@@ -369,15 +373,15 @@ class Verbs:
             df = a.df.orderBy(*order(a)).limit(n)
         return self._with_axis(axis, a.but(df=df))
 
-    def slice_head(self, n: int = 5, *, axis: Any = OBS):
+    def slice_head(self, n: int = 5, *, axis: Any = None):
         return self._ends(n, axis, lambda a: in_order(a.order))
 
-    def slice_tail(self, n: int = 5, *, axis: Any = OBS):
+    def slice_tail(self, n: int = 5, *, axis: Any = None):
         backward = lambda a: [F.col(f"`{c}`").asc_nulls_first() if down else F.col(f"`{c}`").desc_nulls_first() for c, down in a.order]
         return self._ends(n, axis, backward)
 
     def _extreme(self, by: Any, n: int, axis: Any, largest: bool):
-        axis_ = axis_name(axis)
+        axis_ = self._chosen(axis)
 
         def keyed(a: Axis) -> Axis:
             ctx = a.context(self._keys(axis_))
@@ -391,16 +395,16 @@ class Verbs:
 
         return self._ends(n, axis, lambda a: in_order(a.order), extra=keyed)
 
-    def slice_min(self, by: Any, n: int = 5, *, axis: Any = OBS):
+    def slice_min(self, by: Any, n: int = 5, *, axis: Any = None):
         """The n rows that sort first; no ties beyond n, missing last."""
         return self._extreme(by, n, axis, False)
 
-    def slice_max(self, by: Any, n: int = 5, *, axis: Any = OBS):
+    def slice_max(self, by: Any, n: int = 5, *, axis: Any = None):
         return self._extreme(by, n, axis, True)
 
-    def slice_sample(self, n: int | None = None, *, prop: float | None = None, replace: bool = False, random_state: int | None = None, axis: Any = OBS):
+    def slice_sample(self, n: int | None = None, *, prop: float | None = None, replace: bool = False, random_state: int | None = None, axis: Any = None):
         """A seeded random sample, of each group if grouped; draws with ``replace`` repeat rows."""
-        axis = axis_name(axis)
+        axis = self._chosen(axis)
         self._only_group_axis(axis)
         if n is not None and prop is not None:
             raise SelectionError("slice_sample takes n or prop")

@@ -231,3 +231,50 @@ def test_written_and_read_back(spark, cells, tmp_path):
     back = AxisTable.from_parquet(spark, f"{tmp_path}/m/obs", order_by="obs_name", x="matrix__x", features=["g0", "g1", "g2", "g3"])
     assert values(back.filter(x=col("g0") >= 3).obs_frame(ordered=True), "s2") == [6.0, 5.0]
     assert F is not None
+
+
+def test_feature_axis_verbs(cells):
+    by_length = cells.arrange(var=ax.desc("length"))
+    assert [n for n, _ in by_length.features()] == ["g1", "g2", "g0", "g3"]
+    assert values(by_length.slice_head(2, axis="var").to_df(x=ax.everything(), ordered=True), "g1", "g2") == [(r[1], r[2]) for r in X]
+    assert [n for n, _ in cells.slice(3, 0, axis="var").features()] == ["g3", "g0"]
+    assert [n for n, _ in cells.slice_max("length", 1, axis=1).features()] == ["g1"]
+    assert [n for n, _ in cells.distinct(var="feature_type").features()] == ["g0", "g2"]
+    assert [n for n, _ in cells.filter(var_names=["g2", "g3"]).features()] == ["g2", "g3"]
+    assert values(cells.mutate(var={"kb": col("length") / 1000}, varm={"loadings": {"l0": col("0")}}).var_frame(ordered=True), "kb", "l0") == [(0.1, 0.5), (0.2, -0.1), (0.15, 0.3), (0.08, 1.2)]
+    assert values(cells.count("feature_type", axis="var"), "n") == [3, 1]
+    grouped = cells.group_by(var="feature_type").slice_max("length", 1)
+    assert [n for n, _ in grouped.features()] == ["g1", "g2"]
+    with pytest.raises(IncompatibleAxisError):
+        grouped.mutate(obs={"a": ax.lit(1)})
+    with pytest.raises(IncompatibleAxisError):
+        cells.group_by(obs="batch", var="chrom")
+    with pytest.raises(SelectionError):
+        cells.group_by(obs=col("score") + 1)
+    joined = cells.left_join({"chrom": ["chr1", "chr2"], "arm": ["p", "q"]}, by="chrom", axis="var")
+    assert values(joined.var_frame(ordered=True), "arm") == ["p", "q", "p", None]
+    assert [n for n, _ in cells.semi_join({"chrom": ["chr1"]}, axis="var").features()] == ["g0", "g2"]
+
+
+def test_grouped_columns(groups):
+    g = groups.group_by(obs="group")
+    assert g.select(obs="value").obs_frame().columns == ["group", "value"]
+    assert g.rename(obs={"k": "group"}).group_vars() == ["k"]
+    assert g.transmute(obs={"twice": col("value") * 2}).obs_frame().columns == ["group", "twice"]
+    assert g.relocate(obs="value").obs_frame().columns[0] == "value"
+    assert g.distinct(obs="value", keep_all=False).obs_frame().columns == ["group", "value"]
+    assert values(g.add_count().ungroup().obs_frame(ordered=True), "n") == [3, 2, 3, 1, 2, 3]
+    assert values(g.summarize(obs={"m": ax.mean("value")}), "m") == [pytest.approx(7 / 3), 3.0, 5.0]
+    assert g.pipe(lambda t, k: (type(t).__name__, k), 3) == ("GroupedAxisTable", 3)
+    assert groups.pipe((lambda a, table: table.tally().first()["n"] + a, "table"), 1) == 7
+    assert groups.group_by() is groups
+
+
+def test_names_in_expressions(cells):
+    assert names(cells.filter(obs=ax.obs_names == "c2")) == ["c2"]
+    nested = cells.nest_by("batch", obs="score").collect()
+    assert [(r["batch"], [x["score"] for x in r["data"]]) for r in nested] == [("A", [1.0, 2.0, 2.5]), ("B", [0.5, 3.0])]
+    whole = cells.summarize(obs={"n": ax.n()}, by={"high": col("score") > 1})
+    assert sorted(tuple(r) for r in whole.collect()) == [(False, 2), (True, 3)]
+    with pytest.raises(DuplicateNameError):
+        cells.summarize(obs={"n": ax.n()}, by={"batch": col("score") > 1})
