@@ -131,7 +131,8 @@ def _linked(percent: int):
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Of pairs (u, v) of classes, those whose full sets are similar enough."""
-    met = pairs.join(texts.withColumnsRenamed({"id": "u", "text": "a"}), "u").join(texts.withColumnsRenamed({"id": "v", "text": "b"}), "v")
+    # merge joins at every size: a hot pivot's pairs are split where they are many, and plans don't change with the input
+    met = pairs.hint("merge").join(texts.withColumnsRenamed({"id": "u", "text": "a"}), "u").hint("merge").join(texts.withColumnsRenamed({"id": "v", "text": "b"}), "v")
     return met.select("u", "v", "a", "b").mapInArrow(_linked(percent), "u long, v long")
 
 
