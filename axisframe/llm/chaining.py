@@ -3,16 +3,22 @@
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Seeds are the ``K``-word strings that are smallest by hash among
 some ``W`` neighbours (winnowing), so any ``K + W - 1`` equal words in a row share one, in every document.
 
-1. Batches ask which seeds lie in two documents or more; the rest are dropped.
-2. They ask for each shared seed's pivot: its first place in the document with the smallest id. A seed in a document
-   larger than its pivot's is a match of the two. So matches grow with the text, not with the square of a group.
+1. Batches ask which seeds lie in two documents or more; the rest are dropped. So are the ``LEAST``-word windows with a
+   seed that was dropped, which can't lie in two documents.
+2. They ask for each shared seed's pivot: its first place in the document with the smallest id, and for that of each
+   window left. A seed in a document larger than its pivot's is a match of the two. So matches grow with the text, not
+   with the square of a group. Pieces of a passage may have pivots of their own that hold no more of it; its windows'
+   pivots hold all of a window.
 3. Matches of a pair of documents that lie on one diagonal are joined to blocks, and blocks are chained: a chain's score
    is its words less ``GAP`` for each word skipped on either side, and the best chain to end in a block comes from a
    Fenwick tree of prefix maxima over places in the pivot's document.
 4. Each chain, with its words and some to either side, meets the pivot's text and is aligned: blocks are extended word by
    word, gaps between them are compared place by place, and the stretches of best score, with +1 for an equal and -4 for
    an unequal place, are the passages. Such a stretch is equal in more than 80 percent of its places. Those of at least
-   ``LEAST`` words are returned.
+   ``LEAST`` words are returned. Windows that match are joined on their diagonals, too; where no chain's passage holds
+   such an exact one, it is a passage of its own.
+
+So every word of ``LEAST`` equal words in a row that also lie in a smaller document is in some row.
 
 A row is a passage: doc_id, start and end (words) and where it lies in source_doc_id, a smaller document. Documents
 without one have no row. Nulls and empty texts have no words; rows with a null id take no part; rows that repeat an id
@@ -51,12 +57,15 @@ def grams(word: np.ndarray, k: int = K) -> np.ndarray:
     return text.mix(out)
 
 
-def seeds(word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, document and place in it of each winnowed seed; no seed or window of seeds crosses documents."""
+def seeds(word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, document and place in it of each winnowed seed; no seed or window of seeds crosses documents.
+
+    Also returns the place among ``word`` of the smallest of the W k-mers from each place.
+    """
     none = np.zeros(0, np.int64)
     h = grams(word)
     if not len(h):
-        return np.zeros(0, np.uint64), none, none
+        return np.zeros(0, np.uint64), none, none, none
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
     inside = doc[: len(h)] == doc[K - 1 : K - 1 + len(h)]
     h = np.where(inside, h, np.iinfo(np.uint64).max)
@@ -73,7 +82,21 @@ def seeds(word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     chosen = np.zeros(len(long), bool)
     chosen[place[low < np.iinfo(np.uint64).max]] = True
     pick = np.flatnonzero(chosen[W - 1 : W - 1 + len(h)] & inside)
-    return h[pick], doc[pick], pick - at[doc[pick]]
+    return h[pick], doc[pick], pick - at[doc[pick]], place[W - 1 : len(h)] - (W - 1)
+
+
+def windows(word: np.ndarray, at: np.ndarray, smallest: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, document and place in it of each window of LEAST words in one document, all of whose seeds are ``ok``."""
+    n = len(word) - LEAST + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    bad = np.concatenate([[0], np.cumsum(~ok[smallest])])
+    pick = np.flatnonzero((bad[LEAST - K - W + 2 :] == bad[:n]) & (doc[:n] == doc[LEAST - 1 :]))
+    sums = np.zeros(len(word) + 1, np.uint64)
+    np.cumsum(word * text.powers(text._BASE, len(word)), dtype=np.uint64, out=sums[1:])
+    key = text.mix((sums[pick + LEAST] - sums[pick]) * text.powers(text._INVERSE, len(word))[pick] ^ _U(0x632BE59BD9B4E019))
+    return key, doc[pick], pick - at[doc[pick]]
 
 
 def _of_batch(data, offsets):
@@ -87,33 +110,52 @@ def _which(ids, data, offsets, n):
 
 
 def _shared(ids, data, offsets, n, bits):
-    """The batch's seeds that lie in two documents, and of each distinct one the bucket, key and first place."""
-    key, doc, place, word, starts, ends, at = _of_batch(data, offsets)
+    """The batch's seeds that lie in two documents, then its windows of such seeds; the first of each distinct one, by bucket and place."""
+    key, doc, place, smallest, word, starts, ends, at = _of_batch(data, offsets)
     found, back = exchange.split_keys(key, n)
     keep = exchange.shared_keys(found, back, doc, bits)[back]
     key, doc, place = key[keep], doc[keep], place[keep]
+    ok = np.zeros(len(word), bool)
+    ok[at[doc] + place] = True
+    n_seeds = len(key)
+    key, doc, place = (np.concatenate(x) for x in zip((key, doc, place), windows(word, at, smallest, ok), strict=True))
     bucket = ((key >> _U(32)) % _U(n)).astype(np.int64)
     order = np.lexsort((place, ids[doc], key, bucket))
     fresh = np.ones(len(order), bool)
     fresh[1:] = key[order][1:] != key[order][:-1]
     which = np.empty(len(order), np.int64)
     which[order] = np.cumsum(fresh) - 1
-    return key, doc, place, bucket, which, order[fresh], (word, starts, ends, at)
+    first = order[fresh]
+    by_place = np.lexsort((place[first], doc[first], bucket[first]))
+    rank = np.empty(len(first), np.int64)
+    rank[by_place] = np.arange(len(first))
+    return key, doc, place, bucket, rank[which], first[by_place], n_seeds, (word, starts, ends, at)
 
 
 def _cuts(bucket: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
 
 
+def _packed(*columns: np.ndarray) -> bytes:
+    """Integers of slow change: differences, byte by byte."""
+    return exchange.squeeze(b"".join(np.diff(x, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for x in columns))
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    """The n columns of ``_packed``."""
+    planes = np.frombuffer(exchange.expand(raw), np.uint8).reshape(n, 8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<i8")[..., 0], axis=1)
+
+
 def _places(n):
     def act(batch, ids, data, offsets, got):
-        key, doc, place, bucket, _, first, _ = _shared(ids, data, offsets, n, got.get(1, {}))
+        key, doc, place, bucket, _, first, *_ = _shared(ids, data, offsets, n, got.get(1, {}))
         out = []
         at = _cuts(bucket[first])
         for a, b in zip(at[:-1], at[1:], strict=True):
             p = first[a:b]
-            blob = np.array([len(p)], "<i8").tobytes() + key[p].astype("<u8").tobytes() + ids[doc[p]].astype("<i8").tobytes() + place[p].astype("<i8").tobytes()
-            out.append((int(bucket[p[0]]), exchange.squeeze(blob)))
+            blob = np.array([len(p)], "<i8").tobytes() + key[p].astype("<u8").tobytes() + _packed(ids[doc[p]], place[p])
+            out.append((int(bucket[p[0]]), blob))
         yield pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "batch": pa.array([batch] * len(out), pa.int64()), "blob": pa.array([x for _, x in out], pa.binary())})
 
     return act
@@ -121,13 +163,13 @@ def _places(n):
 
 def _pivots(blobs: list[bytes]) -> list[bytes | None]:
     sizes, keys, docs, places = [], [], [], []
-    for blob in blobs:
-        raw = exchange.expand(blob)
+    for raw in blobs:
         m = int(np.frombuffer(raw, "<i8", 1)[0])
         sizes.append(m)
         keys.append(np.frombuffer(raw, "<u8", m, 8))
-        docs.append(np.frombuffer(raw, "<i8", m, 8 + 8 * m))
-        places.append(np.frombuffer(raw, "<i8", m, 8 + 16 * m))
+        whose, where = _unpacked(raw[8 + 8 * m :], 2)
+        docs.append(whose)
+        places.append(where)
     key, doc, place = (np.concatenate(x) for x in (keys, docs, places))
     order = np.lexsort((place, doc, key))
     fresh = np.ones(len(order), bool)
@@ -135,10 +177,10 @@ def _pivots(blobs: list[bytes]) -> list[bytes | None]:
     first = order[fresh]
     group = np.empty(len(order), np.int64)
     group[order] = np.cumsum(fresh) - 1
-    doc, place = doc[first][group], place[first][group]
+    doc, shift = doc[first][group], place[first][group] - place
     out, at = [], 0
     for m in sizes:
-        out.append(exchange.squeeze(doc[at : at + m].astype("<i8").tobytes() + place[at : at + m].astype("<i8").tobytes()))
+        out.append(_packed(doc[at : at + m], shift[at : at + m]))
         at += m
     return out
 
@@ -218,38 +260,76 @@ def chains(a: np.ndarray, b: np.ndarray, size: np.ndarray, gap: float = GAP, lea
     return out
 
 
-CHAIN = "doc_id long, source_doc_id long, start long, source_start long, source_end long, words binary, anchors binary"
+def exact(doc: np.ndarray, pivot: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Matches of windows joined on their diagonals: rows (document, pivot, start in both, words), as few as cover what all do."""
+    order = np.lexsort((a, a - b, pivot, doc))
+    doc, pivot, a, b = (x[order] for x in (doc, pivot, a, b))
+    fresh = np.ones(len(a), bool)
+    fresh[1:] = (np.diff(doc) != 0) | (np.diff(pivot) != 0) | (np.diff(a - b) != 0) | (np.diff(a) > LEAST)
+    at = np.flatnonzero(fresh)
+    last = np.append(at[1:], len(a)) - 1
+    found = np.stack([doc[at], pivot[at], a[at], b[at], a[last] - a[at] + LEAST], axis=1) if len(a) else np.zeros((0, 5), np.int64)
+    out: list = []
+    for row in found[np.lexsort((-found[:, 4], found[:, 2], found[:, 0]))].tolist():
+        d, _, start, _, n = row
+        if out and out[-1][0] == d:
+            if start + n <= out[-1][2] + out[-1][4]:
+                continue
+            if len(out) > 1 and out[-2][0] == d and start <= out[-2][2] + out[-2][4]:
+                out.pop()
+        out.append(row)
+    return np.array(out, np.int64).reshape(-1, 5)
+
+
+CHAIN = "doc_id long, source_doc_id long, start long, source_start long, source_end long, words binary, anchors binary, equal binary"
 
 
 def _chained(n):
     def act(batch, ids, data, offsets, got):
-        key, doc, place, bucket, which, first, (word, _, _, at) = _shared(ids, data, offsets, n, got.get(1, {}))
+        key, doc, place, bucket, which, first, n_seeds, (word, _, _, at) = _shared(ids, data, offsets, n, got.get(1, {}))
         answers = got.get(2, {})
         pivot, where = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
         cuts = _cuts(bucket[first])
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            got_places = np.frombuffer(exchange.expand(answers[int(bucket[first[a]])]), "<i8")
-            pivot[a:b], where[a:b] = got_places[: b - a], got_places[b - a :]
+            pivot[a:b], where[a:b] = _unpacked(answers[int(bucket[first[a]])], 2)
+        where += place[first]
         pivot, where = pivot[which], where[which]
         later = np.flatnonzero(pivot < ids[doc]) if len(which) else np.zeros(0, np.int64)
+        whole = later[later >= n_seeds]
+        whole = exact(doc[whole], pivot[whole], place[whole], where[whole])
+        by_pair: dict = {}
+        for row in whole.tolist():
+            by_pair.setdefault((row[0], row[1]), []).append(row[2:])
+        later = later[later < n_seeds]
         order = later[np.lexsort((pivot[later], doc[later]))]
         out = []
+
+        def put(d: int, source: int, anchors: np.ndarray) -> None:
+            ends = anchors[-1] + anchors[-1][2] + K - 1
+            start, stop = max(0, int(anchors[0][0]) - MARGIN), min(int(at[d + 1] - at[d]), int(ends[0]) + MARGIN)
+            src_start, src_stop = max(0, int(anchors[0][1]) - MARGIN), int(ends[1]) + MARGIN
+            held, rest = [], []
+            for x, y, m in by_pair.get((d, source), ()):
+                (held if start <= x and x + m <= stop and src_start <= y and y + m <= src_stop else rest).append((x, y, m))
+            if held:
+                by_pair[d, source] = rest
+            words = word[at[d] + start : at[d] + stop]
+            out.append((int(ids[d]), source, start, src_start, src_stop, words.astype("<u8").tobytes(), anchors.astype("<i4").tobytes(), np.array(held, "<i4").tobytes()))
+
         pair = np.flatnonzero(np.diff(doc[order]) | np.diff(pivot[order])) + 1 if len(order) else []
         for part in np.split(order, pair) if len(order) else []:
-            d = doc[part[0]]
             a0, b0, size, _ = blocks(place[part], where[part])
             if int((size + K - 1).sum()) < SCORE:
                 continue
             for chain in chains(a0, b0, size):
-                lo, hi = int(a0[chain[0]]), int(a0[chain[-1]] + size[chain[-1]] + K - 1)
-                start, stop = max(0, lo - MARGIN), min(int(at[d + 1] - at[d]), hi + MARGIN)
-                src_lo, src_hi = int(b0[chain[0]]), int(b0[chain[-1]] + size[chain[-1]] + K - 1)
-                anchors = np.stack([a0[chain], b0[chain], size[chain]], axis=1).astype("<i4")
-                words = word[at[d] + start : at[d] + stop]
-                out.append((int(ids[d]), int(pivot[part[0]]), start, max(0, src_lo - MARGIN), src_hi + MARGIN, words.astype("<u8").tobytes(), anchors.tobytes()))
-        columns = list(zip(*out, strict=True)) or [()] * 7
-        kinds = [pa.int64()] * 5 + [pa.binary()] * 2
-        names = ["doc_id", "source_doc_id", "start", "source_start", "source_end", "words", "anchors"]
+                put(int(doc[part[0]]), int(pivot[part[0]]), np.stack([a0[chain], b0[chain], size[chain]], axis=1))
+        for (d, source), rows in by_pair.items():
+            while by_pair[d, source]:
+                x, y, m = by_pair[d, source][0]
+                put(d, source, np.array([[x, y, m - K + 1]]))
+        columns = list(zip(*out, strict=True)) or [()] * 8
+        kinds = [pa.int64()] * 5 + [pa.binary()] * 3
+        names = [x.split()[0] for x in CHAIN.split(", ")]
         yield pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     return act
@@ -289,6 +369,14 @@ def align(a: np.ndarray, b: np.ndarray, anchors: np.ndarray) -> list[tuple[int,
     return out
 
 
+def with_exact(out: list[tuple[int, int, int, int, int, int]], a: np.ndarray, b: np.ndarray, runs: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
+    """The passages of a chain with those equal runs (start in both, words) that lie in none of them."""
+    for x, y, n in runs.tolist():
+        if not any(o[0] <= x and x + n <= o[1] for o in out) and np.array_equal(a[x : x + n], b[y : y + n]):
+            out = [o for o in out if not (x <= o[0] and o[1] <= x + n)] + [(x, x + n, y, y + n, n, n)]
+    return out
+
+
 def _stretches(ca: np.ndarray, cb: np.ndarray, eq: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
     """The best-scoring stretches of aligned places that have LEAST words or more, none overlapping another."""
     out, todo = [], [(0, len(eq))]
@@ -324,17 +412,19 @@ PASSAGE = "doc_id long, start long, end long, source_doc_id long, source_start l
 def _aligned(batches):
     names = [x.split()[0] for x in PASSAGE.split(", ")]
     for batch in batches:
-        data, offsets = text.buffers(batch.column(7))
+        data, offsets = text.buffers(batch.column(8))
         for lo, hi in text.slices(offsets):
             word, _, _, at = hashed_words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            doc, source, start, s_start, s_end, words, anchors = (batch.column(k).slice(lo, hi - lo).to_pylist() for k in range(7))
+            doc, source, start, s_start, s_end, words, anchors, equal_runs = (batch.column(k).slice(lo, hi - lo).to_pylist() for k in range(8))
             out = []
             for r in range(hi - lo):
                 b = word[at[r] : at[r + 1]][s_start[r] : s_end[r]]
                 spots = np.frombuffer(anchors[r], "<i4").reshape(-1, 3).astype(np.int64) - np.array([start[r], s_start[r], 0])
                 if spots[-1][1] + spots[-1][2] + K - 1 > len(b):
                     continue  # another row of the same id
-                for x, y, p, q, equal, places in align(np.frombuffer(words[r], "<u8"), b, spots):
+                a = np.frombuffer(words[r], "<u8")
+                runs = np.frombuffer(equal_runs[r], "<i4").reshape(-1, 3).astype(np.int64) - np.array([start[r], s_start[r], 0])
+                for x, y, p, q, equal, places in with_exact(align(a, b, spots), a, b, runs):
                     out.append((doc[r], start[r] + x, start[r] + y, source[r], s_start[r] + p, s_start[r] + q, equal, places))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
@@ -343,11 +433,12 @@ def _aligned(batches):
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Passages of documents that, exactly or nearly, also lie in a document with a smaller id (PASSAGE)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    staged, _, n = exchange.stage(rows)
-    first, _ = shared.written(exchange.answer(exchange.ask(staged, n, _which), 1, exchange.in_two_batches), "answers")
+    staged, staged_at, n = exchange.stage(rows)
+    first, first_at = shared.written(exchange.answer(exchange.ask(staged, n, _which), 1, exchange.in_two_batches), "answers")
     asked = exchange.meet(staged, first, _places(n), "bucket int, batch long, blob binary")
-    second, _ = shared.written(exchange.answer(asked, 2, _pivots), "answers")
+    second, second_at = shared.written(exchange.answer(asked, 2, _pivots), "answers")
     found, _ = shared.written(exchange.meet(staged, first.union(second), _chained(n), CHAIN), "chains")
+    shared.removed(docs.sparkSession, staged_at, first_at, second_at)
     met = found.join(rows.withColumnRenamed("id", "source_doc_id"), "source_doc_id")
     names = [x.split()[0] for x in CHAIN.split(", ")]
     return met.select(*names, "text").mapInArrow(_aligned, PASSAGE).distinct()

@@ -388,6 +388,39 @@ def test_repeated_passages(make, corpus, monkeypatch):
     assert chaining.repeated_passages(make(rows).where("false")).count() == 0
 
 
+def brute_windows(rows, least=chaining.LEAST):
+    """Of each document, the places of words in a window of ``least`` words that also lies in a smaller document."""
+    first, out = {}, collections.defaultdict(set)
+    words = [(i, re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))) for i, t in rows if i is not None]
+    for i, w in sorted(words):
+        for j in range(len(w) - least + 1):
+            key = tuple(w[j : j + least])
+            if first.setdefault(key, i) < i:
+                out[i].update(range(j, j + least))
+    return out
+
+
+def test_exact_passages_of_frequent_lines(spark, make, corpus, monkeypatch):
+    """Passages whose pieces lie apart in smaller documents still meet a document that holds all of them."""
+    monkeypatch.setattr(exchange, "BUCKET_BYTES", 20_000)
+    r = random.Random(8)
+    left, right = prose(30, 61), prose(30, 62)
+    rows = [(1, f"{prose(40, 63)} {left} {prose(40, 64)}"), (2, f"{prose(40, 65)} {right} {prose(40, 66)}")]
+    rows += [(k, f"{prose(20 + k, 70 + k)} {left} {right} {prose(30, 90 + k)}") for k in (10, 20)]
+    lines = [prose(r.randint(4, 30), 100 + k) for k in range(30)]
+    rows += [(1000 + k, " ".join(r.choice(lines) for _ in range(r.randint(2, 12)))) for k in range(250)]
+    rows += [(2000 + k, f"{prose(7, 300 + k)} {prose(m, 400)} {prose(9, 500 + k)}") for k, m in enumerate((44, 45, 45, 46, 44))]
+    rows += [(i, t) for i, t in corpus if i != 7]
+    got = collections.defaultdict(set)
+    texts = {i: (t or "").lower().split() for i, t in rows}
+    for p in chaining.repeated_passages(make(rows).repartition(3)).collect():
+        assert p["source_doc_id"] < p["doc_id"] and p["end"] <= len(texts[p["doc_id"]]) and p["source_end"] <= len(texts[p["source_doc_id"]])
+        got[p["doc_id"]].update(range(p["start"], p["end"]))
+    want = brute_windows(rows)
+    assert set(range(40, 100)) <= got[20] and len(want) > 100
+    assert all(places <= got[i] for i, places in want.items()), [i for i, places in want.items() if not places <= got[i]]
+
+
 def test_without_passages(make):
     passage = prose(60, 42)
     rows = [(1, prose(50, 1) + " " + passage), (2, passage + "\n" + prose(50, 2)), (3, passage), (4, prose(50, 4)), (None, passage), (5, None)]
