@@ -1,7 +1,7 @@
 """Near-duplicate documents by SuperMinHash signatures, banding, verification and union-find grouping.
 
-A document's set is its distinct 2-word shingles over words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a document with
-one word has that word as its only element; one without words has the empty set and is linked with nothing. Two documents
+A document's set is its distinct shingles of ``length`` words (2) over words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a
+shorter document has all its words as its only element; one without words has the empty set and is linked with nothing. Two documents
 are linked if 100 * |A & B| >= 80 * |A | B| (``similarity``), and a component is what links reach.
 
 SuperMinHash gives every element its own random permutation of the m components and a rank for each: component k of the
@@ -40,7 +40,7 @@ _U = np.uint64
 _FRACTION = _U(0xFFFFFFFF)
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingles(data: np.ndarray, offsets: np.ndarray, length: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct shingles of each document, sorted within it, and the offsets of each document's."""
     n_docs = len(offsets) - 1
     low = text.LOWER[data]
@@ -49,11 +49,18 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         return np.zeros(0, np.uint64), np.zeros(n_docs + 1, np.int64)
     word = text.Rolling(low).of(starts, ends)
     at = text.spans_of(doc, n_docs)
-    pair = text.mix(word[:-1] * _U(0xA24BAED4963EE407) ^ text.mix(word[1:]))
-    same = doc[:-1] == doc[1:]
-    alone = np.flatnonzero(np.diff(at) == 1)
-    owner = np.concatenate([doc[:-1][same], alone])
-    value = np.concatenate([pair[same], text.mix(word[at[alone]] + _U(1))])
+
+    def joined(first: np.ndarray, n: int) -> np.ndarray:
+        out = word[first]
+        for i in range(1, n):
+            out = text.mix(out * _U(0xA24BAED4963EE407) ^ text.mix(word[first + i]))
+        return out
+
+    n = max(0, len(word) - length + 1)
+    same = np.flatnonzero(doc[:n] == doc[len(doc) - n :])
+    short = [np.flatnonzero(np.diff(at) == k) for k in range(1, length)]
+    owner = np.concatenate([doc[same], *short])
+    value = np.concatenate([joined(same, length), *(text.mix(joined(at[d], k) + _U(k)) for k, d in enumerate(short, 1))])
     order = np.lexsort((value, owner))
     owner, value = owner[order], value[order]
     fresh = np.ones(len(owner), bool)
@@ -98,27 +105,30 @@ def band_keys(sketch: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nd
 _SKETCHED = "id long, n_shingles long, d1 long, d2 long, bands array<long>"
 
 
-def _sketch(batches):
-    for rows, data, offsets in text.documents(batches, 1):
-        values, at = shingles(data, offsets)
-        sizes = np.diff(at)
-        sums = [np.zeros(len(values) + 1, np.uint64) for _ in range(2)]
-        for total, salt in zip(sums, (_U(0x8CB92BA72F3D8DD7), _U(0xD6E8FEB86659FD93)), strict=True):
-            np.cumsum(text.mix(values ^ salt), dtype=np.uint64, out=total[1:])
-        d1, d2 = ((s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums)
-        keys = [band_keys(signature(values[a:b])) if b > a else None for a, b in zip(at[:-1], at[1:], strict=True)]
-        flat = np.concatenate([k for k in keys if k is not None] or [np.zeros(0, np.int64)])
-        ends = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "n_shingles", "d1", "d2", "bands"])
+def _sketch(length: int):
+    def sketch(batches):
+        for rows, data, offsets in text.documents(batches, 1):
+            values, at = shingles(data, offsets, length)
+            sizes = np.diff(at)
+            sums = [np.zeros(len(values) + 1, np.uint64) for _ in range(2)]
+            for total, salt in zip(sums, (_U(0x8CB92BA72F3D8DD7), _U(0xD6E8FEB86659FD93)), strict=True):
+                np.cumsum(text.mix(values ^ salt), dtype=np.uint64, out=total[1:])
+            d1, d2 = ((s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums)
+            keys = [band_keys(signature(values[a:b])) if b > a else None for a, b in zip(at[:-1], at[1:], strict=True)]
+            flat = np.concatenate([k for k in keys if k is not None] or [np.zeros(0, np.int64)])
+            ends = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "n_shingles", "d1", "d2", "bands"])
+
+    return sketch
 
 
-def _linked(percent: int):
+def _linked(percent: int, length: int):
     def verify(batches):
         for batch in batches:
             sizes = sum(np.diff(text.buffers(batch.column(k))[1]) for k in (2, 3))
             for lo, hi in text.slices(np.concatenate([[0], np.cumsum(sizes)])):
                 part = batch.slice(lo, hi - lo)
-                sides = [shingles(*text.buffers(part.column(k))) for k in (2, 3)]
+                sides = [shingles(*text.buffers(part.column(k)), length) for k in (2, 3)]
                 keep = np.zeros(hi - lo, bool)
                 for i in range(hi - lo):
                     a, b = (v[at[i] : at[i + 1]] for v, at in sides)
@@ -129,18 +139,18 @@ def _linked(percent: int):
     return verify
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int, length: int) -> DataFrame:
     """Of pairs (u, v) of classes, those whose full sets are similar enough."""
     # merge joins at every size: a hot pivot's pairs are split where they are many, and plans don't change with the input
     met = pairs.hint("merge").join(texts.withColumnsRenamed({"id": "u", "text": "a"}), "u").hint("merge").join(texts.withColumnsRenamed({"id": "v", "text": "b"}), "v")
-    return met.select("u", "v", "a", "b").mapInArrow(_linked(percent), "u long, v long")
+    return met.select("u", "v", "a", "b").mapInArrow(_linked(percent, length), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = 80, length: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``; see the module's docstring."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketch, _ = shared.written(source.mapInArrow(_sketch, _SKETCHED), "sketch")
+    sketch, _ = shared.written(source.mapInArrow(_sketch(length), _SKETCHED), "sketch")
     full = sketch.where("n_shingles > 0 and id is not null")
     # aggregates are written before they are joined: Spark then knows their sizes and can split a hot key of the other side
     classes, classes_at = shared.written(full.groupBy("d1", "d2").agg(F.min("id").alias("rep")), "classes")
@@ -155,9 +165,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs, pairs_at = shared.written(first, "pairs")
     ids = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
     texts, texts_at = shared.written(_texts(source, ids), "texts")
-    links, links_at = shared.written(_verified(pairs, texts, similarity), "verified")
+    links, links_at = shared.written(_verified(pairs, texts, similarity, length), "verified")
     comps, comps_at = components(links)
-    more, more_at = _across(source, reps.select("rep"), met, comps, similarity)
+    more, more_at = _across(source, reps.select("rep"), met, comps, similarity, length)
     if more is not None:
         old = comps_at
         comps, comps_at = components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
@@ -175,7 +185,7 @@ def _texts(source: DataFrame, ids: DataFrame) -> DataFrame:
     return source.where("id is not null").join(ids.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
 
 
-def _across(source: DataFrame, reps: DataFrame, met: DataFrame, comps: DataFrame, percent: int):
+def _across(source: DataFrame, reps: DataFrame, met: DataFrame, comps: DataFrame, percent: int, length: int):
     """Links between components that share a band key, as a written table and its path, or None twice if there is none.
 
     Components that share keys form a cluster. All of a cluster's classes outside its largest component are held against
@@ -201,7 +211,7 @@ def _across(source: DataFrame, reps: DataFrame, met: DataFrame, comps: DataFrame
     rows = members.join(sizes, "cluster").join(texts.withColumnRenamed("id", "rep"), "rep")
     every = rows.select("cluster", F.expr("cast(pmod(xxhash64(rep), nb) as int)").alias("block"), F.explode(F.expr("sequence(0, nc - 1)")).alias("chunk"), F.lit(False).alias("open"), "rep", "c", "text")
     loose = rows.where("c <> top").select("cluster", F.explode(F.expr("sequence(0, nb - 1)")).alias("block"), F.expr("cast(pmod(xxhash64(rep, 1), nc) as int)").alias("chunk"), F.lit(True).alias("open"), "rep", "c", "text")
-    links = every.union(loose).groupBy("cluster", "block", "chunk").applyInArrow(_block_links(percent), "u long, v long")
+    links = every.union(loose).groupBy("cluster", "block", "chunk").applyInArrow(_block_links(percent, length), "u long, v long")
     out, out_at = shared.written(links, "verified")
     shared.removed(spark, at, *clusters_at, members_at, sizes_at)
     if out.isEmpty():
@@ -210,11 +220,11 @@ def _across(source: DataFrame, reps: DataFrame, met: DataFrame, comps: DataFrame
     return out, out_at
 
 
-def _block_links(percent: int):
+def _block_links(percent: int, length: int):
     def sets(rows: pa.Table):
         values, ends = [], [0]
         for lo, hi in text.slices(text.buffers(rows["text"])[1]):
-            got, at = shingles(*text.buffers(rows["text"].slice(lo, hi - lo)))
+            got, at = shingles(*text.buffers(rows["text"].slice(lo, hi - lo)), length)
             values.append(got)
             ends.extend(ends[-1] + at[1:])
         return np.concatenate(values or [np.zeros(0, np.uint64)]), np.array(ends)

@@ -26,8 +26,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each component of near-duplicates (op 1)."""
-    found = superminhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    """Keep the document with the smallest doc_id of each component of near-duplicates (op 1, but of 5-word shingles)."""
+    found = superminhash.near_duplicates(docs, length=5).where("kept and doc_id is not null").select("doc_id").distinct()
     kept = docs.where("doc_id is not null").join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.select(*docs.columns).union(docs.where("doc_id is null"))
 

@@ -141,6 +141,35 @@ def test_near_duplicates(make, corpus):
             assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), find(r["doc_id"]), find(r["doc_id"]) == r["doc_id"])
 
 
+def test_near_duplicates_by_five_words(spark, make, corpus):
+    """A pair that 2-word shingles link and 5-word shingles don't stays in the pipeline; sets of five words against brute force."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    words = [f"w{k}" for k in range(100)]
+    between = " ".join(f"{w}x" if k % 20 == 10 else w for k, w in enumerate(words))
+    rows = [(3000, " ".join(words)), (3001, between), (3002, " ".join([*words[:98], "y", "z"])), (3003, "a b c"), (3004, "a B c"), (3005, "a b c d"), (3006, "b c d e f"), (3007, "a")]
+    docs = make(rows)
+    two = {r["doc_id"]: r["component_id"] for r in superminhash.near_duplicates(docs).collect()}
+    assert two[3001] == two[3002] == 3000
+    ids = {r["doc_id"] for r in pipeline.one_of_each_group(spark, docs, "").collect()}
+    assert ids == {3000, 3001, 3003, 3005, 3006, 3007}
+    rows += [r for r in corpus if r[0] is not None and r[0] != 7]
+
+    def five(t):
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+        return {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {i: five(t) for i, t in rows}
+    low = {i: i for i in sets}
+    for _ in sets:
+        before = dict(low)
+        for i in sets:
+            low[i] = min(low[j] for j in sets if i == j or (sets[i] & sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])))
+        if low == before:
+            break
+    got = superminhash.near_duplicates(make(rows), length=5).collect()
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == {(i, len(sets[i]), low[i]) for i in sets}
+
+
 def test_chain_of_links_across_blocks(make):
     """Neighbours are linked, far ones aren't: the component must still be one."""
     words = prose(400, 77).split(" ")
