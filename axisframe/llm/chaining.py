@@ -1,7 +1,7 @@
 """Fuzzy repeated passages by collinear chaining of shared k-mer seeds.
 
-Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Seeds are the ``K``-word strings that are smallest by hash among
-some ``W`` neighbours (winnowing), so any ``K + W - 1`` equal words in a row share one, in every document.
+Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Seeds are all ``K``-word strings: a passage that
+is equal in more than 80 percent of its places has ``K`` equal words in a row, but for few.
 
 1. Batches ask which seeds lie in two documents or more; the rest are dropped. So are the ``LEAST``-word windows with a
    seed that was dropped, which can't lie in two documents.
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from . import exchange, shared, text
 
-K, W, GAP = 5, 6, 0.25
-LEAST, SCORE, MARGIN = 45, 12.0, 96
+K, JOIN, GAP = 5, 11, 0.25
+LEAST, SCORE, MARGIN = 45, 8.0, 96
 WRONG = 4
 _U = np.uint64
 
@@ -57,42 +57,22 @@ def grams(word: np.ndarray, k: int = K) -> np.ndarray:
     return text.mix(out)
 
 
-def seeds(word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, document and place in it of each winnowed seed; no seed or window of seeds crosses documents.
-
-    Also returns the place among ``word`` of the smallest of the W k-mers from each place.
-    """
-    none = np.zeros(0, np.int64)
+def seeds(word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, document and place in it of each seed; none crosses documents."""
     h = grams(word)
-    if not len(h):
-        return np.zeros(0, np.uint64), none, none, none
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    inside = doc[: len(h)] == doc[K - 1 : K - 1 + len(h)]
-    h = np.where(inside, h, np.iinfo(np.uint64).max)
-    # chosen if smallest of some W neighbours; windows are cut at a document's ends, so short documents have seeds too
-    pad = np.full(W - 1, np.iinfo(np.uint64).max, np.uint64)
-    long = np.concatenate([pad, h, pad])
-    low, place, width = long, np.arange(len(long)), 1
-    while width < W:
-        step = min(width, W - width)
-        first = low[:-step] <= low[step:]
-        place = np.where(first, place[:-step], place[step:])
-        low = np.where(first, low[:-step], low[step:])
-        width += step
-    chosen = np.zeros(len(long), bool)
-    chosen[place[low < np.iinfo(np.uint64).max]] = True
-    pick = np.flatnonzero(chosen[W - 1 : W - 1 + len(h)] & inside)
-    return h[pick], doc[pick], pick - at[doc[pick]], place[W - 1 : len(h)] - (W - 1)
-
-
-def windows(word: np.ndarray, at: np.ndarray, smallest: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    pick = np.flatnonzero(doc[: len(h)] == doc[len(doc) - len(h) :])
+    return h[pick], doc[pick], pick - at[doc[pick]]
+
+
+def windows(word: np.ndarray, at: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, document and place in it of each window of LEAST words in one document, all of whose seeds are ``ok``."""
     n = len(word) - LEAST + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    bad = np.concatenate([[0], np.cumsum(~ok[smallest])])
-    pick = np.flatnonzero((bad[LEAST - K - W + 2 :] == bad[:n]) & (doc[:n] == doc[LEAST - 1 :]))
+    bad = np.concatenate([[0], np.cumsum(~ok[: len(word) - K + 1])])
+    pick = np.flatnonzero((bad[LEAST - K + 1 :] == bad[:n]) & (doc[:n] == doc[LEAST - 1 :]))
     sums = np.zeros(len(word) + 1, np.uint64)
     np.cumsum(word * text.powers(text._BASE, len(word)), dtype=np.uint64, out=sums[1:])
     key = text.mix((sums[pick + LEAST] - sums[pick]) * text.powers(text._INVERSE, len(word))[pick] ^ _U(0x632BE59BD9B4E019))
@@ -106,19 +86,24 @@ def _of_batch(data, offsets):
 
 def _which(ids, data, offsets, n):
     key, *_ = _of_batch(data, offsets)
-    yield from exchange.low_halves(exchange.split_keys(key, n)[0])
+    for bucket, raw in exchange.low_halves(exchange.split_keys(key, n)[0]):
+        yield bucket, _packed(np.frombuffer(raw, "<u4").astype(np.int64))
+
+
+def _in_two_batches(blobs: list[bytes]) -> list[bytes | None]:
+    return exchange.in_two_batches([_unpacked(x, 1)[0].astype("<u4").tobytes() for x in blobs])
 
 
 def _shared(ids, data, offsets, n, bits):
     """The batch's seeds that lie in two documents, then its windows of such seeds; the first of each distinct one, by bucket and place."""
-    key, doc, place, smallest, word, starts, ends, at = _of_batch(data, offsets)
+    key, doc, place, word, starts, ends, at = _of_batch(data, offsets)
     found, back = exchange.split_keys(key, n)
     keep = exchange.shared_keys(found, back, doc, bits)[back]
     key, doc, place = key[keep], doc[keep], place[keep]
     ok = np.zeros(len(word), bool)
     ok[at[doc] + place] = True
     n_seeds = len(key)
-    key, doc, place = (np.concatenate(x) for x in zip((key, doc, place), windows(word, at, smallest, ok), strict=True))
+    key, doc, place = (np.concatenate(x) for x in zip((key, doc, place), windows(word, at, ok), strict=True))
     bucket = ((key >> _U(32)) % _U(n)).astype(np.int64)
     order = np.lexsort((place, ids[doc], key, bucket))
     fresh = np.ones(len(order), bool)
@@ -219,7 +204,7 @@ def blocks(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     order = np.lexsort((a, a - b))
     a, b = a[order], b[order]
     fresh = np.ones(len(a), bool)
-    fresh[1:] = ((a - b)[1:] != (a - b)[:-1]) | (a[1:] - a[:-1] > K + W)
+    fresh[1:] = ((a - b)[1:] != (a - b)[:-1]) | (a[1:] - a[:-1] > JOIN)
     at = np.flatnonzero(fresh)
     last = np.append(at[1:], len(a)) - 1
     return a[at], b[at], a[last] - a[at] + 1, order
@@ -434,7 +419,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Passages of documents that, exactly or nearly, also lie in a document with a smaller id (PASSAGE)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     staged, staged_at, n = exchange.stage(rows)
-    first, first_at = shared.written(exchange.answer(exchange.ask(staged, n, _which), 1, exchange.in_two_batches), "answers")
+    first, first_at = shared.written(exchange.answer(exchange.ask(staged, n, _which), 1, _in_two_batches), "answers")
     asked = exchange.meet(staged, first, _places(n), "bucket int, batch long, blob binary")
     second, second_at = shared.written(exchange.answer(asked, 2, _pivots), "answers")
     found, _ = shared.written(exchange.meet(staged, first.union(second), _chained(n), CHAIN), "chains")

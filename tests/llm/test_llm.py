@@ -450,6 +450,23 @@ def test_exact_passages_of_frequent_lines(spark, make, corpus, monkeypatch):
     assert all(places <= got[i] for i, places in want.items()), [i for i, places in want.items() if not places <= got[i]]
 
 
+def test_passages_of_regular_changes(make):
+    """Passages with every 6th to 8th word changed (83 to 88 percent equal) are found, each of them."""
+    rows, near = [], {}
+    for k in range(60):
+        every, n = 6 + k % 3, 60 if k < 45 else 200
+        words = prose(n, 20_000 + k).split(" ")
+        rows.append((k, f"{prose(50, 21_000 + k)} {' '.join(words)} {prose(50, 22_000 + k)}"))
+        changed = [f"{w}x{k}" if i % every == k % every else w for i, w in enumerate(words)]
+        rows.append((100 + k, f"{prose(30, 23_000 + k)} {' '.join(changed)} {prose(30, 24_000 + k)}"))
+        near[100 + k] = n
+    got = {}
+    for r in chaining.repeated_passages(make(rows)).collect():
+        assert r["source_doc_id"] == r["doc_id"] - 100 and r["n_equal"] > 0.8 * r["n_places"]
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["end"] - r["start"]
+    assert {i for i, n in near.items() if got.get(i, 0) < 0.85 * n} == set()
+
+
 def test_without_passages(make):
     passage = prose(60, 42)
     rows = [(1, prose(50, 1) + " " + passage), (2, passage + "\n" + prose(50, 2)), (3, passage), (4, prose(50, 4)), (None, passage), (5, None)]
