@@ -39,9 +39,19 @@ def removed(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """The package is on the executors; every public function whose work runs there sees to that."""
+    return ship(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of a data folder, with the package on the executors."""
-    spark = ship(spark)
+    """A table of a data folder, for the registered queries; they also take smaller Arrow batches, a setting of the session."""
+    spark = prepared(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # documents are long rows
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -105,13 +105,42 @@ def test_family_levels_are_geometric():
     r = np.random.default_rng(0)
     seen = {}
     for doc in range(40):
-        key = np.unique(r.integers(0, 3000, 200).astype(np.uint64))
-        got = f.add(key, key, np.full(len(key), doc))
-        assert got.tolist() == [int(k) in seen for k in key]
-        for k in key:
-            seen.setdefault(int(k), doc)
-        sizes = [len(x[0]) for x in f.levels]
+        key = np.unique(r.integers(0, 3000, 200))
+        texts = [b"".join(bytes([k % 256, 0, k // 256, 255]) for _ in range(14))[: 50 + k % 7] for k in key.tolist()]
+        at = np.cumsum([0] + [len(t) for t in texts])[:-1]
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        got = f.add(data, at, np.full(len(key), doc))
+        assert got.tolist() == [t[:50] in seen for t in texts]
+        for t in texts:
+            seen.setdefault(t[:50], doc)
+        sizes = [len(x) for x in f.levels]
         assert all(x > y for x, y in zip(sizes, sizes[1:]))
+        for level in f.levels:  # each is in the order of its bytes, and each prefix once
+            raw = level.data.tobytes()
+            inside = [raw[a : a + 50] for a in level.at.tolist()]
+            assert all(x < y for x, y in zip(inside, inside[1:])) and all(seen[x] <= d for x, d in zip(inside, level.doc.tolist()))
+            again = suffix.Level.unpacked(level.packed())
+            assert (again.at == level.at).all() and (again.doc == level.doc).all() and (again.head == level.head).all()
+    assert {x.data.tobytes()[a : a + 50] for x in f.levels for a in x.at.tolist()} == set(seen)
+
+
+def test_suffix_array_order():
+    """Window starts of repetitive bytes, with zeros and bytes over 127, in the order of Python's own comparison."""
+    r = np.random.default_rng(4)
+    data = r.choice(np.array([0, 1, 200], np.uint8), 3000, p=[0.9, 0.05, 0.05])
+    at = r.permutation(len(data) - 49)[:2000]
+    doc = r.integers(0, 50, len(at))
+    level, entry = suffix.suffix_array(data, at, doc)
+    raw = data.tobytes()
+    want = sorted({raw[a : a + 50] for a in at.tolist()})
+    assert [raw[a : a + 50] for a in level.at.tolist()] == want
+    assert [want[e] for e in entry.tolist()] == [raw[a : a + 50] for a in at.tolist()]
+    other, _ = suffix.suffix_array(data, np.setdiff1d(np.arange(len(data) - 49), at), np.zeros(len(data) - 49 - len(at), int))
+    lo, hit = level.places(other)
+    keys = [raw[a : a + 50] for a in other.at.tolist()]
+    import bisect
+
+    assert lo.tolist() == [bisect.bisect_left(want, k) for k in keys] and hit.tolist() == [k in set(want) for k in keys]
 
 
 # -- operators -----------------------------------------------------------------------------------------------------------
@@ -323,6 +352,38 @@ def test_suffix_removal(spark, make, corpus, monkeypatch):
     assert suffix.remove_repeats(docs.where("false")).count() == 0
 
 
+def test_suffix_removal_across_pieces(make, monkeypatch):
+    """Long texts are read in pieces: the windows at their seams, and whole texts of one byte."""
+    monkeypatch.setattr(suffix, "PIECE", 256)
+    monkeypatch.setattr(suffix, "BATCH", 300)
+    monkeypatch.setattr(exchange, "BATCH_BYTES", 3000)
+    long = prose(900, 31)
+    rows = [(1, long), (2, "q" + long[:-3]), (3, long[200:700]), (4, prose(20, 5) + long[100:150] + "!"), (5, "0" * 3000), (6, "0" * 2000 + "1"), (5, long[:60]), (7, None)]
+    got = suffix.remove_repeats(make(rows).repartition(2)).collect()
+    want = brute_removed(rows)
+    assert sorted((rows[k][0], *want[k]) for k in want) == sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got)
+
+
+def test_suffix_index_meets_new_batches(spark, make, corpus, tmp_path, monkeypatch):
+    """Batches in the order of doc_id against a kept family give what one run over all rows gives."""
+    monkeypatch.setattr(exchange, "BUCKET_BYTES", 20_000)
+    rows = sorted((r for r in corpus if r[0] is not None), key=lambda r: r[0])
+    want = brute_removed(rows)
+    index = f"file://{tmp_path}/levels"
+    got, sizes = [], []
+    for a, b in ((0, 120), (120, 130), (130, 310), (310, 10_000)):
+        part = [r for r in rows if a <= r[0] < b]
+        got += suffix.extend(make(part), index, buckets=3).collect()
+        held = spark.read.parquet(index)
+        gone = {(r["bucket"], m) for r in held.collect() for m in r["merged"]}
+        levels = [(r["bucket"], r["name"], suffix.Level.unpacked(r["blob"])) for r in held.collect()]
+        alive = sorted((k, len(x)) for k, m, x in levels if (k, m) not in gone)
+        sizes.append(alive)
+    assert sorted((rows[k][0], *want[k]) for k in want) == sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got)
+    assert all(len({n for k2, n in s if k2 == k}) == sum(k2 == k for k2, _ in s) for s in sizes for k in range(3))
+    assert suffix.extend(make(rows[:1]).where("false"), index).count() == 0
+
+
 def test_toxicity(spark, make):
     r = random.Random(4)
     rows = [(k, prose(60, k) + (" you utter Nitwit!! dunce " if k % 5 == 0 else " fine ") + prose(20, 9000 + k)) for k in range(900)]
