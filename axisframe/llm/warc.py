@@ -2,11 +2,13 @@
 
 Every archive is one complete ``.warc.zst`` file: a skippable frame (magic 0x184D2A5D) that holds the dictionary, then one
 frame for each record. The dictionary is built once, on the driver, from a bounded sample of the records to be archived
-(``SAMPLE`` rows of at most ``SAMPLE_BYTES`` bytes); with too little to learn from, archives have no such frame.
+(``SAMPLE`` rows, of each payload at most ``SAMPLE_BYTES`` bytes). Where the samples are too few or too alike to train
+on, the dictionary is their own bytes. Only a table without rows has none, and no archive either.
 
 Of pages with equal payloads of at least ``least`` bytes the one with the largest page_id is a response and the others
-are revisits that refer to it and carry no payload; smaller payloads are always responses. The plan needs only digests;
-payloads move at most once.
+are revisits that refer to it and carry no payload; smaller payloads are always responses. The plan is a written table of
+the digests that repeat: pages meet it by broadcast while it is small, else in a join whose hot digests Spark can split,
+as both sides are plain. Payloads below ``least`` bytes take no part in that.
 
 Archives are rows (name, bytes) of a table in the shared folder, each of about ``ARCHIVE`` bytes, so any file system that
 Spark writes can hold them and a lost executor costs only its tasks; ``export`` writes them as files.
@@ -117,19 +119,23 @@ def records(archive: bytes):
 
 
 def dictionary(rows: DataFrame, size: int = DICTIONARY) -> bytes | None:
-    """Built from the records of a bounded sample of rows (id, url, payload, digest)."""
-    fits = rows.where(F.octet_length("payload") <= SAMPLE_BYTES)
+    """Built from the records of a bounded sample of rows (id, url, payload, digest); None without rows."""
     # by a hash below a bound that lets about twice the sample through, so tasks never hand on more than that together
     near = F.pmod(F.xxhash64("digest", "id"), F.lit(1 << 40))
-    bound = (1 << 40) * (2 * SAMPLE + 16) // max(1, fits.count())
-    some = fits.where(near < F.lit(min(bound, 1 << 40))).orderBy(near, "id").limit(SAMPLE).collect()
-    samples = [record(r["id"], r["url"], r["payload"], r["digest"]) for r in some]
-    if sum(map(len, samples)) < 10 * size or len(samples) < 8:
-        size = max(1024, sum(map(len, samples)) // 20)
+    bound = (1 << 40) * (2 * SAMPLE + 16) // max(1, rows.count())
+    some = rows.where(near < F.lit(min(bound, 1 << 40))).withColumn("payload", F.substring("payload", 1, SAMPLE_BYTES)).orderBy(near, "id").limit(SAMPLE).collect()
+    return trained([record(r["id"], r["url"], bytes(r["payload"]), r["digest"]) for r in some], size)
+
+
+def trained(samples: list[bytes], size: int = DICTIONARY) -> bytes | None:
+    """A dictionary trained on the samples, or their own last bytes where the trainer finds too little in them."""
+    whole = sum(map(len, samples))
+    if not whole:
+        return None
     try:
-        return zstandard.train_dictionary(size, samples, k=512, d=8).as_bytes() if len(samples) >= 8 else None
+        return zstandard.train_dictionary(min(size, max(1024, whole // 10)), samples, k=512, d=8).as_bytes()
     except zstandard.ZstdError:
-        return None
+        return b"".join(samples)[-size:]
 
 
 def _write(trained, level: int, archive_bytes: int):
@@ -157,12 +163,16 @@ def _write(trained, level: int, archive_bytes: int):
 
 def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", least: int = LEAST, level: int = 3, archive_bytes: int = ARCHIVE) -> tuple[DataFrame, str]:
     """A table (name, bytes) of archives with a record for each page, and its path."""
+    shared.prepared(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    plan = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    met = rows.join(plan, "digest", "left")
+    large = rows.where(F.octet_length("payload") >= least)
+    plan = large.groupBy("digest").agg(F.max("id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null").drop("n")
+    plan, _ = shared.written(plan, "plan")
+    met = large.join(plan, "digest", "left").select("id", "url", "payload", "digest", "refers_to")
+    met = met.union(rows.where(F.octet_length("payload") < least).select("id", "url", "payload", "digest", F.lit(None).cast("long")))
     again = F.col("refers_to").isNotNull() & ~F.col("id").eqNullSafe(F.col("refers_to"))
-    made = met.select("id", "url", "payload", "digest", "refers_to", again.alias("again")).mapInArrow(_write(dictionary(rows), level, archive_bytes), "name string, bytes binary")
+    made = met.withColumn("again", again).mapInArrow(_write(dictionary(rows), level, archive_bytes), "name string, bytes binary")
     return shared.written(made, "warc", codec="none")
 
 
@@ -195,11 +205,13 @@ def _read(with_payload: bool):
 
 def read(archives: DataFrame, with_payload: bool = False) -> DataFrame:
     """A row for each record of a table (name, bytes) of archives; payload digests are checked."""
+    shared.prepared(archives.sparkSession)
     return archives.select("name", "bytes").mapInArrow(_read(with_payload), _RECORD + (", target_uri string, payload binary" if with_payload else ""))
 
 
 def export(archives: DataFrame, folder: str) -> DataFrame:
     """Write the archives as files to a folder that all executors mount; returns (name, size). A repeated task rewrites alike."""
+    shared.prepared(archives.sparkSession)
 
     def run(batches):
         os.makedirs(folder, exist_ok=True)

@@ -228,6 +228,37 @@ def test_warc_round_trip(spark):
     assert warc.read(empty).count() == 0
 
 
+def test_warc_dictionaries_and_long_pages(spark):
+    """Pages over the reader's steps of 64 KB, dictionaries from few or equal samples, and a join whose plan isn't broadcast."""
+    r = random.Random(9)
+    long = "".join(r.choice("abcdefghijklmnop ") for _ in range(300_000))
+    rows = [(1, "u", long), (2, "u", long), (3, "u", long + "."), (4, "u", None)]
+    schema = "page_id long, url string, html string, refers_to string, n int, digest string"
+    pages = spark.createDataFrame([(*x, "x", 1, "y") for x in rows], schema)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for limit in (threshold, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            archives, _ = warc.write(pages)
+            got = {x["page_id"]: x for x in warc.read(archives, with_payload=True).collect()}
+            assert len(got) == 4 and all(a["bytes"][:4] == b"\x5d\x2a\x4d\x18" for a in archives.collect())
+            assert (got[1]["record_type"], got[1]["refers_to"], got[1]["payload_bytes"], got[1]["payload"]) == ("revisit", 2, 300_000, None)
+            assert got[2]["payload"] == long.encode() and got[3]["payload"] == long.encode() + b"." and got[4]["payload"] == b""
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert warc.trained([]) is None
+    for samples in ([b"a"], [b"same record"] * 3, [b"x" * 40] * 50, [prose(50, k).encode() for k in range(200)]):
+        writer = warc.Writer(warc.trained(samples))
+        for x in samples:
+            writer.add(x)
+        assert writer.lead and list(warc.records(writer.bytes())) == samples
+    plain = warc.Writer(None)
+    plain.add(long.encode())
+    assert list(warc.records(plain.bytes())) == [long.encode()]
+    only_null = spark.createDataFrame([(None, "u", "z" * 2000)] * 3, "page_id long, url string, html string")
+    assert {(x["record_type"], x["refers_to"]) for x in warc.read(warc.write(only_null)[0]).collect()} == {("response", None)}
+
+
 def test_warc_files(spark, tmp_path):
     pages = spark.createDataFrame([(k, "u", prose(100, k)) for k in range(30)], "page_id long, url string, html string")
     archives, _ = warc.write(pages)
