@@ -6,40 +6,38 @@ many side of a join whose other side has one row for each node, which adaptive e
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import shared
 
 
-#: Links up to which a graph is small: then all links of one node fit a task, and tables for splitting them are not worth a job.
-SMALL = 1_000_000
-
-
-def _star(edges: DataFrame, large: bool, small_graph: bool) -> tuple[DataFrame, list[str]]:
+def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, list[str]]:
     """Hang neighbours on the smallest node of each neighbourhood: the larger ones (large) or the others (small).
 
-    Unless the graph is small, the neighbourhoods' smallest nodes are written first: a join with a table can be
-    broadcast, or split at a node with very many links. Returns the links and what they read.
+    The neighbourhoods' smallest nodes are written first: a join with a table can be broadcast, or split at a node with
+    very many links. Returns the links and what they read.
     """
     if large:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low, paths = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), []
-    if not small_graph:
-        low, at = shared.written(low, "low")
-        paths.append(at)
+    low, path = shared.written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "low")
     met = both.join(low, "u")
     if large:
         out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct(), paths
+    return out.where("u <> v").distinct(), path
 
 
-def _digest(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum((F.xxhash64("v", "u") % 1000003))).first())
+def _written(edges: DataFrame) -> tuple[DataFrame, str, tuple]:
+    """The written links, their path and a digest of them, taken as they are written."""
+    seen = Observation()
+    said = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.xxhash64("v", "u") % 1000003).alias("s")]
+    out, path = shared.written(edges.observe(seen, *said), "links")
+    got = seen.get
+    return out, path, (got["n"], got["x"], got["s"])
 
 
 def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -50,19 +48,14 @@ def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
     """
     spark = edges.sparkSession
     first = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now, path = shared.written(first, "links")
-    seen = _digest(now)
+    now, path, seen = _written(first)
     while seen[0]:
-        small_graph = seen[0] <= SMALL
-        step, paths = _star(now, True, small_graph)
-        if not small_graph:
-            step, at = shared.written(step, "links")
-            paths.append(at)
-        step, more = _star(step, False, small_graph)
-        nxt, at = shared.written(step.coalesce(8) if small_graph else step, "links")
-        said = _digest(nxt)
-        shared.removed(spark, path, *paths, *more)
-        now, path = nxt, at
+        step, low = _star(now, True)
+        step, at = shared.written(step, "links")
+        step, more = _star(step, False)
+        nxt, new, said = _written(step)
+        shared.removed(spark, path, low, at, more)
+        now, path = nxt, new
         if said == seen:  # stars that no step changes
             break
         seen = said

@@ -18,8 +18,8 @@ Steps, none of which holds a group in one task:
 
 With 28 bands of 4 rows a pair at the threshold misses every band with probability (1 - 0.8**4)**28 < 4e-7.
 
-Nulls and empty texts: n_shingles 0, a component of their own. Rows that repeat a doc_id are one node of the graph, and
-each row is returned. A null doc_id has no component to name: it is returned with component_id null and kept true.
+Nulls and empty texts: n_shingles 0, a component of their own. Rows that repeat a doc_id are one node of the graph, linked
+by any of their texts, and each row is returned with its own n_shingles. A null doc_id has no component to name: it is returned with component_id null and kept true.
 Columns other than ``id_col`` and ``text_col`` are ignored, so names cannot clash.
 """
 
@@ -34,8 +34,8 @@ from . import shared, text
 from .components import components
 
 SIZE, BANDS, ROWS = 112, 28, 4
-#: Classes in a block of each side where components are held against each other.
-BLOCK, CHUNK = 2000, 500
+#: Classes in a block of each side where components are held against each other, and shingles for each of these places.
+BLOCK, CHUNK, WEIGHT = 2000, 500, 500
 _U = np.uint64
 _FRACTION = _U(0xFFFFFFFF)
 
@@ -102,7 +102,7 @@ def band_keys(sketch: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nd
     return key.view(np.int64)
 
 
-_SKETCHED = "id long, n_shingles long, d1 long, d2 long, bands array<long>"
+_SKETCHED = "id long, th long, n_shingles long, d1 long, d2 long, bands array<long>"
 
 
 def _sketch(length: int):
@@ -117,7 +117,7 @@ def _sketch(length: int):
             keys = [band_keys(signature(values[a:b])) if b > a else None for a, b in zip(at[:-1], at[1:], strict=True)]
             flat = np.concatenate([k for k in keys if k is not None] or [np.zeros(0, np.int64)])
             ends = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "n_shingles", "d1", "d2", "bands"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(sizes), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "th", "n_shingles", "d1", "d2", "bands"])
 
     return sketch
 
@@ -140,56 +140,66 @@ def _linked(percent: int, length: int):
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int, length: int) -> DataFrame:
-    """Of pairs (u, v) of classes, those whose full sets are similar enough."""
+    """Of pairs of classes (u, ut) and (v, vt), the links (u, v) whose full sets are similar enough."""
     # merge joins at every size: a hot pivot's pairs are split where they are many, and plans don't change with the input
-    met = pairs.hint("merge").join(texts.withColumnsRenamed({"id": "u", "text": "a"}), "u").hint("merge").join(texts.withColumnsRenamed({"id": "v", "text": "b"}), "v")
+    sides = [texts.withColumnsRenamed({"id": k, "th": f"{k}t", "text": t}) for k, t in (("u", "a"), ("v", "b"))]
+    met = pairs.hint("merge").join(sides[0], ["u", "ut"]).hint("merge").join(sides[1], ["v", "vt"])
     return met.select("u", "v", "a", "b").mapInArrow(_linked(percent, length), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = 80, length: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``; see the module's docstring."""
-    spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    spark = shared.prepared(docs.sparkSession)
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
     sketch, _ = shared.written(source.mapInArrow(_sketch(length), _SKETCHED), "sketch")
     full = sketch.where("n_shingles > 0 and id is not null")
     # aggregates are written before they are joined: Spark then knows their sizes and can split a hot key of the other side
-    classes, classes_at = shared.written(full.groupBy("d1", "d2").agg(F.min("id").alias("rep")), "classes")
-    # one row for each class: its band keys come from the row of its smallest id
-    reps = full.join(classes, ["d1", "d2"]).where("id = rep").groupBy("rep").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    keyed, keyed_at = shared.written(reps.select("rep", "n", F.explode("bands").alias("band")), "bands")
-    pivots = keyed.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    # a class is named by its smallest id and by that row's text, as an id may have several texts
+    classes, classes_at = shared.written(full.groupBy("d1", "d2").agg(F.min(F.struct("id", "th")).alias("r")).select("d1", "d2", F.col("r.id").alias("rep"), F.col("r.th").alias("rt")), "classes")
+    # one row for each class: its band keys come from that row
+    reps = full.join(classes, ["d1", "d2"]).where("id = rep and th = rt").groupBy("rep", "rt", "d1", "d2").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    keyed, keyed_at = shared.written(reps.select("rep", "rt", "n", F.explode("bands").alias("band")), "bands")
+    pivots = keyed.groupBy("band").agg(F.min(F.struct("rep", "rt", "n")).alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1")
     shared_keys, shared_at = shared.written(pivots, "pivots")
     met, met_at = shared.written(keyed.join(shared_keys, "band"), "met")
     near = f"100 * least(n, m) >= {similarity} * greatest(n, m)"
-    first = met.where("rep <> p.rep").select(F.col("p.rep").alias("u"), F.col("rep").alias("v"), "n", F.col("p.n").alias("m")).where(near).select("u", "v").distinct()
-    pairs, pairs_at = shared.written(first, "pairs")
-    ids = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
+    first = met.where("rep <> p.rep").select(F.col("p.rep").alias("u"), F.col("p.rt").alias("ut"), F.col("rep").alias("v"), F.col("rt").alias("vt"), "n", F.col("p.n").alias("m"))
+    pairs, pairs_at = shared.written(first.where(near).select("u", "ut", "v", "vt").distinct(), "pairs")
+    ids = pairs.select(F.col("u").alias("id"), F.col("ut").alias("th")).union(pairs.select("v", "vt")).distinct()
     texts, texts_at = shared.written(_texts(source, ids), "texts")
-    links, links_at = shared.written(_verified(pairs, texts, similarity, length), "verified")
+    # rows that repeat an id are one node: it is linked with the class of each of them
+    again = sketch.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("id")
+    one, one_at = shared.written(full.join(again, "id").join(classes, ["d1", "d2"]).where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v")).distinct(), "again")
+    links, links_at = shared.written(_verified(pairs, texts, similarity, length).union(one), "verified")
     comps, comps_at = components(links)
-    more, more_at = _across(source, reps.select("rep"), met, comps, similarity, length)
+    more, more_at = _across(source, reps.select("rep", "rt", "n"), met, comps, similarity, length)
     if more is not None:
         old = comps_at
         comps, comps_at = components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
         shared.removed(spark, *old, more_at)
-    shared.removed(spark, keyed_at, shared_at, met_at, pairs_at, texts_at, links_at)
-    named, _ = shared.written(classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id")), "named")
+    shared.removed(spark, keyed_at, shared_at, met_at, pairs_at, texts_at, one_at, links_at)
+    named = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
+    named, _ = shared.written(named, "named")
+    # a row without words stands where other rows of its id do
+    hollow, _ = shared.written(sketch.where("n_shingles = 0 and id is not null").select("id").distinct().join(comps.withColumnRenamed("node", "id"), "id").select(F.col("id").alias("hollow_id"), F.col("component").alias("own")), "hollow")
     shared.removed(spark, classes_at, *comps_at)
     out = sketch.withColumn("known", F.expr("n_shingles > 0 and id is not null"))
     out = out.join(named.withColumn("known", F.lit(True)), ["d1", "d2", "known"], "left")
-    return out.select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component_id", "id").alias("component_id"), F.coalesce(F.coalesce("component_id", "id") == F.col("id"), F.lit(True)).alias("kept"))
+    out = out.join(hollow, (F.col("n_shingles") == 0) & (F.col("id") == F.col("hollow_id")), "left")
+    where = F.coalesce("component_id", "own", "id")
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", where.alias("component_id"), F.coalesce(where == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def _texts(source: DataFrame, ids: DataFrame) -> DataFrame:
-    """One text of each id; rows that repeat an id are one document here. A merge join at every size, as in _verified."""
-    return source.where("id is not null").join(ids.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    """The text of each (id, th); rows that repeat both are one. A merge join at every size, as in _verified."""
+    return source.where("id is not null").join(ids.hint("merge"), ["id", "th"], "left_semi").groupBy("id", "th").agg(F.min("text").alias("text"))
 
 
 def _across(source: DataFrame, reps: DataFrame, met: DataFrame, comps: DataFrame, percent: int, length: int):
     """Links between components that share a band key, as a written table and its path, or None twice if there is none.
 
     Components that share keys form a cluster. All of a cluster's classes outside its largest component are held against
-    all of its classes. Both sides are cut into blocks of bounded size, each pair of blocks is a task's work, and only
+    all of its classes. Both sides are cut into blocks of bounded numbers of classes and shingles, each pair of blocks is a task's work, and only
     links are emitted: no row is made for a pair.
     """
     spark = source.sparkSession
@@ -201,16 +211,18 @@ def _across(source: DataFrame, reps: DataFrame, met: DataFrame, comps: DataFrame
         shared.removed(spark, at)
         return None, None
     clusters, clusters_at = components(touching)
-    members = reps.join(in_comp, "rep", "left").select("rep", F.coalesce("component", "rep").alias("c")).join(clusters.select(F.col("node").alias("c"), F.col("component").alias("cluster")), "c")
+    members = reps.join(in_comp, "rep", "left").select("rep", "rt", "n", F.coalesce("component", "rep").alias("c")).join(clusters.select(F.col("node").alias("c"), F.col("component").alias("cluster")), "c")
     members, members_at = shared.written(members, "members")
-    sizes = members.groupBy("cluster", "c").agg(F.count(F.lit(1)).alias("k"))
-    sizes = sizes.groupBy("cluster").agg(F.sum("k").alias("k"), F.max(F.struct("k", "c")).alias("top"))
-    sizes = sizes.select("cluster", F.col("top.c").alias("top"), F.ceil(F.col("k") / BLOCK).cast("int").alias("nb"), F.ceil((F.col("k") - F.col("top.k")) / CHUNK).cast("int").alias("nc"))
+    sizes = members.groupBy("cluster", "c").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    sizes = sizes.groupBy("cluster").agg(F.sum("k").alias("k"), F.sum("n").alias("n"), F.max(F.struct("k", "n", "c")).alias("top"))
+    parts = lambda k, n, most, weight: F.ceil(F.greatest(k / most, n / weight)).cast("int")
+    loose = (F.col("k") - F.col("top.k"), F.col("n") - F.col("top.n"))
+    sizes = sizes.select("cluster", F.col("top.c").alias("top"), parts(F.col("k"), F.col("n"), BLOCK, BLOCK * WEIGHT).alias("nb"), parts(*loose, CHUNK, CHUNK * WEIGHT).alias("nc"))
     sizes, sizes_at = shared.written(sizes, "sizes")
-    texts = _texts(source, members.select(F.col("rep").alias("id")))
-    rows = members.join(sizes, "cluster").join(texts.withColumnRenamed("id", "rep"), "rep")
-    every = rows.select("cluster", F.expr("cast(pmod(xxhash64(rep), nb) as int)").alias("block"), F.explode(F.expr("sequence(0, nc - 1)")).alias("chunk"), F.lit(False).alias("open"), "rep", "c", "text")
-    loose = rows.where("c <> top").select("cluster", F.explode(F.expr("sequence(0, nb - 1)")).alias("block"), F.expr("cast(pmod(xxhash64(rep, 1), nc) as int)").alias("chunk"), F.lit(True).alias("open"), "rep", "c", "text")
+    texts = _texts(source, members.select(F.col("rep").alias("id"), F.col("rt").alias("th")))
+    rows = members.join(sizes, "cluster").join(texts.withColumnsRenamed({"id": "rep", "th": "rt"}), ["rep", "rt"])
+    every = rows.select("cluster", F.expr("cast(pmod(xxhash64(rep, rt), nb) as int)").alias("block"), F.explode(F.expr("sequence(0, nc - 1)")).alias("chunk"), F.lit(False).alias("open"), "rep", "c", "text")
+    loose = rows.where("c <> top").select("cluster", F.explode(F.expr("sequence(0, nb - 1)")).alias("block"), F.expr("cast(pmod(xxhash64(rep, rt, 1), nc) as int)").alias("chunk"), F.lit(True).alias("open"), "rep", "c", "text")
     links = every.union(loose).groupBy("cluster", "block", "chunk").applyInArrow(_block_links(percent, length), "u long, v long")
     out, out_at = shared.written(links, "verified")
     shared.removed(spark, at, *clusters_at, members_at, sizes_at)

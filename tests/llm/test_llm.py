@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from axisframe.llm import chaining, exchange, linerules, mixing, packing, ppm, sampling, suffix, superminhash, text, topk, toxicity, warc
+from axisframe.llm.components import components
 
 RNG = random.Random(5)
 WORDS = ["".join(RNG.choice("abcdefghiklmnorstu") for _ in range(RNG.randint(2, 8))) for _ in range(600)]
@@ -170,6 +171,30 @@ def test_near_duplicates(make, corpus):
             assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), find(r["doc_id"]), find(r["doc_id"]) == r["doc_id"])
 
 
+def test_near_duplicates_of_repeated_ids(spark, make):
+    """An id with several texts is linked by any of them; empty tables and links to itself give no graph."""
+    a, b, c, d = (prose(80, 700 + k) for k in range(4))
+    rows = [(5, a), (5, b), (8, b + " word"), (3, c), (6, c), (6, d), (4, d + " word"), (6, ""), (9, None), (9, ""), (2, a + " x"), (None, a), (None, a)]
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in superminhash.near_duplicates(make(rows)).collect() if r["doc_id"] is not None)
+    assert got == [(2, 2, True), (3, 3, True), (4, 3, False), (5, 2, False), (5, 2, False), (6, 3, False), (6, 3, False), (6, 3, False), (8, 2, False), (9, 9, True), (9, 9, True)]
+    assert superminhash.near_duplicates(make(rows).where("false")).count() == 0
+    assert superminhash.near_duplicates(make([(1, None), (2, "")])).count() == 2
+    for links in ([], [(1, 1)], [(1, 2), (2, 1), (2, 2), (7, 3), (3, 7), (3, 2)]):
+        found, _ = components(spark.createDataFrame(links, "u long, v long"))
+        assert {(r["node"], r["component"]) for r in found.collect()} == ({(1, 1), (2, 1), (3, 1), (7, 1)} if len(links) > 1 else set())
+
+
+def test_near_duplicates_of_repeated_ids_in_the_pipeline(spark, make):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    a, b = prose(80, 710), prose(80, 711)
+    rows = [(1, a), (1, b), (1, a), (2, a), (3, b + " x"), (4, prose(60, 712)), (None, a), (None, a), (5, None), (5, None), (6, "")]
+    docs = make(rows).select("doc_id", "text", "lang", "source", "n_chars")
+    out = pipeline.one_of_each_group(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([(1, a), (1, b), (4, rows[5][1]), (5, None), (6, ""), (None, a), (None, a)], key=str)
+    assert pipeline.one_of_each_group(spark, docs.where("false"), "").count() == 0
+
+
 def test_near_duplicates_by_five_words(spark, make, corpus):
     """A pair that 2-word shingles link and 5-word shingles don't stays in the pipeline; sets of five words against brute force."""
     pipeline = pytest.importorskip("corpus_pipeline")
