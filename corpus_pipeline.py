@@ -26,10 +26,16 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each component of near-duplicates (op 1, but of 5-word shingles)."""
-    found = superminhash.near_duplicates(docs, length=5).where("kept and doc_id is not null").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).union(docs.where("doc_id is null"))
+    """Keep the document with the smallest doc_id of each component of near-duplicates (op 1, but of 5-word shingles).
+
+    Rows that repeat a doc_id and text are one; of rows with one doc_id and other texts all stay. So do null doc_ids.
+    """
+    found = superminhash.near_duplicates(docs, length=5).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"))
+    found, _ = shared.written(found, "kept")
+    once = docs.join(found.where("k = 1"), "doc_id", "left_semi")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    again = docs.join(found.where("k > 1"), "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("rest")).select("doc_id", "text", "rest.*")
+    return once.select(*docs.columns).union(again.select(*docs.columns)).union(docs.where("doc_id is null"))
 
 
 def first_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
