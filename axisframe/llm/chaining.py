@@ -12,17 +12,21 @@ is equal in more than 80 percent of its places has ``K`` equal words in a row, b
 3. Matches of a pair of documents that lie on one diagonal are joined to blocks, and blocks are chained: a chain's score
    is its words less ``GAP`` for each word skipped on either side, and the best chain to end in a block comes from a
    Fenwick tree of prefix maxima over places in the pivot's document.
-4. Each chain, with its words and some to either side, meets the pivot's text and is aligned: blocks are extended word by
-   word, gaps between them are compared place by place, and the stretches of best score, with +1 for an equal and -4 for
-   an unequal place, are the passages. Such a stretch is equal in more than 80 percent of its places. Those of at least
-   ``LEAST`` words are returned. Windows that match are joined on their diagonals, too; where no chain's passage holds
-   such an exact one, it is a passage of its own.
+4. Each chain, with its words and some to either side, meets the words it needs of the pivot's document, which gives out
+   segments of ``SEGMENT`` words, each once however many chains need it. Chains are aligned: blocks are extended word by
+   word, in gaps between them as many words as can be are paired in order (a longest common subsequence, in a band where
+   a gap is long), and the stretches of best score, with +1 for an equal and -4 for an unequal place, are the passages.
+   Such a stretch is equal in more than 80 percent of its places. Those of at least ``LEAST`` words are returned. Windows
+   that match are joined on their diagonals, too; where no chain's passage holds such an exact one, it is a passage of
+   its own.
 
 So every word of ``LEAST`` equal words in a row that also lie in a smaller document is in some row.
 
 A row is a passage: doc_id, start and end (words) and where it lies in source_doc_id, a smaller document. Documents
-without one have no row. Nulls and empty texts have no words; rows with a null id take no part; rows that repeat an id
-are not compared with each other, and equal passages of theirs are one row. Other columns are ignored.
+without one have no row. Of several places that hold the same words, the first in the smallest document is the source.
+Nulls and empty texts have no words; rows with a null id take no part. Rows that repeat an id with other texts are texts
+of one document: each is compared with smaller documents, none with another of its own; equal passages of theirs are one
+row. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ from . import exchange, shared, text
 K, JOIN, GAP = 5, 11, 0.25
 LEAST, SCORE, MARGIN = 45, 8.0, 96
 WRONG = 4
+#: Words in a piece of a source as it is given out, and places to either side in which long gaps are aligned.
+SEGMENT, BAND, CELLS = 256, 64, 1 << 22
 _U = np.uint64
 
 
@@ -84,7 +90,7 @@ def _of_batch(data, offsets):
     return (*seeds(word, at), word, starts, ends, at)
 
 
-def _which(ids, data, offsets, n):
+def _which(keys, data, offsets, n):
     key, *_ = _of_batch(data, offsets)
     for bucket, raw in exchange.low_halves(exchange.split_keys(key, n)[0]):
         yield bucket, _packed(np.frombuffer(raw, "<u4").astype(np.int64))
@@ -94,18 +100,19 @@ def _in_two_batches(blobs: list[bytes]) -> list[bytes | None]:
     return exchange.in_two_batches([_unpacked(x, 1)[0].astype("<u4").tobytes() for x in blobs])
 
 
-def _shared(ids, data, offsets, n, bits):
+def _shared(keys, data, offsets, n, bits):
     """The batch's seeds that lie in two documents, then its windows of such seeds; the first of each distinct one, by bucket and place."""
+    ids, subs = keys[:, 0], keys[:, 1]
     key, doc, place, word, starts, ends, at = _of_batch(data, offsets)
     found, back = exchange.split_keys(key, n)
-    keep = exchange.shared_keys(found, back, doc, bits)[back]
+    keep = exchange.shared_keys(found, back, ids[doc], bits)[back]
     key, doc, place = key[keep], doc[keep], place[keep]
     ok = np.zeros(len(word), bool)
     ok[at[doc] + place] = True
     n_seeds = len(key)
     key, doc, place = (np.concatenate(x) for x in zip((key, doc, place), windows(word, at, ok), strict=True))
     bucket = ((key >> _U(32)) % _U(n)).astype(np.int64)
-    order = np.lexsort((place, ids[doc], key, bucket))
+    order = np.lexsort((place, subs[doc], ids[doc], key, bucket))
     fresh = np.ones(len(order), bool)
     fresh[1:] = key[order][1:] != key[order][:-1]
     which = np.empty(len(order), np.int64)
@@ -133,13 +140,13 @@ def _unpacked(raw: bytes, n: int) -> np.ndarray:
 
 
 def _places(n):
-    def act(batch, ids, data, offsets, got):
-        key, doc, place, bucket, _, first, *_ = _shared(ids, data, offsets, n, got.get(1, {}))
+    def act(batch, keys, data, offsets, got):
+        key, doc, place, bucket, _, first, *_ = _shared(keys, data, offsets, n, got.get(1, {}))
         out = []
         at = _cuts(bucket[first])
         for a, b in zip(at[:-1], at[1:], strict=True):
             p = first[a:b]
-            blob = np.array([len(p)], "<i8").tobytes() + key[p].astype("<u8").tobytes() + _packed(ids[doc[p]], place[p])
+            blob = np.array([len(p)], "<i8").tobytes() + key[p].astype("<u8").tobytes() + _packed(keys[doc[p], 0], keys[doc[p], 1], place[p])
             out.append((int(bucket[p[0]]), blob))
         yield pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "batch": pa.array([batch] * len(out), pa.int64()), "blob": pa.array([x for _, x in out], pa.binary())})
 
@@ -147,25 +154,23 @@ def _places(n):
 
 
 def _pivots(blobs: list[bytes]) -> list[bytes | None]:
-    sizes, keys, docs, places = [], [], [], []
+    sizes, keys, spots = [], [], []
     for raw in blobs:
         m = int(np.frombuffer(raw, "<i8", 1)[0])
         sizes.append(m)
         keys.append(np.frombuffer(raw, "<u8", m, 8))
-        whose, where = _unpacked(raw[8 + 8 * m :], 2)
-        docs.append(whose)
-        places.append(where)
-    key, doc, place = (np.concatenate(x) for x in (keys, docs, places))
-    order = np.lexsort((place, doc, key))
+        spots.append(_unpacked(raw[8 + 8 * m :], 3))
+    key, (doc, sub, place) = np.concatenate(keys), np.concatenate(spots, axis=1)
+    order = np.lexsort((place, sub, doc, key))
     fresh = np.ones(len(order), bool)
     fresh[1:] = key[order][1:] != key[order][:-1]
     first = order[fresh]
     group = np.empty(len(order), np.int64)
     group[order] = np.cumsum(fresh) - 1
-    doc, shift = doc[first][group], place[first][group] - place
+    doc, sub, shift = doc[first][group], sub[first][group], place[first][group] - place
     out, at = [], 0
     for m in sizes:
-        out.append(_packed(doc[at : at + m], shift[at : at + m]))
+        out.append(_packed(doc[at : at + m], sub[at : at + m], shift[at : at + m]))
         at += m
     return out
 
@@ -266,20 +271,26 @@ def exact(doc: np.ndarray, pivot: np.ndarray, a: np.ndarray, b: np.ndarray) -> n
     return np.array(out, np.int64).reshape(-1, 5)
 
 
-CHAIN = "doc_id long, source_doc_id long, start long, source_start long, source_end long, words binary, anchors binary, equal binary"
+CHAIN = "batch long, nth long, doc_id long, sub long, source_doc_id long, source_sub long, start long, source_start long, source_end long, words binary, anchors binary, equal binary"
+
+
+def _short(word: np.ndarray) -> bytes:
+    """Words as alignments compare them: half of a hash."""
+    return (word >> _U(32)).astype("<u4").tobytes()
 
 
 def _chained(n):
-    def act(batch, ids, data, offsets, got):
-        key, doc, place, bucket, which, first, n_seeds, (word, _, _, at) = _shared(ids, data, offsets, n, got.get(1, {}))
+    def act(batch, keys, data, offsets, got):
+        key, doc, place, bucket, which, first, n_seeds, (word, _, _, at) = _shared(keys, data, offsets, n, got.get(1, {}))
         answers = got.get(2, {})
-        pivot, where = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        told = np.zeros((3, len(first)), np.int64)
         cuts = _cuts(bucket[first])
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            pivot[a:b], where[a:b] = _unpacked(answers[int(bucket[first[a]])], 2)
-        where += place[first]
-        pivot, where = pivot[which], where[which]
-        later = np.flatnonzero(pivot < ids[doc]) if len(which) else np.zeros(0, np.int64)
+            told[:, a:b] = _unpacked(answers[int(bucket[first[a]])], 3)
+        told[2] += place[first]
+        sources, pivot = np.unique(told[:2].T, axis=0, return_inverse=True)  # (doc_id, sub), and which of them
+        pivot, where = pivot.reshape(-1)[which], told[2][which]
+        later = np.flatnonzero(sources[pivot, 0] < keys[doc, 0]) if len(which) else np.zeros(0, np.int64)
         whole = later[later >= n_seeds]
         whole = exact(doc[whole], pivot[whole], place[whole], where[whole])
         by_pair: dict = {}
@@ -298,8 +309,8 @@ def _chained(n):
                 (held if start <= x and x + m <= stop and src_start <= y and y + m <= src_stop else rest).append((x, y, m))
             if held:
                 by_pair[d, source] = rest
-            words = word[at[d] + start : at[d] + stop]
-            out.append((int(ids[d]), source, start, src_start, src_stop, words.astype("<u8").tobytes(), anchors.astype("<i4").tobytes(), np.array(held, "<i4").tobytes()))
+            words = _short(word[at[d] + start : at[d] + stop])
+            out.append((batch, len(out), *keys[d].tolist(), *sources[source].tolist(), start, src_start, src_stop, words, anchors.astype("<i4").tobytes(), np.array(held, "<i4").tobytes()))
 
         pair = np.flatnonzero(np.diff(doc[order]) | np.diff(pivot[order])) + 1 if len(order) else []
         for part in np.split(order, pair) if len(order) else []:
@@ -312,8 +323,8 @@ def _chained(n):
             while by_pair[d, source]:
                 x, y, m = by_pair[d, source][0]
                 put(d, source, np.array([[x, y, m - K + 1]]))
-        columns = list(zip(*out, strict=True)) or [()] * 8
-        kinds = [pa.int64()] * 5 + [pa.binary()] * 3
+        columns = list(zip(*out, strict=True)) or [()] * 12
+        kinds = [pa.int64()] * 9 + [pa.binary()] * 3
         names = [x.split()[0] for x in CHAIN.split(", ")]
         yield pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
@@ -323,23 +334,87 @@ def _chained(n):
 # -- alignment ---------------------------------------------------------------------------------------------------------
 
 
+def paired(a: np.ndarray, b: np.ndarray, band: int = BAND) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence of two gaps; where they are long, of one within ``band`` places of the straight way.
+
+    None where the two differ in length so much that even the band is over CELLS cells.
+    """
+    n, m = len(a), len(b)
+    if n > m:
+        return [(i, j) for j, i in paired(b, a, band)]
+    width = m if n * m <= 16 * band * band else min(m, m - n + 2 * band)
+    if not n or n * width > CELLS:
+        return []
+    lows = [min(m - width, max(0, i * m // n - width // 2)) for i in range(n)]
+    rows, row = [], np.zeros(width + 1, np.int32)  # row[k]: pairs among the words of a so far and the first lows[i] + k of b
+    for i, lo in enumerate(lows):
+        if i and (move := min(lo - lows[i - 1], width)):
+            row = np.concatenate([row[move:], np.full(move, row[-1], np.int32)])
+        new = row.copy()
+        np.maximum(new[1:], row[:-1] + (b[lo : lo + width] == a[i]), out=new[1:])
+        row = np.maximum.accumulate(new)
+        rows.append(row)
+    out, j = [], m
+    for i in range(n - 1, -1, -1):
+        lo, row = lows[i], rows[i]
+        k = int(np.searchsorted(row, row[min(j - lo, width)]))  # the first place with as many pairs
+        above = int(rows[i - 1][min(k + lo - lows[i - 1], width)]) if i else 0
+        if row[k] > above:  # only a pair that ends here can have added one
+            j = lo + k - 1
+            out.append((i, j))
+        else:
+            j = lo + k
+    return out[::-1]
+
+
+def _gap(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
+    """Equal runs (start in both, words) that align a gap better than place by place does."""
+    if not len(a) or not len(b) or (len(a) == len(b) and len(a) < 3):
+        return []
+    pairs = paired(a, b)
+    ends = [(-1, -1), *pairs, (len(a), len(b))]
+    unlike = sum(max(x - p, y - q) - 1 for (p, q), (x, y) in zip(ends[:-1], ends[1:], strict=True))
+    both = min(len(a), len(b))
+    straight = int((a[:both] == b[:both]).sum())
+    if len(pairs) - WRONG * unlike <= straight - WRONG * (max(len(a), len(b)) - straight):
+        return []
+    out: list = []
+    for p, q in pairs:
+        if out and (out[-1][0] + out[-1][2], out[-1][1] + out[-1][2]) == (p, q):
+            out[-1][2] += 1
+        else:
+            out.append([p, q, 1])
+    return out
+
+
 def align(a: np.ndarray, b: np.ndarray, anchors: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
     """Passages (start and end in a, start and end in b, equal places, places) along a chain of blocks (a, b, seeds)."""
     i0, j0 = int(anchors[0][0]), int(anchors[0][1])
     back = min(i0, j0)
     cols_a, cols_b, same = [np.arange(i0 - back, i0)], [np.arange(j0 - back, j0)], [a[i0 - back : i0] == b[j0 - back : j0]]
+
+    def straight(i: int, j: int, n: int) -> None:
+        cols_a.append(np.arange(i, i + n)), cols_b.append(np.arange(j, j + n)), same.append(a[i : i + n] == b[j : j + n])
+
+    def between(i: int, j: int, x: int, y: int) -> None:
+        """Place by place; then what one side has more is unequal, each word of it."""
+        both = min(x - i, y - j)
+        straight(i, j, both)
+        if more := max(x - i, y - j) - both:
+            cols_a.append(np.minimum(np.arange(i + both, i + both + more), x - 1 if x > i else i)), cols_b.append(np.minimum(np.arange(j + both, j + both + more), y - 1 if y > j else j)), same.append(np.zeros(more, bool))
+
     i, j = i0, j0
     for x, y, seeds_here in anchors.tolist():
         skip = max(i - x, j - y, 0)
         x, y, n = x + skip, y + skip, seeds_here + K - 1 - skip
-        if n <= 0 or x + n > len(a) or y + n > len(b):
+        if n <= 0:
             continue
-        both = min(x - i, y - j)
-        cols_a.append(np.arange(i, i + both)), cols_b.append(np.arange(j, j + both)), same.append(a[i : i + both] == b[j : j + both])
-        # what one side has more is unequal, place by place
-        more = max(x - i, y - j) - both
-        cols_a.append(np.minimum(np.arange(i + both, i + both + more), x - 1 if x > i else i)), cols_b.append(np.minimum(np.arange(j + both, j + both + more), y - 1 if y > j else j)), same.append(np.zeros(more, bool))
-        cols_a.append(np.arange(x, x + n)), cols_b.append(np.arange(y, y + n)), same.append(a[x : x + n] == b[y : y + n])
+        for p, q, run in [(i + p, j + q, run) for p, q, run in _gap(a[i:x], b[j:y])]:
+            between(i, j, p, q)
+            straight(p, q, run)
+            i, j = p + run, q + run
+        between(i, j, x, y)
+        straight(x, y, n)
         i, j = x + n, y + n
     ahead = min(len(a) - i, len(b) - j)
     cols_a.append(np.arange(i, i + ahead)), cols_b.append(np.arange(j, j + ahead)), same.append(a[i : i + ahead] == b[j : j + ahead])
@@ -392,71 +467,114 @@ def _wider(eq: np.ndarray, lo: int, s: int, e: int, hi: int) -> tuple[int, int]:
 
 
 PASSAGE = "doc_id long, start long, end long, source_doc_id long, source_start long, source_end long, n_equal long, n_places long"
+FOUND = PASSAGE + ", sub long"
 
 
 def _aligned(batches):
-    names = [x.split()[0] for x in PASSAGE.split(", ")]
+    names = [x.split()[0] for x in FOUND.split(", ")]
+    for batch in batches:
+        out = []
+        for r in range(batch.num_rows):
+            doc, sub, source, start, s_start, s_end, words, anchors, equal_runs, got = (batch.column(k)[r].as_py() for k in range(10))
+            got = sorted(got, key=lambda x: x["seg"])
+            a, b = np.frombuffer(words, "<u4"), np.frombuffer(b"".join(x["words"] for x in got), "<u4")
+            low = got[0]["seg"] * SEGMENT
+            b = b[s_start - low : s_end - low]
+            shift = np.array([start, s_start, 0])
+            spots, runs = (np.frombuffer(x, "<i4").reshape(-1, 3).astype(np.int64) - shift for x in (anchors, equal_runs))
+            for x, y, p, q, equal, places in with_exact(align(a, b, spots), a, b, runs):
+                out.append((doc, start + x, start + y, source, s_start + p, s_start + q, equal, places, sub))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
+
+
+def _segments(batches):
+    """The segments that are asked for of each document: (source_doc_id, source_sub, seg, words)."""
     for batch in batches:
-        data, offsets = text.buffers(batch.column(8))
-        for lo, hi in text.slices(offsets):
-            word, _, _, at = hashed_words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            doc, source, start, s_start, s_end, words, anchors, equal_runs = (batch.column(k).slice(lo, hi - lo).to_pylist() for k in range(8))
+        for rows, data, offsets in text.documents([batch], 2):
+            word, _, _, at = hashed_words(data, offsets)
             out = []
-            for r in range(hi - lo):
-                b = word[at[r] : at[r + 1]][s_start[r] : s_end[r]]
-                spots = np.frombuffer(anchors[r], "<i4").reshape(-1, 3).astype(np.int64) - np.array([start[r], s_start[r], 0])
-                if spots[-1][1] + spots[-1][2] + K - 1 > len(b):
-                    continue  # another row of the same id
-                a = np.frombuffer(words[r], "<u8")
-                runs = np.frombuffer(equal_runs[r], "<i4").reshape(-1, 3).astype(np.int64) - np.array([start[r], s_start[r], 0])
-                for x, y, p, q, equal, places in with_exact(align(a, b, spots), a, b, runs):
-                    out.append((doc[r], start[r] + x, start[r] + y, source[r], s_start[r] + p, s_start[r] + q, equal, places))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
-
-
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Passages of documents that, exactly or nearly, also lie in a document with a smaller id (PASSAGE)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    staged, staged_at, n = exchange.stage(rows)
+            for r, wanted in enumerate(rows.column(3).to_pylist()):
+                mine = word[at[r] : at[r + 1]]
+                out += [(r, k, _short(mine[k * SEGMENT : (k + 1) * SEGMENT])) for k in sorted(wanted) if k * SEGMENT < len(mine)]
+            which = pa.array([x[0] for x in out], pa.int64())
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(which), rows.column(1).take(which), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["source_doc_id", "source_sub", "seg", "words"])
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with __id and __sub, which tells texts of a repeated id apart: their hash, or 0 for an id that occurs once."""
+    shared.prepared(docs.sparkSession)
+    keyed = docs.withColumn("__id", F.col(id_col).cast("long"))
+    again = keyed.where("__id is not null").groupBy("__id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("__id").alias("__again"))
+    again, _ = shared.written(again, "again")
+    return keyed.join(again, F.col("__id") == F.col("__again"), "left").withColumn("__sub", F.when(F.col("__again").isNotNull(), F.xxhash64(text_col)).otherwise(F.lit(0).cast("long"))).drop("__again")
+
+
+def _found(keyed: DataFrame, text_col: str) -> DataFrame:
+    """Passages with the sub of their row (FOUND) of ``_rows``."""
+    spark = keyed.sparkSession
+    rows = keyed.select(F.col("__id").alias("id"), F.col("__sub").alias("sub"), F.col(text_col).alias("text")).where("id is not null")
+    staged, staged_at, n = exchange.stage(rows, "sub")
     first, first_at = shared.written(exchange.answer(exchange.ask(staged, n, _which), 1, _in_two_batches), "answers")
     asked = exchange.meet(staged, first, _places(n), "bucket int, batch long, blob binary")
     second, second_at = shared.written(exchange.answer(asked, 2, _pivots), "answers")
     found, _ = shared.written(exchange.meet(staged, first.union(second), _chained(n), CHAIN), "chains")
-    shared.removed(docs.sparkSession, staged_at, first_at, second_at)
-    met = found.join(rows.withColumnRenamed("id", "source_doc_id"), "source_doc_id")
-    names = [x.split()[0] for x in CHAIN.split(", ")]
-    return met.select(*names, "text").mapInArrow(_aligned, PASSAGE).distinct()
+    shared.removed(spark, staged_at, first_at, second_at)
+    # a source gives out the segments that any chain needs of it, and only those travel on
+    needs = found.select("batch", "nth", "source_doc_id", "source_sub", F.explode(F.sequence(F.floor(F.col("source_start") / SEGMENT), F.floor((F.col("source_end") - 1) / SEGMENT))).alias("seg"))
+    wanted, wanted_at = shared.written(needs.groupBy("source_doc_id", "source_sub").agg(F.collect_set("seg").alias("segs")), "wanted")
+    sources = rows.join(wanted, (F.col("id") == F.col("source_doc_id")) & (F.col("sub") == F.col("source_sub"))).select("id", "sub", "text", "segs")
+    cut, cut_at = shared.written(sources.mapInArrow(_segments, "source_doc_id long, source_sub long, seg long, words binary").dropDuplicates(["source_doc_id", "source_sub", "seg"]), "segments")
+    got = needs.join(cut, ["source_doc_id", "source_sub", "seg"]).groupBy("batch", "nth").agg(F.collect_list(F.struct("seg", "words")).alias("got"))
+    met = found.join(got, ["batch", "nth"]).select("doc_id", "sub", "source_doc_id", "start", "source_start", "source_end", "words", "anchors", "equal", "got")
+    out, _ = shared.written(met.mapInArrow(_aligned, FOUND).distinct(), "passages")
+    shared.removed(spark, wanted_at, cut_at)
+    return out
 
 
-def _cut(batches):
-    for batch in batches:
-        data, offsets = text.buffers(batch.column(1))
-        starts, ends, doc = text.words(data, offsets)
-        at = text.spans_of(doc, len(offsets) - 1)
-        lists = batch.column(2)
-        out = []
-        for r in range(batch.num_rows):
-            raw = data[offsets[r] : offsets[r + 1]]
-            keep = np.ones(len(raw), bool)
-            s, e = starts[at[r] : at[r + 1]] - offsets[r], ends[at[r] : at[r + 1]] - offsets[r]
-            for x in lists[r].as_py() or []:
-                keep[s[x["start"]] : e[min(x["end"], len(e)) - 1]] = False
-            out.append(raw[keep].tobytes().decode())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["__key", "__text"])
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Passages of documents that, exactly or nearly, also lie in a document with a smaller id (PASSAGE)."""
+    return _found(_rows(docs, id_col, text_col), text_col).drop("sub").distinct()
+
+
+def _cut(at: int, size_at: int | None):
+    """Rows with the spans (the last column) cut out of the text, column ``at``; those without a word left go."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = text.buffers(batch.column(at))
+            starts, ends, doc = text.words(data, offsets)
+            words = text.spans_of(doc, len(offsets) - 1)
+            lists = batch.column(batch.num_columns - 1)
+            out = []
+            for r in range(batch.num_rows):
+                raw = data[offsets[r] : offsets[r + 1]]
+                keep = np.ones(len(raw), bool)
+                s, e = starts[words[r] : words[r + 1]] - offsets[r], ends[words[r] : words[r + 1]] - offsets[r]
+                for x in lists[r].as_py():
+                    keep[s[x["start"]] : e[x["end"] - 1]] = False
+                out.append(raw[keep].tobytes().decode())
+            columns = [batch.column(k) for k in range(batch.num_columns - 1)]
+            columns[at] = pa.array(out, pa.string())
+            if size_at is not None:
+                columns[size_at] = pa.array([len(x) for x in out], columns[size_at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1]).filter(pa.array([bool(x.strip(" \t\n\v\f\r")) for x in out]))
+
+    return run
 
 
 def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with its repeated passages cut out of the text; a document that is nothing but such passages goes.
 
-    Only documents with a passage pass through Python. Rows must have ids of their own; null ids stay as they are.
+    Only documents with a passage pass through Python. Each row loses the passages of its own text; null ids stay as they
+    are. ``size_col``, if ``docs`` has it, becomes the new text's number of characters.
     """
-    found = repeated_passages(docs, id_col, text_col).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
-    met, _ = shared.written(docs.join(found, F.col(id_col) == F.col("__id"), "left").drop("__id"), "spans")
-    names = docs.columns
-    hit = met.where("__spans is not null")
-    cut = hit.select(F.col(id_col).alias("__key"), F.col(text_col), "__spans").mapInArrow(_cut, f"__key {dict(docs.dtypes)[id_col]}, __text string")
-    new = hit.drop("__spans").join(cut, F.col(id_col) == F.col("__key")).withColumn(text_col, F.col("__text")).where(F.length(F.trim("__text")) > 0)
-    if size_col in names:
-        new = new.withColumn(size_col, F.length(text_col).cast(dict(docs.dtypes)[size_col]))
-    return met.where("__spans is null").select(*names).union(new.select(*names))
+    keyed = _rows(docs, id_col, text_col)
+    spans = _found(keyed, text_col).groupBy(F.col("doc_id").alias("__doc"), F.col("sub").alias("__text_of")).agg(F.collect_set(F.struct("start", "end")).alias("__spans"))
+    spans, _ = shared.written(spans, "spans")
+    met = keyed.join(spans, (F.col("__id") == F.col("__doc")) & (F.col("__sub") == F.col("__text_of")), "left")
+    names, fields = docs.columns, {f.name: f for f in docs.schema}
+    met, _ = shared.written(met.select(*(F.col(f"`{c}`") for c in names), "__spans"), "spans")
+    schema = ", ".join(f"`{c}` {'string' if c == text_col else fields[c].dataType.simpleString()}" for c in names)
+    cut = met.where("__spans is not null").mapInArrow(_cut(names.index(text_col), names.index(size_col) if size_col in names else None), schema)
+    return met.where("__spans is null").drop("__spans").union(cut)

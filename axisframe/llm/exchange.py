@@ -37,23 +37,29 @@ def expand(raw: bytes) -> bytes:
 
 def _staged(batches):
     base, n = TaskContext.get().partitionId() << 32, 0
-    for rows, data, offsets in text.documents(batches, 1, BATCH_BYTES):
-        row = (base + n, len(data), np.asarray(rows.column(0)).astype("<i8").tobytes(), np.diff(offsets).astype("<i8").tobytes(), squeeze(data.tobytes(), 3))
+    for rows, data, offsets in text.documents(batches, 0, BATCH_BYTES):
+        ids = np.stack([np.asarray(rows.column(k)) for k in range(1, rows.num_columns)], axis=1)
+        row = (base + n, len(data), ids.astype("<i8").tobytes(), np.diff(offsets).astype("<i8").tobytes(), squeeze(data.tobytes(), 3))
         n += 1
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["batch", "n_bytes", "ids", "lengths", "text"])
 
 
-def stage(docs: DataFrame) -> tuple[DataFrame, str, int]:
-    """Batches of (id, text) rows whose ids are not null, their path, and how many buckets keys go to."""
-    staged, path = shared.written(docs.select("id", "text").mapInArrow(_staged, _BATCH), "batches", codec="none")
+def stage(docs: DataFrame, *more: str) -> tuple[DataFrame, str, int]:
+    """Batches of (id, text) rows whose ids are not null, their path, and how many buckets keys go to.
+
+    With further long columns (``more``) a batch's ids are rows of (id, *more).
+    """
+    staged, path = shared.written(docs.select("text", "id", *more).mapInArrow(_staged, _BATCH), "batches", codec="none")
     total = staged.agg(F.sum("n_bytes")).first()[0] or 0
     return staged, path, max(1, -(-total // BUCKET_BYTES))
 
 
 def opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids, bytes and offsets of a batch's documents."""
-    lengths = np.frombuffer(row["lengths"], "<i8")
-    return np.frombuffer(row["ids"], "<i8"), np.frombuffer(expand(row["text"]), np.uint8), np.concatenate([[0], np.cumsum(lengths)])
+    lengths, ids = np.frombuffer(row["lengths"], "<i8"), np.frombuffer(row["ids"], "<i8")
+    if len(ids) > len(lengths):
+        ids = ids.reshape(len(lengths), -1)
+    return ids, np.frombuffer(expand(row["text"]), np.uint8), np.concatenate([[0], np.cumsum(lengths)])
 
 
 def ask(staged: DataFrame, n: int, question) -> DataFrame:

@@ -24,10 +24,20 @@ def base_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def home(spark: SparkSession) -> str:
+    """Where this application's intermediate tables are."""
+    return f"{base_dir(spark)}/axisframe/{spark.sparkContext.applicationId}"
+
+
+def cleared(spark: SparkSession) -> None:
+    """Delete every intermediate table of this application; results that were not written elsewhere can't be read after it."""
+    removed(spark, home(spark))
+
+
 def written(df: DataFrame, tag: str, codec: str = "zstd") -> tuple[DataFrame, str]:
     """``df`` written as Parquet to the shared folder and read again: no later stage depends on its lineage."""
     spark = df.sparkSession
-    path = f"{base_dir(spark)}/axisframe/{tag}-{uuid.uuid4().hex}"
+    path = f"{home(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

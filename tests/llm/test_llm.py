@@ -516,7 +516,7 @@ def test_line_rules(make, corpus):
 def test_repeated_passages(make, corpus, monkeypatch):
     monkeypatch.setattr(exchange, "BUCKET_BYTES", 20_000)
     fuzzy = prose(80, 321)
-    rows = [r for r in corpus if r[0] not in (7,)] + [(800 + k, f"{prose(60, 7000 + k)} {edited(fuzzy, 0.05 * (k > 0), k)} {prose(25, 8000 + k)}") for k in range(6)]
+    rows = corpus + [(800 + k, f"{prose(60, 7000 + k)} {edited(fuzzy, 0.05 * (k > 0), k)} {prose(25, 8000 + k)}") for k in range(6)]
     rows += [(900 + k, prose(150, 12_000 + k)) for k in range(20)]
     got = chaining.repeated_passages(make(rows).repartition(3)).collect()
     found = collections.defaultdict(list)
@@ -534,6 +534,32 @@ def test_repeated_passages(make, corpus, monkeypatch):
     assert chaining.repeated_passages(make(rows).where("false")).count() == 0
 
 
+def test_gaps_are_aligned():
+    r = np.random.default_rng(2)
+
+    def longest(a, b):
+        t = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1, j + 1] = max(t[i, j + 1], t[i + 1, j], t[i, j] + (x == y))
+        return int(t[-1, -1])
+
+    for n, m in ((0, 3), (1, 1), (1, 5), (7, 4), (12, 12), (30, 19), (40, 70)):
+        for _ in range(8):
+            a, b = r.integers(0, 4, n), r.integers(0, 4, m)
+            got = chaining.paired(a, b)
+            assert len(got) == longest(a, b) and all(a[i] == b[j] for i, j in got)
+            assert all(x < p and y < q for (x, y), (p, q) in zip(got, got[1:]))
+    long = r.integers(0, 10_000, 900)
+    cut = np.delete(long, [100, 101, 350, 700])
+    assert len(chaining.paired(long, cut)) == 896 == len(chaining.paired(cut, long))
+    # an insertion and a deletion within one gap, whose ends alone are seeds
+    a = np.concatenate([np.arange(30), [900], np.arange(31, 35), [901], np.arange(36, 70)])
+    b = np.concatenate([np.arange(30), [800, 801], np.arange(31, 35), np.arange(36, 70)])
+    got = chaining.align(a, b, np.array([[0, 0, 26], [36, 36, 30]]))
+    assert [(x[0], x[1], x[4]) for x in got] == [(0, 70, 68)]
+
+
 def brute_windows(rows, least=chaining.LEAST):
     """Of each document, the places of words in a window of ``least`` words that also lies in a smaller document."""
     first, out = {}, collections.defaultdict(set)
@@ -556,14 +582,17 @@ def test_exact_passages_of_frequent_lines(spark, make, corpus, monkeypatch):
     lines = [prose(r.randint(4, 30), 100 + k) for k in range(30)]
     rows += [(1000 + k, " ".join(r.choice(lines) for _ in range(r.randint(2, 12)))) for k in range(250)]
     rows += [(2000 + k, f"{prose(7, 300 + k)} {prose(m, 400)} {prose(9, 500 + k)}") for k, m in enumerate((44, 45, 45, 46, 44))]
-    rows += [(i, t) for i, t in corpus if i != 7]
+    pieces = prose(60, 880).split(" ")  # a passage of which smaller documents hold pieces of 14 words
+    rows += [(3000 + k, f"{prose(20, 881 + k)} {' '.join(pieces[5 * k : 5 * k + 14])} {prose(20, 900 + k)}") for k in range(10)]
+    rows += [(3100 + k, f"{prose(20, 921 + k)} {' '.join(pieces)} {prose(20, 941 + k)}") for k in range(2)]
+    rows += corpus
     got = collections.defaultdict(set)
     texts = {i: (t or "").lower().split() for i, t in rows}
     for p in chaining.repeated_passages(make(rows).repartition(3)).collect():
         assert p["source_doc_id"] < p["doc_id"] and p["end"] <= len(texts[p["doc_id"]]) and p["source_end"] <= len(texts[p["source_doc_id"]])
         got[p["doc_id"]].update(range(p["start"], p["end"]))
     want = brute_windows(rows)
-    assert set(range(40, 100)) <= got[20] and len(want) > 100
+    assert set(range(40, 100)) <= got[20] and set(range(20, 80)) <= got[3101] and len(want) > 100
     assert all(places <= got[i] for i, places in want.items()), [i for i, places in want.items() if not places <= got[i]]
 
 
@@ -584,6 +613,75 @@ def test_passages_of_regular_changes(make):
     assert {i for i, n in near.items() if got.get(i, 0) < 0.85 * n} == set()
 
 
+def brute_passages(rows, least=chaining.LEAST):
+    """Of each document, the words in a stretch of ``least`` or more places that aligns, with over 80 percent of its places equal, with one in a smaller document: every pair, every diagonal, then what a diagonal shifts to within 5 places."""
+    words = sorted((i, (t or "").lower().split()) for i, t in rows)
+    out = collections.defaultdict(set)
+    for x, (i, a) in enumerate(words):
+        for j, b in words[:x]:
+            if j == i or len(a) < least or len(b) < least:
+                continue
+            code = {w: k for k, w in enumerate(set(a) | set(b))}
+            p, q = np.array([code[w] for w in a]), np.array([code[w] for w in b])
+            for shift in range(-len(q) + least, len(p) - least + 1):
+                lo, hi = max(0, shift), min(len(p), len(q) + shift)
+                eq = p[lo:hi] == q[lo - shift : hi - shift]
+                if eq.sum() < 0.8 * least:
+                    continue
+                sums = np.concatenate([[0], np.cumsum(np.where(eq, 1, -4))])
+                for s in range(len(eq) - least + 1):  # stretches that begin and end equal
+                    if eq[s]:
+                        ends = np.flatnonzero((sums[s + least :] > sums[s]) & eq[s + least - 1 :])
+                        if len(ends):
+                            out[i].update(range(lo + s, lo + s + least + int(ends[-1])))
+    return out
+
+
+def test_passages_against_exhaustive_search(make, monkeypatch):
+    """Random edits of every kind: what an exhaustive search finds is found, at least nine words in ten of it, and nothing else."""
+    monkeypatch.setattr(exchange, "BUCKET_BYTES", 20_000)
+    r = random.Random(12)
+    rows = []
+    for k in range(90):
+        if k < 30 or r.random() < 0.3:
+            rows.append((k, prose(r.randint(0, 160), 30_000 + k)))
+            continue
+        out = prose(r.randint(5, 60), 31_000 + k).split(" ")
+        for _ in range(r.randint(1, 2)):
+            source = r.choice(rows)[1].split(" ")
+            start = r.randint(0, max(0, len(source) - 50))
+            share = r.choice([0, 0, 0.02, 0.05, 0.1, 0.15])
+            out += [r.choice(WORDS) if r.random() < share else w for w in source[start : start + r.randint(46, 120)]] + prose(r.randint(3, 40), 32_000 + k).split(" ")
+        rows.append((k, " ".join(out)))
+    want = brute_passages(rows)
+    got = collections.defaultdict(set)
+    texts = {i: t.lower().split() for i, t in rows}
+    for p in chaining.repeated_passages(make(rows).repartition(3)).collect():
+        assert p["n_equal"] > 0.8 * p["n_places"] and p["source_doc_id"] < p["doc_id"]
+        a, b = texts[p["doc_id"]][p["start"] : p["end"]], texts[p["source_doc_id"]][p["source_start"] : p["source_end"]]
+        assert len(a) >= chaining.LEAST and sum((collections.Counter(a) & collections.Counter(b)).values()) >= p["n_equal"]
+        got[p["doc_id"]].update(range(p["start"], p["end"]))
+    found = sum(len(got[i] & places) for i, places in want.items())
+    total = sum(map(len, want.values()))
+    assert len(want) > 30 and found >= 0.9 * total, (found, total)
+    assert sum(len(places - want[i]) for i, places in got.items()) <= 0.05 * total
+    print("recall in words", found / total)
+
+
+def test_passages_of_repeated_ids(make):
+    """Texts of one id are compared with smaller documents, each cut by its own passages; no row is lost or multiplied."""
+    p, q = prose(60, 51), prose(60, 52)
+    rows = [(1, p + " " + prose(30, 53)), (2, prose(20, 54) + " " + q), (1, prose(30, 55)), (3, prose(25, 56) + " " + p), (3, q + " " + prose(40, 57)), (3, prose(25, 56) + " " + p), (4, q), (4, p), (4, prose(50, 58)), (None, p), (None, p), (5, ""), (5, ""), (2, prose(20, 59) + " " + q)]
+    docs = make(rows)
+    got = {(x["doc_id"], x["start"], x["end"], x["source_doc_id"], x["source_start"], x["source_end"]) for x in chaining.repeated_passages(docs).collect()}
+    assert {(3, 25, 85, 1, 0, 60), (4, 0, 60, 1, 0, 60)} <= got and {g[0] for g in got} == {3, 4}
+    assert (3, 0, 60, 2, 20, 80) in got and (4, 0, 60, 2, 20, 80) in got and len(got) == 4
+    left = sorted(((x["doc_id"], " ".join(x["text"].split())) for x in chaining.without_passages(docs).collect()), key=str)
+    assert left == sorted([*rows[:3], (3, prose(25, 56)), (3, prose(40, 57)), (3, prose(25, 56)), rows[8], (None, p), (None, p), (5, ""), (5, ""), rows[13]], key=str)
+    none = chaining.without_passages(docs.where("false"))
+    assert none.count() == 0 and none.columns == docs.columns
+
+
 def test_without_passages(make):
     passage = prose(60, 42)
     rows = [(1, prose(50, 1) + " " + passage), (2, passage + "\n" + prose(50, 2)), (3, passage), (4, prose(50, 4)), (None, passage), (5, None)]
