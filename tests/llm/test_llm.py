@@ -471,6 +471,41 @@ def test_top_k(spark):
     assert topk.top_k(df.where("false"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def brute_top(rows, k=10):
+    whole = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows if i is not None]
+    out = []
+    for q in sorted({i for i, _ in whole if i % 100 == 0}):
+        found = [(-sum(a * b for a, b in zip(v, w)), c) for i, v in whole if i == q for c, w in whole if c != q]
+        out += [(q, n + 1, c, -s) for n, (s, c) in enumerate(sorted(found)[:k])]
+    return out
+
+
+def test_top_k_in_groups_and_chunks(spark, monkeypatch):
+    """Clusters over many ranges, groups and chunks: floors are carried, most blocks are not scored, and results are exact."""
+    for name, value in (("RANGE", 300), ("GROUP", 2), ("CHUNK", 7), ("PIVOTS", 24)):
+        monkeypatch.setattr(topk, name, value)
+    r = np.random.default_rng(16)
+    centres = r.normal(size=(20, 12))
+    rows = [(int(k), [float(x) for x in centres[k % 20] + r.normal(size=12) / 100]) for k in range(3000)]
+    rows += [(50, rows[50][1][:5]), (50, rows[50][1]), (3100, [1.5, -2.0]), (3100, [0.5]), (3101, rows[0][1]), (3102, rows[0][1]), (None, rows[3][1])]
+    scored = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("part", F.lit("x")).withColumn("asked", F.lit(1))
+    got = [tuple(x) for x in topk.top_k(df.repartition(5), F.col("vec_id") % 100 == 0, scored=scored).orderBy("query_id", "rank").collect()]
+    assert got == brute_top(rows)
+    assert scored.value < 0.5 * 32 * 3000 / topk.BLOCK, scored.value
+
+
+def test_top_k_refuses_what_it_can_not_hold(spark):
+    for big in (1e300, -1e300, 2.0**43):
+        with pytest.raises(Exception, match="no exact integer"):
+            topk.top_k(spark.createDataFrame([(0, [1.0]), (1, [big])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(spark.createDataFrame([(0, [2.0**42]), (1, [2.0**42])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    rows = [(0, [2.0**20 + 1, 1.0]), (1, [2.0**20 - 1, 3.0]), (2, [-(2.0**20), 0.5])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    assert [tuple(x) for x in got] == brute_top(rows)
+
+
 def test_top_k_prunes_and_stays_exact_for_large_components():
     r = np.random.default_rng(1)
     centres = r.normal(size=(40, 16)) * 50
