@@ -12,23 +12,27 @@ from pyspark.sql import functions as F
 from . import shared
 
 
-def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, list[str]]:
+#: Links in a part of a written table.
+PART = 250_000
+
+
+def _star(edges: DataFrame, large: bool, parts: int) -> tuple[DataFrame, str]:
     """Hang neighbours on the smallest node of each neighbourhood: the larger ones (large) or the others (small).
 
     The neighbourhoods' smallest nodes are written first: a join with a table can be broadcast, or split at a node with
-    very many links. Returns the links and what they read.
+    very many links. Tables have about ``parts`` parts, by the number of links. Returns the links and what they read.
     """
     if large:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low, path = shared.written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "low")
+    low, path = shared.written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).coalesce(parts), "low")
     met = both.join(low, "u")
     if large:
         out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct(), path
+    return out.where("u <> v").distinct().coalesce(parts), path
 
 
 def _written(edges: DataFrame) -> tuple[DataFrame, str, tuple]:
@@ -50,9 +54,10 @@ def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
     first = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now, path, seen = _written(first)
     while seen[0]:
-        step, low = _star(now, True)
+        parts = max(8, -(-seen[0] // PART))
+        step, low = _star(now, True, parts)
         step, at = shared.written(step, "links")
-        step, more = _star(step, False)
+        step, more = _star(step, False, parts)
         nxt, new, said = _written(step)
         shared.removed(spark, path, low, at, more)
         now, path = nxt, new
