@@ -6,9 +6,15 @@ next shorter context predicts among the symbols that are not excluded (those see
 frozen after training, so the exact code length of every symbol in every context is a table; a text costs the sum of its
 bytes' entries, and the language with the shortest code wins.
 
-Bounds, all parameters: training takes at most ``docs_per_lang`` documents of each language, none above ``train_bytes``
-bytes; at most 127 byte values have symbols of their own (others share one); at most ``max_contexts`` contexts are kept,
-the most frequent, fewer if the table would pass 24 MB. The table is what is broadcast.
+The alphabet is all 256 byte values. The ``own_symbols`` most frequent have symbols of their own; the others are coded as
+one symbol that escapes to a table of their own, in which every byte value, seen or not, has a code. So code lengths are
+exact over any bytes.
+
+Bounds, all parameters of ``fit``: training takes at most ``docs_per_lang`` documents of each language, of each a stretch
+of at most ``train_chars`` characters, and at most ``labels`` languages (more are an error); the context tree is cut to
+contexts of two and three bytes that were seen ``least_seen`` times, to the ``max_contexts`` most frequent, and to fewer
+if the table of code lengths would pass ``table_bytes``, which bounds what is broadcast. What is cut falls back to the
+shorter context.
 
 A text that is null or has no letter is ``und`` with score 0. ``score`` is the winner's share of the likelihoods, at the
 text's mean code length over at most 64 bytes. Null ids are kept (held_out is then false). With no labelled row every
@@ -22,18 +28,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import text
-from .sampling import bounded_rows, fold
+from . import shared, text
+from .sampling import bounded_rows, fold, ranked, stretch
 
 ORDER = 3
 _SPACE_BYTE = 10
 
 
 class Model:
-    """Code lengths: ``node_of`` maps the last three symbols to a context, ``cost`` a context and a symbol to bits by language."""
+    """Code lengths: ``node_of`` maps the last three symbols to a context, ``cost`` a context and a symbol to bits by language.
+
+    Symbol 0 is the escape; ``rest`` has the further bits, by language, of each byte value that it stands for.
+    """
 
-    def __init__(self, langs, symbol, node_of, cost):
-        self.langs, self.symbol, self.node_of, self.cost = langs, symbol, node_of, cost
+    def __init__(self, langs, symbol, node_of, cost, rest):
+        self.langs, self.symbol, self.node_of, self.cost, self.rest = langs, symbol, node_of, cost, rest
 
     def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits of each document under each language."""
@@ -57,23 +66,27 @@ class Model:
         full = np.flatnonzero(np.diff(offsets) > 0)
         for k in range(len(self.langs)):
             out[full, k] = np.add.reduceat(flat[:, k][at], offsets[full], dtype=np.float64)
+        rare = np.flatnonzero(sym == 0)
+        if len(rare):
+            np.add.at(out, np.searchsorted(offsets, rare, side="right") - 1, self.rest[data[rare]])
         return out
 
 
-def train(samples: dict[str, list[bytes]], max_contexts: int = 16000) -> Model:
+def train(samples: dict[str, list[bytes]], max_contexts: int = 16000, own_symbols: int = 127, least_seen: int = 2, table_bytes: int = 24_000_000) -> Model:
     langs = sorted(samples)
     if not langs:
-        return Model([], np.zeros(256, np.uint8), np.zeros(1, np.int32), np.zeros((1, 1, 0), np.float32))
-    sums = np.zeros(256, np.int64)
-    for parts in samples.values():
-        for x in parts:
-            sums += np.bincount(np.frombuffer(x, np.uint8), minlength=256)
+        return Model([], np.zeros(256, np.uint8), np.zeros(1, np.int32), np.zeros((1, 1, 0), np.float32), np.zeros((256, 0)))
+    each = np.array([sum((np.bincount(np.frombuffer(x, np.uint8), minlength=256) for x in samples[lang]), np.zeros(256, np.int64)) for lang in langs])
+    sums = each.sum(0)
     sums[_SPACE_BYTE] += 1
-    own = np.sort(np.argsort(-sums, kind="stable")[: min(127, int((sums > 0).sum()))])
+    own = np.sort(np.argsort(-sums, kind="stable")[: min(own_symbols, 255, int((sums > 0).sum()))])
     symbol = np.zeros(256, np.uint8)
     symbol[own] = np.arange(1, len(own) + 1)
+    others = symbol == 0
+    rest = np.zeros((256, len(langs)))
+    rest[others] = -np.log2((each[:, others] + 1) / (each[:, others] + 1).sum(1, keepdims=True)).T
     size = len(own) + 1
-    room = max(size, min(max_contexts, 24_000_000 // (4 * size * max(1, len(langs)))))
+    room = max(size, min(max_contexts, table_bytes // (4 * size * len(langs))))
     pad = np.full(ORDER, symbol[_SPACE_BYTE], np.int64)
     counts: list[tuple[np.ndarray, np.ndarray]] = [[] for _ in range(ORDER + 1)]
     for k, lang in enumerate(langs):
@@ -98,7 +111,7 @@ def train(samples: dict[str, list[bytes]], max_contexts: int = 16000) -> Model:
         often = np.bincount(where, weights=weight, minlength=len(ctx))
         left = room - nodes
         keep = np.sort(np.argsort(-often, kind="stable")[: max(0, left)]) if len(ctx) > left else np.arange(len(ctx))
-        keep = keep[(often[keep] > 1) | (order < 2)]
+        keep = keep[(often[keep] >= least_seen) | (order < 2)]
         ctx = ctx[keep]
         cnt = np.zeros((len(ctx), len(langs), size), np.float32)
         for k, (f, n) in enumerate(counts[order]):
@@ -117,7 +130,7 @@ def train(samples: dict[str, list[bytes]], max_contexts: int = 16000) -> Model:
         parts.append(new)
     table = lower.astype(np.int32)
     cost = -np.log2(np.maximum(prob, 1e-12)).astype(np.float32)
-    return Model(langs, symbol, table, np.ascontiguousarray(cost.transpose(0, 2, 1)))
+    return Model(langs, symbol, table, np.ascontiguousarray(cost.transpose(0, 2, 1)), rest)
 
 
 def _escape(cnt: np.ndarray, above: np.ndarray) -> np.ndarray:
@@ -132,18 +145,19 @@ def _escape(cnt: np.ndarray, above: np.ndarray) -> np.ndarray:
     return np.where(total > 0, out, above)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 256, train_bytes: int = 20_000, max_contexts: int = 16000, held_out=None) -> Model:
-    """Train on a bounded sample of the labelled rows for which ``held_out`` is false."""
-    fit_on = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= train_bytes))
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 256, train_chars: int = 20_000, labels: int = 64, held_out=None, **bounds) -> Model:
+    """Train on a bounded sample of the labelled rows for which ``held_out`` is false; ``bounds`` are those of ``train``."""
+    fit_on = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     if held_out is not None:
         fit_on = fit_on.where(~held_out)
     rows = fit_on.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    chosen = bounded_rows(rows, "id", "lang", docs_per_lang)
+    chosen = bounded_rows(rows, "id", "lang", docs_per_lang, labels)  # at most docs_per_lang * labels rows
     texts = fit_on.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(chosen), ["id", "lang"], "left_semi")
     samples: dict[str, list[bytes]] = {}
-    for row in bounded_rows(texts.withColumn("key", F.xxhash64("id", "text")), "key", "lang", docs_per_lang).collect():
+    cut = texts.withColumn("key", F.xxhash64("id", "text")).withColumn("text", stretch("text", "id", train_chars))
+    for row in ranked(cut, "key", "lang", docs_per_lang).collect():
         samples.setdefault(row["lang"], []).append(row["text"].encode())
-    return train({k: sorted(v) for k, v in samples.items()}, max_contexts)
+    return train({k: sorted(v) for k, v in samples.items()}, **bounds)
 
 
 def _scorer(held, at: int):
@@ -172,7 +186,7 @@ def _scorer(held, at: int):
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", held_out=None, keep: bool = False) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row's whole text; with ``keep`` every column of ``docs``, then those two."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = shared.prepared(docs.sparkSession).sparkContext.broadcast(model)
     texts = [F.col(text_col).alias("__text"), F.col(text_col).rlike("\\p{L}").alias("__letters")]
     if keep:
         kept = docs.drop("lang_pred", "score")

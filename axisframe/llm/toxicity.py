@@ -2,8 +2,10 @@
 
 A word is a run of ASCII letters, digits and bytes from 0x80 on, with A-Z lower-cased. A text's features are the distinct
 hashes (``BITS`` bits) of its words, pairs of neighbours and pairs one word apart. Training visits a bounded sample
-(``per_label`` rows of each label, texts up to ``train_bytes`` bytes) a few times on the driver; per-coordinate rates
-and the L1 term leave few weights that are not zero, and those are broadcast (at most 2 ** BITS floats, 1 MB).
+(``per_label`` rows of each label, of each text a stretch of at most ``train_chars`` characters) a few times on the
+driver, which is sent the features of these rows only: 12 bytes for each word, so at most 2 * ``per_label`` *
+``train_chars`` * 6 bytes whatever the tables' sizes. Per-coordinate rates and the L1 term leave few weights that are not
+zero, and those are broadcast (at most 2 ** BITS floats, 1 MB).
 
 Null or empty texts get the score of the intercept. Null ids are kept (held_out false). Labels that are null, or ids
 without a document, are not learned from; a doc_id with several labels counts with each. With no label at all every
@@ -17,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import text
-from .sampling import bounded_rows, fold
+from . import shared, text
+from .sampling import bounded_rows, fold, ranked, stretch
 
 BITS = 18
 _U = np.uint64
@@ -75,15 +77,16 @@ def _featured(batches):
         yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.astype(np.int32)))], names=["label", "features"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 3000, train_bytes: int = 20_000, held_out=None) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 3000, train_chars: int = 20_000, held_out=None) -> np.ndarray:
     """Weights learned from at most ``per_label`` rows of each label for which ``held_out`` (over labels) is false."""
     known = labels.where(F.col(label_col).isin(0, 1))
     if held_out is not None:
         known = known.where(~held_out)
     chosen = bounded_rows(known.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")), "id", "label", per_label)
-    texts = docs.where(F.octet_length(text_col) <= train_bytes).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    met = texts.join(F.broadcast(chosen), "id").withColumn("key", F.xxhash64("id", "text"))
-    got = bounded_rows(met, "key", "label", per_label).select("label", "text").mapInArrow(_featured, "label int, features array<int>").toArrow()
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    met = texts.join(F.broadcast(chosen), "id").withColumn("key", F.xxhash64("id", "text")).withColumn("text", stretch("text", "id", train_chars))
+    shared.prepared(docs.sparkSession)
+    got = ranked(met, "key", "label", per_label).select("label", "text").mapInArrow(_featured, "label int, features array<int>").toArrow()
     got = got.combine_chunks()
     if not got.num_rows:
         return np.zeros((1 << BITS) + 1, np.float32)
@@ -113,7 +116,7 @@ def _scorer(held):
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", held_out=None) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row's whole text."""
     index = np.flatnonzero(weights[:-1]).astype(np.int32)
-    held = docs.sparkSession.sparkContext.broadcast((index, weights[index], float(weights[-1])))
+    held = shared.prepared(docs.sparkSession).sparkContext.broadcast((index, weights[index], float(weights[-1])))
     flag = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), flag.alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_scorer(held), "doc_id long, held_out boolean, score double, predicted int")

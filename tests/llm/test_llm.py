@@ -322,6 +322,63 @@ def test_ppm_code_lengths_are_probabilities():
     assert np.allclose(both[2], model.bits(data[4:], np.array([0, 6]))[0])
 
 
+def test_ppm_against_a_plain_coder():
+    """Every code length of an uncut model equals a plain coder's, one symbol and one dictionary at a time."""
+    r = random.Random(21)
+    own = {"a": [b"abracadabra banana " * 3, bytes(r.randrange(90, 120) for _ in range(200))], "b": [b"the cat sat on the mat. " * 4, b"\xc3\xa9t\xc3\xa9 \x00\xff" * 5], "c": [b""]}
+    model = ppm.train(own, max_contexts=10**6, own_symbols=255, least_seen=1, table_bytes=1 << 40)
+    texts = [b"abra the mat \xc3\xa9", b"q", bytes(r.randrange(256) for _ in range(60)), b"banana sat zzz\x00\xff"]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+    got = model.bits(data, offsets)
+    for k, lang in enumerate(model.langs):
+        counts = collections.defaultdict(collections.Counter)
+        for x in own[lang]:
+            x = bytes([10]) * 3 + x
+            for at in range(3, len(x)):
+                for o in range(4):
+                    counts[x[at - o : at]][int(model.symbol[x[at]])] += 1
+        counts = {bytes(int(model.symbol[b]) for b in c): n for c, n in counts.items()}
+        size = model.cost.shape[1]
+        for t, found in zip(texts, got[:, k]):
+            s = bytes(int(model.symbol[b]) for b in bytes([10]) * 3 + t)
+            want = 0.0
+            for at in range(3, len(s)):
+                out = np.full(size, 1 / size)
+                for o in range(4):
+                    seen = counts.get(s[at - o : at])
+                    if not seen:
+                        continue
+                    total, kinds = sum(seen.values()), len(seen)
+                    left = sum(out[b] for b in range(size) if b not in seen)
+                    out = np.array([seen[b] / (total + (kinds if left else 0)) if b in seen else kinds / (total + kinds) * out[b] / left for b in range(size)])
+                want -= np.log2(out[s[at]])
+                if s[at] == 0:
+                    want += model.rest[t[at - 3], k]
+            assert abs(found - want) < 1e-3 * max(1, want), (lang, t)
+
+
+def test_ppm_codes_every_byte():
+    """With few symbols of their own, many byte values and a cut tree, all 256 bytes after any others have codes that sum to one."""
+    r = random.Random(22)
+    model = ppm.train({"a": [bytes(r.randrange(256) for _ in range(5000))], "b": [b"plain text " * 40]}, own_symbols=20, max_contexts=50)
+    for before in (b"", b"pla", bytes([200, 3, 250])):
+        data = np.frombuffer(b"".join(before + bytes([b]) for b in range(256)), np.uint8)
+        step = len(before) + 1
+        whole = model.bits(data, np.arange(0, len(data) + 1, step))
+        start = model.bits(np.frombuffer(before, np.uint8), np.array([0, len(before)]))
+        assert np.allclose(np.exp2(start - whole).sum(0), 1, atol=1e-3)
+
+
+def test_languages_of_long_texts_and_many_labels(spark):
+    long = "the and of with this that from " * 4000
+    rows = [(k, long[k:], "aa") for k in range(6)] + [(10 + k, "der die und nicht ein mit sich " * 3000, "bb") for k in range(6)] + [(30, "die und nicht ein", None), (31, "the and of with", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x["lang_pred"] for x in ppm.languages(docs).collect()}
+    assert all(got[k] == "aa" for k in range(6)) and all(got[10 + k] == "bb" for k in range(6)) and (got[30], got[31]) == ("bb", "aa")
+    with pytest.raises(ValueError, match="labels"):
+        ppm.fit(docs, labels=1)
+
+
 def test_packing(spark, make, corpus):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
@@ -471,6 +528,64 @@ def test_top_k(spark):
     assert topk.top_k(df.where("false"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def plain_ftrl(rows, labels, order, alpha=0.2, beta=1.0, l1=3.0, l2=1.0):
+    """FTRL-proximal as published, one coordinate at a time in dictionaries; the intercept is coordinate -1."""
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * l1) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for k in order:
+        at = [*rows[k], -1]
+        w = {i: weight(i) for i in at}
+        p = 1 / (1 + np.exp(-max(-35, min(35, sum(w.values())))))
+        g = p - labels[k]
+        for i in at:
+            z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * w[i]
+            n[i] += g * g
+    return {i: weight(i) for i in list(z)}
+
+
+def test_ftrl_against_a_plain_loop():
+    r = np.random.default_rng(8)
+    rows = [np.unique(r.integers(0, 200, 30)) for _ in range(150)]
+    labels = np.array([float((x < 8).any()) for x in rows])
+    order = [k for rng in [np.random.default_rng(7)] for _ in range(6) for k in rng.permutation(len(rows))]
+    want = plain_ftrl([x.tolist() for x in rows], labels, order)
+    got = toxicity.ftrl(rows, labels, bits=8)
+    assert got[-1] == pytest.approx(want.pop(-1), abs=1e-6) and got[:-1] == pytest.approx([want.get(i, 0.0) for i in range(256)], abs=1e-6)
+    assert 0 < np.count_nonzero(got[:-1]) < 200  # the L1 term leaves some at zero
+
+
+def test_features_are_the_words_and_pairs():
+    import pyarrow as pa
+
+    texts = ["You, nit-wit! you nit wit", "", None, "a", "a b", "a b a b c", "Été à l'été", "x" * 3000, prose(300, 1)]
+    data, offsets = text.buffers(pa.array(texts, pa.string()))
+    values, at = toxicity.features(data, offsets, bits=40)
+    number = {}
+    for k, t in enumerate(texts):
+        w = [x for x in re.split(rb"[^0-9A-Za-z\x80-\xff]+", (t or "").encode()) if x]
+        w = [re.sub(rb"[A-Z]", lambda m: m[0].lower(), x) for x in w]
+        want = {(x,) for x in w} | {(1, x, y) for x, y in zip(w, w[1:])} | {(2, x, y) for x, y in zip(w, w[2:])}
+        mine = values[at[k] : at[k + 1]].tolist()
+        assert len(mine) == len(set(mine)) == len(want), t
+        number[k] = (want, set(mine))
+    for want, mine in number.values():  # what two texts share has one number in both
+        for other, theirs in number.values():
+            assert len(want & other) == len(mine & theirs)
+
+
+def test_toxicity_of_long_texts_and_repeated_ids(spark, make):
+    rows = [(k, prose(3000, k) + (" dunce nitwit" * 400 if k % 2 else "")) for k in range(40)]
+    rows += [(k, prose(40, 800 + k) + (" dunce nitwit" if k % 2 else "")) for k in range(40, 240)] + [(41, "dunce nitwit here"), (41, None), (41, "")]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(240)] + [(41, 1), (41, 1)], "doc_id long, toxic int")
+    got = toxicity.toxicity(make(rows), labels).collect()
+    assert len(got) == len(rows) and np.mean([g["predicted"] == g["doc_id"] % 2 for g in got if g["held_out"]]) > 0.9
+
+
 def brute_top(rows, k=10):
     whole = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows if i is not None]
     out = []
@@ -730,6 +845,10 @@ def test_bounded_rows(spark):
     df = spark.range(5000).selectExpr("id", "if(id < 4000, 'a', 'b') as k")
     got = sampling.bounded_rows(df, "id", "k", 20).collect()
     assert collections.Counter(r["k"] for r in got) == {"a": 20, "b": 20}
+    assert got and {r["id"] for r in got} == {r["id"] for r in sampling.ranked(df, "id", "k", 20).collect()}
+    texts = spark.createDataFrame([(1, "abcdef"), (2, "ab"), (3, None), (4, "é" * 50)], "id long, t string")
+    cut = {r["id"]: r["s"] for r in texts.select("id", sampling.stretch("t", "id", 4).alias("s")).collect()}
+    assert cut[1] in "abcdef" and len(cut[1]) == 4 and cut[2] == "ab" and cut[3] is None and cut[4] == "é" * 4
 
 
 def test_pipeline(spark, make, corpus, tmp_path):
