@@ -7,10 +7,12 @@ neither; ``plans.compiler`` does.
 
 from __future__ import annotations
 
+import builtins
+import math
 from collections.abc import Callable, Iterable
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..errors import SelectionError, UnknownColumnError
@@ -23,6 +25,10 @@ class Expr:
         self.kind, self.make, self.args, self.name, self.value, self.label, self.keys = kind, make, tuple(args), name, value, label, keys
         #: For a running aggregate: the aggregate, how parts' totals fold, and how a part's value takes in those before it.
         self.prefix: tuple[Callable, Callable, Callable] | None = None
+        #: A comparison of columns and plain values: it also holds for the rows before NaN became missing, so a scan may take it.
+        self.plain = False
+        #: An aggregate that can't be a window: a distinct one, or one of Python ("python").
+        self.alone: bool | str = False
 
     # -- structure --
     def walk(self) -> Iterable[Expr]:
@@ -61,13 +67,13 @@ class Expr:
     def __rpow__(self, o): return _power(o, self)  # noqa: E704
     def __neg__(self): return scalar(lambda a: -a, self)  # noqa: E704
     def __pos__(self): return self  # noqa: E704
-    def __eq__(self, o): return _binary(lambda a, b: a == b, self, o)  # noqa: E704
-    def __ne__(self, o): return _binary(lambda a, b: a != b, self, o)  # noqa: E704
-    def __lt__(self, o): return _binary(lambda a, b: a < b, self, o)  # noqa: E704
-    def __le__(self, o): return _binary(lambda a, b: a <= b, self, o)  # noqa: E704
-    def __gt__(self, o): return _binary(lambda a, b: a > b, self, o)  # noqa: E704
-    def __ge__(self, o): return _binary(lambda a, b: a >= b, self, o)  # noqa: E704
-    def __and__(self, o): return _binary(lambda a, b: a & b, self, o)  # noqa: E704
+    def __eq__(self, o): return _compared(lambda a, b: a == b, self, o)  # noqa: E704
+    def __ne__(self, o): return _compared(lambda a, b: a != b, self, o)  # noqa: E704
+    def __lt__(self, o): return _compared(lambda a, b: a < b, self, o)  # noqa: E704
+    def __le__(self, o): return _compared(lambda a, b: a <= b, self, o)  # noqa: E704
+    def __gt__(self, o): return _compared(lambda a, b: a > b, self, o)  # noqa: E704
+    def __ge__(self, o): return _compared(lambda a, b: a >= b, self, o)  # noqa: E704
+    def __and__(self, o): return _both(self, o)  # noqa: E704
     def __rand__(self, o): return _binary(lambda a, b: a & b, o, self)  # noqa: E704
     def __or__(self, o): return _binary(lambda a, b: a | b, self, o)  # noqa: E704
     def __ror__(self, o): return _binary(lambda a, b: a | b, o, self)  # noqa: E704
@@ -152,15 +158,40 @@ class Expr:
     def rolling_max(self, window: int, min_samples: int | None = None) -> Expr: return self._rolling(F.max, window, min_samples)  # noqa: E704
     def rolling_std(self, window: int, min_samples: int | None = None) -> Expr: return self._rolling(F.stddev_samp, window, min_samples)  # noqa: E704
 
-    def ewm_mean(self, alpha: float) -> Expr:
-        """Exponentially weighted mean, adjusted, of the rows so far; missing rows stay missing and their weights decay."""
-        keep = 1.0 - float(alpha)
+    def ewm_mean(self, alpha: float | None = None, *, com: float | None = None, span: float | None = None, half_life: float | None = None, adjust: bool = True, min_samples: int = 1, ignore_nulls: bool = False) -> Expr:
+        """Exponentially weighted mean of the rows so far; missing rows stay missing and, unless ignored, weights decay over them.
+
+        Rows are summed in blocks whose weights stay within a double; a block takes in the one before it. Older ones weigh less
+        than 2 ** -400 and change no digit. So a row costs the same however long its group is.
+        """
+        given = {"alpha": alpha, "com": com, "span": span, "half_life": half_life}
+        given = {k: float(v) for k, v in given.items() if v is not None}
+        if len(given) != 1:
+            raise SelectionError("ewm_mean takes one of alpha, com, span and half_life")
+        name, value = next(iter(given.items()))
+        a = {"alpha": lambda v: v, "com": lambda v: 1 / (1 + v), "span": lambda v: 2 / (v + 1), "half_life": lambda v: 1 - 0.5 ** (1 / v)}[name](value)
+        if not 0 < a <= 1:
+            raise SelectionError("ewm_mean's weight of a new row is over 0 and at most 1")
+        keep = 1.0 - a
+        size = 1 if not keep else builtins.max(1, int(400 / -math.log2(keep)))
 
         def make(ctx, c):
-            rows = F.collect_list(F.struct(c.cast("double").alias("v"))).over(ctx.running())
-            zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
-            step = lambda a, r: F.struct((a["s"] * keep + F.coalesce(r["v"], F.lit(0.0))).alias("s"), (a["w"] * keep + F.when(r["v"].isNull(), 0.0).otherwise(1.0)).alias("w"))
-            return F.when(c.isNotNull(), F.aggregate(rows, zero, step, lambda a: a["s"] / a["w"]))
+            seen = ctx.temp(F.count(c).over(ctx.running()))
+            at = (seen if ignore_nulls else ctx.temp(F.row_number().over(ctx.in_order()))) - 1
+            block, turn = ctx.temp(F.floor(F.greatest(at, F.lit(0)) / size)), ctx.temp(F.greatest(at, F.lit(0)) % size)
+            weight = F.when(c.isNull(), 0.0).when((seen > 1) & F.lit(not adjust), a).otherwise(1.0)
+            back = F.pow(F.lit(keep), turn.cast("double")) if keep else F.lit(1.0)
+            groups = ctx._groups()
+            inside = Window.partitionBy(*groups, block).orderBy(*ctx._need_order()).rowsBetween(Window.unboundedPreceding, 0)
+            before = Window.partitionBy(*groups).orderBy(block).rangeBetween(-1, -1)
+            sums = []
+            for part in (F.coalesce(c.cast("double"), F.lit(0.0)) * weight, weight):
+                scaled = ctx.temp(part / back)
+                here = ctx.temp(F.sum(scaled).over(inside))
+                last = ctx.temp(F.sum(scaled).over(Window.partitionBy(*groups, block)))
+                earlier = F.coalesce(ctx.temp(F.max(last).over(before)), F.lit(0.0)) * F.lit(keep**size)
+                sums.append((here + earlier) * back)
+            return F.when(c.isNotNull() & (seen >= min_samples), sums[0] / sums[1])
 
         return ordered(make, self)
 
@@ -174,8 +205,13 @@ class Expr:
         """This expression within groups of the named columns, whatever the table's groups are."""
         return Expr("partition", None, (self,), keys=tuple(keys))
 
-    def map_batches(self, func: Callable, return_type: str = "double") -> Expr:
-        """A pandas function of whole batches of rows (Arrow); it must not depend on how rows fall into batches."""
+    def map_batches(self, func: Callable, return_type: str = "double", returns_scalar: bool = False) -> Expr:
+        """A pandas function of whole batches of rows (Arrow); it must not depend on how rows fall into batches.
+
+        With ``returns_scalar`` it is an aggregate instead: it is given all values of a group and returns one.
+        """
+        if returns_scalar:
+            return aggregate(lambda o, ctx, c: o(F.pandas_udf(func, return_type, F.PandasUDFType.GROUPED_AGG)(c)), self, alone="python")
 
         def make(c):
             return F.pandas_udf(func, return_type)(c)
@@ -252,9 +288,11 @@ def scalar(make: Callable[..., Column], *args: Expr) -> Expr:
     return Expr("scalar", make, args)
 
 
-def aggregate(make: Callable[..., Column], *args: Expr) -> Expr:
+def aggregate(make: Callable[..., Column], *args: Expr, alone: bool | str = False) -> Expr:
     """``make(o, ctx, *columns)``: every aggregate call inside is passed through ``o``."""
-    return Expr("aggregate", make, args)
+    out = Expr("aggregate", make, args)
+    out.alone = alone
+    return out
 
 
 def ordered(make: Callable[..., Column], *args: Expr, prefix: tuple[Callable, Callable, Callable] | None = None) -> Expr:
@@ -277,6 +315,19 @@ def _binary(make, a, b) -> Expr:
     return scalar(make, value_of(a), value_of(b))
 
 
+def _compared(make, a: Expr, b: Any) -> Expr:
+    out = _binary(make, a, b)
+    fixed = out.args[1]
+    out.plain = a.kind == "column" and fixed.kind == "literal" and fixed.value is not None and fixed.value == fixed.value
+    return out
+
+
+def _both(a: Any, b: Any) -> Expr:
+    out = _binary(lambda x, y: x & y, a, b)
+    out.plain = all(x.plain for x in out.args)
+    return out
+
+
 def _divide(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
@@ -305,8 +356,10 @@ def _power(a: Any, b: Any) -> Expr:
 
 
 def _among(e: Any, values: Iterable[Any]) -> Expr:
-    values = list(values)
-    return scalar(lambda c: c.isin(values) if values else F.lit(False), column_of(e))
+    values, e = list(values), column_of(e)
+    out = scalar(lambda c: c.isin(values) if values else F.lit(False), e)
+    out.plain = e.kind == "column" and bool(values) and all(v is not None and v == v for v in values)
+    return out
 
 
 def col(*names: Any) -> Any:
@@ -342,12 +395,7 @@ def n() -> Expr:
 
 def n_distinct(e: Any) -> Expr:
     """Distinct values; missing counts as one."""
-
-    def make(o, ctx, c):
-        missing = F.coalesce(o(F.max(c.isNull().cast("long"))), F.lit(0))
-        return (F.size(o(F.collect_set(c))).cast("long") if ctx.in_rows else o(F.count_distinct(c))) + missing
-
-    return aggregate(make, column_of(e))
+    return aggregate(lambda o, ctx, c: o(F.count_distinct(c)) + F.coalesce(o(F.max(c.isNull().cast("long"))), F.lit(0)), column_of(e), alone=True)
 
 
 def mean(e: Any) -> Expr:
@@ -387,9 +435,8 @@ def nth(e: Any, n: int, default: Any = None) -> Expr:
     """The value at place n from 0, or from the end if negative; default if there is no such place."""
 
     def make(o, ctx, c):
-        rows = F.array_sort(o(F.collect_list(F.struct(ctx.place().alias("p"), c.alias("v")))))
-        at = F.lit(n) if n >= 0 else F.size(rows) + n
-        return F.when((at >= 0) & (at < F.size(rows)), F.get(rows, at)["v"]).otherwise(F.lit(default))
+        held = ctx.at_place(c, n)
+        return F.when(o(F.count(held)) > 0, o(F.first(held, ignorenulls=True))["v"]).otherwise(F.lit(default))
 
     return aggregate(make, column_of(e))
 
@@ -417,10 +464,11 @@ def lag(e: Any, n: int = 1, default: Any = None) -> Expr:
     return _shifted(e, n, default)
 
 
-def _rank(func, e: Any, descending: bool) -> Expr:
+def _rank(func, e: Any, descending: bool, distinct: bool = False) -> Expr:
     def make(ctx, c):
-        spec = ctx.by_value(c, descending)
-        return F.when(c.isNotNull(), func(ctx, c, spec))
+        part = ctx.value_part(c)
+        value = func(ctx, c, ctx.by_value(c, descending, part=part))
+        return F.when(c.isNotNull(), value if part is None else value + ctx.before_part(c, part, descending, distinct))
 
     return ranked(make, column_of(e))
 
@@ -442,7 +490,7 @@ def average_rank(e: Any, descending: bool = False) -> Expr:
 
 
 def dense_rank(e: Any, descending: bool = False) -> Expr:
-    return _rank(lambda ctx, c, s: F.dense_rank().over(s), e, descending)
+    return _rank(lambda ctx, c, s: F.dense_rank().over(s), e, descending, distinct=True)
 
 
 def percent_rank(e: Any, descending: bool = False) -> Expr:
@@ -456,7 +504,9 @@ def cume_dist(e: Any, descending: bool = False) -> Expr:
 
 def _ordinal(e: Any, descending: bool = False) -> Expr:
     def make(ctx, c):
-        return F.when(c.isNotNull(), F.row_number().over(ctx.by_value(c, descending, ties=True)))
+        part = ctx.value_part(c)
+        value = F.row_number().over(ctx.by_value(c, descending, ties=True, part=part))
+        return F.when(c.isNotNull(), value if part is None else value + ctx.before_part(c, part, descending, False))
 
     return ordered(make, column_of(e))
 

@@ -23,6 +23,31 @@ def as_frame(df: DataFrame, other: DataFrame | Mapping[str, Sequence[Any]]) -> D
     return df.sparkSession.createDataFrame(pd.DataFrame(dict(other)))
 
 
+def placed(df: DataFrame, other: Any, right_order: Sequence[str] = ()) -> tuple[DataFrame, list[tuple[str, bool]]]:
+    """The right table and its order: ``right_order``, or that of an AxisTable or a mapping; a DataFrame has none of its own.
+
+    Order columns are hidden copies, which the join carries along.
+    """
+    if hasattr(other, "_obs"):  # a table's metadata, with hidden copies of what it is ordered by
+        a = other._obs
+        names = [(c, hidden("o"), down) for c, down in a.order]
+        frame, order = a.df.select(*(F.col(f"`{c}`") for c in a.public), *(F.col(f"`{c}`").alias(n) for c, n, _ in names)), [(n, down) for _, n, down in names]
+    elif isinstance(other, DataFrame):
+        frame, order = other, []
+    else:
+        import pandas as pd
+
+        held = pd.DataFrame(dict(other))
+        held[at := hidden("o")] = range(len(held))
+        frame, order = df.sparkSession.createDataFrame(held), [(at, False)]
+    if right_order:
+        copies = {c: hidden("o") for c in right_order}
+        if missing := [c for c in right_order if c not in frame.columns]:
+            raise UnknownColumnError(f"unknown columns: {', '.join(missing)}")
+        frame, order = frame.withColumns({n: F.col(f"`{c}`") for c, n in copies.items()}), [(n, False) for n in copies.values()]
+    return frame, order
+
+
 def _keys(public: Sequence[str], other: DataFrame, by) -> list[str]:
     names = [by] if isinstance(by, str) else list(by) if by is not None else [c for c in public if c in other.columns]
     if not names:
@@ -47,18 +72,23 @@ def _repeats(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*(F.col(f"`{k}`") for k in keys)).agg(F.count(F.lit(1)).alias(n := hidden("n"))).where(F.col(n) > 1).select(*(f"`{k}`" for k in keys))
 
 
-def enrich(df: DataFrame, public: list[str], other: DataFrame, how: str, *, by=None, relationship="many-to-one", multiple="error", unmatched="drop", na_matches="na", suffixes=("", "_right"), right_order=(), validate="eager") -> tuple[DataFrame, list[str], dict[str, str]]:
+def enrich(df: DataFrame, public: list[str], other: DataFrame, how: str, *, by=None, relationship="many-to-one", multiple="error", unmatched="drop", na_matches="na", suffixes=("", "_right"), right_order=(), own_order=(), validate="eager") -> tuple[DataFrame, list[str], dict[str, str]]:
     """The joined frame, its public columns and what left columns were renamed to. ``how``: left, inner, right or full."""
     _policies(relationship, multiple, unmatched, na_matches)
     keys = _keys(public, other, by)
     eager = validate == "eager"
+    if how == "right" and not own_order:
+        raise JoinRelationshipError("a right join has the right table's order: give right_order")
+    carried = {c for c, _ in own_order}
     renamed = {k: hidden("k") for k in keys}
     right = other.withColumnsRenamed(renamed)
     right_keys = list(renamed.values())
     pairs = [(f"`{k}`", renamed[k]) for k in keys]
     on = lambda l, r: _on(l, r, pairs, na_matches)
     if multiple == "first":
-        order = in_order([(renamed.get(c, c), False) for c in right_order]) or [F.monotonically_increasing_id()]
+        if not own_order:
+            raise JoinRelationshipError("the first of several matches needs the right table's order: give right_order")
+        order = in_order(own_order)
         at = hidden("r")
         right = right.withColumn(at, F.row_number().over(Window.partitionBy(*right_keys).orderBy(*order))).where(F.col(at) == 1).drop(at)
     elif eager and (multiple == "error" or relationship in ("one-to-one", "many-to-one")):
@@ -77,12 +107,12 @@ def enrich(df: DataFrame, public: list[str], other: DataFrame, how: str, *, by=N
     shared = [c for c in other.columns if c in public and c not in keys]
     left_new = {c: c + suffixes[0] for c in shared}
     right_new = {c: c + suffixes[1] for c in shared}
-    extra = [c for c in other.columns if c not in keys]
+    extra = [c for c in other.columns if c not in keys and c not in carried]
     names = [left_new.get(c, c) for c in public] + [right_new.get(c, c) for c in extra]
     if len(set(names)) != len(names):
         raise DuplicateNameError("the join's suffixes leave equal column names")
     stand_in = {c: hidden("j") for c in extra}
-    met = df.join(right.withColumnsRenamed(stand_in), on(df, right), "inner" if how in ("inner", "right") else "left").drop(*right_keys)
+    met = df.join(right.withColumnsRenamed(stand_in), on(df, right), "inner" if how in ("inner", "right") else "left").drop(*right_keys, *(carried if how != "right" else ()))
     met = met.withColumnsRenamed({k: v for k, v in left_new.items() if k != v})
     met = met.withColumnsRenamed({v: right_new.get(c, c) for c, v in stand_in.items()})
     return met, names, left_new

@@ -9,6 +9,7 @@ DataFrame with their slots in the arrays. Nothing runs before an action, but for
 from __future__ import annotations
 
 import copy
+import json
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 from typing import Any
@@ -45,10 +46,16 @@ class Axis:
 
     def __init__(self, df: DataFrame, public: Sequence[str], order: Sequence[tuple[str, bool]] = (), name: str | None = None, parts: int = 1):
         self.df, self.public, self.order, self.name, self.parts = df, list(public), list(order), name, parts
+        #: How many joins with aggregates of itself the frame is made of.
+        self.joins = 0
+        #: The frame before NaN became missing, as long as ``df`` is no more than that.
+        self.raw: DataFrame | None = None
+        #: Conditions that ``df`` has beyond that.
+        self.kept: list[Column] = []
 
     def but(self, **new: Any) -> Axis:
         out = copy.copy(self)
-        out.__dict__.update(new)
+        out.__dict__.update({"raw": None, **new} if "df" in new else new)  # another frame
         return out
 
     def types(self) -> dict[str, Any]:
@@ -67,7 +74,7 @@ class Axis:
         return S.resolve(selection, self.public, self.types())
 
     def context(self, keys: Sequence[str] = (), resolve: Callable[[str], Column] | None = None, df: DataFrame | None = None) -> Context:
-        return Context(self.df if df is None else df, resolve or self.column, keys, self.order, self.parts)
+        return Context(self.df if df is None else df, resolve or self.column, keys, self.order, self.parts, self.joins)
 
     def shown(self, ordered: bool = False) -> DataFrame:
         df = self.df.orderBy(*in_order(self.order)) if ordered and self.order else self.df
@@ -297,15 +304,27 @@ class Verbs:
             if not mine:
                 continue
             self._only_group_axis(axis)
-            a, ctx = self._axis(axis), self._axis(axis).context(self._keys(axis))
+            a = self._axis(axis)
+            scanned = None
+            every = [p for s in mine for p in _predicates(s[4], s[2], s[3])]
+            if a.raw is not None and not self._keys(axis) and not any(map(crosses_rows, every)):  # aggregates are of all rows
+                # what the scan itself can take goes below the step that makes NaN missing; it drops no row that passes
+                held = Context(a.raw, lambda n: F.col(f"`{n}`"))
+                early = [held.column(p) for s in mine if s[5] is None for p in _predicates(s[4], s[2], s[3]) if p.plain and p.names() <= set(a.public)]
+                scanned = reduce(DataFrame.where, early, a.raw)
+                a = a.but(df=reduce(DataFrame.where, a.kept, tidy.nan_to_null(scanned)))
+            ctx = a.context(self._keys(axis))
             plain, staged = [], []
             for _, resolve, names, types, request, _ in mine:
                 ctx.resolve = resolve
                 for p in _predicates(request, names, types):
                     (staged if crosses_rows(p) else plain).append(ctx.temp(ctx.column(p)) if crosses_rows(p) else ctx.column(p))
             ctx.flush()
-            df = ctx.df.where(reduce(lambda c, d: c & d, [*plain, *staged]))
-            out = out._with_axis(axis, a.but(df=df.drop(*ctx.made)))
+            condition = reduce(lambda c, d: c & d, [*plain, *staged])
+            new = a.but(df=ctx.df.where(condition).drop(*ctx.made), joins=ctx.joins)
+            if scanned is not None and not ctx.made:
+                new.raw, new.kept = scanned, [*a.kept, condition]
+            out = out._with_axis(axis, new)
             out = out._with_axis(axis, out._major(axis))
         return out
 
@@ -338,25 +357,50 @@ class Verbs:
         return a.but(df=ctx.df.withColumn(at, place - 1).drop(*ctx.made))
 
     def slice(self, *indices: Any, axis: Any = None):
-        """Rows by position: ints, lists, slices or a boolean mask; order and repeats are kept, negatives count from the end."""
+        """Rows by position: ints, lists, slices or a boolean mask; order and repeats are kept, negatives count from the end.
+
+        A single slice is a condition on positions and a mask that is an expression a filter, whatever their lengths; lists are
+        as long as the caller made them and meet the rows in a join.
+        """
         axis = self._chosen(axis)
         self._only_group_axis(axis)
-        at, want = hidden("p"), hidden("o")
-        a = self._numbered(axis, at)
-        keys = self._keys(axis)
-        size = hidden("n")
-        if keys:
-            df = a.df.withColumn(size, F.count(F.lit(1)).over(Window.partitionBy(*(F.col(f"`{k}`") for k in keys))))
-            total = None
-        else:
-            total = a.df.count()
-            df = a.df.withColumn(size, F.lit(total))
-        places = _positions(indices, total)
-        rows = a.df.sparkSession.createDataFrame(list(zip(places, range(len(places)), strict=True)) or [(-1, 0)], f"{want}_p long, {want} long")
-        place = F.when(F.col(f"{want}_p") < 0, F.col(f"{want}_p") + F.col(size)).otherwise(F.col(f"{want}_p"))
-        df = df.join(F.broadcast(rows), F.col(at) == place) if places else df.where(F.lit(False)).withColumn(want, F.lit(0).cast("long"))
+        if len(indices) == 1 and isinstance(indices[0], E.Expr):
+            return self.filter(**{axis: indices[0]})
+        at, want, size = hidden("p"), hidden("o"), hidden("n")
+        a, keys = self._numbered(axis, at), self._keys(axis)
+        one = indices[0] if len(indices) == 1 and isinstance(indices[0], slice) and (indices[0].step or 1) > 0 else None
+        bounds = [] if one is None else [x for x in (one.start, one.stop) if x is not None]
+        df, total = a.df, None
+        if one is None:
+            total = None if keys else df.count()
+            places = _positions(indices, total)
+            if total is not None:
+                places = [p + total if p < 0 else p for p in places]
+        if any(x < 0 for x in (places if one is None else bounds)):
+            ctx = a.context(keys)
+            n = ctx.column(E.n())
+            ctx.flush()
+            df = ctx.df.withColumn(size, n).drop(*ctx.made)
+        if one is not None:
+            place = lambda x: F.lit(x) if x >= 0 else F.greatest(F.col(size) + x, F.lit(0))
+            first = F.lit(0) if one.start is None else place(one.start)
+            keep = [F.col(at) >= first]
+            if one.stop is not None:
+                keep.append(F.col(at) < place(one.stop))
+            if (one.step or 1) > 1:
+                keep.append((F.col(at) - first) % one.step == 0)
+            return self._with_axis(axis, a.but(df=df.where(reduce(lambda c, d: c & d, keep)).drop(at, size)))
         order = [*(a.order[:1] if keys else []), (want, False), *a.order]
-        return self._with_axis(axis, a.but(df=df.drop(at, size, f"{want}_p"), order=order))
+        if not places:
+            return self._with_axis(axis, a.but(df=df.where(F.lit(False)).withColumn(want, F.lit(0).cast("long")).drop(at, size), order=order))
+        rows = a.df.sparkSession.createDataFrame(list(zip(places, range(len(places)), strict=True)), f"{want}_p long, {want} long")
+        ends = [F.col(at).cast("long")] if max(places) >= 0 else []
+        ends += [(F.col(at) - F.col(size)).cast("long")] if min(places) < 0 else []
+        key = hidden("e")  # a position from the front, from the back (below 0), or both
+        df = df.withColumn(key, F.explode(F.array(*ends)) if len(ends) > 1 else ends[0])
+        # Spark knows the size of the caller's list and broadcasts it only while it is small
+        df = df.join(rows, F.col(key) == F.col(f"{want}_p"))
+        return self._with_axis(axis, a.but(df=df.drop(at, size, key, f"{want}_p"), order=order))
 
     def _ends(self, n: int, axis: Any, order: Callable[[Axis], list[Column]], forward: bool = True, extra: Callable[[Axis], Axis] = lambda a: a):
         if n < 0:
@@ -419,10 +463,14 @@ class Verbs:
         if not replace and n is not None and not sizes.where(F.col(size) < n).isEmpty():
             raise SelectionError("a sample without replacement is larger than its rows")
         spread = F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c, _ in a.order)) if a.order else F.rand(seed)
+        if not keys and not replace and prop is None:  # a top-n
+            return self._with_axis(axis, a.but(df=a.df.orderBy(spread, *in_order(a.order)).limit(1 if n is None else n)))
         place = Window.partitionBy(*groups).orderBy(spread, *in_order(a.order))
         df = a.df.withColumn(at, F.row_number().over(place))
-        total = F.count(F.lit(1)).over(Window.partitionBy(*groups))
-        df = df.withColumn(size, total)
+        ctx = a.but(df=df).context(keys)
+        total = ctx.column(E.n())
+        ctx.flush()
+        df = ctx.df.withColumn(size, total).drop(*ctx.made)
         if not replace:
             df = df.where(F.col(at) <= want).drop(at, size)
             return self._with_axis(axis, self._with_axis(axis, a.but(df=df))._major(axis))
@@ -478,41 +526,41 @@ class Verbs:
             a, keys = self._axis(axis), self._keys(axis)
             ctx = a.context(keys)
             requests = [(s, _assignments(s[4], s[2], s[3])) for s in mine]
+            sorts = any(x.kind in ("ordered", "ranked") for _, pairs in requests for e in pairs.values() for x in e.walk())
             every = [n for _, pairs in requests for n in pairs]
             frozen = {c: hidden("was") for c in {*keys, *(o for o, _ in a.order)} & set(every)}
             for c, held in frozen.items():  # this call's groups and order are those before it
                 ctx.df = ctx.df.withColumn(held, F.col(f"`{c}`"))
             ctx.keys = [frozen.get(k, k) for k in keys]
+            if sorts:
+                ctx.sorted_by.add(tuple(ctx.keys))
             ctx.order = [(frozen.get(c, c), d) for c, d in a.order]
             final: dict[str, Column] = {}
             for (_, resolve, _, types, _, _), pairs in requests:
                 here: dict[str, str] = {}
                 ctx.resolve = lambda n, r=resolve, h=here: F.col(h[n]) if n in h else r(n)
                 batch: dict[str, Column] = {}
+
+                def settle(batch=batch, here=here, ctx=ctx) -> None:
+                    ctx.flush()
+                    if batch:
+                        ctx.df = ctx.df.withColumns({here[k]: c for k, c in batch.items()})
+                        batch.clear()
+
                 for name, e in pairs.items():
-                    if e.names() & set(batch) or crosses_rows(e):
-                        ctx.flush()
-                        if batch:
-                            ctx.df = ctx.df.withColumns({here[k]: c for k, c in batch.items()})
-                            batch = {}
+                    if e.names() & set(batch) or name in batch or (batch and any(x.kind in ("ordered", "ranked", "partition") for x in e.walk())):
+                        settle()
                     value = ctx.column(e)
-                    if crosses_rows(e):
-                        ctx.flush()
-                    here_name = hidden("new")
-                    if name in here:
-                        ctx.df = ctx.df.withColumns({here[k]: c for k, c in batch.items()}) if batch else ctx.df
-                        batch = {}
-                    here[name] = here_name
+                    here[name] = hidden("new")
                     batch[name] = value
-                if batch:
-                    ctx.df = ctx.df.withColumns({here[k]: c for k, c in batch.items()})
+                settle()
                 for name, held in here.items():
                     final[name] = F.col(held)
                     ctx.made.append(held)
             df = ctx.df.withColumns(final).drop(*ctx.made)
             public = a.public + [n for n in dict.fromkeys(every) if n not in a.public]
             assigned[axis] = list(dict.fromkeys(every))
-            out = out._with_axis(axis, a.but(df=df, public=public, order=ctx.order))
+            out = out._with_axis(axis, a.but(df=df, public=public, order=ctx.order, joins=ctx.joins))
         return out, assigned
 
     def transmute(self, *, obs: Any = None, var: Any = None, x: Any = None, raw: Any = None, obsm: Mapping | None = None, varm: Mapping | None = None, layer: str | None = None, max_matrix_values: int | None = None):
@@ -524,7 +572,8 @@ class Verbs:
         return out
 
     # -- summaries --
-    def _summary(self, axis: str, keys: list[str], ctx: Context, calls: list[Column], a: Axis) -> DataFrame:
+    def _summary(self, axis: str, keys: list[str], ctx: Context, calls: list[Column], a: Axis, lead: Sequence[Column] = ()) -> DataFrame:
+        """One row for each key in the order of ``lead``, then as first seen."""
         first = hidden("first")
         calls = list(calls)
         if keys and a.order:
@@ -533,7 +582,9 @@ class Verbs:
         if not keys:
             return ctx.df.agg(*calls)
         out = ctx.df.groupBy(*(F.col(f"`{k}`") for k in keys)).agg(*calls)
-        return out.orderBy(first).drop(first) if a.order else out
+        if a.order:
+            return out.orderBy(*lead, first).drop(first)
+        return out.orderBy(*lead) if lead else out
 
     def _by(self, axis: str, by: Any, ctx: Context, a: Axis) -> list[tuple[str, str]]:
         """(shown name, column of ctx.df) of each key; computed keys become columns."""
@@ -588,7 +639,7 @@ class Verbs:
 
     summarise = summarize
 
-    def _counted(self, axis: str, keys: Any, wt: Any, name: str) -> DataFrame:
+    def _counted(self, axis: str, keys: Any, wt: Any, name: str, sort: bool = False) -> DataFrame:
         a = self._axis(axis)
         ctx = a.context()
         pairs = self._by(axis, keys, ctx, a)
@@ -597,25 +648,23 @@ class Verbs:
         ctx.keys = [c for _, c in pairs]
         held = hidden("n")
         call = F.count(F.lit(1)) if wt is None else F.coalesce(F.sum(ctx._plain(E.column_of(wt))), F.lit(0))
-        out = self._summary(axis, ctx.keys, ctx, [call.alias(held)], a)
+        out = self._summary(axis, ctx.keys, ctx, [call.alias(held)], a, [F.col(held).desc_nulls_last()] if sort else ())
         return out.select(*(F.col(f"`{c}`").alias(n) for n, c in pairs), F.col(held).alias(name))
 
     def _count(self, by: Any, wt: Any, sort: bool, axis: Any, name: str) -> DataFrame:
         axis = axis_name(axis)
-        out = self._counted(axis, by, wt, name)
-        return out.orderBy(F.col(f"`{name}`").desc_nulls_last()) if sort else out
+        return self._counted(axis, by, wt, name, sort)
 
     def _add_count(self, by: Any, wt: Any, sort: bool, axis: Any, name: str):
         axis = axis_name(axis)
         a = self._axis(axis)
         ctx = a.context()
         ctx.keys = [c for _, c in self._by(axis, by, ctx, a)]
-        ctx.in_rows = bool(ctx.keys)
         e = E.n() if wt is None else E.sum(wt)
         value = ctx.column(e)
         ctx.flush()
         df = ctx.df.withColumn(name, value).drop(*ctx.made)
-        a = a.but(df=df, public=a.public + ([] if name in a.public else [name]))
+        a = a.but(df=df, public=a.public + ([] if name in a.public else [name]), joins=ctx.joins)
         if sort:
             key = hidden("k")
             a = a.but(df=a.df.withColumn(key, F.col(f"`{name}`")), order=[(key, True), *a.order])
@@ -625,10 +674,12 @@ class Verbs:
     def _join(self, other, how: str, axis: Any, validate: str | None = None, **policy):
         axis = axis_name(axis)
         a = self._axis(axis)
-        df, public, renamed = joins.enrich(a.df, a.public, joins.as_frame(a.df, other), how, validate=validate or self.validate, **policy)
+        policy["right_order"] = [policy["right_order"]] if isinstance(policy.get("right_order"), str) else list(policy.get("right_order") or ())
+        right, own = joins.placed(a.df, other, policy["right_order"])
+        df, public, renamed = joins.enrich(a.df, a.public, right, how, validate=validate or self.validate, own_order=own, **policy)
         order = [(renamed.get(c, c), d) for c, d in a.order]
-        if how == "right" and policy.get("right_order"):
-            order = [(c, False) for c in policy["right_order"]] + order
+        if how == "right":
+            order = own + order
         out = self._with_axis(axis, a.but(df=df, public=public, order=order, name=renamed.get(a.name, a.name)))
         if self._groups and self._groups[0] == axis:
             out._groups = (axis, tuple(renamed.get(k, k) for k in self._groups[1]))
@@ -641,6 +692,7 @@ class Verbs:
         return self._join(other, "inner", axis, by=by, **policy)
 
     def right_join(self, other, *, by=None, axis: Any = OBS, **policy):
+        """In the order of the right table: an AxisTable's or a mapping's own, or ``right_order`` of a DataFrame, which has none."""
         return self._join(other, "right", axis, by=by, **{"unmatched": "error", **policy})
 
     def full_join(self, other, *, by=None, axis: Any = OBS, **policy):
@@ -649,12 +701,12 @@ class Verbs:
     def semi_join(self, other, *, by=None, axis: Any = OBS, na_matches: str = "na"):
         axis = axis_name(axis)
         a = self._axis(axis)
-        return self._with_axis(axis, a.but(df=joins.only(a.df, a.public, joins.as_frame(a.df, other), "semi", by=by, na_matches=na_matches)))
+        return self._with_axis(axis, a.but(df=joins.only(a.df, a.public, joins.placed(a.df, other)[0], "semi", by=by, na_matches=na_matches)))
 
     def anti_join(self, other, *, by=None, axis: Any = OBS, na_matches: str = "na"):
         axis = axis_name(axis)
         a = self._axis(axis)
-        return self._with_axis(axis, a.but(df=joins.only(a.df, a.public, joins.as_frame(a.df, other), "anti", by=by, na_matches=na_matches)))
+        return self._with_axis(axis, a.but(df=joins.only(a.df, a.public, joins.placed(a.df, other)[0], "anti", by=by, na_matches=na_matches)))
 
     def pipe(self, func: Any, *args: Any, **kwargs: Any) -> Any:
         if isinstance(func, tuple):
@@ -693,8 +745,8 @@ class GroupedAxisTable(Verbs):
     def group_data(self) -> DataFrame:
         """Keys and the positions (from 0) of each group's rows, in .rows."""
         axis, keys = self._groups
-        a, at = self._axis(axis), hidden("p")
-        df = a.df.withColumn(at, F.row_number().over(Window.orderBy(*in_order(a.order))) - 1)
+        at = hidden("p")
+        df = self.ungroup()._numbered(axis, at).df
         out = df.groupBy(*(F.col(f"`{k}`") for k in keys)).agg(F.array_sort(F.collect_list(at)).alias(".rows"))
         return out.orderBy(F.get("`.rows`", 0))
 
@@ -729,6 +781,7 @@ class AxisTable(Verbs):
         With ``order_parts`` over 1, row numbers and running aggregates of the ungrouped table run in that many ranges of
         the first order key (a number, date or timestamp), at the cost of a job that finds the ranges.
         """
+        before_nan = obs
         obs = tidy.nan_to_null(obs) if nan == "null" else obs
         self.validate, self._pairs = validate, None
         self._matrices: dict[tuple[str, str | None], Matrix] = {}
@@ -757,7 +810,7 @@ class AxisTable(Verbs):
             self._matrices[("obsm", key)] = matrix(columns, "dense_array", names)
         # hidden names: a new metadata column can never overwrite a matrix
         aside = {c: hidden("m") for c in dict.fromkeys(taken)}
-        obs = obs.withColumnsRenamed(aside)
+        obs, before_nan = obs.withColumnsRenamed(aside), before_nan.withColumnsRenamed(aside)
         for k, m in self._matrices.items():
             self._matrices[k] = Matrix(tuple(aside[c] for c in m.columns), m.layout, m.names, m.slots)
         order = [order_by] if isinstance(order_by, str) else list(order_by or [])
@@ -766,6 +819,7 @@ class AxisTable(Verbs):
             raise UnknownColumnError(f"unknown columns: {', '.join(missing)}")
         # order keys are copies, so that a changed column doesn't change the order
         self._obs = Axis(obs, public, [(c, False) for c in order], obs_name, order_parts)
+        self._obs.raw = before_nan if nan == "null" else None
         self._var = None
         spark = obs.sparkSession
         if var is not None:
@@ -800,12 +854,58 @@ class AxisTable(Verbs):
         return cls((reader.schema(schema) if schema is not None else reader).load(path), **how)
 
     def write_parquet(self, path: str, mode: str = "error", partition_by: Sequence[str] = ()) -> None:
-        """Observations with their matrices, under stable names, and features beside them (path/obs, path/var)."""
-        names = {m.columns[0]: "__".join(str(p) for p in k if p is not None) for k, m in self._matrices.items() if k[0] != "varm" and m.layout != "wide"}
-        df = self._obs.df.select(*(F.col(f"`{c}`") for c in self._obs.public), *(F.col(c).alias(f"matrix__{n}") for c, n in names.items()))
-        df.write.mode(mode).partitionBy(*partition_by).parquet(f"{path}/obs")
+        """The whole table under a folder: obs with its matrices under stable names, var, obsp, varp, uns and a description.
+
+        ``read_parquet`` reads it back; path/obs alone is a plain table, too.
+        """
+        spark, a = self._obs.df.sparkSession, self._obs
+        text = lambda k: "__".join(str(p) for p in k if p is not None)
+        said: dict[str, Any] = {"obs": a.public, "obs_name": a.name, "order": [d for _, d in a.order], "matrices": [], "validate": self.validate, "pairs": {}, "uns": {}}
+        held = {OBS: [F.col(f"`{c}`") for c in a.public], VAR: []}
+        for k, m in self._matrices.items():
+            axis = VAR if k[0] == "varm" else OBS
+            names = [f"matrix__{text(k)}" + (f"__{i}" if m.layout == "wide" else "") for i in range(len(m.columns))]
+            held[axis] += [F.col(f"`{c}`").alias(n) for c, n in zip(m.columns, names, strict=True)]
+            said["matrices"].append([list(k), names, m.layout, list(m.names), list(m.slots)])
+        held[OBS] += [F.col(f"`{c}`").alias(f"order__{i}") for i, (c, _) in enumerate(a.order)]
+        a.df.select(*held[OBS]).write.mode(mode).partitionBy(*partition_by).parquet(f"{path}/obs")
         if self._var is not None:
-            self._var.df.select(*(F.col(f"`{c}`") for c in self._var.public), F.col(SLOT).alias("slot")).write.mode(mode).parquet(f"{path}/var")
+            v = self._var
+            said |= {"var": v.public, "var_name": v.name, "var_order": [d for _, d in v.order]}
+            lead = [F.col(f"`{c}`") for c in v.public] + [F.col(SLOT).alias("slot")]
+            v.df.select(*lead, *held[VAR], *(F.col(f"`{c}`").alias(f"order__{i}") for i, (c, _) in enumerate(v.order))).write.mode(mode).parquet(f"{path}/var")
+        for side, frames in (("obsp", self._obsp), ("varp", self._varp), ("uns", self._uns)):
+            for i, (key, value) in enumerate(frames.items()):
+                if isinstance(value, DataFrame):
+                    value.write.mode(mode).parquet(f"{path}/{side}/{i}")
+                    said["pairs"].setdefault(side, {})[key] = i
+                else:  # what JSON can hold; it raises at anything else
+                    said["uns"][key] = dict(value) if isinstance(value, Mapping) else value
+        spark.createDataFrame([(json.dumps(said),)], "value string").coalesce(1).write.mode(mode).text(f"{path}/table")
+
+    @classmethod
+    def read_parquet(cls, spark: SparkSession, path: str, order_parts: int = 1) -> AxisTable:
+        """A table that ``write_parquet`` wrote, with every matrix, side table and its order."""
+        said = json.loads(spark.read.text(f"{path}/table").first()[0])
+        out = cls.__new__(cls)
+        out.validate, out._pairs, out._matrices, out._var = said["validate"], None, {}, None
+        aside: dict[str, dict[str, str]] = {OBS: {}, VAR: {}}
+        for key, columns, layout, names, slots in said["matrices"]:
+            new = {c: hidden("m") for c in columns}
+            aside[VAR if key[0] == "varm" else OBS].update(new)
+            out._matrices[tuple(key)] = Matrix(tuple(new.values()), layout, tuple(names), tuple(slots))
+
+        def axis(name: str, public: list[str], down: list[bool], named: str | None) -> Axis:
+            order = {f"order__{i}": hidden("o") for i in range(len(down))}
+            df = spark.read.parquet(f"{path}/{name}").withColumnsRenamed({**aside[name], **order, **({"slot": SLOT} if name == VAR else {})})
+            return Axis(df, public, list(zip(order.values(), down, strict=True)), named, order_parts)
+
+        out._obs = axis(OBS, said["obs"], said["order"], said["obs_name"])
+        if "var" in said:
+            out._var = axis(VAR, said["var"], said["var_order"], said["var_name"])
+        sides = {side: {key: spark.read.parquet(f"{path}/{side}/{i}") for key, i in said["pairs"].get(side, {}).items()} for side in ("obsp", "varp", "uns")}
+        out._obsp, out._varp, out._uns = sides["obsp"], sides["varp"], {**said["uns"], **sides["uns"]}
+        return out
 
     # -- groups --
     def group_by(self, *, obs: Any = None, var: Any = None):

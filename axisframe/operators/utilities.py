@@ -6,12 +6,12 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import DuplicateNameError, SelectionError, SizeMismatchError, UnknownColumnError
 from ..functions import selectors as S
-from ..plans.compiler import hidden, in_order
+from ..plans.compiler import hidden
 from .joins import as_frame
 from .table import OBS, VAR, AxisTable, axis_name
 
@@ -90,22 +90,39 @@ def feature_present(table: AxisTable, features: Sequence[str], *, feature_column
     return FeaturePresence([r["feature"] for r in rows if r["found"]], [r["feature"] for r in rows if not r["found"]], [r["wrong_case_found"] for r in rows if r["wrong_case_found"] is not None], frame)
 
 
+def _named(a, df: DataFrame, made) -> Any:
+    """The axis with other names; rows that were in the order of the names stay where they are."""
+    if a.name in [c for c, _ in a.order]:
+        was = hidden("was")
+        df, a = df.withColumn(was, F.col(f"`{a.name}`")), a.but(order=[(was if c == a.name else c, d) for c, d in a.order])
+    return a.but(df=df.withColumn(a.name, made))
+
+
+def _unique(table: AxisTable, axis: str, a) -> AxisTable:
+    if table.validate == "eager" and not a.df.groupBy(F.col(f"`{a.name}`")).count().where("count > 1").isEmpty():
+        raise DuplicateNameError("renaming makes equal names")
+    return table._with_axis(axis, a)
+
+
 def _rename_names(table: AxisTable, mapper: Callable[[str], str] | Mapping[str, str], axis: str) -> AxisTable:
     a = table._axis(axis)
     if a.name is None:
         raise SelectionError("the axis has no names")
     c = F.col(f"`{a.name}`")
     if callable(mapper):
-        df = a.df.withColumn(a.name, F.udf(mapper, "string")(c.cast("string")))
+        new_axis = _named(a, a.df, F.pandas_udf(lambda names: names.map(mapper, na_action="ignore"), "string")(c.cast("string")))
     else:
         rows = a.df.sparkSession.createDataFrame([(old, new) for new, old in mapper.items()], "old string, new string")
         old, new = hidden("old"), hidden("new")
         if len(set(mapper.values())) < len(mapper):
             raise DuplicateNameError("a name is renamed twice")
-        df = a.df.join(rows.toDF(old, new), c.cast("string") == F.col(old), "left").withColumn(a.name, F.coalesce(F.col(new), c.cast("string"))).drop(old, new)
-    if table.validate == "eager" and not df.groupBy(F.col(f"`{a.name}`")).count().where("count > 1").isEmpty():
-        raise DuplicateNameError("renaming makes equal names")
-    return table._with_axis(axis, a.but(df=df))
+        if table.validate == "eager" and mapper:
+            held = {r[0] for r in a.df.where(c.cast("string").isin(list(mapper.values()))).select(c.cast("string")).distinct().collect()}
+            if missing := sorted(set(mapper.values()) - held):
+                raise UnknownColumnError(f"unknown names: {', '.join(missing)}")
+        new_axis = _named(a, a.df.join(rows.toDF(old, new), c.cast("string") == F.col(old), "left"), F.coalesce(F.col(new), c.cast("string")))
+        new_axis = new_axis.but(df=new_axis.df.drop(old, new))
+    return _unique(table, axis, new_axis)
 
 
 def rename_obs_names(table: AxisTable, mapper) -> AxisTable:
@@ -121,10 +138,7 @@ def _made_names(table: AxisTable, axis: Any, make) -> AxisTable:
     a = table._axis(axis)
     if a.name is None:
         raise SelectionError("the axis has no names")
-    df = a.df.withColumn(a.name, make(F.col(f"`{a.name}`").cast("string")))
-    if table.validate == "eager" and not df.groupBy(F.col(f"`{a.name}`")).count().where("count > 1").isEmpty():
-        raise DuplicateNameError("renaming makes equal names")
-    return table._with_axis(axis, a.but(df=df))
+    return _unique(table, axis, _named(a, a.df, make(F.col(f"`{a.name}`").cast("string"))))
 
 
 def replace_name_suffix(table: AxisTable, old: str, new: str, *, axis: Any = OBS) -> AxisTable:
@@ -142,13 +156,18 @@ def add_name_prefix(table: AxisTable, prefix: str, *, sep: str = "_", axis: Any
 
 
 def name_duplicates(table: AxisTable, *, axis: Any = OBS, name: str | None = None) -> DataFrame:
-    """(name, count, positions) of names that occur more than once, as first seen."""
-    a = table._axis(axis_name(axis))
+    """(name, count, positions) of names that occur more than once, as first seen. Positions are gathered for those only.
+
+    They are row numbers of the axis, which with the table's ``order_parts`` are found in ranges of its order.
+    """
+    axis = axis_name(axis)
+    a = table._axis(axis)
     name = name or a.name
-    at = hidden("p")
-    df = a.df.withColumn(at, F.row_number().over(Window.orderBy(*in_order(a.order))) - 1)
-    out = df.groupBy(F.col(f"`{name}`").alias("name")).agg(F.count(F.lit(1)).alias("count"), F.array_sort(F.collect_list(at)).alias("positions"))
-    return out.where("count > 1").orderBy(F.get("positions", 0))
+    at, key = hidden("p"), hidden("k")
+    again = a.df.groupBy(F.col(f"`{name}`").alias(key)).agg(F.count(F.lit(1)).alias("count")).where("count > 1")
+    df = table._numbered(axis, at).df.select(F.col(f"`{name}`").alias("name"), at).join(again, F.col("name").eqNullSafe(F.col(key)), "left_semi")
+    out = df.groupBy("name").agg(F.count(F.lit(1)).alias("count"), F.array_sort(F.collect_list(at)).alias("positions"))
+    return out.orderBy(F.get("positions", 0))
 
 
 def store_palette(table: AxisTable, obs: str, palette: Mapping[Any, str] | Sequence[str], *, levels: Sequence[Any] | None = None, key: str | None = None) -> AxisTable:

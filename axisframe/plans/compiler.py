@@ -3,13 +3,18 @@
 Spark takes no window in a filter and none inside an aggregate, and an aggregate of a whole table over an empty window
 would bring every row to one task. So the context owns the frame: such parts become columns of it first (``temp``), and
 aggregates of the whole table are computed together as one row that is joined to every row by broadcast; that row is the
-only thing that is broadcast here.
+only thing that is broadcast here unasked. Aggregates of groups are computed together, too, summed up in every task before
+anything is shuffled, and joined to the rows by their keys: Spark broadcasts the groups while they are few, and a group
+with a third of all rows is never one task's. Only where rows are brought together by the same keys anyway, as they are
+for functions that read the order, are such aggregates windows; and where a frame is the result of MOST_JOINS such joins
+already, as each reads the frame twice.
 """
 
 from __future__ import annotations
 
 import itertools
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +24,7 @@ from ..errors import SelectionError
 from ..functions.expr import Expr
 
 HIDDEN = "__axisframe_"
+MOST_JOINS = 2
 _numbers = itertools.count()
 _ACROSS_ROWS = {"aggregate", "ordered", "ranked", "partition"}
 
@@ -40,11 +46,14 @@ def in_order(order: Sequence[tuple[str, bool]]) -> list[Column]:
 class Context:
     """Compiles expressions over ``df``; read ``df`` again when all are compiled."""
 
-    def __init__(self, df: DataFrame, resolve: Callable[[str], Column], keys: Sequence[str] = (), order: Sequence[tuple[str, bool]] = (), parts: int = 1):
-        self.df, self.resolve, self.keys, self.order, self.parts = df, resolve, list(keys), list(order), parts
+    def __init__(self, df: DataFrame, resolve: Callable[[str], Column], keys: Sequence[str] = (), order: Sequence[tuple[str, bool]] = (), parts: int = 1, joins: int = 0):
+        self.df, self.resolve, self.keys, self.order, self.parts, self.joins = df, resolve, list(keys), list(order), parts, joins
         self._part: str | None = None
-        self.in_rows = bool(self.keys)
+        self._joined_before = joins
         self._pending: list[Column] = []
+        self._pending_keys: tuple[str, ...] = ()
+        #: The keys of the group windows that this frame needs in any case.
+        self.sorted_by: set[tuple[str, ...]] = set()
         self._place: str | None = None
         self.made: list[str] = []
 
@@ -57,16 +66,40 @@ class Context:
         return F.col(name)
 
     def flush(self) -> None:
-        if self._pending:
-            one, self._pending = self.df.agg(*self._pending), []
-            self.df = self.df.crossJoin(F.broadcast(one))
-
-    def _whole(self, call: Column) -> Column:
+        if not self._pending:
+            return
+        calls, self._pending, keys = self._pending, [], self._pending_keys
+        if not keys:
+            self.df = self.df.crossJoin(F.broadcast(self.df.agg(*calls)))
+            return
+        names = {k: hidden("g") for k in keys}
+        groups = self.df.groupBy(*(F.col(f"`{k}`").alias(n) for k, n in names.items())).agg(*calls)
+        on = [F.col(f"`{k}`").eqNullSafe(F.col(n)) for k, n in names.items()]
+        self.df = self.df.join(groups, reduce(lambda a, b: a & b, on)).drop(*names.values())
+        self.joins += 1
+
+    def _joined(self, call: Column) -> Column:
+        """An aggregate of the group (of the whole table without keys) as a column that the next flush joins."""
+        if tuple(self.keys) != self._pending_keys:
+            self.flush()
+            self._pending_keys = tuple(self.keys)
         name = hidden("w")
         self._pending.append(call.alias(name))
         self.made.append(name)
         return F.col(name)
 
+    def _repeated(self, e: Expr, args: list[Column]) -> Column:
+        """A group's aggregate on each of its rows."""
+        if self.keys and not e.alone and (tuple(self.keys) in self.sorted_by or self._joined_before >= MOST_JOINS):
+            over = Window.partitionBy(*self._groups())
+            return e.make(lambda call: call.over(over), self, *args)
+        if e.alone != "python":
+            return e.make(self._joined, self, *args)
+        self.flush()  # in an aggregation of its own
+        out = e.make(self._joined, self, *args)
+        self.flush()
+        return out
+
     # -- windows --
     def _groups(self) -> list[Column]:
         return [F.col(f"`{k}`") for k in self.keys]
@@ -85,9 +118,31 @@ class Context:
     def last_rows(self, k: int):
         return self.in_order().rowsBetween(-(k - 1), 0)
 
-    def by_value(self, c: Column, descending: bool = False, ties: bool = False):
+    def by_value(self, c: Column, descending: bool = False, ties: bool = False, part: Column | None = None):
         order = [c.desc() if descending else c.asc(), *(self._need_order() if ties else ())]
-        return Window.partitionBy(*self._groups(), c.isNull()).orderBy(*order)
+        return Window.partitionBy(*self._groups(), c.isNull() if part is None else part).orderBy(*order)
+
+    def value_part(self, c: Column) -> Column | None:
+        """Of an ungrouped table, the range of values that a value lies in, for ranks; None without order_parts or order of values."""
+        if self.keys or self.parts < 2:
+            return None
+        self.flush()
+        if not isinstance(self.df.select(c.alias("v")).schema[0].dataType, (NumericType, DateType, TimestampType)):
+            return None
+        found = self.df.agg(F.percentile_approx(c, [k / self.parts for k in range(1, self.parts)], 10_000)).first()[0]
+        bounds = sorted({b for b in found or [] if b is not None})
+        return self.temp(F.when(c.isNull(), -1).otherwise(reduce(lambda a, b: a + (c > F.lit(b)).cast("int"), bounds, F.lit(0))), "part")
+
+    def before_part(self, c: Column, part: Column, descending: bool, distinct: bool) -> Column:
+        """How many rows (or distinct values) lie in the ranges that sort before a row's: a count for each range, found by a job."""
+        many = F.count_distinct(c) if distinct else F.count(c)
+        rows = sorted(self.df.where(c.isNotNull()).groupBy(part.alias("p")).agg(many.alias("n")).collect(), reverse=descending)
+        starts, sums = {}, 0
+        for p, n in rows:
+            starts[p], sums = sums, sums + n
+        if not starts:
+            return F.lit(0)
+        return F.get(F.array(*(F.lit(starts.get(k, 0)) for k in range(max(starts) + 1))), F.greatest(part, F.lit(0)))
 
     def same_value(self, c: Column):
         return Window.partitionBy(*self._groups(), c)
@@ -114,6 +169,22 @@ class Context:
             parts += [F.col(f"`{name}`").isNull().alias(f"m{k}"), c.alias(f"v{k}")]
         return F.struct(*parts)
 
+    def at_place(self, c: Column, n: int) -> Column:
+        """``struct(v)`` of the value on the row at place n of its group (from the end if negative), and missing on all other rows."""
+        order = self._need_order() if n >= 0 else [F.col(f"`{name}`").asc_nulls_first() if down else F.col(f"`{name}`").desc_nulls_first() for name, down in self.order]
+        want = n + 1 if n >= 0 else -n
+        if self.keys:
+            at = self.temp(F.row_number().over(Window.partitionBy(*self._groups()).orderBy(*order)), "at")
+            return self.temp(F.when(at == want, F.struct(c.alias("v"))), "nth")
+        # of the whole table: its first rows alone, a top-n that no task sorts the table for
+        self.flush()
+        value, rank = hidden("v"), hidden("r")
+        some = self.df.withColumn(value, F.struct(c.alias("v"))).orderBy(*order).limit(want)
+        there = some.withColumn(rank, F.row_number().over(Window.orderBy(*order))).where(F.col(rank) == want).agg(F.first(value).alias(value))
+        self.df = self.df.crossJoin(F.broadcast(there))
+        self.made.append(value)
+        return F.col(value)
+
     # -- running aggregates of a whole table, in parts --
     def part(self) -> str | None:
         """A column that cuts the table into ranges of its first order key, growing along the order; None if it can't.
@@ -166,20 +237,19 @@ class Context:
             return self._within(list(e.keys), lambda: self.column(e.args[0]))
         args = [self._plain(a) for a in e.args]
         if e.kind == "aggregate":
-            over = Window.partitionBy(*self._groups())
-            return e.make((lambda call: call.over(over)) if self.keys else self._whole, self, *args)
+            return self._repeated(e, args)
         if e.kind == "ordered" and e.prefix and not self.keys and self.part():
             self.flush()
             return self._in_parts(e, args)
         return e.make(self, *args)
 
     def _within(self, keys: list[str], make):
-        held = self.keys, self.in_rows, self._place
-        self.keys, self.in_rows, self._place = keys, bool(keys), None
+        held = self.keys, self._place
+        self.keys, self._place = keys, None
         try:
             return make()
         finally:
-            self.keys, self.in_rows, self._place = held
+            self.keys, self._place = held
 
     def summary(self, e: Expr) -> Column:
         """The value of ``e`` for each group, for use in groupBy(keys).agg."""
@@ -188,10 +258,7 @@ class Context:
         if e.kind == "scalar":
             return e.make(*(self.summary(a) for a in e.args))
         if e.kind == "aggregate":
-            args = [self._plain(a) for a in e.args]
-            held, self.in_rows = self.in_rows, False
-            try:
-                return e.make(lambda call: call, self, *args)
-            finally:
-                self.in_rows = held
+            if e.alone == "python":  # Spark has no such aggregate beside others: one value of those on the group's rows
+                return F.first(self.temp(self._repeated(e, [self._plain(a) for a in e.args])))
+            return e.make(lambda call: call, self, *(self._plain(a) for a in e.args))
         raise SelectionError("a summary needs one value for each group: aggregate the columns")

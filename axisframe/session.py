@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -27,3 +28,17 @@ def ship(spark: SparkSession) -> SparkSession:
     context.addPyFile(path)
     _shipped.add(context.applicationId)
     return spark
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that the driver and all executors share (spark.checkpoint.dir; a local one is set only where Spark is local)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = held.get() if held.isDefined() else None
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="axisframe-")
+        spark.sparkContext.setCheckpointDir(found)
+    return f"{found.rstrip('/')}/axisframe/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import axisframe as ax
 from axisframe import AxisTable, col
-from axisframe.errors import AxisFrameError, DuplicateNameError, IncompatibleAxisError, NameRepairError, SelectionError, UnknownColumnError, UnknownSourceError
+from axisframe.errors import AxisFrameError, DuplicateNameError, IncompatibleAxisError, JoinRelationshipError, NameRepairError, SelectionError, UnknownColumnError, UnknownSourceError
 
 X = [[1, 0, 5, 2], [2, 3, 0, 1], [0, 1, 4, 0], [5, 2, 3, 8], [3, 0, 1, 4]]
 PCA = [[0.1, 1], [-0.2, 0], [0.3, -1], [1, 2], [0.5, 1.5]]
@@ -278,3 +278,173 @@ def test_names_in_expressions(cells):
     assert sorted(tuple(r) for r in whole.collect()) == [(False, 2), (True, 3)]
     with pytest.raises(DuplicateNameError):
         cells.summarize(obs={"n": ax.n()}, by={"batch": col("score") > 1})
+
+
+# -- order, scale and round trips ------------------------------------------------------------------------------------------
+
+
+def physical(df):
+    return df._jdf.queryExecution().toString().split("== Physical Plan ==")[-1]
+
+
+def test_counts_sorted_with_ties_as_first_seen(spark):
+    df = spark.createDataFrame([(i, k) for i, k in enumerate("zabzabcdc")], "i long, k string").repartition(4)
+    t = AxisTable(df, order_by="i")
+    assert values(t.count("k", sort=True), "k", "n") == [("z", 2), ("a", 2), ("b", 2), ("c", 2), ("d", 1)]
+    assert values(t.group_by(obs="k").count(sort=True), "k") == ["z", "a", "b", "c", "d"]
+    assert values(t.arrange(obs=ax.desc("i")).count("k", sort=True, wt="i", name="w"), "k", "w") == [("c", 14), ("d", 7), ("b", 7), ("a", 5), ("z", 3)]
+
+
+def test_right_joins_have_the_right_order(spark):
+    left = AxisTable(spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "i long, k string"), order_by="i")
+    right = {"k": ["c", "a", "b"], "w": [1, 2, 3]}
+    assert values(left.right_join(right, by="k").obs_frame(ordered=True), "i") == [2, 0, 1]
+    frame = spark.createDataFrame([(k, w) for k, w in zip(right["k"], right["w"])], "k string, w long")
+    with pytest.raises(JoinRelationshipError, match="right_order"):
+        left.right_join(frame, by="k")
+    assert values(left.right_join(frame, by="k", right_order="w").obs_frame(ordered=True), "i", "w") == [(2, 1), (0, 2), (1, 3)]
+    table = AxisTable(frame, order_by="w").arrange(obs=ax.desc("w"))
+    out = left.right_join(table, by="k")
+    assert values(out.obs_frame(ordered=True), "i") == [1, 0, 2] and out.obs_frame().columns == ["i", "k", "w"]
+    twice = spark.createDataFrame([("a", 5), ("a", 4)], "k string, w long")
+    with pytest.raises(JoinRelationshipError, match="right_order"):
+        left.left_join(twice, by="k", multiple="first")
+    assert values(left.left_join({"k": ["a", "a"], "w": [5, 4]}, by="k", multiple="first").obs_frame(ordered=True), "w") == [5, None, None]
+
+
+def test_unknown_names_are_no_renames(cells):
+    with pytest.raises(UnknownColumnError, match="nobody"):
+        ax.rename_obs_names(cells, {"x": "nobody"})
+    assert values(ax.rename_obs_names(cells, {"x": "c1"}).obs_frame(ordered=True), "obs_name")[1] == "x"
+    assert values(ax.rename_var_names(cells, str.upper).var_frame(ordered=True), "var_name")[0] == "G0"
+
+
+def test_whole_tables_are_written_and_read(spark, tmp_path):
+    df = spark.createDataFrame([(i, i % 2, float(i), -float(i), [1.0 * i, 2.0 * i], [0.5, 1.5]) for i in range(6)], "i long, g long, w0 double, w1 double, pca array<double>, counts array<double>")
+    var = spark.createDataFrame([("w0", "a", [1.0, 2.0]), ("w1", "b", [3.0, 4.0])], "name string, kind string, load array<double>")
+    pairs = spark.createDataFrame([(0, 1, 0.5)], "a long, b long, v double")
+    t = AxisTable(df, order_by="i", x=["w0", "w1"], layout="wide", obsm={"pca": "pca"}, var=var, var_name="name", varm={"load": "load"}, obsp={"near": pairs}, varp={"far": pairs}, uns={"note": "n", "levels": {"a": [1, 2]}, "side": pairs}, obs_name="i")
+    t = t.arrange(obs=["g", ax.desc("i")]).select(x=["w1", "w0"])
+    t.write_parquet(f"{tmp_path}/t")
+    back = AxisTable.read_parquet(spark, f"{tmp_path}/t")
+    assert values(back.to_df(obs="i", x=ax.everything(), obsm={"pca": "1"}, obsp={"near": [1]}, ordered=True), "i", "w1", "w0", "pca_1", "near_1") == [(4, -4.0, 4.0, 8.0, 0.0), (2, -2.0, 2.0, 4.0, 0.0), (0, 0.0, 0.0, 0.0, 0.5), (5, -5.0, 5.0, 10.0, 0.0), (3, -3.0, 3.0, 6.0, 0.0), (1, -1.0, 1.0, 2.0, 0.0)]
+    assert [n for n, _ in back.features()] == ["w1", "w0"] and back.obs_frame().columns == t.obs_frame().columns
+    assert values(back.as_frame("varm", key="load"), "1") == values(t.as_frame("varm", key="load"), "1")
+    assert back.as_frame("varp", key="far").count() == 1 and values(back.as_frame("uns", key="levels"), "a") == [1, 2] and back._uns["note"] == "n" and back.as_frame("uns", key="side").count() == 1
+    back.write_parquet(f"{tmp_path}/u", partition_by=["g"])
+    again = AxisTable.read_parquet(spark, f"{tmp_path}/u")
+    assert values(again.obs_frame(ordered=True), "i", "g") == [(4, 0), (2, 0), (0, 0), (5, 1), (3, 1), (1, 1)]
+    other = AxisTable(spark.createDataFrame([(1, [1, 2])], "i long, m array<int>"), order_by="i", x="m")
+    other.write_parquet(f"{tmp_path}/v")
+    assert AxisTable.read_parquet(spark, f"{tmp_path}/v").to_df(x=["f1"]).first()[0] == 2
+
+
+def test_group_aggregates_are_joined_not_windows(spark):
+    df = spark.createDataFrame([(i, i % 3 if i % 7 else None, float(i)) for i in range(40)], "i long, g long, v double")
+    t = AxisTable(df, order_by="i")
+    g = t.group_by(obs="g")
+    out = g.mutate(obs={"c": col("v") - ax.mean("v"), "u": ax.n_distinct("v"), "m": ax.median("v")}).ungroup().obs_frame()
+    assert "Window" not in physical(out) and out.count() == 40
+    by = {}
+    for i in range(40):
+        by.setdefault(i % 3 if i % 7 else None, []).append(float(i))
+    got = {r["i"]: (r["c"], r["u"]) for r in out.collect()}
+    assert all(got[int(v)] == (pytest.approx(v - sum(vs) / len(vs)), len(vs)) for vs in by.values() for v in vs)
+    assert "Window" not in physical(t.add_count("g").obs_frame())
+    kept = g.filter(obs=col("v") > ax.mean("v")).ungroup().obs_frame()
+    assert sorted(values(kept, "i")) == sorted(int(v) for vs in by.values() for v in vs if v > sum(vs) / len(vs))
+    # beside functions of the order, which bring the group together anyway, they are windows of one shuffle
+    both = g.mutate(obs={"c": col("v") - ax.mean("v"), "k": ax.row_number()}).ungroup().obs_frame()
+    assert "Join" not in physical(both)
+    deep = t
+    for k in range(5):  # a frame is read twice for each join, so their number is bounded
+        deep = deep.group_by(obs="g").mutate(obs={f"m{k}": ax.max("v") + k}).ungroup()
+    assert physical(deep.obs_frame()).count("Scan ExistingRDD") <= 4 and values(deep.obs_frame(ordered=True), "m4")[1] == 41.0
+    over = t.transmute(obs={"i": col("i"), "a": ax.mean("v").over("g"), "b": ax.max("v")}).obs_frame()
+    assert "Window" not in physical(over) and over.where("b = 39").count() == 40
+
+
+def test_places_without_sorting_the_table(spark):
+    df = spark.range(1000).selectExpr("id as i", "id * 2 as v")
+    t = AxisTable(df, order_by="i")
+    out = t.mutate(obs={"a": ax.nth("v", 3), "z": ax.nth("v", -2), "no": ax.nth("v", 2000, default=-1)}).slice_head(1).obs_frame()
+    assert out.first()[2:] == (6, 1996, -1)
+    assert "TakeOrderedAndProject" in physical(t.mutate(obs={"a": ax.nth("v", 3)}).obs_frame())
+    assert "collect_list" not in physical(t.mutate(obs={"a": ax.nth("v", 3)}).obs_frame())
+    assert t.summarize(obs={"a": ax.nth("v", 5), "n": ax.n()}).first()[:] == (10, 1000)
+    empty = AxisTable(df.where("i < 0"), order_by="i")
+    assert empty.summarize(obs={"a": ax.nth("v", 0, default=7)}).first()[0] == 7
+
+
+def test_slices_are_conditions_on_positions(spark):
+    df = spark.range(50).selectExpr("id as i", "id % 2 as g")
+    t = AxisTable(df, order_by="i")
+    everything = t.slice(slice(None))
+    assert "Join" not in physical(everything.obs_frame()) and everything.obs_frame().count() == 50
+    for s in (slice(3, 9), slice(-7, None), slice(2, -3, 4), slice(60, 90), slice(None, 5, 2), slice(-100, 3)):
+        assert values(t.slice(s).obs_frame(ordered=True), "i") == list(range(50))[s], s
+        got = t.group_by(obs="g").slice(s).ungroup().obs_frame(ordered=True)
+        assert sorted(values(got, "i")) == sorted([*range(0, 50, 2)][s] + [*range(1, 50, 2)][s]), s
+    assert values(t.slice(slice(8, 2, -2)).obs_frame(ordered=True), "i") == [8, 6, 4]
+    assert values(t.slice(col("i") > 47).obs_frame(ordered=True), "i") == [48, 49]
+    assert values(t.group_by(obs="g").slice(-1, 0, 0).ungroup().obs_frame(ordered=True), "i") == [48, 0, 0, 49, 1, 1]
+
+
+def test_ranks_in_ranges_agree_with_one_window(spark):
+    df = spark.createDataFrame([(i, (i * 37) % 23 if i % 9 else None, (i * 7) % 11) for i in range(300)], "i long, v long, w long")
+    new = {"a": ax.min_rank("v"), "b": ax.max_rank("v", descending=True), "c": ax.average_rank("v"), "d": ax.dense_rank("v"), "e": ax.dense_rank("v", descending=True), "f": ax.percent_rank("w"), "g": ax.cume_dist("v"), "h": ax.ntile("v", 5), "k": col("v").rank("ordinal", descending=True)}
+    one, many = (AxisTable(df, order_by="i", order_parts=k).mutate(obs=new).obs_frame(ordered=True).collect() for k in (1, 6))
+    assert one == many
+
+
+def test_exponential_means_of_long_groups(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(i, i % 2, r.random() * 10 if r.random() > 0.2 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "i long, g long, v double")
+    new = {"a": col("v").ewm_mean(0.9), "b": col("v").ewm_mean(com=1.5), "c": col("v").ewm_mean(half_life=300.0), "d": col("v").ewm_mean(span=9, adjust=False, ignore_nulls=True), "e": col("v").ewm_mean(alpha=1.0, min_samples=2)}
+    got = AxisTable(df, order_by="i").group_by(obs="g").mutate(obs=new).ungroup().obs_frame(ordered=True).collect()
+    how = {"a": (0.9, True, False, 1), "b": (0.4, True, False, 1), "c": (1 - 0.5 ** (1 / 300), True, False, 1), "d": (0.2, False, True, 1), "e": (1.0, True, False, 2)}
+    for name, (alpha, adjust, ignore, least) in how.items():
+        for g in (0, 1):
+            s = w = 0.0
+            seen = 0
+            for row in (x for x in got if x["g"] == g):
+                if row["v"] is None:
+                    assert row[name] is None
+                    if not ignore:
+                        s, w = s * (1 - alpha), w * (1 - alpha)
+                    continue
+                seen += 1
+                mine = 1.0 if adjust or seen == 1 else alpha
+                s, w = s * (1 - alpha) + row["v"] * mine, w * (1 - alpha) + mine
+                assert row[name] == (pytest.approx(s / w) if seen >= least else None), (name, row)
+    with pytest.raises(SelectionError):
+        col("v").ewm_mean()
+
+
+def test_float_filters_reach_the_scan(spark, tmp_path):
+    df = spark.createDataFrame([(i, float(i) if i % 5 else float("nan"), i % 3) for i in range(60)], "i long, v double, g long")
+    df.write.parquet(f"{tmp_path}/f")
+    t = AxisTable.from_parquet(spark, f"{tmp_path}/f", order_by="i")
+    out = t.filter(obs=[(col("v") > 10) & (col("g") == 1), ax.col("v") != 13]).filter(obs=col("v") < 40)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = physical(out.obs_frame())
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "GreaterThan(v,10" in plan and "LessThan(v,40" in plan and "EqualTo(g,1)" in plan
+    assert sorted(values(out.obs_frame(), "i")) == [i for i in range(11, 40) if i % 5 and i % 3 == 1 and i != 13]
+    mean = t.filter(obs=[col("v") > 10, col("v") > ax.mean("v")])  # the mean is of all rows
+    assert sorted(values(mean.obs_frame(), "i")) == [i for i in range(60) if i % 5 and i > 30]
+    changed = t.mutate(obs={"v": col("v") * 2}).filter(obs=col("v") > 10)
+    assert sorted(values(changed.obs_frame(), "i")) == [i for i in range(6, 60) if i % 5]
+    renamed = t.rename(obs={"w": "v"}).filter(obs=col("w") >= 58)
+    assert sorted(values(renamed.obs_frame(), "i")) == [58, 59]
+
+
+def test_python_aggregates_beside_others(spark):
+    t = AxisTable(spark.createDataFrame([(i, i % 2, float(i)) for i in range(10)], "i long, g long, v double"), order_by="i")
+    spread = col("v").map_batches(lambda v: float(v.max() - v.min()), returns_scalar=True)
+    assert values(t.summarize(obs={"s": spread, "n": ax.n()}, by="g"), "s", "n") == [(8.0, 5), (8.0, 5)]
+    assert t.summarize(obs={"s": spread}).first()[0] == 9.0
+    assert set(values(t.group_by(obs="g").mutate(obs={"s": spread + ax.min("v")}).ungroup().obs_frame(), "s")) == {8.0, 9.0}
