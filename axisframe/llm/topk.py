@@ -4,8 +4,8 @@ A component x of a vector becomes floor(1024 * x); the terms of a query are its
 in which neighbours are alike (by the nearest of ``PIVOTS`` vectors, a sample by hash, then by id), cut into ranges, and
 each range into blocks of ``BLOCK`` vectors. For every term a block keeps the largest and smallest component of its
 vectors, so the sum over a query's terms of the larger product bounds every score in the block. Per query, blocks are
-taken in falling order of their bounds and scored whole through the block's forward index (its rows), until a bound falls
-below the k-th score so far.
+taken in falling order of their bounds, in growing steps, and scored whole through the block's forward index (its rows),
+until a bound falls below the k-th score so far.
 
 A query is first searched in the range it lies in itself; the k-th score there is a floor that goes with it to all other
 ranges: blocks bounded below the floor are not scored, and scores below it are not returned. Then queries, in chunks of
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-BLOCK, RANGE, GROUP, CHUNK, PIVOTS = 64, 4096, 8, 2048, 64
+BLOCK, RANGE, GROUP, CHUNK, PIVOTS = 64, 4096, 2, 2048, 64
 _EXACT = float(1 << 53)
 _WORST = np.iinfo(np.int64).min
 
@@ -55,27 +55,31 @@ def search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np
     best = np.full((nq, k), _WORST, np.int64)
     who = np.full((nq, k), -1, np.int64)
     floor = np.full(nq, _WORST, np.int64) if floors is None else floors
-    active, scored = np.arange(nq), 0
-    for turn in range(len(starts)):
-        pick = order[active, turn]
-        going = bound[active, pick].astype(np.int64) >= np.maximum(best[active, -1], floor[active])  # an equal score may still win a tie
-        active, pick = active[going], pick[going]
-        if not len(active):
-            break
-        by_block = np.argsort(pick, kind="stable")
-        for part in np.split(by_block, np.flatnonzero(np.diff(pick[by_block])) + 1):
-            q, a = active[part], starts[pick[part[0]]]
+    active, scored, turn, step = np.arange(nq), 0, 0, 1
+    while turn < len(starts) and len(active):
+        # the next blocks of every query that is still going: one, one, two, four, ... so that later blocks meet many queries at once
+        pick = order[active, turn : turn + step]
+        going = np.take_along_axis(bound[active], pick, 1).astype(np.int64) >= np.maximum(best[active, -1], floor[active])[:, None]  # an equal score may still win a tie
+        who_goes, _ = np.nonzero(going)
+        q_of, b_of = active[who_goes], pick[going]
+        by_block = np.argsort(b_of, kind="stable")
+        for part in np.split(by_block, np.flatnonzero(np.diff(b_of[by_block])) + 1) if len(b_of) else ():
+            q, a = q_of[part], starts[b_of[part[0]]]
             found = ids[a : a + block]
             score = (queries[q] @ rows[a : a + block].T).astype(np.int64)
             scored += len(q)
             score[(found[None, :] == query_ids[q][:, None]) | (score < np.maximum(best[q, -1], floor[q])[:, None])] = _WORST
             some = np.flatnonzero((score > _WORST).any(1))
+            if not len(some):
+                continue
             q, score = q[some], score[some]
             both_s = np.concatenate([best[q], score], axis=1)
             both_i = np.concatenate([who[q], np.broadcast_to(found, score.shape)], axis=1)
             none = both_s == _WORST
             top = np.lexsort((np.where(none, last, both_i), np.where(none, last, -both_s)), axis=1)[:, :k]
             best[q], who[q] = np.take_along_axis(both_s, top, 1), np.take_along_axis(both_i, top, 1)
+        active = active[going[:, -1]] if pick.shape[1] else active[:0]  # bounds fall: one that is too low ends its query
+        turn, step = turn + step, max(1, min(64, turn + step))
     return best, who, scored
 
 
