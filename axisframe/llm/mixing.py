@@ -27,15 +27,20 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def poisson(mean: Column, draw: Column) -> Column:
-    """The smallest k for which the distribution function at k is over ``draw``; mean up to SPLIT."""
+def thresholds(mean: Column) -> Column:
+    """The distribution function at 0 to TERMS - 1; mean up to SPLIT. An array for each source, not for each document."""
     step = lambda acc, k: F.struct(
         (acc["p"] * mean / k).alias("p"),
         (acc["f"] + acc["p"] * mean / k).alias("f"),
-        (acc["n"] + F.when(acc["f"] <= draw, 1).otherwise(0)).alias("n"),
+        F.concat(acc["all"], F.array(acc["f"])).alias("all"),
     )
-    first = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("f"), F.lit(0).alias("n"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), first, step, lambda acc: acc["n"])
+    first = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("f"), F.array().cast("array<double>").alias("all"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), first, step, lambda acc: acc["all"])
+
+
+def poisson(at: Column, draw: Column) -> Column:
+    """The smallest k for which the distribution function at k is over ``draw``: how many ``thresholds`` are not."""
+    return F.size(F.filter(at, lambda f: f <= draw))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, default_weight: float = 1.0, total: float | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -51,15 +56,17 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, default_weight
     all_w, all_n = float(sums["w"] or 0.0), float(sums["n"] or 0)
     goal = all_n if total is None else float(total)
     rate = F.col("__w") * F.lit(goal) / F.lit(all_w) / F.col("__n") if all_w else F.lit(0.0)
-    # written, so that its size is known: Spark broadcasts it if it is small, and else splits a hot source
-    rates, _ = shared.written(sizes.select("__source", rate.alias("__rate")), "rates")
-    out = docs.drop("copy", "shuffle_key").join(rates, src.eqNullSafe(F.col("__source")))
-    # null and empty texts draw apart
-    key = [F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("?")), F.coalesce(F.md5(text_col), F.lit("?"))]
     parts = F.greatest(F.lit(1), F.ceil(F.col("__rate") / SPLIT).cast("int"))
-    draws = F.transform(F.sequence(F.lit(1), parts), lambda k: poisson(F.col("__rate") / parts, uniform(*key, k.cast("string"))))
-    out = out.withColumn("__count", F.aggregate(draws, F.lit(0), lambda a, b: a + b)).where("__count > 0")
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__count")))).withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit("shuffle"), *key, F.col("copy").cast("string"))))
-    out = out.drop("__source", "__rate", "__count")
+    rates = sizes.select("__source", rate.alias("__rate")).select("__source", parts.alias("__parts"), thresholds(F.col("__rate") / parts).alias("__at"))
+    # written, so that its size is known: Spark broadcasts it if it is small, and else splits a hot source
+    rates, _ = shared.written(rates, "rates")
+    # null and empty texts draw apart; the digest is taken once, below the join
+    key = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("?")), F.coalesce(F.md5(text_col), F.lit("?")))
+    out = docs.drop("copy", "shuffle_key").withColumn("__key", key).join(rates, src.eqNullSafe(F.col("__source")))
+    draws = F.transform(F.sequence(F.lit(1), F.col("__parts")), lambda k: poisson(F.col("__at"), uniform(F.col("__key"), k.cast("string"))))
+    count = F.aggregate(draws, F.lit(0), lambda a, b: a + b)
+    out = out.withColumn("copy", F.explode(F.transform(F.array_repeat(F.lit(0), count), lambda _, i: i + 1)))
+    out = out.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit("shuffle"), "__key", F.col("copy").cast("string"))))
+    out = out.drop("__source", "__parts", "__at", "__key")
     # dealing by the key's hash and sorting by the key within each task makes a random order overall
     return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")

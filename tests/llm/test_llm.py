@@ -428,7 +428,7 @@ def test_poisson_inverts_the_distribution(spark):
     from math import exp, factorial
 
     for mean in (0.1, 2.5, 8.0):
-        got = spark.range(1000).select(mixing.poisson(F.lit(mean), (F.col("id") + 0.5) / 1000).alias("k"), ((F.col("id") + 0.5) / 1000).alias("u")).collect()
+        got = spark.range(1000).select(mixing.poisson(mixing.thresholds(F.lit(mean)), (F.col("id") + 0.5) / 1000).alias("k"), ((F.col("id") + 0.5) / 1000).alias("u")).collect()
         for r in got:
             k, total = 0, exp(-mean)
             while total <= r["u"]:
