@@ -14,7 +14,7 @@ Lines without a word neither fail nor count. Base rules over the whole text: bas
 in failing lines.
 
 A null text has no words: all counts 0, base_failed true, kept false, cleaned text null. Rows that repeat are judged
-alone, null ids are kept as null, other columns are ignored.
+alone, null ids are kept as null, other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import text
+from . import shared, text
 
 #: Phrases of boilerplate lines.
 PHRASES = (
@@ -160,5 +160,6 @@ def _judged(loss: int, cleaned: bool):
 
 def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", loss: int = LOSS, cleaned: bool = False) -> DataFrame:
     """Counts and verdict of each document; with ``cleaned`` also its text without the failing lines (clean_text)."""
+    shared.prepared(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_judged(loss, cleaned), _SCHEMA + (", clean_text string" if cleaned else ""))

@@ -410,6 +410,42 @@ def test_packing(spark, make, corpus):
     assert packing.pack(make(rows).where("false"), path).count() == 0
 
 
+def covered(pieces, texts, tok):
+    """Whether pieces (of one doc_id) lay out every token of its texts, each once, in whatever windows."""
+    want = collections.Counter()
+    for t in texts:
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        want.update((k, int(x), len(ids)) for k, x in enumerate(ids))
+    sums = collections.defaultdict(set)
+    for t in texts:
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        for r in pieces:
+            if r["doc_tokens"] == len(ids) and zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"]:
+                sums[r["start"], r["length"], r["doc_tokens"], r["ids_crc32"]].add(tuple((k, int(ids[k]), len(ids)) for k in range(r["start"], r["start"] + r["length"])))
+    got = collections.Counter()
+    for r in pieces:
+        same = sums[r["start"], r["length"], r["doc_tokens"], r["ids_crc32"]]
+        assert len(same) == 1, r
+        got.update(next(iter(same)))
+    return got == want
+
+
+def test_packing_of_repeated_and_null_ids(spark, make, corpus):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    rows = corpus + [(7, prose(300, 5)), (7, None), (None, prose(90, 6)), (None, ""), (400, "x")]
+    got = packing.pack(make(rows).repartition(3), path, window=128, most=3).collect()
+    for i in {i for i, _ in rows}:
+        assert covered([r for r in got if r["doc_id"] == i], [t for j, t in rows if j == i], tok), i
+    places = collections.defaultdict(list)
+    for r in got:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert all(sum(n for _, n in p) <= 128 and [o for o, _ in sorted(p)] == np.cumsum([0] + [n for _, n in sorted(p)])[:-1].tolist() for p in places.values())
+
+
 def test_mixing(spark, make):
     rows = [(k, prose(5, k)) for k in range(3000)] + [(None, None), (1, ""), (1, "")]
     docs = make(rows).withColumn("copy", F.lit("x")).withColumn("source", F.when(F.col("doc_id") < 1500, "big").when(F.col("doc_id") < 2500, "mid"))
@@ -659,6 +695,7 @@ def test_line_rules(make, corpus):
     rows = corpus + [(700 + k, t) for k, t in enumerate(more)]
     got = linerules.line_rules(make(rows), cleaned=True).collect()
     assert sorted((str(i), *brute_rules(t)) for i, t in rows) == sorted((str(r["doc_id"]), *(r[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"))) for r in got)
+    assert linerules.line_rules(make(rows).where("false"), cleaned=True).count() == 0
     by = {r["doc_id"]: r for r in got}
     assert by[700]["kept"] and by[702]["kept"] and by[702]["clean_text"].strip() == good and not by[705]["kept"] and by[400]["clean_text"] is None
 
@@ -854,16 +891,105 @@ def test_bounded_rows(spark):
 def test_pipeline(spark, make, corpus, tmp_path):
     pytest.importorskip("public_tokenizers")
     pipeline = pytest.importorskip("corpus_pipeline")
-    rows = [(i, t) for i, t in corpus if i is not None and i != 7]
+    rows = corpus + [(7, prose(80, 9001)), (None, prose(50, 9002))]
     make(rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     texts = dict(rows)
     kept = pipeline.STAGES[0][1](spark, docs, str(tmp_path))
-    assert {r["doc_id"] for r in kept.collect()} == {i for i, t in rows if re.search(r"[^\W\d_]", t or "")}
+    assert collections.Counter((r["doc_id"], r["text"]) for r in kept.collect()) == collections.Counter((i, t) for i, t in rows if re.search(r"[^\W\d_]", t or ""))
     one = pipeline.STAGES[1][1](spark, docs, str(tmp_path))
-    ids = {r["doc_id"] for r in one.collect()}
-    assert not ids & set(range(201, 212)) and 1 in ids and one.columns == docs.columns and len(ids) == one.count()
+    ids = collections.Counter(r["doc_id"] for r in one.collect())
+    assert not set(ids) & set(range(201, 212)) and one.columns == docs.columns and ids[7] == 2 and ids[None] == sum(i is None for i, _ in rows) and all(n == 1 for i, n in ids.items() if i not in (7, None))
     cut = {r["doc_id"]: r["text"] for r in pipeline.STAGES[2][1](spark, docs, str(tmp_path)).collect()}
     assert all(len(cut[i].split()) < len(texts[i].split()) - 60 for i in range(301, 310)) and cut[300] == texts[300]
     out = pipeline.run(spark, str(tmp_path)).collect()
     assert out and {"doc_id", "sequence_id", "ids_crc32"} <= set(out[0].asDict())
+    docs.where("false").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage on its own input: language by a plain coder's argmin, groups by 5-word sets, cuts by 45-word windows, draws by their hashes, packing by the tokenizer."""
+    public = pytest.importorskip("public_tokenizers")
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from tokenizers import Tokenizer
+
+    r = random.Random(40)
+    kinds = {"aa": "bcdf", "bb": "lmnp"}
+
+    def unique(n, seed, lang):  # words that occur once: a fuzzy passage is an exact one
+        q = random.Random(seed)
+        return ["".join(q.choice(kinds[lang]) + q.choice("aeiou") for _ in range(5)) for _ in range(n)]
+
+    rows, passages = [], [unique(60, 90 + k, "aa") for k in range(3)]
+    for k in range(60):
+        lang = "aa" if k % 3 else "bb"
+        words = unique(r.randint(60, 120), 1000 + k, lang)
+        if lang == "aa" and k % 4 == 0:
+            at = r.randint(0, len(words))
+            words[at:at] = passages[k % 3]
+        rows.append((k, " ".join(words), lang if k % 5 else None, f"src{k % 4}"))
+    for k in range(8):  # near copies, one word in forty changed at the end
+        words = rows[k][1].split(" ")
+        rows.append((100 + k, " ".join([*words[:-1], "zz"]), None, "src0"))
+    rows += [(200, None, "aa", "src1"), (201, "12 34", None, "src1"), (3, rows[3][1], rows[3][2], "src3")]
+    full = [(i, t, lang, s, len(t or "")) for i, t, lang, s in rows]
+    spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+    got = pipeline.STAGES[0][1](spark, docs, str(tmp_path))
+    model = ppm.fit(docs)
+    want = []
+    for i, t, lang, s, n in full:
+        if t is None or not re.search(r"[^\W\d_]", t):
+            continue
+        raw = np.frombuffer(t.encode(), np.uint8)
+        bits = [float(model.bits(raw, np.array([0, len(raw)]))[0, k]) for k in range(len(model.langs))]
+        gap = [(b - min(bits)) * min(len(raw), 64) / len(raw) for b in bits]
+        if 1 / sum(2.0**-g for g in gap) >= pipeline.LEAST_CERTAIN:
+            want.append((i, t, lang or model.langs[int(np.argmin(bits))], s, n))
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) >= 67
+
+    docs = got.persist()
+    got = pipeline.STAGES[1][1](spark, docs, str(tmp_path))
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in ((x[0], x[1].split(" ")) for x in want)}
+    low = {i: min(j for j in sets if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])) for i in sets}
+    want = sorted({x for x in want if low[x[0]] == x[0]})
+    assert sorted(map(tuple, got.collect())) == want and not any(x[0] >= 100 for x in want)
+
+    docs = got.persist()
+    got = pipeline.STAGES[2][1](spark, docs, str(tmp_path))
+    gone = brute_windows([x[:2] for x in want])
+    left = []
+    for i, t, lang, s, n in want:
+        words = t.split(" ")
+        kept = [w for k, w in enumerate(words) if k not in gone.get(i, ())]
+        if kept:
+            left.append((i, kept, lang, s))
+    assert sorted((x["doc_id"], x["text"].split(), x["lang"], x["source"]) for x in got.collect()) == sorted(left) and len(gone) > 3
+    assert all(x["n_chars"] == len(x["text"]) for x in got.collect())
+
+    docs = got.persist()
+    got = pipeline.STAGES[3][1](spark, docs, str(tmp_path))
+    now = [tuple(x) for x in docs.collect()]
+    size = collections.Counter(x[3] for x in now)
+    weight = {s: pipeline.MIX_WEIGHTS.get(s, 1.0) for s in size}
+    want = collections.Counter()
+    for x in now:
+        rate = weight[x[3]] * len(now) / sum(weight.values()) / size[x[3]]
+        parts = max(1, int(np.ceil(rate / 8)))
+        key = f"17|{x[0]}|{hashlib.md5(x[1].encode()).hexdigest()}"
+        for k in range(1, parts + 1):
+            u, n, p = int(hashlib.md5(f"{key}|{k}".encode()).hexdigest()[:13], 16) / 2**52, 0, np.exp(-rate / parts)
+            total = p
+            while total <= u and n < 40:
+                n += 1
+                p = p * (rate / parts) / n
+                total += p
+            want[x] += n
+    assert collections.Counter(map(tuple, got.collect())) == +want and sum(want.values()) > 20
+
+    pieces = pipeline.STAGES[4][1](spark, got.persist(), str(tmp_path)).collect()
+    tok = Tokenizer.from_file(public.path("word_bpe_49k.json"))
+    for i in {x[0] for x in want}:
+        assert covered([p for p in pieces if p["doc_id"] == i], [x[1] for x, n in want.items() if x[0] == i for _ in range(n)], tok)
