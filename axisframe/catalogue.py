@@ -78,7 +78,7 @@ def query(name: str, sql: str | None = None):
     def keep(func):
         QUERIES[name] = lambda spark, sf_dir: func(Data(spark, sf_dir))
         if sql is not None:
-            SQL[name] = sql.replace(", 6)", " + 1.23e-7, 6)")
+            SQL[name] = sql
         return func
 
     return keep
@@ -108,7 +108,7 @@ def flagship(d: Data) -> DataFrame:
     return rounded(out, "mean_f0", "mean_f1")
 
 
-query("summarize_multi_source", "select label, count(*) cells, median(vec_id)::double med_id, round(avg(embedding[1]::double), 6) mean_f0, round(avg(embedding[2]::double), 6) mean_f1 from embeddings group by label")(flagship)
+query("summarize_multi_source", "select label, count(*) cells, median(vec_id)::double med_id, round(avg(embedding[1]::double) + 1.23e-7, 6) mean_f0, round(avg(embedding[2]::double) + 1.23e-7, 6) mean_f1 from embeddings group by label")(flagship)
 
 # -- projection ----------------------------------------------------------------------------------------------------------
 
@@ -117,7 +117,7 @@ query("rename", "select event_id as id, ts, user_id as \"user\", event_type, val
 query("rename_with", "select r_regionkey as R_REGIONKEY, r_name from region")(lambda d: AxisTable(d.region, order_by="r_regionkey").rename_with(str.upper, obs=ax.ends_with("key")).obs_frame())
 query("relocate", "select value, event_id, ts, user_id, event_type, props from events")(lambda d: d.events_table().relocate(obs="value").obs_frame())
 query("mutate_seq", "select event_id, value * 2 as a, value * 2 + 1 as b, (value * 2 + 1) * (value * 2) as c from events")(lambda d: d.events_table().mutate(obs={"a": col("value") * 2, "b": col("a") + 1, "c": col("b") * col("a")}).select(obs=["event_id", "a", "b", "c"]).obs_frame())
-query("mutate_scalar", "select event_id, 7 as k, round(value - avg(value) over (), 6) as centred from events")(lambda d: rounded(d.events_table().mutate(obs={"k": ax.lit(7), "centred": col("value") - ax.mean("value")}).select(obs=["event_id", "k", "centred"]).obs_frame(), "centred"))
+query("mutate_scalar", "select event_id, 7 as k, round(value - avg(value) over () + 1.23e-7, 6) as centred from events")(lambda d: rounded(d.events_table().mutate(obs={"k": ax.lit(7), "centred": col("value") - ax.mean("value")}).select(obs=["event_id", "k", "centred"]).obs_frame(), "centred"))
 query("transmute", "select upper(event_type) as kind, value > 0 as positive from events")(lambda d: d.events_table().transmute(obs={"kind": col("event_type").str.to_uppercase(), "positive": col("value") > 0}).obs_frame())
 query("mutate_operators", "select event_id, user_id + 3 as add_, 3 - user_id as rsub, user_id * -2 as mul, user_id / 4 as div, floor(user_id / 4)::bigint as fdiv, (user_id - (-7) * floor(user_id / -7))::bigint as mod_, user_id * user_id as sq, -user_id as neg, abs(user_id - 50)::bigint as abs_ from events")(
     lambda d: d.events_table().transmute(obs={"event_id": col("event_id"), "add_": col("user_id") + 3, "rsub": 3 - col("user_id"), "mul": col("user_id") * -2, "div": col("user_id") / 4, "fdiv": col("user_id") // 4, "mod_": (col("user_id") % -7).cast("long"), "sq": col("user_id") ** 2, "neg": -col("user_id"), "abs_": (col("user_id") - 50).abs()}).obs_frame()
@@ -142,8 +142,8 @@ query("filter_layer", "select vec_id from embeddings where embedding[64]::float
 query("filter_obsm", "select vec_id from embeddings where embedding[5] > embedding[6]")(lambda d: d.rich().filter(obsm={"pca": col("p0") > col("p1")}).select(obs="vec_id").obs_frame())
 query("filter_var", "select 'f' || k as name from range(64) t(k) where k % 2 = 1 and k * k > 100")(lambda d: d.rich().filter(var=[col("kind") == "odd", col("square") > 100]).var_frame().select("name"))
 query("filter_varm", "select 'f' || k as name from range(64) t(k) where -k < -60")(lambda d: d.rich().filter(varm={"loadings": col("1") < -60}).var_frame().select("name"))
-query("sparse_matrix", "select vec_id, round(greatest(embedding[1], 0)::double, 6) as g0, round(greatest(embedding[4], 0)::double, 6) as g3 from embeddings where greatest(embedding[2], 0) < 0.1")(lambda d: rounded(d.sparse().filter(x=col("g1") < 0.1).to_df(obs="vec_id", x=["g0", "g3"]), "g0", "g3"))
-query("wide_matrix", "select vec_id, round(embedding[3]::double, 6) as w2, round(embedding[1]::double, 6) as w0 from embeddings where embedding[2] > 0")(lambda d: rounded(d.wide().filter(x=col("w1") > 0).to_df(obs="vec_id", x=["w2", "w0"]), "w2", "w0"))
+query("sparse_matrix", "select vec_id, round(greatest(embedding[1], 0)::double + 1.23e-7, 6) as g0, round(greatest(embedding[4], 0)::double + 1.23e-7, 6) as g3 from embeddings where greatest(embedding[2], 0) < 0.1")(lambda d: rounded(d.sparse().filter(x=col("g1") < 0.1).to_df(obs="vec_id", x=["g0", "g3"]), "g0", "g3"))
+query("wide_matrix", "select vec_id, round(embedding[3]::double + 1.23e-7, 6) as w2, round(embedding[1]::double + 1.23e-7, 6) as w0 from embeddings where embedding[2] > 0")(lambda d: rounded(d.wide().filter(x=col("w1") > 0).to_df(obs="vec_id", x=["w2", "w0"]), "w2", "w0"))
 query("slice_head", "select * from events order by event_id limit 7")(lambda d: d.events_table().slice_head(7).obs_frame())
 query("slice_tail", "select * from events order by event_id desc limit 7")(lambda d: d.events_table().slice_tail(7).obs_frame())
 query("slice_min", "select * from events order by value, event_id limit 9")(lambda d: d.events_table().slice_min("value", 9).obs_frame())
@@ -191,7 +191,7 @@ query("join_mapping_order", "select n_nationkey, part, row_number() over (order
 query("summarize", "select l_returnflag, l_linestatus, count(*) n, round(sum(l_quantity), 4) qty, round(avg(l_extendedprice), 4) price, min(l_discount) lo, max(l_tax) hi from lineitem group by 1, 2")(
     lambda d: d.lineitem_table().summarize(obs={"n": ax.n(), "qty": ax.sum("l_quantity"), "price": ax.mean("l_extendedprice"), "lo": ax.min("l_discount"), "hi": ax.max("l_tax")}, by=["l_returnflag", "l_linestatus"]).withColumns({"qty": F.round("qty", 4), "price": F.round("price", 4)})
 )
-query("summarize_all", "select count(*) n, round(avg(value), 6) m, count(distinct user_id) users from events")(lambda d: rounded(d.events_table().summarize(obs={"n": ax.n(), "m": ax.mean("value"), "users": ax.n_distinct("user_id")}), "m"))
+query("summarize_all", "select count(*) n, round(avg(value) + 1.23e-7, 6) m, count(distinct user_id) users from events")(lambda d: rounded(d.events_table().summarize(obs={"n": ax.n(), "m": ax.mean("value"), "users": ax.n_distinct("user_id")}), "m"))
 query("summarize_across", "select l_returnflag, round(avg(l_quantity), 4) l_quantity_mean, max(l_quantity) l_quantity_max, round(avg(l_discount), 4) l_discount_mean, max(l_discount) l_discount_max from lineitem group by 1")(
     lambda d: d.lineitem_table().summarize(obs=ax.across(["l_quantity", "l_discount"], {"mean": ax.mean, "max": ax.max}), by="l_returnflag").withColumns({c: F.round(c, 4) for c in ("l_quantity_mean", "l_discount_mean")})
 )
@@ -207,23 +207,23 @@ query("add_count", "select event_id, count(*) over (partition by user_id) as n f
 query("add_tally", "select event_id, round(sum(value) over (), 4) as total from events")(lambda d: d.events_table().add_tally(wt="value", name="total").select(obs=["event_id", "total"]).obs_frame().withColumn("total", F.round("total", 4)))
 query("group_keys", "select distinct event_type from events")(lambda d: d.by_type().group_keys())
 query("group_data", "select event_type, string_agg(p::varchar, ',' order by p) as places from (select event_type, row_number() over (order by event_id) - 1 p from events) group by 1")(lambda d: d.by_type().group_data().select("event_type", F.array_join(F.col("`.rows`").cast("array<string>"), ",").alias("places")))
-query("grouped_mutate", "select event_id, round(value - avg(value) over (partition by event_type), 6) as centred, row_number() over (partition by event_type order by event_id)::int as k from events")(lambda d: rounded(d.by_type().mutate(obs={"centred": col("value") - ax.mean("value"), "k": ax.row_number()}).select(obs=["event_id", "centred", "k"]).obs_frame(), "centred").select("event_id", "centred", "k"))
-query("grouped_aggregates", "select event_id, count(distinct user_id) over (partition by event_type) as users, round(median(value) over (partition by event_type), 6) as mid, list(value order by event_id) over (partition by event_type order by event_id rows between unbounded preceding and unbounded following)[3] as third from events")(
+query("grouped_mutate", "select event_id, round(value - avg(value) over (partition by event_type) + 1.23e-7, 6) as centred, row_number() over (partition by event_type order by event_id)::int as k from events")(lambda d: rounded(d.by_type().mutate(obs={"centred": col("value") - ax.mean("value"), "k": ax.row_number()}).select(obs=["event_id", "centred", "k"]).obs_frame(), "centred").select("event_id", "centred", "k"))
+query("grouped_aggregates", "select event_id, count(distinct user_id) over (partition by event_type) as users, round(median(value) over (partition by event_type) + 1.23e-7, 6) as mid, list(value order by event_id) over (partition by event_type order by event_id rows between unbounded preceding and unbounded following)[3] as third from events")(
     lambda d: rounded(d.by_type().mutate(obs={"users": ax.n_distinct("user_id"), "mid": ax.median("value"), "third": ax.nth("value", 2)}).ungroup().select(obs=["event_id", "users", "mid", "third"]).obs_frame(), "mid")
 )
 query("whole_nth", "select event_id, value - (select value from events order by event_id limit 1 offset 4) as a, (select value from events order by event_id desc limit 1) as z from events")(lambda d: d.events_table().transmute(obs={"event_id": col("event_id"), "a": col("value") - ax.nth("value", 4), "z": ax.nth("value", -1)}).obs_frame())
 query("group_keys_stay", "select event_type, value from events")(lambda d: d.by_type().select(obs="value").ungroup().obs_frame())
 query("group_by_var", "select case when k % 2 = 0 then 'even' else 'odd' end as kind, count(*) as n, max(k * k)::int as most from range(64) t(k) group by 1")(lambda d: d.rich().group_by(var="kind").summarize(var={"n": ax.n(), "most": ax.max("square")}))
 query("grouped_iteration", "select event_type, count(*) as n from events group by 1")(lambda d: reduce(DataFrame.union, [t.summarize(obs={"n": ax.n()}).select(F.lit(k["event_type"]).alias("event_type"), "n") for k, t in d.by_type()]))
-query("summarize_obsm", "select label, round(avg(embedding[5]::double), 6) as p, round(max(embedding[3])::double, 6) as r from embeddings group by 1")(lambda d: rounded(d.rich().summarize(obsm={"pca": {"p": ax.mean("p0")}}, raw={"r": ax.max("r2")}, by="label"), "p", "r"))
+query("summarize_obsm", "select label, round(avg(embedding[5]::double) + 1.23e-7, 6) as p, round(max(embedding[3])::double + 1.23e-7, 6) as r from embeddings group by 1")(lambda d: rounded(d.rich().summarize(obsm={"pca": {"p": ax.mean("p0")}}, raw={"r": ax.max("r2")}, by="label"), "p", "r"))
 query("summarize_layer", "select label, round(sum(embedding[1]::float * 2), 4) as s from embeddings group by 1")(lambda d: d.rich().summarize(x={"s": ax.sum("f0")}, layer="twice", by="label").withColumn("s", F.round("s", 4)))
 query("summarize_varm", "select sum(k)::double as a, min(-k)::double as b from range(64) t(k)")(lambda d: d.rich().summarize(varm={"loadings": {"a": ax.sum("0"), "b": ax.min("1")}}))
-query("mutate_sources", "select vec_id, round(embedding[1]::double + embedding[2], 6) as s, round(embedding[3]::double, 6) as r, round(embedding[5]::double, 6) as p from embeddings")(lambda d: rounded(d.rich().mutate(x={"s": col("f0").cast("double") + col("f1")}, raw={"r": col("r2")}, obsm={"pca": {"p": col("p0")}}).select(obs=["vec_id", "s", "r", "p"]).obs_frame(), "s", "r", "p"))
+query("mutate_sources", "select vec_id, round(embedding[1]::double + embedding[2] + 1.23e-7, 6) as s, round(embedding[3]::double + 1.23e-7, 6) as r, round(embedding[5]::double + 1.23e-7, 6) as p from embeddings")(lambda d: rounded(d.rich().mutate(x={"s": col("f0").cast("double") + col("f1")}, raw={"r": col("r2")}, obsm={"pca": {"p": col("p0")}}).select(obs=["vec_id", "s", "r", "p"]).obs_frame(), "s", "r", "p"))
 query("mutate_var", "select 'f' || k as name, k * k + 1 as more, (-k)::double as load from range(64) t(k)")(lambda d: d.rich().mutate(var={"more": (col("square") + 1).cast("long")}, varm={"loadings": {"load": col("1")}}).var_frame().select("name", "more", "load"))
 query("arrange_var", "select 'f' || k as name, row_number() over (order by k % 2, k desc)::int as place from range(64) t(k)")(lambda d: d.rich().arrange(var=["kind", ax.desc("square")]).mutate(var={"place": ax.row_number()}).var_frame().select("name", "place"))
 query("join_var", "select 'f' || k as name, case when k % 2 = 0 then 'E' else 'O' end as letter from range(64) t(k)")(lambda d: d.rich().left_join({"kind": ["even", "odd"], "letter": ["E", "O"]}, by="kind", axis="var").var_frame().select("name", "letter"))
-query("written_and_read", "select vec_id, label, round(embedding[1]::double, 6) as f0, round(embedding[1]::double * 2, 6) as t0, round(embedding[2]::double, 6) as r1, round(embedding[6]::double, 6) as p1, row_number() over (order by label desc, vec_id)::int as place from embeddings")(lambda d: _written(d))
-query("grouped_summarize", "select event_type, count(*) n, round(stddev_samp(value), 6) s from events group by 1")(lambda d: rounded(d.by_type().summarize(obs={"n": ax.n(), "s": ax.sd("value")}), "s"))
+query("written_and_read", "select vec_id, label, round(embedding[1]::double + 1.23e-7, 6) as f0, round(embedding[1]::double * 2 + 1.23e-7, 6) as t0, round(embedding[2]::double + 1.23e-7, 6) as r1, round(embedding[6]::double + 1.23e-7, 6) as p1, row_number() over (order by label desc, vec_id)::int as place from embeddings")(lambda d: _written(d))
+query("grouped_summarize", "select event_type, count(*) n, round(stddev_samp(value) + 1.23e-7, 6) s from events group by 1")(lambda d: rounded(d.by_type().summarize(obs={"n": ax.n(), "s": ax.sd("value")}), "s"))
 
 
 
@@ -248,7 +248,7 @@ def _by_type(name: str, e, sql: str, digits: bool = False) -> None:
         out = d.by_type().mutate(obs={"v": e}).select(obs=["event_id", "v"]).ungroup().select(obs=["event_id", "v"]).obs_frame()
         return rounded(out, "v") if digits else out
 
-    query(name, f"select event_id, {f'round({sql}, 6)' if digits else sql} as v from events")(run)
+    query(name, f"select event_id, {f'round({sql} + 1.23e-7, 6)' if digits else sql} as v from events")(run)
 
 
 _W, _V = "(partition by event_type order by event_id)", "(partition by event_type order by value)"
@@ -271,12 +271,12 @@ _by_type("cumany", ax.cumany(col("value") > 90), f"sum((value > 90)::int) over {
 _by_type("cumall", ax.cumall(col("value") > 1), f"sum((value > 1)::int) over {_W} = row_number() over {_W}")
 _by_type("cum_count", col("value").cum_count(), f"count(value) over {_W}")
 _by_type("rolling_mean", col("value").rolling_mean(5), f"case when count(value) over (partition by event_type order by event_id rows 4 preceding) >= 5 then avg(value) over (partition by event_type order by event_id rows 4 preceding) end", True)
-query("cum_prod", "select event_id, round(product(1 + value / 100000) over (partition by user_id order by event_id), 6) as v from events")(lambda d: rounded(d.by_user().mutate(obs={"v": ax.cum_prod(1 + col("value") / 100000)}).ungroup().select(obs=["event_id", "v"]).obs_frame(), "v"))
-query("over", "select event_id, round(value - avg(value) over (partition by user_id), 6) as v from events")(lambda d: rounded(d.events_table().transmute(obs={"event_id": col("event_id"), "v": col("value") - ax.mean("value").over("user_id")}).obs_frame(), "v"))
-query("ewm_mean", "with recursive e as (select *, row_number() over (partition by user_id order by event_id) r from events), w as (select user_id, r, event_id, value::double s, 1.0::double k from e where r = 1 union all select e.user_id, e.r, e.event_id, w.s * 0.5 + e.value, w.k * 0.5 + 1 from w join e on e.user_id = w.user_id and e.r = w.r + 1) select event_id, round(s / k, 6) as v from w")(lambda d: rounded(d.by_user().mutate(obs={"v": col("value").ewm_mean(0.5)}).ungroup().select(obs=["event_id", "v"]).obs_frame(), "v"))
+query("cum_prod", "select event_id, round(product(1 + value / 100000) over (partition by user_id order by event_id) + 1.23e-7, 6) as v from events")(lambda d: rounded(d.by_user().mutate(obs={"v": ax.cum_prod(1 + col("value") / 100000)}).ungroup().select(obs=["event_id", "v"]).obs_frame(), "v"))
+query("over", "select event_id, round(value - avg(value) over (partition by user_id) + 1.23e-7, 6) as v from events")(lambda d: rounded(d.events_table().transmute(obs={"event_id": col("event_id"), "v": col("value") - ax.mean("value").over("user_id")}).obs_frame(), "v"))
+query("ewm_mean", "with recursive e as (select *, row_number() over (partition by user_id order by event_id) r from events), w as (select user_id, r, event_id, value::double s, 1.0::double k from e where r = 1 union all select e.user_id, e.r, e.event_id, w.s * 0.5 + e.value, w.k * 0.5 + 1 from w join e on e.user_id = w.user_id and e.r = w.r + 1) select event_id, round(s / k + 1.23e-7, 6) as v from w")(lambda d: rounded(d.by_user().mutate(obs={"v": col("value").ewm_mean(0.5)}).ungroup().select(obs=["event_id", "v"]).obs_frame(), "v"))
 
 
-query("ewm_mean_span", "with recursive e as (select *, row_number() over (partition by user_id order by event_id) r from events), w as (select user_id, r, event_id, value::double s from e where r = 1 union all select e.user_id, e.r, e.event_id, w.s * 0.75 + e.value * 0.25 from w join e on e.user_id = w.user_id and e.r = w.r + 1) select event_id, case when r >= 3 then round(s, 6) end as v from w")(lambda d: rounded(d.by_user().mutate(obs={"v": col("value").ewm_mean(span=7, adjust=False, min_samples=3)}).ungroup().select(obs=["event_id", "v"]).obs_frame(), "v"))
+query("ewm_mean_span", "with recursive e as (select *, row_number() over (partition by user_id order by event_id) r from events), w as (select user_id, r, event_id, value::double s from e where r = 1 union all select e.user_id, e.r, e.event_id, w.s * 0.75 + e.value * 0.25 from w join e on e.user_id = w.user_id and e.r = w.r + 1) select event_id, case when r >= 3 then round(s + 1.23e-7, 6) end as v from w")(lambda d: rounded(d.by_user().mutate(obs={"v": col("value").ewm_mean(span=7, adjust=False, min_samples=3)}).ungroup().select(obs=["event_id", "v"]).obs_frame(), "v"))
 _R = "(partition by event_type order by event_id rows 3 preceding)"
 _by_type("rolling_sum", col("value").rolling_sum(4), f"case when count(value) over {_R} >= 4 then sum(value) over {_R} end", True)
 _by_type("rolling_min", col("value").rolling_min(4, min_samples=2), f"case when count(value) over {_R} >= 2 then min(value) over {_R} end")
@@ -299,7 +299,7 @@ _in_ranges("cum_count_in_ranges", ax.row_number().cast("long"), "row_number() ov
 
 
 def _per_type(name: str, e, sql: str, digits: bool = False) -> None:
-    query(name, f"select event_type, {f'round({sql}, 6)' if digits else sql} as v from events group by event_type")(lambda d: rounded(o, "v") if (o := d.by_type().summarize(obs={"v": e})) is not None and digits else o)
+    query(name, f"select event_type, {f'round({sql} + 1.23e-7, 6)' if digits else sql} as v from events group by event_type")(lambda d: rounded(o, "v") if (o := d.by_type().summarize(obs={"v": e})) is not None and digits else o)
 
 
 _per_type("n_distinct", ax.n_distinct("user_id"), "count(distinct user_id)")
@@ -347,30 +347,30 @@ query("if_all", "select event_id from events where value > 20 and user_id > 20")
 query("selectors", "select c_custkey, c_acctbal, c_mktsegment from customer")(lambda d: d.customers().select(obs=[ax.where(ax.is_numeric) & ~ax.contains("nation"), ax.last_col()]).obs_frame())
 query("selector_union", "select c_name, c_nationkey, c_acctbal, c_mktsegment from customer")(lambda d: d.customers().select(obs=(ax.matches("^c_n") | ax.ends_with("bal") | ax.all_of(["c_mktsegment"]))).obs_frame())
 query("selector_all_of", "select c_acctbal, c_custkey from customer")(lambda d: d.customers().select(obs=ax.all_of(["c_acctbal", "c_custkey"])).obs_frame())
-query("num_range", "select vec_id, round(embedding[2]::double, 6) as f1, round(embedding[3]::double, 6) as f2 from embeddings")(lambda d: rounded(d.vectors().to_df(obs="vec_id", x=ax.num_range("f", [1, 2])), "f1", "f2"))
+query("num_range", "select vec_id, round(embedding[2]::double + 1.23e-7, 6) as f1, round(embedding[3]::double + 1.23e-7, 6) as f2 from embeddings")(lambda d: rounded(d.vectors().to_df(obs="vec_id", x=ax.num_range("f", [1, 2])), "f1", "f2"))
 query("pick", "select event_id, greatest(value, user_id) as most from events")(lambda d: d.events_table().transmute(obs={"event_id": col("event_id"), "most": col("value").spark(lambda a, b: F.greatest(a, b.cast("double")), col("user_id"))}).select(obs=ax.pick("event_id", "most")).obs_frame())
 query("mutate_across", "select c_custkey, upper(c_name) as c_name_up, upper(c_mktsegment) as c_mktsegment_up from customer")(lambda d: d.customers().transmute(obs=[{"c_custkey": col("c_custkey")}, ax.across(["c_name", "c_mktsegment"], lambda e: e.str.to_uppercase(), names="{col}_up")]).obs_frame())
-query("map_batches", "select event_id, round(value * 2 + 1, 6) as v from events")(lambda d: rounded(d.events_table().transmute(obs={"event_id": col("event_id"), "v": col("value").map_batches(lambda s: s * 2 + 1)}).obs_frame(), "v"))
+query("map_batches", "select event_id, round(value * 2 + 1 + 1.23e-7, 6) as v from events")(lambda d: rounded(d.events_table().transmute(obs={"event_id": col("event_id"), "v": col("value").map_batches(lambda s: s * 2 + 1)}).obs_frame(), "v"))
 
 # -- extraction ----------------------------------------------------------------------------------------------------------
 
-query("pull", "select round(embedding[6]::double, 6) as f5 from embeddings")(lambda d: rounded(d.vectors().pull(x="f5").select(F.col("f5").cast("double").alias("f5")), "f5"))
-query("pull_raw", "select round(embedding[3]::double, 6) as r2 from embeddings")(lambda d: rounded(d.rich().pull(raw="r2"), "r2"))
-query("pull_layer", "select round(embedding[3]::float * 2, 6) as f2 from embeddings")(lambda d: rounded(d.rich().pull(x="f2", layer="twice"), "f2"))
-query("pull_obsm", "select round(embedding[6]::double, 6) as p1 from embeddings")(lambda d: rounded(d.rich().pull(obsm={"pca": "p1"}), "p1"))
+query("pull", "select round(embedding[6]::double + 1.23e-7, 6) as f5 from embeddings")(lambda d: rounded(d.vectors().pull(x="f5").select(F.col("f5").cast("double").alias("f5")), "f5"))
+query("pull_raw", "select round(embedding[3]::double + 1.23e-7, 6) as r2 from embeddings")(lambda d: rounded(d.rich().pull(raw="r2"), "r2"))
+query("pull_layer", "select round(embedding[3]::float * 2 + 1.23e-7, 6) as f2 from embeddings")(lambda d: rounded(d.rich().pull(x="f2", layer="twice"), "f2"))
+query("pull_obsm", "select round(embedding[6]::double + 1.23e-7, 6) as p1 from embeddings")(lambda d: rounded(d.rich().pull(obsm={"pca": "p1"}), "p1"))
 query("pull_var", "select (k * k)::int as square from range(64) t(k)")(lambda d: d.rich().pull(var="square"))
 query("pull_varm", "select (-k)::double as \"1\" from range(64) t(k)")(lambda d: d.rich().pull(varm={"loadings": "1"}))
 query("pull_obsp", "select 4 as a, label::double as \"5\" from embeddings where vec_id = 4")(lambda d: d.rich().pull(obsp={"next": 5}).withColumn("a", F.col("a").cast("int")))
-query("to_df_sources", "select vec_id, round(embedding[1]::double, 6) as raw_r0, round(embedding[5]::double, 6) as pca_p0, case when vec_id = 6 then (select label::double from embeddings where vec_id = 6) else 0 end as next_7 from embeddings")(lambda d: rounded(d.rich().to_df(obs="vec_id", raw="r0", obsm={"pca": "p0"}, obsp={"next": [7]}), "raw_r0", "pca_p0"))
+query("to_df_sources", "select vec_id, round(embedding[1]::double + 1.23e-7, 6) as raw_r0, round(embedding[5]::double + 1.23e-7, 6) as pca_p0, case when vec_id = 6 then (select label::double from embeddings where vec_id = 6) else 0 end as next_7 from embeddings")(lambda d: rounded(d.rich().to_df(obs="vec_id", raw="r0", obsm={"pca": "p0"}, obsp={"next": [7]}), "raw_r0", "pca_p0"))
 query("as_frame_varm", "select 'f' || k as name, k::double as \"0\", (-k)::double as \"1\" from range(64) t(k)")(lambda d: d.rich().as_frame("varm", key="loadings"))
 query("pipe", "select event_type, count(*) as n from events where value > 50 group by 1")(lambda d: d.events_table().pipe(lambda t, least: t.filter(obs=col("value") > least), 50).pipe((lambda by, table: table.count(by), "table"), "event_type"))
-query("to_df", "select vec_id, label, round(embedding[1]::double, 6) f0, round(embedding[64]::double, 6) f63 from embeddings")(lambda d: d.vectors().to_df(obs=["vec_id", "label"], x=["f0", "f63"]).select("vec_id", "label", *(six(F.col(c)).alias(c) for c in ("f0", "f63"))))
-_LONG = "select vec_id as id, 'f' || k as feature, round(embedding[k + 1]::double, 6) as value, label from embeddings, unnest(range(0, 3)) t(k)"
+query("to_df", "select vec_id, label, round(embedding[1]::double + 1.23e-7, 6) f0, round(embedding[64]::double + 1.23e-7, 6) f63 from embeddings")(lambda d: d.vectors().to_df(obs=["vec_id", "label"], x=["f0", "f63"]).select("vec_id", "label", *(six(F.col(c)).alias(c) for c in ("f0", "f63"))))
+_LONG = "select vec_id as id, 'f' || k as feature, round(embedding[k + 1]::double + 1.23e-7, 6) as value, label from embeddings, unnest(range(0, 3)) t(k)"
 query("to_tidy", _LONG)(lambda d: d.vectors().to_tidy(obs="label", x=["f0", "f1", "f2"], obs_name="id").withColumn("value", six(F.col("value"))))
 query("pivot_longer", _LONG.replace("feature", "name"))(lambda d: d.vectors().pivot_longer(obs="label", x=["f0", "f1", "f2"], obs_name="id").withColumn("value", six(F.col("value"))))
-query("as_frame", "select vec_id, round(embedding[2]::double, 6) f1, round(embedding[3]::double, 6) f2 from embeddings")(lambda d: d.vectors().as_frame("x", select=["f1", "f2"]).select("vec_id", *(six(F.col(c)).alias(c) for c in ("f1", "f2"))))
-query("select_features", "select vec_id, round(embedding[5]::double, 6) as b, round(embedding[1]::double, 6) as f0 from embeddings")(lambda d: d.vectors().select(x=["f4", "f0"]).rename(x={"b": "f4"}).to_df(obs="vec_id", x=ax.everything()).select("vec_id", *(six(F.col(c)).alias(c) for c in ("b", "f0"))))
-query("feature_means", "select 'f' || (k - 1) as feature, round(avg(v::double), 6) as mean from (select unnest(embedding) v, generate_subscripts(embedding, 1) k from embeddings) group by k")(lambda d: rounded(d.vectors().feature_means().withColumn("feature", F.col("feature")), "mean"))
+query("as_frame", "select vec_id, round(embedding[2]::double + 1.23e-7, 6) f1, round(embedding[3]::double + 1.23e-7, 6) f2 from embeddings")(lambda d: d.vectors().as_frame("x", select=["f1", "f2"]).select("vec_id", *(six(F.col(c)).alias(c) for c in ("f1", "f2"))))
+query("select_features", "select vec_id, round(embedding[5]::double + 1.23e-7, 6) as b, round(embedding[1]::double + 1.23e-7, 6) as f0 from embeddings")(lambda d: d.vectors().select(x=["f4", "f0"]).rename(x={"b": "f4"}).to_df(obs="vec_id", x=ax.everything()).select("vec_id", *(six(F.col(c)).alias(c) for c in ("b", "f0"))))
+query("feature_means", "select 'f' || (k - 1) as feature, round(avg(v::double) + 1.23e-7, 6) as mean from (select unnest(embedding) v, generate_subscripts(embedding, 1) k from embeddings) group by k")(lambda d: rounded(d.vectors().feature_means().withColumn("feature", F.col("feature")), "mean"))
 query("arrange_x", "select vec_id, row_number() over (order by embedding[1] desc, vec_id)::int as place from embeddings")(lambda d: d.vectors().arrange(x=ax.desc("f0")).mutate(obs={"place": ax.row_number()}).select(obs=["vec_id", "place"]).obs_frame())
 
 # -- reshaping -----------------------------------------------------------------------------------------------------------
@@ -396,7 +396,7 @@ query("unite", "select p_partkey, p_brand || '-' || coalesce(p_type, '') as both
 # -- utilities -----------------------------------------------------------------------------------------------------------
 
 query("sample_meta", "select n_regionkey, r_name from (select distinct n_regionkey, r_name from nation join region on n_regionkey = r_regionkey)")(lambda d: ax.sample_meta(AxisTable(d.nation, order_by="n_nationkey").inner_join(d.region.withColumnRenamed("r_regionkey", "n_regionkey"), by="n_regionkey"), "n_regionkey", include=["r_name"]))
-query("sample_summary", "select label, count(*) as n, round(avg(embedding[1]::double), 6) as m from embeddings group by 1")(lambda d: rounded(ax.sample_summary(d.vectors(), "label", obs={"n": ax.n()}, x={"m": ax.mean("f0")}), "m"))
+query("sample_summary", "select label, count(*) as n, round(avg(embedding[1]::double) + 1.23e-7, 6) as m from embeddings group by 1")(lambda d: rounded(ax.sample_summary(d.vectors(), "label", obs={"n": ax.n()}, x={"m": ax.mean("f0")}), "m"))
 query("add_sample_meta", "select event_id, event_type, length(event_type)::int as size from events")(lambda d: ax.add_sample_meta(d.events_table(), d.events.select(F.col("event_type").alias("kind"), F.length("event_type").alias("size")).distinct(), sample="event_type", by="kind").select(obs=["event_id", "event_type", "size"]).obs_frame())
 query("feature_present", "select * from (values ('f0', true, null), ('F1', false, 'f1'), ('g', false, null)) t(feature, found, wrong_case_found)")(lambda d: ax.feature_present(d.vectors(), ["f0", "F1", "g"]).to_frame())
 query("name_duplicates", "with e as (select *, (row_number() over (order by event_id) - 1)::int p from events) select user_id as name, count(*) as count, string_agg(p::varchar, ',' order by p) as positions from e group by 1 having count(*) > 1")(lambda d: ax.name_duplicates(d.events_table(), name="user_id").withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ",")))
