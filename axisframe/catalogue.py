@@ -295,6 +295,8 @@ _in_ranges("min_rank_in_ranges", ax.min_rank("user_id").cast("long"), "rank() ov
 _in_ranges("dense_rank_in_ranges", ax.dense_rank("user_id", descending=True).cast("long"), "dense_rank() over (order by user_id desc)")
 _in_ranges("average_rank_in_ranges", ax.average_rank("value"), "rank() over (order by value) + (count(*) over (partition by value) - 1) / 2")
 _in_ranges("ntile_in_ranges", ax.ntile("value", 9), "floor((row_number() over (order by value, event_id) - 1) * 9 / count(*) over ())::bigint + 1")
+_in_ranges("lag_in_ranges", ax.lag("value", 3, -1.0), "lag(value, 3, -1.0::double) over (order by event_id)")
+_in_ranges("rolling_max_in_ranges", col("value").rolling_max(6), "case when count(value) over (order by event_id rows 5 preceding) >= 6 then max(value) over (order by event_id rows 5 preceding) end")
 _in_ranges("cum_count_in_ranges", ax.row_number().cast("long"), "row_number() over (order by event_id)")
 
 
@@ -363,6 +365,51 @@ query("pull_varm", "select (-k)::double as \"1\" from range(64) t(k)")(lambda d:
 query("pull_obsp", "select 4 as a, label::double as \"5\" from embeddings where vec_id = 4")(lambda d: d.rich().pull(obsp={"next": 5}).withColumn("a", F.col("a").cast("int")))
 query("to_df_sources", "select vec_id, round(embedding[1]::double + 1.23e-7, 6) as raw_r0, round(embedding[5]::double + 1.23e-7, 6) as pca_p0, case when vec_id = 6 then (select label::double from embeddings where vec_id = 6) else 0 end as next_7 from embeddings")(lambda d: rounded(d.rich().to_df(obs="vec_id", raw="r0", obsm={"pca": "p0"}, obsp={"next": [7]}), "raw_r0", "pca_p0"))
 query("as_frame_varm", "select 'f' || k as name, k::double as \"0\", (-k)::double as \"1\" from range(64) t(k)")(lambda d: d.rich().as_frame("varm", key="loadings"))
+query("budget_kept", "select vec_id, round(embedding[1]::double + 1.23e-7, 6) as f0 from embeddings")(lambda d: rounded(d.vectors().to_df(obs="vec_id", x="f0", max_matrix_values=10**9), "f0"))
+query("escape_hatch", "select event_id, sqrt(abs(value)) > ln(user_id + 2) as v from events")(lambda d: d.events_table().transmute(obs={"event_id": col("event_id"), "v": col("value").spark(lambda v, u: F.sqrt(F.abs(v)) > F.log(u + 2), col("user_id"))}).obs_frame())
+
+
+def _refused(d: Data) -> DataFrame:
+    """What each misuse raises, before any result is made."""
+    t, v = d.events_table(), d.vectors()
+    twice = d.events.select("user_id", F.col("event_id").alias("w"))
+    calls = {
+        "truth of an expression": lambda: bool(col("value") > 1),
+        "budget": lambda: v.to_df(obs="vec_id", x=["f0", "f1"], max_matrix_values=3),
+        "duplicate keys of the right table": lambda: t.left_join(twice, by="user_id"),
+        "unmatched rows": lambda: t.left_join(twice.where("user_id < 0"), by="user_id", unmatched="error"),
+        "one-to-one": lambda: t.left_join(twice.groupBy("user_id").agg(F.max("w").alias("w")), by="user_id", relationship="one-to-one"),
+        "unknown policy": lambda: t.left_join(twice, by="user_id", relationship="some"),
+        "no common column": lambda: t.left_join(d.region),
+        "equal suffixes": lambda: t.left_join(d.events.select("event_id", "value"), by="event_id", suffixes=("_x", "_x")),
+        "order of a right join": lambda: t.right_join(twice, by="user_id"),
+        "key made twice": lambda: t.summarize(obs={"event_type": ax.n()}, by="event_type"),
+        "computed key over a column": lambda: t.summarize(obs={"n": ax.n()}, by={"value": col("value") + 1}),
+        "name of a count": lambda: t.count("event_type", name="event_type"),
+        "summary without an aggregate": lambda: t.summarize(obs={"v": col("value")}),
+        "unknown column": lambda: t.select(obs="nothing"),
+        "unknown feature": lambda: v.select(x="nothing"),
+        "unknown layer": lambda: v.pull(x="f0", layer="nothing"),
+        "rename to an equal name": lambda: t.rename(obs={"value": "user_id"}),
+        "unknown name": lambda: ax.rename_obs_names(v, {"a": "nobody"}),
+        "two axes": lambda: t.group_by(obs="user_id", var="name"),
+        "verb on the other axis": lambda: d.rich().group_by(var="kind").mutate(obs={"a": ax.lit(1)}),
+        "long table without features": lambda: v.to_tidy(obs="label"),
+        "clashing long names": lambda: v.to_tidy(obs="label", x="f0", feature="label"),
+        "sample larger than its rows": lambda: t.slice_sample(10**9),
+        "keys of pivot_wider": lambda: ax.pivot_wider(d.events.select("user_id", "event_type", "value"), "user_id", "event_type", "value"),
+    }
+    rows = []
+    for name, call in calls.items():
+        try:
+            call()
+            rows.append((name, "nothing"))
+        except Exception as error:
+            rows.append((name, type(error).__name__))
+    return d.spark.createDataFrame(rows, "misuse string, raises string")
+
+
+query("refusals", """select * from (values ('truth of an expression', 'TypeError'), ('budget', 'AxisFrameError'), ('duplicate keys of the right table', 'JoinRelationshipError'), ('unmatched rows', 'JoinRelationshipError'), ('one-to-one', 'JoinRelationshipError'), ('unknown policy', 'JoinRelationshipError'), ('no common column', 'JoinRelationshipError'), ('equal suffixes', 'DuplicateNameError'), ('order of a right join', 'JoinRelationshipError'), ('key made twice', 'DuplicateNameError'), ('computed key over a column', 'DuplicateNameError'), ('name of a count', 'DuplicateNameError'), ('summary without an aggregate', 'SelectionError'), ('unknown column', 'UnknownColumnError'), ('unknown feature', 'UnknownColumnError'), ('unknown layer', 'UnknownSourceError'), ('rename to an equal name', 'DuplicateNameError'), ('unknown name', 'UnknownColumnError'), ('two axes', 'IncompatibleAxisError'), ('verb on the other axis', 'IncompatibleAxisError'), ('long table without features', 'SelectionError'), ('clashing long names', 'NameRepairError'), ('sample larger than its rows', 'SelectionError'), ('keys of pivot_wider', 'DuplicateNameError')) t(misuse, raises)""")(_refused)
 query("pipe", "select event_type, count(*) as n from events where value > 50 group by 1")(lambda d: d.events_table().pipe(lambda t, least: t.filter(obs=col("value") > least), 50).pipe((lambda by, table: table.count(by), "table"), "event_type"))
 query("to_df", "select vec_id, label, round(embedding[1]::double + 1.23e-7, 6) f0, round(embedding[64]::double + 1.23e-7, 6) f63 from embeddings")(lambda d: d.vectors().to_df(obs=["vec_id", "label"], x=["f0", "f63"]).select("vec_id", "label", *(six(F.col(c)).alias(c) for c in ("f0", "f63"))))
 _LONG = "select vec_id as id, 'f' || k as feature, round(embedding[k + 1]::double + 1.23e-7, 6) as value, label from embeddings, unnest(range(0, 3)) t(k)"

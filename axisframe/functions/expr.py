@@ -25,6 +25,8 @@ class Expr:
         self.kind, self.make, self.args, self.name, self.value, self.label, self.keys = kind, make, tuple(args), name, value, label, keys
         #: For a running aggregate: the aggregate, how parts' totals fold, and how a part's value takes in those before it.
         self.prefix: tuple[Callable, Callable, Callable] | None = None
+        #: For a function of neighbours in the order: how many rows before and after a row it reads.
+        self.reach: tuple[int, int] | None = None
         #: A comparison of columns and plain values: it also holds for the rows before NaN became missing, so a scan may take it.
         self.plain = False
         #: An aggregate that can't be a window: a distinct one, or one of Python ("python").
@@ -150,7 +152,7 @@ class Expr:
             spec = ctx.last_rows(window)
             return F.when(F.count(c).over(spec) >= need, func(c).over(spec))
 
-        return ordered(make, self)
+        return ordered(make, self, reach=(window - 1, 0))
 
     def rolling_sum(self, window: int, min_samples: int | None = None) -> Expr: return self._rolling(F.sum, window, min_samples)  # noqa: E704
     def rolling_mean(self, window: int, min_samples: int | None = None) -> Expr: return self._rolling(F.avg, window, min_samples)  # noqa: E704
@@ -295,10 +297,10 @@ def aggregate(make: Callable[..., Column], *args: Expr, alone: bool | str = Fals
     return out
 
 
-def ordered(make: Callable[..., Column], *args: Expr, prefix: tuple[Callable, Callable, Callable] | None = None) -> Expr:
+def ordered(make: Callable[..., Column], *args: Expr, prefix: tuple[Callable, Callable, Callable] | None = None, reach: tuple[int, int] | None = None) -> Expr:
     """``make(ctx, *columns)`` uses windows over the group in the table's order."""
     out = Expr("ordered", make, args)
-    out.prefix = prefix
+    out.prefix, out.reach = prefix, reach
     return out
 
 
@@ -452,8 +454,8 @@ def _shifted(e: Any, n: int, default: Any) -> Expr:
     if n == 0:
         return column_of(e)
     if n > 0:
-        return ordered(lambda ctx, c: F.lag(c, n, default).over(ctx.in_order()), column_of(e))
-    return ordered(lambda ctx, c: F.lead(c, -n, default).over(ctx.in_order()), column_of(e))
+        return ordered(lambda ctx, c: F.lag(c, n, default).over(ctx.in_order()), column_of(e), reach=(n, 0))
+    return ordered(lambda ctx, c: F.lead(c, -n, default).over(ctx.in_order()), column_of(e), reach=(0, -n))
 
 
 def lead(e: Any, n: int = 1, default: Any = None) -> Expr:

@@ -220,6 +220,33 @@ class Context:
         value = combine(local, before)
         return F.when(args[0].isNotNull(), value) if args and call is not F.count else value
 
+    def _beside(self, e: Expr, args: list[Column]) -> Column | None:
+        """A function of a row's neighbours within each part, to which the last and first rows of the parts beside it are lent.
+
+        None where a part has fewer rows than the function reads, which one job finds.
+        """
+        before, after = e.reach
+        part = self._part
+        sizes = {r[0]: r[1] for r in self.df.groupBy(part).count().collect()}
+        found = sorted(sizes)
+        if any(sizes[p] < max(before, after) for p in found):
+            return None
+        after_of, before_of = dict(zip(found[:-1], found[1:], strict=True)), dict(zip(found[1:], found[:-1], strict=True))
+        lent, near = hidden("lent"), hidden("near")
+        rows = self.df.withColumn(lent, F.lit(False))
+        backward = [F.col(f"`{c}`").asc_nulls_first() if down else F.col(f"`{c}`").desc_nulls_first() for c, down in self.order]
+        out = rows
+        for n, order, to in ((before, backward, after_of), (after, in_order(self.order), before_of)):
+            if n and to:
+                target = F.get(F.array(*(F.lit(to.get(k)).cast("int") for k in range(max(found) + 1))), F.col(part))
+                edge = rows.withColumn(near, F.row_number().over(Window.partitionBy(part).orderBy(*order))).where(F.col(near) <= n).drop(near)
+                out = out.unionByName(edge.withColumn(lent, F.lit(True)).withColumn(part, target).where(F.col(part).isNotNull()))
+        self.df = out
+        value = self._within([part], lambda: e.make(self, *args))
+        held = self.temp(value)
+        self.df = self.df.where(~F.col(lent)).drop(lent)
+        return held
+
     # -- compiling --
     def _plain(self, e: Expr) -> Column:
         c = self.column(e)
@@ -241,6 +268,11 @@ class Context:
         if e.kind == "ordered" and e.prefix and not self.keys and self.part():
             self.flush()
             return self._in_parts(e, args)
+        if e.kind == "ordered" and e.reach and not self.keys and self.part():
+            self.flush()
+            value = self._beside(e, args)
+            if value is not None:
+                return value
         return e.make(self, *args)
 
     def _within(self, keys: list[str], make):

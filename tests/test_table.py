@@ -397,6 +397,19 @@ def test_ranks_in_ranges_agree_with_one_window(spark):
     assert one == many
 
 
+def test_neighbours_across_ranges(spark):
+    """Lags, leads and rolling functions in ranges of the order agree with one window; a range too short falls back to it."""
+    df = spark.createDataFrame([(i, (i * 37) % 101 / 3.0 if i % 9 else None, -i) for i in range(200)], "i long, v double, d long")
+    new = {"a": ax.lag("v"), "b": ax.lead("v", 3, -1.0), "c": ax.lag("i", 9, 0), "s": col("v").rolling_sum(5, min_samples=1), "m": col("v").rolling_max(4), "t": col("v").diff() + ax.lead("i"), "r": ax.row_number(), "z": ax.max(ax.lag("i"))}
+    for order in ("i", "d"):
+        one, many = (AxisTable(df, order_by=order, order_parts=k).mutate(obs=new).obs_frame(ordered=True) for k in (1, 7))
+        assert [[None if x is None else pytest.approx(x) for x in r] for r in one.collect()] == [list(r) for r in many.collect()]
+    back = AxisTable(df, order_by="i", order_parts=6).arrange(obs=ax.desc("i"))
+    assert values(back.mutate(obs={"w": ax.lag("i", 2)}).obs_frame(ordered=True), "w") == [None, None, *range(199, 1, -1)]
+    short = AxisTable(df, order_by="i", order_parts=7).mutate(obs={"w": ax.lag("i", 60)}).obs_frame(ordered=True)
+    assert values(short, "w") == [None] * 60 + list(range(140))
+
+
 def test_exponential_means_of_long_groups(spark):
     import random
 
