@@ -175,13 +175,18 @@ def hoist(df: DataFrame, column: str, **paths: Any) -> DataFrame:
 
 
 def pivot_wider(df: DataFrame, id_cols: str | Sequence[str], names_from: str, values_from: str, names: Sequence[Any] | None = None, validate: str = "eager") -> DataFrame:
-    """A column for each name. Without ``names`` one job finds them; by default another checks that keys are unique."""
+    """A column for each name. One job checks that keys are unique and, without ``names``, finds them."""
     ids = _list(id_cols)
     _known(df, [*ids, names_from, values_from])
-    if validate == "eager" and not df.groupBy(*(f"`{k}`" for k in [*ids, names_from])).count().where("count > 1").isEmpty():
-        raise DuplicateNameError("pivot_wider's keys do not identify values")
-    if names is None:
-        names = [r[0] for r in df.select(f"`{names_from}`").distinct().orderBy(f"`{names_from}`").collect()]
+    if names is None or validate == "eager":
+        n = hidden("n")
+        keys = df.groupBy(*(f"`{k}`" for k in dict.fromkeys([*ids, names_from]))).agg(F.count(F.lit(1)).alias(n))
+        c = F.col(f"`{names_from}`")
+        found = keys.agg(F.max(n).alias("n"), F.array_sort(F.collect_set(c)).alias("names"), F.max(c.isNull()).alias("missing")).first()
+        if validate == "eager" and (found["n"] or 0) > 1:
+            raise DuplicateNameError("pivot_wider's keys do not identify values")
+        if names is None:
+            names = [None] * bool(found["missing"]) + list(found["names"])
     return df.groupBy(*(f"`{k}`" for k in ids)).pivot(names_from, list(names)).agg(F.first(f"`{values_from}`"))
 
 
