@@ -13,7 +13,7 @@ is equal in more than 80 percent of its places has ``K`` equal words in a row, b
    is its words less ``GAP`` for each word skipped on either side, and the best chain to end in a block comes from a
    Fenwick tree of prefix maxima over places in the pivot's document.
 4. Each chain, with its words and some to either side, meets the words it needs of the pivot's document, which gives out
-   segments of ``SEGMENT`` words, each once however many chains need it. Chains are aligned: blocks are extended word by
+   segments, each once however many chains need it; a chain that seeds cover from end to end needs none. Chains are aligned: blocks are extended word by
    word, in gaps between them as many words as can be are paired in order (a longest common subsequence, in a band where
    a gap is long), and the stretches of best score, with +1 for an equal and -4 for an unequal place, are the passages.
    Such a stretch is equal in more than 80 percent of its places. Those of at least ``LEAST`` words are returned. Windows
@@ -31,6 +31,8 @@ row. Other columns are ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,8 +43,8 @@ from . import exchange, shared, text
 K, JOIN, GAP = 5, 11, 0.25
 LEAST, SCORE, MARGIN = 45, 8.0, 96
 WRONG = 4
-#: Words in a piece of a source as it is given out, and places to either side in which long gaps are aligned.
-SEGMENT, BAND, CELLS = 256, 64, 1 << 22
+#: Places to either side in which long gaps are aligned, and cells up to which they are.
+BAND, CELLS = 64, 1 << 22
 _U = np.uint64
 
 
@@ -102,7 +104,7 @@ def _in_two_batches(blobs: list[bytes]) -> list[bytes | None]:
 
 def _shared(keys, data, offsets, n, bits):
     """The batch's seeds that lie in two documents, then its windows of such seeds; the first of each distinct one, by bucket and place."""
-    ids, subs = keys[:, 0], keys[:, 1]
+    ids = keys[:, 0]
     key, doc, place, word, starts, ends, at = _of_batch(data, offsets)
     found, back = exchange.split_keys(key, n)
     keep = exchange.shared_keys(found, back, ids[doc], bits)[back]
@@ -112,13 +114,15 @@ def _shared(keys, data, offsets, n, bits):
     n_seeds = len(key)
     key, doc, place = (np.concatenate(x) for x in zip((key, doc, place), windows(word, at, ok), strict=True))
     bucket = ((key >> _U(32)) % _U(n)).astype(np.int64)
-    order = np.lexsort((place, subs[doc], ids[doc], key, bucket))
+    # documents of a batch lie in the order of their ids, so a stable sort leaves the first place of each key first
+    order = np.argsort(key, kind="stable")
     fresh = np.ones(len(order), bool)
     fresh[1:] = key[order][1:] != key[order][:-1]
     which = np.empty(len(order), np.int64)
     which[order] = np.cumsum(fresh) - 1
     first = order[fresh]
-    by_place = np.lexsort((place[first], doc[first], bucket[first]))
+    by_place = np.argsort(first)
+    by_place = by_place[np.argsort(bucket[first[by_place]], kind="stable")]
     rank = np.empty(len(first), np.int64)
     rank[by_place] = np.arange(len(first))
     return key, doc, place, bucket, rank[which], first[by_place], n_seeds, (word, starts, ends, at)
@@ -201,18 +205,18 @@ class Fenwick:
         return out
 
 
-def blocks(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Matches (places of seeds on both sides) joined to blocks on a diagonal: starts on both sides, length, first match of each, by start.
+def blocks(pair: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Matches (places of seeds on both sides, of each pair of documents) joined to blocks on a diagonal.
 
-    Also returns the block of each match through the order of the matches: the caller sorts by (diagonal, a).
+    Returns the order of the matches by pair, diagonal and place, where in it blocks begin (with its end), and each block's
+    length in seed places.
     """
-    order = np.lexsort((a, a - b))
-    a, b = a[order], b[order]
+    order = np.lexsort((a, a - b, pair))
+    pair, a, b = pair[order], a[order], b[order]
     fresh = np.ones(len(a), bool)
-    fresh[1:] = ((a - b)[1:] != (a - b)[:-1]) | (a[1:] - a[:-1] > JOIN)
-    at = np.flatnonzero(fresh)
-    last = np.append(at[1:], len(a)) - 1
-    return a[at], b[at], a[last] - a[at] + 1, order
+    fresh[1:] = (np.diff(pair) != 0) | (np.diff(a - b) != 0) | (np.diff(a) > JOIN)
+    at = np.append(np.flatnonzero(fresh), len(a))
+    return order, at, a[at[1:] - 1] - a[at[:-1]] + 1
 
 
 def chains(a: np.ndarray, b: np.ndarray, size: np.ndarray, gap: float = GAP, least: float = SCORE) -> list[list[int]]:
@@ -232,7 +236,7 @@ def chains(a: np.ndarray, b: np.ndarray, size: np.ndarray, gap: float = GAP, lea
             tree.put(rank[b[j] + size[j]], (score[j] + gap * (a[j] + b[j] + 2 * size[j]), j))
             done += 1
         score[i] = size[i] + K - 1
-        upto = int(np.searchsorted(ends, b[i], side="right")) - 1
+        upto = bisect.bisect_right(ends, b[i]) - 1
         if upto >= 0:
             value, j = tree.top(upto)
             if j >= 0 and (gain := value - gap * (a[i] + b[i])) > 0:
@@ -271,12 +275,14 @@ def exact(doc: np.ndarray, pivot: np.ndarray, a: np.ndarray, b: np.ndarray) -> n
     return np.array(out, np.int64).reshape(-1, 5)
 
 
-CHAIN = "batch long, nth long, doc_id long, sub long, source_doc_id long, source_sub long, start long, source_start long, source_end long, words binary, anchors binary, equal binary"
+CHAIN = "doc_id long, sub long, source_doc_id long, source_sub long, start long, source_start long, source_end long, words binary, anchors binary, equal binary, level int"
+#: A word of a chain that its seeds have found equal; it need not be sent nor compared.
+KNOWN = 0
 
 
-def _short(word: np.ndarray) -> bytes:
-    """Words as alignments compare them: half of a hash."""
-    return (word >> _U(32)).astype("<u4").tobytes()
+def _short(word: np.ndarray) -> np.ndarray:
+    """Words as alignments compare them: half of a hash, never KNOWN."""
+    return np.maximum(word >> _U(32), _U(1)).astype("<u4")
 
 
 def _chained(n):
@@ -288,43 +294,70 @@ def _chained(n):
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             told[:, a:b] = _unpacked(answers[int(bucket[first[a]])], 3)
         told[2] += place[first]
-        sources, pivot = np.unique(told[:2].T, axis=0, return_inverse=True)  # (doc_id, sub), and which of them
+        if told[1].any():
+            sources, pivot = np.unique(told[:2].T, axis=0, return_inverse=True)  # (doc_id, sub), and which of them
+        else:
+            sources, pivot = np.unique(told[0], return_inverse=True)
+            sources = np.stack([sources, np.zeros_like(sources)], axis=1)
         pivot, where = pivot.reshape(-1)[which], told[2][which]
         later = np.flatnonzero(sources[pivot, 0] < keys[doc, 0]) if len(which) else np.zeros(0, np.int64)
         whole = later[later >= n_seeds]
         whole = exact(doc[whole], pivot[whole], place[whole], where[whole])
         by_pair: dict = {}
         for row in whole.tolist():
-            by_pair.setdefault((row[0], row[1]), []).append(row[2:])
+            by_pair.setdefault((row[0], row[1]), []).append(tuple(row[2:]))
         later = later[later < n_seeds]
-        order = later[np.lexsort((pivot[later], doc[later]))]
-        out = []
-
-        def put(d: int, source: int, anchors: np.ndarray) -> None:
-            ends = anchors[-1] + anchors[-1][2] + K - 1
-            start, stop = max(0, int(anchors[0][0]) - MARGIN), min(int(at[d + 1] - at[d]), int(ends[0]) + MARGIN)
-            src_start, src_stop = max(0, int(anchors[0][1]) - MARGIN), int(ends[1]) + MARGIN
-            held, rest = [], []
-            for x, y, m in by_pair.get((d, source), ()):
-                (held if start <= x and x + m <= stop and src_start <= y and y + m <= src_stop else rest).append((x, y, m))
-            if held:
+        out, short = [], _short(word)
+        base, named, sourced = at.tolist(), keys.tolist(), sources.tolist()
+
+        def put(d: int, source: int, anchors: list, seeds_at: np.ndarray | None) -> None:
+            """A chain (blocks: start on both sides, seed places) with its words; ``seeds_at`` has the places of its seeds where it is one block."""
+            (x0, y0, _), (x1, y1, m1) = anchors[0], anchors[-1]
+            start, stop = max(0, x0 - MARGIN), min(base[d + 1] - base[d], x1 + m1 + K - 1 + MARGIN)
+            src_start, src_stop = max(0, y0 - MARGIN), y1 + m1 + K - 1 + MARGIN
+            held = []
+            if (d, source) in by_pair:
+                rest = []
+                for x, y, m in by_pair[d, source]:
+                    (held if start <= x and x + m <= stop and src_start <= y and y + m <= src_stop else rest).append((x, y, m))
                 by_pair[d, source] = rest
-            words = _short(word[at[d] + start : at[d] + stop])
-            out.append((batch, len(out), *keys[d].tolist(), *sources[source].tolist(), start, src_start, src_stop, words, anchors.astype("<i4").tobytes(), np.array(held, "<i4").tobytes()))
-
-        pair = np.flatnonzero(np.diff(doc[order]) | np.diff(pivot[order])) + 1 if len(order) else []
-        for part in np.split(order, pair) if len(order) else []:
-            a0, b0, size, _ = blocks(place[part], where[part])
-            if int((size + K - 1).sum()) < SCORE:
-                continue
-            for chain in chains(a0, b0, size):
-                put(int(doc[part[0]]), int(pivot[part[0]]), np.stack([a0[chain], b0[chain], size[chain]], axis=1))
+            words = short[base[d] + start : base[d] + stop].copy()
+            if seeds_at is not None and all(x - y == x0 - y0 for x, y, _ in held):
+                if len(seeds_at) == m1:
+                    words[x0 - start : x0 - start + m1 + K - 1] = KNOWN
+                else:
+                    for k in range(K):
+                        words[seeds_at + (k - start)] = KNOWN
+                for x, _, m in held:
+                    words[x - start : x - start + m] = KNOWN
+            level = -1  # the source need not be asked
+            if words.any():  # segments of 2 ** (level + 1) words, from every 2 ** level-th, so that one holds what is needed
+                level = max(6, (src_stop - src_start - 1).bit_length())
+            out.append((*named[d], *sourced[source], start, src_start, src_stop, words.tobytes(), np.array(anchors, "<i4").tobytes(), np.array(held, "<i4").tobytes() if held else b"", level))
+
+        if len(later):
+            order, cut, size = blocks(doc[later] * len(sources) + pivot[later], place[later], where[later])
+            later = later[order]
+            a, b = place[later], where[later]
+            a0, b0, whose, whence = a[cut[:-1]], b[cut[:-1]], doc[later][cut[:-1]], pivot[later][cut[:-1]]
+            edge = np.flatnonzero(np.diff(whose) | np.diff(whence)) + 1
+            edge = np.concatenate([[0], edge, [len(size)]])
+            enough = np.add.reduceat(size + K - 1, edge[:-1]) >= SCORE
+            for lo, hi in zip(edge[:-1][enough].tolist(), edge[1:][enough].tolist(), strict=True):
+                d, source = int(whose[lo]), int(whence[lo])
+                if hi == lo + 1:
+                    put(d, source, [(int(a0[lo]), int(b0[lo]), int(size[lo]))], a[cut[lo] : cut[hi]])
+                    continue
+                spots = list(zip(a0[lo:hi].tolist(), b0[lo:hi].tolist(), size[lo:hi].tolist(), strict=True))
+                for chain in chains(a0[lo:hi], b0[lo:hi], size[lo:hi]):
+                    one = lo + chain[0]
+                    put(d, source, [spots[k] for k in chain], a[cut[one] : cut[one + 1]] if len(chain) == 1 else None)
         for (d, source), rows in by_pair.items():
             while by_pair[d, source]:
                 x, y, m = by_pair[d, source][0]
-                put(d, source, np.array([[x, y, m - K + 1]]))
-        columns = list(zip(*out, strict=True)) or [()] * 12
-        kinds = [pa.int64()] * 9 + [pa.binary()] * 3
+                put(d, source, [(x, y, m - K + 1)], np.arange(x, x + m - K + 1))
+        columns = list(zip(*out, strict=True)) or [()] * 11
+        kinds = [pa.int64()] * 7 + [pa.binary()] * 3 + [pa.int32()]
         names = [x.split()[0] for x in CHAIN.split(", ")]
         yield pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
@@ -388,13 +421,18 @@ def _gap(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def align(a: np.ndarray, b: np.ndarray, anchors: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
-    """Passages (start and end in a, start and end in b, equal places, places) along a chain of blocks (a, b, seeds)."""
+    """Passages (start and end in a, start and end in b, equal places, places) along a chain of blocks (a, b, seeds).
+
+    Words of ``a`` that are KNOWN are equal on the chain's diagonal; only a chain of one block has such.
+    """
     i0, j0 = int(anchors[0][0]), int(anchors[0][1])
     back = min(i0, j0)
-    cols_a, cols_b, same = [np.arange(i0 - back, i0)], [np.arange(j0 - back, j0)], [a[i0 - back : i0] == b[j0 - back : j0]]
+    cols_a, cols_b, same = [], [], []
 
     def straight(i: int, j: int, n: int) -> None:
-        cols_a.append(np.arange(i, i + n)), cols_b.append(np.arange(j, j + n)), same.append(a[i : i + n] == b[j : j + n])
+        cols_a.append(np.arange(i, i + n)), cols_b.append(np.arange(j, j + n)), same.append((a[i : i + n] == b[j : j + n]) | (a[i : i + n] == KNOWN))
+
+    straight(i0 - back, j0 - back, back)
 
     def between(i: int, j: int, x: int, y: int) -> None:
         """Place by place; then what one side has more is unequal, each word of it."""
@@ -416,8 +454,7 @@ def align(a: np.ndarray, b: np.ndarray, anchors: np.ndarray) -> list[tuple[int,
         between(i, j, x, y)
         straight(x, y, n)
         i, j = x + n, y + n
-    ahead = min(len(a) - i, len(b) - j)
-    cols_a.append(np.arange(i, i + ahead)), cols_b.append(np.arange(j, j + ahead)), same.append(a[i : i + ahead] == b[j : j + ahead])
+    straight(i, j, min(len(a) - i, len(b) - j))
     out = _stretches(np.concatenate(cols_a), np.concatenate(cols_b), np.concatenate(same))
     # seeds of a text that repeats itself have their first place as pivot; its own diagonal may then align better
     x, y, _ = anchors[int(np.argmax(anchors[:, 2]))].tolist()
@@ -432,7 +469,7 @@ def align(a: np.ndarray, b: np.ndarray, anchors: np.ndarray) -> list[tuple[int,
 def with_exact(out: list[tuple[int, int, int, int, int, int]], a: np.ndarray, b: np.ndarray, runs: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
     """The passages of a chain with those equal runs (start in both, words) that lie in none of them."""
     for x, y, n in runs.tolist():
-        if not any(o[0] <= x and x + n <= o[1] for o in out) and np.array_equal(a[x : x + n], b[y : y + n]):
+        if not any(o[0] <= x and x + n <= o[1] for o in out) and ((a[x : x + n] == b[y : y + n]) | (a[x : x + n] == KNOWN)).all():
             out = [o for o in out if not (x <= o[0] and o[1] <= x + n)] + [(x, x + n, y, y + n, n, n)]
     return out
 
@@ -475,11 +512,9 @@ def _aligned(batches):
     for batch in batches:
         out = []
         for r in range(batch.num_rows):
-            doc, sub, source, start, s_start, s_end, words, anchors, equal_runs, got = (batch.column(k)[r].as_py() for k in range(10))
-            got = sorted(got, key=lambda x: x["seg"])
-            a, b = np.frombuffer(words, "<u4"), np.frombuffer(b"".join(x["words"] for x in got), "<u4")
-            low = got[0]["seg"] * SEGMENT
-            b = b[s_start - low : s_end - low]
+            doc, sub, source, start, s_start, s_end, words, anchors, equal_runs, first, theirs = (batch.column(k)[r].as_py() for k in range(11))
+            a = np.frombuffer(words, "<u4")
+            b = np.zeros(s_end - s_start, "<u4") if theirs is None else np.frombuffer(theirs, "<u4")[s_start - first : s_end - first]
             shift = np.array([start, s_start, 0])
             spots, runs = (np.frombuffer(x, "<i4").reshape(-1, 3).astype(np.int64) - shift for x in (anchors, equal_runs))
             for x, y, p, q, equal, places in with_exact(align(a, b, spots), a, b, runs):
@@ -489,16 +524,17 @@ def _aligned(batches):
 
 
 def _segments(batches):
-    """The segments that are asked for of each document: (source_doc_id, source_sub, seg, words)."""
+    """The segments that are asked for of each document: (source_doc_id, source_sub, level, seg, theirs)."""
     for batch in batches:
         for rows, data, offsets in text.documents([batch], 2):
             word, _, _, at = hashed_words(data, offsets)
-            out = []
+            short, out = _short(word), []
             for r, wanted in enumerate(rows.column(3).to_pylist()):
-                mine = word[at[r] : at[r + 1]]
-                out += [(r, k, _short(mine[k * SEGMENT : (k + 1) * SEGMENT])) for k in sorted(wanted) if k * SEGMENT < len(mine)]
+                mine = short[at[r] : at[r + 1]]
+                out += [(r, x["level"], x["seg"], mine[x["seg"] << x["level"] : (x["seg"] + 2) << x["level"]].tobytes()) for x in wanted]
             which = pa.array([x[0] for x in out], pa.int64())
-            yield pa.RecordBatch.from_arrays([rows.column(0).take(which), rows.column(1).take(which), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["source_doc_id", "source_sub", "seg", "words"])
+            columns = [rows.column(0).take(which), rows.column(1).take(which), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[3] for x in out], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["source_doc_id", "source_sub", "level", "seg", "theirs"])
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -510,31 +546,33 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return keyed.join(again, F.col("__id") == F.col("__again"), "left").withColumn("__sub", F.when(F.col("__again").isNotNull(), F.xxhash64(text_col)).otherwise(F.lit(0).cast("long"))).drop("__again")
 
 
-def _found(keyed: DataFrame, text_col: str) -> DataFrame:
+def _found(keyed: DataFrame, text_col: str, docs: DataFrame) -> DataFrame:
     """Passages with the sub of their row (FOUND) of ``_rows``."""
     spark = keyed.sparkSession
     rows = keyed.select(F.col("__id").alias("id"), F.col("__sub").alias("sub"), F.col(text_col).alias("text")).where("id is not null")
-    staged, staged_at, n = exchange.stage(rows, "sub")
+    staged, staged_at, n = exchange.stage(rows, "sub", like=docs)
     first, first_at = shared.written(exchange.answer(exchange.ask(staged, n, _which), 1, _in_two_batches), "answers")
     asked = exchange.meet(staged, first, _places(n), "bucket int, batch long, blob binary")
     second, second_at = shared.written(exchange.answer(asked, 2, _pivots), "answers")
-    found, _ = shared.written(exchange.meet(staged, first.union(second), _chained(n), CHAIN), "chains")
+    found, found_at = shared.written(exchange.meet(staged, first.union(second), _chained(n), CHAIN), "chains")
     shared.removed(spark, staged_at, first_at, second_at)
-    # a source gives out the segments that any chain needs of it, and only those travel on
-    needs = found.select("batch", "nth", "source_doc_id", "source_sub", F.explode(F.sequence(F.floor(F.col("source_start") / SEGMENT), F.floor((F.col("source_end") - 1) / SEGMENT))).alias("seg"))
-    wanted, wanted_at = shared.written(needs.groupBy("source_doc_id", "source_sub").agg(F.collect_set("seg").alias("segs")), "wanted")
+    # a source gives out each segment that some chain needs of it, and only those travel on
+    asking = found.where("level >= 0").withColumn("seg", F.expr("shiftright(source_start, level)"))
+    place = ["source_doc_id", "source_sub", "level", "seg"]
+    wanted, wanted_at = shared.written(asking.select(*place).distinct().groupBy("source_doc_id", "source_sub").agg(F.collect_list(F.struct("level", "seg")).alias("segs")), "wanted")
     sources = rows.join(wanted, (F.col("id") == F.col("source_doc_id")) & (F.col("sub") == F.col("source_sub"))).select("id", "sub", "text", "segs")
-    cut, cut_at = shared.written(sources.mapInArrow(_segments, "source_doc_id long, source_sub long, seg long, words binary").dropDuplicates(["source_doc_id", "source_sub", "seg"]), "segments")
-    got = needs.join(cut, ["source_doc_id", "source_sub", "seg"]).groupBy("batch", "nth").agg(F.collect_list(F.struct("seg", "words")).alias("got"))
-    met = found.join(got, ["batch", "nth"]).select("doc_id", "sub", "source_doc_id", "start", "source_start", "source_end", "words", "anchors", "equal", "got")
-    out, _ = shared.written(met.mapInArrow(_aligned, FOUND).distinct(), "passages")
-    shared.removed(spark, wanted_at, cut_at)
+    cut = sources.mapInArrow(_segments, "source_doc_id long, source_sub long, level int, seg long, theirs binary")
+    names = ["doc_id", "sub", "source_doc_id", "start", "source_start", "source_end", "words", "anchors", "equal"]
+    met = asking.join(cut, place).select(*names, F.expr("shiftleft(seg, level)").alias("first"), "theirs")
+    alone = found.where("level < 0").select(*names, F.lit(0).cast("long").alias("first"), F.lit(None).cast("binary").alias("theirs"))
+    out, _ = shared.written(met.union(alone).mapInArrow(_aligned, FOUND).distinct(), "passages")
+    shared.removed(spark, wanted_at, found_at)
     return out
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Passages of documents that, exactly or nearly, also lie in a document with a smaller id (PASSAGE)."""
-    return _found(_rows(docs, id_col, text_col), text_col).drop("sub").distinct()
+    return _found(_rows(docs, id_col, text_col), text_col, docs).drop("sub").distinct()
 
 
 def _cut(at: int, size_at: int | None):
@@ -570,7 +608,7 @@ def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     are. ``size_col``, if ``docs`` has it, becomes the new text's number of characters.
     """
     keyed = _rows(docs, id_col, text_col)
-    spans = _found(keyed, text_col).groupBy(F.col("doc_id").alias("__doc"), F.col("sub").alias("__text_of")).agg(F.collect_set(F.struct("start", "end")).alias("__spans"))
+    spans = _found(keyed, text_col, docs).groupBy(F.col("doc_id").alias("__doc"), F.col("sub").alias("__text_of")).agg(F.collect_set(F.struct("start", "end")).alias("__spans"))
     spans, _ = shared.written(spans, "spans")
     met = keyed.join(spans, (F.col("__id") == F.col("__doc")) & (F.col("__sub") == F.col("__text_of")), "left")
     names, fields = docs.columns, {f.name: f for f in docs.schema}

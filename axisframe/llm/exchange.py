@@ -6,11 +6,15 @@ one question about a key from each batch, however many documents hold the key, s
 share weighs no more than the number of batches. Answers return to the batch, which meets its own text again in a
 cogroup by batch; batches are bounded, so nothing there is skewed.
 
-Rows are few, and what is in them is sorted and counted by NumPy; the number of buckets grows with the text.
+Rows are few, and what is in them is sorted and counted by NumPy; the number of buckets grows with the text. A packed row
+holds about batch * bucket / (text * 14 bytes) keys, so both sizes grow with the root of the text: 2 and 6 MB up to 16 GB
+of text, 16 MB at 1 TB, 160 MB at 100 TB. That also bounds how often a key that every batch holds reaches its bucket.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -23,6 +27,8 @@ from . import shared, text
 #: Bytes of text in a batch, and for each bucket of keys.
 BATCH_BYTES = 2 << 20
 BUCKET_BYTES = 6 << 20
+#: Keys that a packed row shall hold, times the bytes of text for each key.
+ROW = 256
 _BATCH = "batch long, n_bytes long, ids binary, lengths binary, text binary"
 ANSWER = "batch long, kind int, bucket int, blob binary"
 
@@ -35,23 +41,47 @@ def expand(raw: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(raw)
 
 
-def _staged(batches):
-    base, n = TaskContext.get().partitionId() << 32, 0
-    for rows, data, offsets in text.documents(batches, 0, BATCH_BYTES):
-        ids = np.stack([np.asarray(rows.column(k)) for k in range(1, rows.num_columns)], axis=1)
-        row = (base + n, len(data), ids.astype("<i8").tobytes(), np.diff(offsets).astype("<i8").tobytes(), squeeze(data.tobytes(), 3))
-        n += 1
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["batch", "n_bytes", "ids", "lengths", "text"])
-
+def _staged(most: int):
+    """Batches of up to ``most`` bytes of documents, or of one longer document, across the record batches that come."""
 
-def stage(docs: DataFrame, *more: str) -> tuple[DataFrame, str, int]:
+    def run(batches):
+        base, n = TaskContext.get().partitionId() << 32, 0
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def whole() -> pa.RecordBatch:
+            ids, lengths, data = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort(ids.T[::-1])
+            if (np.diff(order) < 0).any():  # documents lie in the order of their ids
+                ends = np.cumsum(lengths)
+                data = np.concatenate([data[ends[k] - lengths[k] : ends[k]] for k in order.tolist()])
+                ids, lengths = ids[order], lengths[order]
+            row = (base + n, len(data), ids.astype("<i8").tobytes(), lengths.astype("<i8").tobytes(), squeeze(data.tobytes(), 3))
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["batch", "n_bytes", "ids", "lengths", "text"])
+
+        for rows, data, offsets in text.documents(batches, 0, most):
+            if held and sum(len(x[2]) for x in held) + len(data) > most:
+                yield whole()
+                n += 1
+                held.clear()
+            ids = np.stack([np.asarray(rows.column(k)) for k in range(1, rows.num_columns)], axis=1)
+            held.append((ids, np.diff(offsets), data.copy()))
+        if held:
+            yield whole()
+
+    return run
+
+
+def stage(docs: DataFrame, *more: str, like: DataFrame | None = None) -> tuple[DataFrame, str, int]:
     """Batches of (id, text) rows whose ids are not null, their path, and how many buckets keys go to.
 
-    With further long columns (``more``) a batch's ids are rows of (id, *more).
+    With further long columns (``more``) a batch's ids are rows of (id, *more). ``like``, if given, is the table whose size
+    as Spark estimates it sizes the batches: a scan has one, what was joined on the way has not.
     """
-    staged, path = shared.written(docs.select("text", "id", *more).mapInArrow(_staged, _BATCH), "batches", codec="none")
+    size = int(str((docs if like is None else like)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    most = max(BATCH_BYTES, math.isqrt(ROW * size) if size < 1 << 55 else 0)  # beyond that it is unknown
+    staged, path = shared.written(docs.select("text", "id", *more).mapInArrow(_staged(most), _BATCH), "batches", codec="none")
     total = staged.agg(F.sum("n_bytes")).first()[0] or 0
-    return staged, path, max(1, -(-total // BUCKET_BYTES))
+    return staged, path, max(1, -(-total // max(BUCKET_BYTES, math.isqrt(ROW * total))))
 
 
 def opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

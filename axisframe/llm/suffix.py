@@ -367,7 +367,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row; with ``keep_text`` also the remaining bytes (kept)."""
     rows = _rows(docs, id_col, text_col)
-    staged, _, n = exchange.stage(rows.where("id is not null"))
+    staged, _, n = exchange.stage(rows.where("id is not null"), like=docs)
     asked = exchange.ask(staged, n, _anchors)
     first, _ = shared.written(exchange.answer(asked, 1, exchange.in_two_batches), "answers")
     sent = exchange.meet(staged, first, _contents(n, False), "bucket int, batch long, blob binary")
@@ -411,7 +411,7 @@ def extend(docs: DataFrame, index: str, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     rows = _rows(docs, id_col, text_col)
-    staged, _, n = exchange.stage(rows.where("id is not null"))
+    staged, _, n = exchange.stage(rows.where("id is not null"), like=docs)
     n, version = buckets or n, 0
     held = spark.createDataFrame([], LEVEL)
     if shared.exists(spark, index):
