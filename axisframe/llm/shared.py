@@ -34,11 +34,20 @@ def cleared(spark: SparkSession) -> None:
     removed(spark, home(spark))
 
 
+#: Spark's setting that a query's shuffle files are removed as it ends; else they stay until the driver collects its garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, tag: str, codec: str = "zstd") -> tuple[DataFrame, str]:
-    """``df`` written as Parquet to the shared folder and read again: no later stage depends on its lineage."""
+    """``df`` written as Parquet to the shared folder and read again: no later stage depends on its lineage, nor on its shuffles."""
     spark = df.sparkSession
     path = f"{home(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    held = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if held is None else spark.conf.set(_CLEAN, held)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from axisframe.llm import chaining, exchange, linerules, mixing, packing, ppm, sampling, suffix, superminhash, text, topk, toxicity, warc
+from axisframe.llm import chaining, exchange, linerules, mixing, packing, ppm, sampling, shared, suffix, superminhash, text, topk, toxicity, warc
 from axisframe.llm.components import components
 
 RNG = random.Random(5)
@@ -878,6 +878,17 @@ def test_without_passages(make):
     assert got[2]["text"].split() == prose(50, 2).split() and got[2]["n_chars"] == len(got[2]["text"]) and chaining.without_passages(docs).columns == docs.columns
 
 
+def test_written_tables(spark):
+    """They are read again as they were, lie in the application's folder, and leave the session's settings alone."""
+    before = spark.conf.get(shared._CLEAN, None)
+    df = spark.range(100).groupBy((F.col("id") % 7).alias("k")).count()
+    for _ in range(2):
+        out, path = shared.written(df, "some")
+        assert sorted(map(tuple, out.collect())) == sorted(map(tuple, df.collect())) and path.startswith(shared.home(spark)) and shared.exists(spark, path)
+        shared.removed(spark, path)
+        assert not shared.exists(spark, path) and spark.conf.get(shared._CLEAN, None) == before
+
+
 def test_bounded_rows(spark):
     df = spark.range(5000).selectExpr("id", "if(id < 4000, 'a', 'b') as k")
     got = sampling.bounded_rows(df, "id", "k", 20).collect()
