@@ -21,7 +21,7 @@ from pyspark.sql.types import ArrayType, StructType
 from ..errors import DuplicateNameError, IncompatibleAxisError, NameRepairError, SelectionError, SizeMismatchError, UnknownColumnError, UnknownSourceError
 from ..functions import expr as E
 from ..functions import selectors as S
-from ..plans.compiler import HIDDEN, Context, crosses_rows, hidden, in_order
+from ..plans.compiler import HIDDEN, MOST_JOINS, Context, crosses_rows, hidden, in_order
 from ..sources.matrix import Matrix, check_budget
 from . import joins, tidy
 
@@ -44,7 +44,7 @@ def _listed(x: Any) -> list[Any]:
 class Axis:
     """One axis's frame, its public columns in order, the row order and the column that holds names."""
 
-    def __init__(self, df: DataFrame, public: Sequence[str], order: Sequence[tuple[str, bool]] = (), name: str | None = None, parts: int = 1):
+    def __init__(self, df: DataFrame, public: Sequence[str], order: Sequence[tuple[str, bool]] = (), name: str | None = None, parts: int | None = 1):
         self.df, self.public, self.order, self.name, self.parts = df, list(public), list(order), name, parts
         #: How many joins with aggregates of itself the frame is made of.
         self.joins = 0
@@ -172,10 +172,17 @@ class Verbs:
         a, keys = self._axis(axis), self._keys(axis)
         if not keys or not a.order:
             return a
-        ctx = a.context(keys)
-        first = hidden("g")
-        df = ctx.df.withColumn(first, F.min(ctx.place()).over(Window.partitionBy(*(F.col(f"`{k}`") for k in keys))))
-        return a.but(df=df, order=[(first, False), *a.order])
+        whole = a.context()
+        place = F.min(whole.place())
+        ctx = a.context(keys, df=whole.df)
+        if a.joins < MOST_JOINS:
+            ctx._joined(place)
+            ctx.flush()
+            first = ctx.made.pop()
+        else:
+            first = hidden("g")
+            ctx.df = ctx.df.withColumn(first, place.over(Window.partitionBy(*ctx._groups())))
+        return a.but(df=ctx.df.drop(*whole.made), order=[(first, False), *a.order], joins=ctx.joins)
 
     def _keep(self, axis: str, a: Axis, condition: Column):
         return self._with_axis(axis, a.but(df=a.df.where(condition)))
@@ -773,13 +780,14 @@ class GroupedAxisTable(Verbs):
 class AxisTable(Verbs):
     """See the module's docstring."""
 
-    def __init__(self, obs: DataFrame, *, order_by: str | Sequence[str] | None = None, x: Any = None, layers: Mapping[str, Any] | None = None, features: Sequence[str] | None = None, var: DataFrame | None = None, var_name: str | None = None, var_order_by: str | Sequence[str] | None = None, raw: Any = None, raw_features: Sequence[str] | None = None, obsm: Mapping[str, Any] | None = None, varm: Mapping[str, str] | None = None, obsp: Mapping[str, DataFrame] | None = None, varp: Mapping[str, DataFrame] | None = None, uns: Mapping[str, Any] | None = None, obs_name: str | None = None, layout: str = "dense_array", nan: str = "null", validate: str = "eager", order_parts: int = 1):
+    def __init__(self, obs: DataFrame, *, order_by: str | Sequence[str] | None = None, x: Any = None, layers: Mapping[str, Any] | None = None, features: Sequence[str] | None = None, var: DataFrame | None = None, var_name: str | None = None, var_order_by: str | Sequence[str] | None = None, raw: Any = None, raw_features: Sequence[str] | None = None, obsm: Mapping[str, Any] | None = None, varm: Mapping[str, str] | None = None, obsp: Mapping[str, DataFrame] | None = None, varp: Mapping[str, DataFrame] | None = None, uns: Mapping[str, Any] | None = None, obs_name: str | None = None, layout: str = "dense_array", nan: str = "null", validate: str = "eager", order_parts: int | None = None):
         """``x``, ``layers``, ``raw``, ``obsm`` name columns of ``obs`` (with layout wide, lists of columns); ``varm`` of ``var``.
 
         Features are named by ``features``, or by ``var``'s column ``var_name`` in the order of ``var_order_by``, or f0, f1, ...
 
-        With ``order_parts`` over 1, row numbers and running aggregates of the ungrouped table run in that many ranges of
-        the first order key (a number, date or timestamp), at the cost of a job that finds the ranges.
+        Row numbers, running aggregates, lags, rolling functions and ranks of the ungrouped table run in ranges of its order
+        (ranks: of the values), at the cost of small jobs that find the ranges and their totals as the verb is called: as many
+        as its rows need, or ``order_parts``; with 1, or fewer rows than a range has, in one task.
         """
         before_nan = obs
         obs = tidy.nan_to_null(obs) if nan == "null" else obs
@@ -884,7 +892,7 @@ class AxisTable(Verbs):
         spark.createDataFrame([(json.dumps(said),)], "value string").coalesce(1).write.mode(mode).text(f"{path}/table")
 
     @classmethod
-    def read_parquet(cls, spark: SparkSession, path: str, order_parts: int = 1) -> AxisTable:
+    def read_parquet(cls, spark: SparkSession, path: str, order_parts: int | None = None) -> AxisTable:
         """A table that ``write_parquet`` wrote, with every matrix, side table and its order."""
         said = json.loads(spark.read.text(f"{path}/table").first()[0])
         out = cls.__new__(cls)
@@ -898,7 +906,7 @@ class AxisTable(Verbs):
         def axis(name: str, public: list[str], down: list[bool], named: str | None) -> Axis:
             order = {f"order__{i}": hidden("o") for i in range(len(down))}
             df = spark.read.parquet(f"{path}/{name}").withColumnsRenamed({**aside[name], **order, **({"slot": SLOT} if name == VAR else {})})
-            return Axis(df, public, list(zip(order.values(), down, strict=True)), named, order_parts)
+            return Axis(df, public, list(zip(order.values(), down, strict=True)), named, order_parts if name == OBS else 1)
 
         out._obs = axis(OBS, said["obs"], said["order"], said["obs_name"])
         if "var" in said:

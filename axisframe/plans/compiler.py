@@ -8,6 +8,9 @@ anything is shuffled, and joined to the rows by their keys: Spark broadcasts the
 with a third of all rows is never one task's. Only where rows are brought together by the same keys anyway, as they are
 for functions that read the order, are such aggregates windows; and where a frame is the result of MOST_JOINS such joins
 already, as each reads the frame twice.
+
+Functions that read the order of a whole table, and its ranks, run in ranges of that order (of the values), so that no task
+sorts the table. The bounds are those of a sample, taken by one job after one that counts the rows, and constants of the plan.
 """
 
 from __future__ import annotations
@@ -18,13 +21,17 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, DateType, DayTimeIntervalType, DecimalType, DoubleType, FloatType, IntegralType, LongType, NumericType, StringType, StructType, TimestampNTZType, TimestampType
 
 from ..errors import SelectionError
 from ..functions.expr import Expr
 
 HIDDEN = "__axisframe_"
 MOST_JOINS = 2
+#: Rows of a range, the number of ranges at most, sampled rows for each range, and characters of a text in a bound.
+RANGE_ROWS, MOST_RANGES, RANGE_SAMPLE, BOUND_TEXT = 1 << 17, 512, 60, 1000
+#: Bounds that a row is held against one after the other; of more it meets some, by halves.
+FEW_RANGES = 8
 _numbers = itertools.count()
 _ACROSS_ROWS = {"aggregate", "ordered", "ranked", "partition"}
 
@@ -43,12 +50,50 @@ def in_order(order: Sequence[tuple[str, bool]]) -> list[Column]:
     return [F.col(f"`{c}`").desc_nulls_last() if down else F.col(f"`{c}`").asc_nulls_last() for c, down in order]
 
 
+def _falling(c: Column, kind: DataType) -> list[Column] | None:
+    """Columns that grow as ``c`` falls; None for a type that has none."""
+    if isinstance(kind, BooleanType):
+        return [~c]
+    if isinstance(kind, IntegralType):
+        return [F.bitwise_not(c)]
+    if isinstance(kind, (FloatType, DoubleType)):
+        return [~F.isnan(c), -c]
+    if isinstance(kind, (DecimalType, DayTimeIntervalType)):
+        return [-c]
+    if isinstance(kind, TimestampType):
+        return [-F.unix_micros(c)]
+    if isinstance(kind, TimestampNTZType):
+        return [F.lit("1970-01-01").cast("timestamp_ntz") - c]
+    if isinstance(kind, DateType):
+        return [-F.unix_date(c)]
+    if isinstance(kind, BinaryType) or kind == StringType():  # its bytes' complements, and an end that is above all of them
+        return [F.concat(F.translate(F.hex(c), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("~"))]
+    return None
+
+
+def _flat(c: Column, kind: DataType) -> list[tuple[Column, DataType | None]]:
+    """A column, or the fields of a struct in the order in which structs are compared; type None: no constants of a plan."""
+    if isinstance(kind, StructType):
+        return [(c.isNotNull(), BooleanType()), *(x for f in kind for x in _flat(c.getField(f.name), f.dataType))]
+    if isinstance(kind, TimestampType):
+        return [(F.unix_micros(c), LongType())]
+    if isinstance(kind, TimestampNTZType):
+        return [(c - F.lit("1970-01-01").cast("timestamp_ntz"), DayTimeIntervalType())]
+    return [(c, kind if isinstance(kind, (BooleanType, NumericType, DateType, DayTimeIntervalType, BinaryType)) or kind == StringType() else None)]
+
+
+def _sorted_as(v):
+    """A constant's place among others of its type as Spark sorts them: missing first, NaN last, texts by their bytes."""
+    return (v is not None, v != v, 0 if v is None or v != v else v.encode() if isinstance(v, str) else bytes(v) if isinstance(v, bytearray) else v)
+
+
 class Context:
     """Compiles expressions over ``df``; read ``df`` again when all are compiled."""
 
-    def __init__(self, df: DataFrame, resolve: Callable[[str], Column], keys: Sequence[str] = (), order: Sequence[tuple[str, bool]] = (), parts: int = 1, joins: int = 0):
+    def __init__(self, df: DataFrame, resolve: Callable[[str], Column], keys: Sequence[str] = (), order: Sequence[tuple[str, bool]] = (), parts: int | None = 1, joins: int = 0):
         self.df, self.resolve, self.keys, self.order, self.parts, self.joins = df, resolve, list(keys), list(order), parts, joins
         self._part: str | None = None
+        self._whole = parts == 1
         self._joined_before = joins
         self._pending: list[Column] = []
         self._pending_keys: tuple[str, ...] = ()
@@ -123,15 +168,12 @@ class Context:
         return Window.partitionBy(*self._groups(), c.isNull() if part is None else part).orderBy(*order)
 
     def value_part(self, c: Column) -> Column | None:
-        """Of an ungrouped table, the range of values that a value lies in, for ranks; None without order_parts or order of values."""
-        if self.keys or self.parts < 2:
+        """Of an ungrouped table, the range of values that a value lies in, for ranks (-1: missing); None if it is one range."""
+        if self.keys or self.parts == 1:
             return None
         self.flush()
-        if not isinstance(self.df.select(c.alias("v")).schema[0].dataType, (NumericType, DateType, TimestampType)):
-            return None
-        found = self.df.agg(F.percentile_approx(c, [k / self.parts for k in range(1, self.parts)], 10_000)).first()[0]
-        bounds = sorted({b for b in found or [] if b is not None})
-        return self.temp(F.when(c.isNull(), -1).otherwise(reduce(lambda a, b: a + (c > F.lit(b)).cast("int"), bounds, F.lit(0))), "part")
+        at = self._ranges([c], self.df.where(c.isNotNull()))
+        return None if at is None else self.temp(F.when(c.isNull(), -1).otherwise(at), "part")
 
     def before_part(self, c: Column, part: Column, descending: bool, distinct: bool) -> Column:
         """How many rows (or distinct values) lie in the ranges that sort before a row's: a count for each range, found by a job."""
@@ -147,27 +189,28 @@ class Context:
     def same_value(self, c: Column):
         return Window.partitionBy(*self._groups(), c)
 
+    def _growing(self) -> list[list[Column]]:
+        """For each order key the columns that grow along it; as many leading keys as have such columns."""
+        types = {f.name: f.dataType for f in self.df.schema}
+        out: list[list[Column]] = []
+        for name, down in self.order:
+            c = F.col(f"`{name}`")
+            grows = _falling(c, types[name]) if down else [c]
+            if grows is None:
+                break
+            out.append([c.isNull(), *grows])
+        return out
+
     def place(self) -> Column:
-        """An orderable column that grows along the table's order."""
+        """An orderable column that grows along the table's order (of a group, where there are keys)."""
         self._need_order()
-        types = {f.name: f.dataType for f in self.df.schema}
-        parts: list[Column] = []
-        for k, (name, down) in enumerate(self.order):
-            c, kind = F.col(f"`{name}`"), types[name]
-            if down:
-                if isinstance(kind, (NumericType, BooleanType)):
-                    c = -(c.cast("int") if isinstance(kind, BooleanType) else c)
-                elif isinstance(kind, TimestampType):
-                    c = -F.unix_micros(c)
-                elif isinstance(kind, DateType):
-                    c = -F.unix_date(c)
-                else:  # a text in falling order has no simple negative
-                    if self._place is None:
-                        whole = Window.partitionBy(*self._groups()).orderBy(*in_order(self.order))
-                        self._place = self.temp(F.row_number().over(whole), "place")
-                    return self._place
-            parts += [F.col(f"`{name}`").isNull().alias(f"m{k}"), c.alias(f"v{k}")]
-        return F.struct(*parts)
+        found = self._growing()
+        if len(found) < len(self.order):  # a key in falling order of a type that can't be turned round
+            if self._place is None:
+                whole = Window.partitionBy(*self._groups()).orderBy(*in_order(self.order))
+                self._place = self.temp(F.row_number().over(whole), "place")
+            return self._place
+        return F.struct(*(c.alias(f"{'mvw'[i]}{k}") for k, key in enumerate(found) for i, c in enumerate(key)))
 
     def at_place(self, c: Column, n: int) -> Column:
         """``struct(v)`` of the value on the row at place n of its group (from the end if negative), and missing on all other rows."""
@@ -186,25 +229,55 @@ class Context:
         return F.col(value)
 
     # -- running aggregates of a whole table, in parts --
-    def part(self) -> str | None:
-        """A column that cuts the table into ranges of its first order key, growing along the order; None if it can't.
+    def _ranges(self, keys: Sequence[Column], rows: DataFrame) -> Column | None:
+        """The range, from 0 and growing with the keys, that each row lies in; None for one range, or types without constants.
 
-        The bounds are approximate quantiles, found by one job, and are constants of the plan: a lost task finds the same.
+        Equal keys lie in one range. One job counts ``rows`` and one samples their keys; the bounds have as many keys as tell
+        them apart, and are constants of the plan: a lost task finds the same.
         """
-        if self._part is None and self.order and self.parts > 1:
-            name, down = self.order[0]
-            kind = self.df.schema[name].dataType
-            if not isinstance(kind, (NumericType, DateType, TimestampType)):
-                return None
-            c = F.col(f"`{name}`")
-            found = self.df.agg(F.percentile_approx(c, [k / self.parts for k in range(1, self.parts)], 10_000)).first()[0]
-            bounds = sorted({b for b in found or [] if b is not None})
-            at = F.lit(0)
-            for k, b in enumerate(bounds, 1):
-                at = at + (c > F.lit(b)).cast("int")
-            at = F.when(c.isNull(), len(bounds) + 1).otherwise(F.lit(len(bounds)) - at if down else at)
-            self.temp(at, "part")
-            self._part = self.made[-1]
+        typed = [x for k, f in zip(keys, self.df.select(*keys).schema, strict=True) for x in _flat(k, f.dataType)]
+        typed = list(itertools.takewhile(lambda x: x[1] is not None, typed))
+        if not typed:
+            return None
+        many = rows.count()
+        want = min(MOST_RANGES, -(-many // RANGE_ROWS)) if self.parts is None else self.parts
+        if not many or want < 2:
+            return None
+        names = [f"k{i}" for i in range(len(typed))]
+        some = rows.sample(min(1.0, 1.2 * RANGE_SAMPLE * want / many), seed=0)
+        some = some.select(*((F.substring(k, 1, BOUND_TEXT) if isinstance(kind, StringType) else k).alias(n) for (k, kind), n in zip(typed, names, strict=True)))
+        found = sorted((tuple(r) for r in some.collect()), key=lambda r: [_sorted_as(v) for v in r])
+        cuts = [k for k, _ in itertools.groupby(found[len(found) * k // want] for k in range(1, want))] if found else []
+        if not cuts:
+            return None
+        tell = next((p for p in range(1, len(typed)) if all(a[:p] != b[:p] for a, b in itertools.pairwise(cuts))), len(typed))
+        literal = lambda v: F.lit(bytes(v) if isinstance(v, bytearray) else v)
+
+        def above(bound: Sequence[Column], k: int = 0) -> Column:
+            """Whether the keys from the k-th on are above those of a bound."""
+            key, there = typed[k][0], bound[k]
+            more = F.coalesce(key > there, there.isNull() & key.isNotNull())
+            return more if k == tell - 1 else more | (key.eqNullSafe(there) & above(bound, k + 1))
+
+        if len(cuts) <= FEW_RANGES:  # a smaller plan
+            at = reduce(lambda n, cut: n + above([literal(v).cast(kind) for v, (_, kind) in zip(cut, typed[:tell], strict=False)]).cast("int"), cuts, F.lit(0))
+            return self.temp(at, "part")
+        bounds = {hidden("bounds"): F.array(*map(literal, values)).cast(ArrayType(kind)) for values, (_, kind) in zip(zip(*cuts, strict=True), typed[:tell], strict=False)}
+        self.df, made, at = self.df.withColumns(bounds), [], F.lit(0)
+        for step in (1 << k for k in range(len(cuts).bit_length() - 1, -1, -1)):  # by halves
+            last = at + F.lit(step - 1)
+            made.append(hidden("half"))
+            self.df = self.df.withColumn(made[-1], at + F.when((last < len(cuts)) & above([F.get(F.col(b), last) for b in bounds]), step).otherwise(0))
+            at = F.col(made[-1])
+        self.df, self.made = self.df.drop(*bounds, *made[:-1]), [*self.made, made[-1]]
+        return at
+
+    def part(self) -> str | None:
+        """A column that cuts the table into ranges of its order, growing along it; None if it is one range, or can't be cut."""
+        if self._part is None and self.order and not self._whole:
+            at = self._ranges([c for key in self._growing() for c in key], self.df)
+            self._whole = at is None
+            self._part = None if at is None else self.made[-1]
         return self._part
 
     def _in_parts(self, e: Expr, args: list[Column]) -> Column:

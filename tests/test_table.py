@@ -461,3 +461,20 @@ def test_python_aggregates_beside_others(spark):
     assert values(t.summarize(obs={"s": spread, "n": ax.n()}, by="g"), "s", "n") == [(8.0, 5), (8.0, 5)]
     assert t.summarize(obs={"s": spread}).first()[0] == 9.0
     assert set(values(t.group_by(obs="g").mutate(obs={"s": spread + ax.min("v")}).ungroup().obs_frame(), "s")) == {8.0, 9.0}
+
+
+def test_groups_as_first_seen_in_ranges(spark, monkeypatch):
+    """Places after a grouped arrange: the groups' first rows are found by an aggregation, and no task sorts all rows or a group."""
+    from axisframe.plans import compiler
+
+    monkeypatch.setattr(compiler, "RANGE_ROWS", 30)
+    df = spark.createDataFrame([(i, "abcd"[(i * i) % 4], f"n{i * 29 % 83}", (i * 37) % 101 / 3.0 if i % 9 else None) for i in range(200)], "i long, g string, t string, v double")
+    for by, order in ((None, lambda r: r["i"]), (ax.desc("t"), lambda r: (-int(ord(r["t"][1])), [-ord(c) for c in r["t"][2:]] + [1], r["i"]))):
+        t = AxisTable(df, order_by="i")
+        out = (t if by is None else t.arrange(obs=by)).group_by(obs="g").arrange(obs=ax.desc("v")).ungroup().mutate(obs={"place": ax.row_number()}).obs_frame()
+        plan = physical(out)
+        assert "SinglePartition" not in plan and plan.count("Window") == 1
+        rows = sorted(df.collect(), key=order)
+        seen = list(dict.fromkeys(r["g"] for r in rows))
+        want = [r["i"] for r in sorted(rows, key=lambda r: (seen.index(r["g"]), r["v"] is None, -(r["v"] or 0)))]
+        assert [r["i"] for r in sorted(out.collect(), key=lambda r: r["place"])] == want
