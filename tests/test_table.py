@@ -478,3 +478,16 @@ def test_groups_as_first_seen_in_ranges(spark, monkeypatch):
         seen = list(dict.fromkeys(r["g"] for r in rows))
         want = [r["i"] for r in sorted(rows, key=lambda r: (seen.index(r["g"]), r["v"] is None, -(r["v"] or 0)))]
         assert [r["i"] for r in sorted(out.collect(), key=lambda r: r["place"])] == want
+
+
+def test_every_kind_of_order_in_ranges(spark, monkeypatch):
+    """Without order_parts, ranges follow the rows: texts, falling orders, ties of leading keys and missing values as in one window."""
+    from axisframe.plans import compiler
+
+    df = spark.range(200).selectExpr("id as i", "if(id % 11 = 0, null, concat(repeat('é', cast(id % 3 as int)), 'ab', id % 5)) as t", "id % 2 = 0 as b", "case when id % 13 = 0 then double('NaN') when id % 7 > 0 then id % 7 / 2.0D end as v", "cast(id % 9 as decimal(20, 3)) as d", "timestamp_ntz'2020-01-01' + make_interval(0, 0, 0, id % 17) as n", "timestamp_seconds(id % 19 * 86400) as s", "encode(string(id % 23), 'utf-8') as y", "date_from_unix_date(id % 6) as e")
+    one, auto = AxisTable(df, order_by="i", order_parts=1, nan="keep"), AxisTable(df, order_by="i", nan="keep")
+    for rows, by in ((10, ["t", ax.desc("v")]), (10, [ax.desc("t"), "v", ax.desc("i")]), (40, [ax.desc("b"), ax.desc("n"), "y"]), (10, [ax.desc("d"), ax.desc("y"), "n"]), (10, [ax.desc("s"), "e"]), (10, [ax.desc("e"), "s"])):
+        monkeypatch.setattr(compiler, "RANGE_ROWS", rows)
+        want, got = (t.arrange(obs=by).mutate(obs={"place": ax.row_number()}).select(obs=["i", "place"]).obs_frame() for t in (one, auto))
+        assert "SinglePartition" in physical(want) and "SinglePartition" not in physical(got)
+        assert sorted(want.collect()) == sorted(got.collect())
