@@ -23,6 +23,10 @@ text is ``und``. Ties go to the language that sorts first. Other columns are ign
 
 from __future__ import annotations
 
+import pickle
+import zlib
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -72,6 +76,29 @@ class Model:
         return out
 
 
+class Fitted(Model):
+    """A model packed by the task that trained it: the driver sends it on, and holds its tables only if they are asked for."""
+
+    def __init__(self, packed: bytes):
+        self.packed = packed
+
+    def __reduce__(self):
+        return Fitted, (self.packed,)
+
+    @cached_property
+    def model(self) -> Model:
+        return pickle.loads(zlib.decompress(self.packed))
+
+    def __getattr__(self, name: str):
+        if name in ("langs", "symbol", "node_of", "cost", "rest"):
+            return getattr(self.model, name)
+        raise AttributeError(name)
+
+
+def packed(model: Model) -> Fitted:
+    return Fitted(zlib.compress(pickle.dumps(model, pickle.HIGHEST_PROTOCOL), 1))
+
+
 def train(samples: dict[str, list[bytes]], max_contexts: int = 16000, own_symbols: int = 127, least_seen: int = 2, table_bytes: int = 24_000_000) -> Model:
     langs = sorted(samples)
     if not langs:
@@ -145,26 +172,39 @@ def _escape(cnt: np.ndarray, above: np.ndarray) -> np.ndarray:
     return np.where(total > 0, out, above)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 256, train_chars: int = 20_000, labels: int = 64, held_out=None, **bounds) -> Model:
-    """Train on a bounded sample of the labelled rows for which ``held_out`` is false; ``bounds`` are those of ``train``."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 256, train_chars: int = 20_000, labels: int = 64, held_out=None, **bounds) -> Fitted:
+    """Train, in a task, on a bounded sample of the labelled rows for which ``held_out`` is false; ``bounds`` are those of ``train``."""
+    shared.prepared(docs.sparkSession)
     fit_on = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     if held_out is not None:
         fit_on = fit_on.where(~held_out)
     rows = fit_on.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
     chosen = bounded_rows(rows, "id", "lang", docs_per_lang, labels)  # at most docs_per_lang * labels rows
     texts = fit_on.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(chosen), ["id", "lang"], "left_semi")
-    samples: dict[str, list[bytes]] = {}
     cut = texts.withColumn("key", F.xxhash64("id", "text")).withColumn("text", stretch("text", "id", train_chars))
-    for row in ranked(cut, "key", "lang", docs_per_lang).collect():
-        samples.setdefault(row["lang"], []).append(row["text"].encode())
-    return train({k: sorted(v) for k, v in samples.items()}, **bounds)
+    found = ranked(cut, "key", "lang", docs_per_lang).select("lang", "text").repartition(1).mapInArrow(_trainer(bounds), "model binary").collect()
+    return Fitted(bytes(found[0][0])) if found else packed(train({}, **bounds))
+
+
+def _trainer(bounds: dict):
+    """One row, the model of all rows of a task."""
+
+    def fitted(batches):
+        samples: dict[str, list[bytes]] = {}
+        for rows in batches:
+            for lang, x in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+                samples.setdefault(lang, []).append(x.encode())
+        model = packed(train({k: sorted(v) for k, v in samples.items()}, **bounds))
+        yield pa.RecordBatch.from_arrays([pa.array([model.packed], pa.binary())], names=["model"])
+
+    return fitted
 
 
 def _scorer(held, at: int):
     """Adds lang_pred and score to each row; column ``at`` is the text, the next whether it has a letter."""
 
     def score(batches):
-        model = held.value
+        model = held.value.model
         for rows, data, offsets in text.documents(batches, at):
             n = rows.num_rows
             letters = np.asarray(rows.column(at + 1).fill_null(False))
@@ -186,7 +226,7 @@ def _scorer(held, at: int):
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", held_out=None, keep: bool = False) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row's whole text; with ``keep`` every column of ``docs``, then those two."""
-    held = shared.prepared(docs.sparkSession).sparkContext.broadcast(model)
+    held = shared.prepared(docs.sparkSession).sparkContext.broadcast(model if isinstance(model, Fitted) else packed(model))
     texts = [F.col(text_col).alias("__text"), F.col(text_col).rlike("\\p{L}").alias("__letters")]
     if keep:
         kept = docs.drop("lang_pred", "score")

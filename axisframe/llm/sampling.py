@@ -1,4 +1,4 @@
-"""Bounded samples of labelled rows, for fitting models on the driver."""
+"""Bounded samples of labelled rows, for fitting models."""
 
 from __future__ import annotations
 

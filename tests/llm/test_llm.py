@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -313,6 +314,24 @@ def test_languages(spark, make):
     assert ppm.languages(docs.where("false")).count() == 0
 
 
+def test_languages_train_in_a_task(spark):
+    """The driver neither trains nor unpacks the model: its tables would be a third of its memory in the pipeline."""
+    docs = spark.createDataFrame([(k, f"{'the and of' if k % 2 else 'der die und'} {k}", "ab"[k % 2]) for k in range(40)], "doc_id long, text string, lang string")
+    own, driver = ppm.train, os.getpid()
+
+    def elsewhere(*args, **bounds):
+        assert os.getpid() != driver
+        return own(*args, **bounds)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(ppm, "train", elsewhere)
+        model = ppm.fit(docs)
+        assert {x["lang_pred"] for x in ppm.identify(docs, model).collect()} == {"a", "b"}
+    assert list(vars(model)) == ["packed"] and len(model.packed) < 1_000_000
+    want = ppm.train({c: sorted(f"{'the and of' if k % 2 else 'der die und'} {k}".encode() for k in range(40) if "ab"[k % 2] == c) for c in "ab"})
+    assert model.langs == want.langs and (model.cost == want.cost).all() and (model.node_of == want.node_of).all() and (model.rest == want.rest).all()
+
+
 def test_ppm_code_lengths_are_probabilities():
     model = ppm.train({"a": [b"abracadabra " * 20], "b": [b"banana bandana " * 20]}, max_contexts=60)
     assert np.allclose(np.exp2(-model.cost.astype(float)).sum(1), 1, atol=1e-3)
