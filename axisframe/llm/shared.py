@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
@@ -48,9 +49,26 @@ def written(df: DataFrame, tag: str, codec: str = "zstd") -> tuple[DataFrame, st
         df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.unset(_CLEAN) if held is None else spark.conf.set(_CLEAN, held)
+    given_back(spark)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def given_back(spark: SparkSession) -> str | None:
+    """The driver's JVM gives memory that it has freed back to the system; what it says of that, or None where it can't.
+
+    A chain of plans takes and frees native memory in hundreds of threads, those of the JVM's compilers likely most, and
+    glibc keeps what they free: 100 to 400 MB beside the heap. Asked for through the JVM's management beans.
+    """
+    jvm = spark._jvm
+    try:
+        ask = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        call = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)  # no arguments, no signature
+        call[0], call[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        return ask.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), call)
+    except Py4JError:  # an older JVM, or another C library
+        return None
+
+
 def removed(spark: SparkSession, *paths: str) -> None:
     """Delete tables of ``written`` that no later step reads."""
     for path in paths:

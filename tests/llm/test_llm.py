@@ -185,6 +185,42 @@ def test_near_duplicates_of_repeated_ids(spark, make):
         assert {(r["node"], r["component"]) for r in found.collect()} == ({(1, 1), (2, 1), (3, 1), (7, 1)} if len(links) > 1 else set())
 
 
+def test_components_of_graphs_of_many_shapes_end_as_they_are_stars(spark, monkeypatch):
+    """Chains, trees, rings, stars and random links against a union by hand; stars take no round, and no round only looks."""
+    r = random.Random(77)
+    chain = [(k, k + 1) for k in range(40)]
+    ring = [(100 + k, 100 + (k + 1) % 9) for k in range(9)]
+    tree = [(200 + k, 200 + (k - 1) // 2) for k in range(1, 31)]
+    star = [(300, 301 + k) for k in range(30)]
+    loose = [(400 + r.randrange(60), 400 + r.randrange(60)) for _ in range(45)]
+    tags = []
+    written = shared.written
+    monkeypatch.setattr(shared, "written", lambda df, tag, *a: (tags.append(tag), written(df, tag, *a))[1])
+    for links in (star, chain + ring + tree + star + loose):
+        top = {x: x for pair in links for x in pair if pair[0] != pair[1]}
+        for _ in top:
+            for u, v in links:
+                if u != v:
+                    top[u] = top[v] = min(top[u], top[v])
+        tags.clear()
+        found, _ = components(spark.createDataFrame(links, "u long, v long"))
+        assert sorted((x["node"], x["component"]) for x in found.collect()) == sorted(top.items())
+        assert len(tags) % 4 == 2 and (links is not star or tags == ["links", "low"])
+
+
+def test_a_write_leaves_no_freed_memory_in_the_driver(spark):
+    """What plans took and freed outside the heap goes back to the system as a table is written."""
+    if shared.given_back(spark) is None:
+        pytest.skip("this JVM can't")
+    for k in range(30):  # plans that were not compiled before
+        frame = spark.range(100).selectExpr("id", *(f"id * {k} + {i} as c{i}" for i in range(20))).groupBy("c0").agg(*(F.sum(f"c{i}") for i in range(1, 20)))
+        frame.collect()
+    shared.written(frame.toDF(*(f"c{i}" for i in range(20))), "compiled")
+    said = shared.given_back(spark)
+    left = re.search(r"\(([+-]\d+)([BKMG])\)", said)
+    assert left and int(left[1]) * 1024 ** "BKMG".index(left[2]) > -(16 << 20), said
+
+
 def test_near_duplicates_of_repeated_ids_in_the_pipeline(spark, make):
     pipeline = pytest.importorskip("corpus_pipeline")
     a, b = prose(80, 710), prose(80, 711)
