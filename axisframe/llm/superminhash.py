@@ -27,15 +27,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import shared, text
-from .components import components
+from .components import PART, components, hung, lowest
 
 SIZE, BANDS, ROWS = 112, 28, 4
 #: Classes in a block of each side where components are held against each other, and shingles for each of these places.
 BLOCK, CHUNK, WEIGHT = 2000, 500, 500
+#: Rows of a link's size that a text counts as where parts are cut.
+TEXT = 50
 _U = np.uint64
 _FRACTION = _U(0xFFFFFFFF)
 
@@ -123,7 +125,7 @@ def _sketch(length: int):
 
 
 def _linked(percent: int, length: int):
-    def verify(batches):
+    def verified(batches):
         for batch in batches:
             sizes = sum(np.diff(text.buffers(batch.column(k))[1]) for k in (2, 3))
             for lo, hi in text.slices(np.concatenate([[0], np.cumsum(sizes)])):
@@ -136,11 +138,11 @@ def _linked(percent: int, length: int):
                     keep[i] = both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
                 yield pa.RecordBatch.from_arrays([part.column(k).filter(pa.array(keep)) for k in (0, 1)], names=["u", "v"])
 
-    return verify
+    return lambda batches: hung(verified(batches))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int, length: int) -> DataFrame:
-    """Of pairs of classes (u, ut) and (v, vt), the links (u, v) whose full sets are similar enough."""
+    """Of pairs of classes (u, ut) and (v, vt), the links (u, v) whose full sets are similar enough, as each task's stars of them."""
     # merge joins at every size: a hot pivot's pairs are split where they are many, and plans don't change with the input
     sides = [texts.withColumnsRenamed({"id": k, "th": f"{k}t", "text": t}) for k, t in (("u", "a"), ("v", "b"))]
     met = pairs.hint("merge").join(sides[0], ["u", "ut"]).hint("merge").join(sides[1], ["v", "vt"])
@@ -151,35 +153,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``; see the module's docstring."""
     spark = shared.prepared(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
-    sketch, _ = shared.written(source.mapInArrow(_sketch(length), _SKETCHED), "sketch")
+    seen = Observation()
+    sketch, _ = shared.written(source.mapInArrow(_sketch(length), _SKETCHED).observe(seen, F.count(F.lit(1)).alias("n")), "sketch")
+    docs_n = seen.get["n"]
     full = sketch.where("n_shingles > 0 and id is not null")
     # aggregates are written before they are joined: Spark then knows their sizes and can split a hot key of the other side
-    # a class is named by its smallest id and by that row's text, as an id may have several texts
-    classes, classes_at = shared.written(full.groupBy("d1", "d2").agg(F.min(F.struct("id", "th")).alias("r")).select("d1", "d2", F.col("r.id").alias("rep"), F.col("r.th").alias("rt")), "classes")
-    # one row for each class: its band keys come from that row
-    reps = full.join(classes, ["d1", "d2"]).where("id = rep and th = rt").groupBy("rep", "rt", "d1", "d2").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    keyed, keyed_at = shared.written(reps.select("rep", "rt", "n", F.explode("bands").alias("band")), "bands")
-    pivots = keyed.groupBy("band").agg(F.min(F.struct("rep", "rt", "n")).alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    shared_keys, shared_at = shared.written(pivots, "pivots")
-    met, met_at = shared.written(keyed.join(shared_keys, "band"), "met")
+    # a class is named by its smallest id and by that row's text, as an id may have several texts; its band keys come from that row
+    classes = full.groupBy("d1", "d2").agg(F.min(F.struct("id", "th", "n_shingles", "bands")).alias("r"))
+    classes, classes_at = shared.written(_packed(classes.select("d1", "d2", F.col("r.id").alias("rep"), F.col("r.th").alias("rt"), F.col("r.n_shingles").alias("n"), F.col("r.bands").alias("bands")), docs_n, BANDS), "classes")
+    keyed = classes.select("rep", "rt", "n", F.explode("bands").alias("band"))
+    pivots = keyed.groupBy("band").agg(F.min(F.struct("rep", "rt", "n")).alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1").select("band", "p")
+    shared_keys, shared_at = shared.written(_packed(pivots, docs_n * BANDS), "pivots")
+    met, met_at = shared.written(_packed(keyed.join(shared_keys, "band").where("rep <> p.rep"), docs_n * BANDS), "met")
     near = f"100 * least(n, m) >= {similarity} * greatest(n, m)"
-    first = met.where("rep <> p.rep").select(F.col("p.rep").alias("u"), F.col("p.rt").alias("ut"), F.col("rep").alias("v"), F.col("rt").alias("vt"), "n", F.col("p.n").alias("m"))
-    pairs, pairs_at = shared.written(first.where(near).select("u", "ut", "v", "vt").distinct(), "pairs")
+    first = met.select(F.col("p.rep").alias("u"), F.col("p.rt").alias("ut"), F.col("rep").alias("v"), F.col("rt").alias("vt"), "n", F.col("p.n").alias("m"))
+    pairs, pairs_at = shared.written(_packed(first.where(near).select("u", "ut", "v", "vt").distinct(), docs_n * BANDS), "pairs")
     ids = pairs.select(F.col("u").alias("id"), F.col("ut").alias("th")).union(pairs.select("v", "vt")).distinct()
-    texts, texts_at = shared.written(_texts(source, ids), "texts")
+    texts, texts_at = shared.written(_packed(_texts(source, ids), docs_n, TEXT), "texts")
     # rows that repeat an id are one node: it is linked with the class of each of them
     again = sketch.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("id")
-    one, one_at = shared.written(full.join(again, "id").join(classes, ["d1", "d2"]).where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v")).distinct(), "again")
-    links, links_at = shared.written(_verified(pairs, texts, similarity, length).union(one), "verified")
-    comps, comps_at = components(links)
-    more, more_at = _across(source, reps.select("rep", "rt", "n"), met, comps, similarity, length)
+    one = full.join(again, "id").join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v")).distinct()
+    one, one_at = shared.written(_packed(one, docs_n), "again")
+    comps, comps_at = components(_verified(pairs, texts, similarity, length).union(one))
+    shared.removed(spark, pairs_at, texts_at, one_at)
+    more, more_at = _across(source, classes.select("rep", "rt", "n"), met, comps, docs_n, similarity, length)
     if more is not None:
         old = comps_at
         comps, comps_at = components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
-        shared.removed(spark, *old, more_at)
-    shared.removed(spark, keyed_at, shared_at, met_at, pairs_at, texts_at, one_at, links_at)
+        shared.removed(spark, *old, *more_at)
+    shared.removed(spark, shared_at, met_at)
     named = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    named, _ = shared.written(named, "named")
+    named, _ = shared.written(_packed(named, docs_n), "named")
     # a row without words stands where other rows of its id do
     hollow, _ = shared.written(sketch.where("n_shingles = 0 and id is not null").select("id").distinct().join(comps.withColumnRenamed("node", "id"), "id").select(F.col("id").alias("hollow_id"), F.col("component").alias("own")), "hollow")
     shared.removed(spark, classes_at, *comps_at)
@@ -195,8 +199,13 @@ def _texts(source: DataFrame, ids: DataFrame) -> DataFrame:
     return source.where("id is not null").join(ids.hint("merge"), ["id", "th"], "left_semi").groupBy("id", "th").agg(F.min("text").alias("text"))
 
 
-def _across(source: DataFrame, reps: DataFrame, met: DataFrame, comps: DataFrame, percent: int, length: int):
-    """Links between components that share a band key, as a written table and its path, or None twice if there is none.
+def _packed(rows: DataFrame, most: int, weight: int = 1) -> DataFrame:
+    """``rows``, at most ``most`` of them, in parts of about ``PART``, to be written: small tables in many files cost more than their rows."""
+    return rows.coalesce(max(8, -(-most * weight // PART)))
+
+
+def _across(source: DataFrame, reps: DataFrame, met: DataFrame, comps: DataFrame, docs_n: int, percent: int, length: int):
+    """Links between components that share a band key, lazily, and the paths they read, or None twice if none share one.
 
     Components that share keys form a cluster. All of a cluster's classes outside its largest component are held against
     all of its classes. Both sides are cut into blocks of bounded numbers of classes and shingles, each pair of blocks is a task's work, and only
@@ -204,32 +213,27 @@ def _across(source: DataFrame, reps: DataFrame, met: DataFrame, comps: DataFrame
     """
     spark = source.sparkSession
     in_comp = comps.withColumnRenamed("node", "rep")
-    placed = met.select("band", "rep").join(in_comp, "rep", "left").select("band", F.coalesce("component", "rep").alias("c"))
-    split = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", "lo")
-    touching, at = shared.written(placed.join(split, "band").where("c <> lo").select(F.col("lo").alias("u"), F.col("c").alias("v")).distinct(), "touching")
-    if touching.isEmpty():
-        shared.removed(spark, at)
+    # a band's components all touch that of its pivot
+    placed = met.select("rep", F.col("p.rep").alias("top")).join(in_comp, "rep", "left").select("top", F.coalesce("component", "rep").alias("u"))
+    placed = placed.join(in_comp.withColumnRenamed("rep", "top"), "top", "left").select("u", F.coalesce("component", "top").alias("v"))
+    clusters, clusters_at = components(_packed(placed, docs_n * BANDS).where("u <> v").mapInArrow(hung, "u long, v long"))
+    if clusters.isEmpty():
+        shared.removed(spark, *clusters_at)
         return None, None
-    clusters, clusters_at = components(touching)
     members = reps.join(in_comp, "rep", "left").select("rep", "rt", "n", F.coalesce("component", "rep").alias("c")).join(clusters.select(F.col("node").alias("c"), F.col("component").alias("cluster")), "c")
-    members, members_at = shared.written(members, "members")
+    members, members_at = shared.written(_packed(members, docs_n), "members")
     sizes = members.groupBy("cluster", "c").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
     sizes = sizes.groupBy("cluster").agg(F.sum("k").alias("k"), F.sum("n").alias("n"), F.max(F.struct("k", "n", "c")).alias("top"))
     parts = lambda k, n, most, weight: F.ceil(F.greatest(k / most, n / weight)).cast("int")
     loose = (F.col("k") - F.col("top.k"), F.col("n") - F.col("top.n"))
     sizes = sizes.select("cluster", F.col("top.c").alias("top"), parts(F.col("k"), F.col("n"), BLOCK, BLOCK * WEIGHT).alias("nb"), parts(*loose, CHUNK, CHUNK * WEIGHT).alias("nc"))
-    sizes, sizes_at = shared.written(sizes, "sizes")
+    sizes, sizes_at = shared.written(_packed(sizes, docs_n), "sizes")
     texts = _texts(source, members.select(F.col("rep").alias("id"), F.col("rt").alias("th")))
     rows = members.join(sizes, "cluster").join(texts.withColumnsRenamed({"id": "rep", "th": "rt"}), ["rep", "rt"])
     every = rows.select("cluster", F.expr("cast(pmod(xxhash64(rep, rt), nb) as int)").alias("block"), F.explode(F.expr("sequence(0, nc - 1)")).alias("chunk"), F.lit(False).alias("open"), "rep", "c", "text")
     loose = rows.where("c <> top").select("cluster", F.explode(F.expr("sequence(0, nb - 1)")).alias("block"), F.expr("cast(pmod(xxhash64(rep, rt, 1), nc) as int)").alias("chunk"), F.lit(True).alias("open"), "rep", "c", "text")
     links = every.union(loose).groupBy("cluster", "block", "chunk").applyInArrow(_block_links(percent, length), "u long, v long")
-    out, out_at = shared.written(links, "verified")
-    shared.removed(spark, at, *clusters_at, members_at, sizes_at)
-    if out.isEmpty():
-        shared.removed(spark, out_at)
-        return None, None
-    return out, out_at
+    return links, [*clusters_at, members_at, sizes_at]
 
 
 def _block_links(percent: int, length: int):
@@ -261,6 +265,7 @@ def _block_links(percent: int, length: int):
                 for k in hit[np.unique(comp[hit], return_index=True)[1]]:  # one link to each component is enough
                     u.append(r)
                     v.append(int(rep[k]))
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+        node, low = lowest(np.array(u, np.int64), np.array(v, np.int64))
+        return pa.table({"u": node[node != low], "v": low[node != low]})
 
     return find

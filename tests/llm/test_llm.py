@@ -8,11 +8,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from axisframe.llm import chaining, exchange, linerules, mixing, packing, ppm, sampling, shared, suffix, superminhash, text, topk, toxicity, warc
-from axisframe.llm.components import components
+from axisframe.llm.components import components, hung, lowest
 
 RNG = random.Random(5)
 WORDS = ["".join(RNG.choice("abcdefghiklmnorstu") for _ in range(RNG.randint(2, 8))) for _ in range(600)]
@@ -208,6 +209,59 @@ def test_components_of_graphs_of_many_shapes_end_as_they_are_stars(spark, monkey
         assert len(tags) % 4 == 2 and (links is not star or tags == ["links", "low"])
 
 
+@pytest.mark.parametrize("part", [250_000, 20])
+def test_components_by_one_task_and_by_rounds(spark, monkeypatch, part):
+    """Graphs of at most PART links take two tables, larger ones rounds; repeats and directions don't matter, hung links keep what they reach."""
+    r = random.Random(78)
+    links = [(k, k + 1) for k in range(60)] + [(100, 101 + k) for k in range(20)] * 2 + [(200 + r.randrange(90), 200 + r.randrange(90)) for _ in range(60)]
+    stars = [(400, 401 + k) for k in range(30)]
+    top = {x: x for pair in links + stars for x in pair if pair[0] != pair[1]}
+    for _ in top:
+        for u, v in links + stars:
+            if u != v:
+                top[u] = top[v] = min(top[u], top[v])
+    tags = []
+    written = shared.written
+    monkeypatch.setattr(shared, "written", lambda df, tag, *a: (tags.append(tag), written(df, tag, *a))[1])
+    monkeypatch.setattr("axisframe.llm.components.PART", part)
+    for some in (links + stars, stars * 2):
+        edges = spark.createDataFrame(r.sample(some, len(some)), "u long, v long").repartition(3)
+        for frame in (edges, edges.mapInArrow(hung, "u long, v long")):
+            tags.clear()
+            found, _ = components(frame)
+            assert sorted((x["node"], x["component"]) for x in found.collect()) == sorted((k, top[k]) for k in {x for p in some for x in p} & set(top))
+            assert (tags == ["links", "low"]) == (part > 20) and (part > 20 or some != stars * 2 or len(tags) == 3)
+    nodes = pa.record_batch({"u": [1, 2, 3], "v": [2, 3, 4]}), pa.record_batch({"u": [9], "v": [1]})
+    assert [b.to_pydict() for b in hung(nodes, 2)] == [{"u": [2, 3], "v": [1, 1]}, {"u": [4, 9], "v": [3, 1]}]
+    assert lowest(np.array([7, 3, 9]), np.array([3, 8, 9]))[1].tolist() == [3, 3, 3, 9]
+
+
+def test_near_duplicates_take_few_tables_of_few_files(spark, make, monkeypatch):
+    """Many shuffle partitions make no small tables of many files, and links no rounds: each file and each round costs more than its rows."""
+    words = prose(400, 79).split(" ")
+    rows = [(k, " ".join(f"v{k}w{i}" if 0 <= i - 12 * (k - 1) < 12 else w for i, w in enumerate(words))) for k in range(12)]
+    tables = []
+    written = shared.written
+
+    def noted(df, tag, *a):
+        out, path = written(df, tag, *a)
+        tables.append((tag, len(out.inputFiles())))
+        return out, path
+
+    monkeypatch.setattr(shared, "written", noted)
+    many = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    held = {k: spark.conf.get(k) for k in many}
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        got = {r["doc_id"]: r["component_id"] for r in superminhash.near_duplicates(make(rows)).collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert set(got.values()) == {0}
+    assert len(tables) <= 17 and all(n <= 8 for tag, n in tables if tag not in ("links", "hollow")), tables
+
+
 def test_a_write_leaves_no_freed_memory_in_the_driver(spark):
     """What plans took and freed outside the heap goes back to the system as a table is written."""
     if shared.given_back(spark) is None:
